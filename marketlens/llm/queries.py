@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import _scratch, packing, pii, token_files
+from marketlens.llm import _scratch, language_id, packing, pii, secrets, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,18 +18,34 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut(_documents(spark, sf_dir)))
 
 
+def _remainder(n: int) -> F.Column:
+    """crc32(doc_id as text) modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language_id.learn(docs, _remainder(5) != 0)
+    held_out = (_remainder(5) == 0).alias("held_out")
+    return language_id.predict(docs, model).select("doc_id", held_out, "lang_pred", "score", "entropy", "rejected")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch.folder(spark, "tokens")
     token_files.write_tokens(_documents(spark, sf_dir), path)
     return token_files.with_checksums(token_files.read_tokens(spark, path))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(_documents(spark, sf_dir))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": op3_packing, "op5_token_files": op5_token_files, "op7_pii": op7_pii}
+    return {f.__name__: f for f in (op3_packing, op4_language_id, op5_token_files, op6_secrets, op7_pii)}
 
 
 def oracles() -> dict[str, str]:
