@@ -40,21 +40,15 @@ def _tokenizer(path: str) -> tuple:
     return _loaded[path]
 
 
-def encode(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """All rows' ids in one array, ``end_id`` after each row's, and the n + 1 offsets of the rows.
+#: Words that a Python worker keeps the ids of; when there are more, it begins anew.
+KEPT_WORDS = 1_000_000
+_kept: dict[tuple[str, int], tuple[np.ndarray, ...]] = {}
 
-    Equal to encoding every whole text by itself: no piece of this tokenizer spans a blank, so a text's ids are those
-    of its blank-separated words in order. Null is the empty text: only the end id.
-    """
-    tokenizer, last = _tokenizer(path)
-    data, offsets = _text.column_bytes(col)
-    starts, ends, first = _text.words(data, offsets, _WORD)
-    hashed = _text.hashes(data, starts, ends, fold=False)
-    _, where, inverse = np.unique(hashed, return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    distinct = [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
 
-    # A plain word's ids are those of its letters in lower case, then those of its marks: both are pieces of the pool.
+def _encode_words(distinct: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some words, one after another, and how many each has."""
+    tokenizer, last = _tokenizer(path)
+    # A plain word's ids are those of its letters in lower case, then those of its marks; each such piece is encoded once.
     seats: dict[str, int] = {}
     stem, mark, odd = np.full(len(distinct), -1), np.full(len(distinct), -1), []
     for i, m in enumerate(map(_PLAIN.fullmatch, distinct)):
@@ -71,23 +65,54 @@ def encode(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarra
         stem[:], mark[:], odd, ids, cut = -1, -1, list(range(len(distinct))), ids[:0], np.zeros(1, np.int64)
     rest = [e.ids for e in tokenizer.encode_batch_fast([distinct[i] for i in odd], add_special_tokens=False)]
     more = np.cumsum([0, *map(len, rest)])
-    # Two parts a word (the second may be empty), then the end id of each row.
     begin, size = np.zeros((len(distinct), 2), dtype=np.int64), np.zeros((len(distinct), 2), dtype=np.int64)
     for k, part in enumerate((stem, mark)):
         has = np.flatnonzero(part >= 0)
         begin[has, k], size[has, k] = cut[part[has]], cut[part[has] + 1] - cut[part[has]]
     begin[odd, 0], size[odd, 0] = len(ids) + more[:-1], np.diff(more)
-    pool = np.concatenate([ids, np.fromiter((i for x in rest for i in x), dtype=np.int64), [end_id]]).astype(np.uint32)
+    pool = np.concatenate([ids, np.fromiter((i for x in rest for i in x), dtype=np.int64)])
+    return pool[_spans(begin.ravel(), size.ravel())].astype(np.uint32), size.sum(axis=1)
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions begin, begin + 1, ... of all spans in order."""
+    total = np.cumsum(size)
+    return np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+
+
+def encode(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' ids in one array, ``end_id`` after each row's, and the n + 1 offsets of the rows.
+
+    Equal to encoding every whole text by itself: no piece of this tokenizer spans a blank, so a text's ids are those
+    of its blank-separated words in order. Null is the empty text: only the end id.
+    """
+    data, offsets = _text.column_bytes(col)
+    starts, ends, first = _text.words(data, offsets, _WORD)
+    hashed = _text.hashes(data, starts, ends, fold=False)
 
+    empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([end_id], np.uint32)
+    known, begin, size, pool = _kept.get((path, end_id), empty)
+    if len(known) > KEPT_WORDS:
+        known, begin, size, pool = empty
+    distinct, where, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
+    missing = np.flatnonzero(known[at] != distinct) if len(known) else np.arange(len(distinct))
+    if len(missing):
+        new, where = distinct[missing], where[missing]
+        raw = data.tobytes()
+        ids, sizes = _encode_words([raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], path)
+        seat = np.searchsorted(known, new)
+        known, size = np.insert(known, seat, new), np.insert(size, seat, sizes)
+        begin, pool = np.insert(begin, seat, len(pool) + np.cumsum(sizes) - sizes), np.concatenate([pool, ids])
+        at = np.searchsorted(known, distinct)
+    _kept[path, end_id] = known, begin, size, pool
+
+    # Each row's words, then the end id (the pool's first).
     n = len(offsets) - 1
     count = np.diff(first)
     seat = np.arange(len(hashed)) + np.repeat(np.arange(n), count)
-    sizes, at = np.zeros((len(hashed) + n, 2), dtype=np.int64), np.full((len(hashed) + n, 2), len(pool) - 1)
-    sizes[:, 0] = 1
-    sizes[seat], at[seat] = size[inverse], begin[inverse]
-    sizes, at = sizes.ravel(), at.ravel()
-    total = np.cumsum(sizes)
-    take = np.repeat(at - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
+    sizes, places = np.ones(len(hashed) + n, dtype=np.int64), np.zeros(len(hashed) + n, dtype=np.int64)
+    sizes[seat], places[seat] = size[at][inverse], begin[at][inverse]
     bounds = np.zeros(n + 1, dtype=np.int64)
-    bounds[1:] = total[2 * np.cumsum(count + 1) - 1] if n else 0
-    return pool[take], bounds
+    bounds[1:] = np.cumsum(sizes)[np.cumsum(count + 1) - 1] if n else 0
+    return pool[_spans(places, sizes)], bounds

@@ -36,7 +36,7 @@ def cut(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _text.slices(batches, most=10 << 20):
+        for part in _text.slices(batches, most=5 << 20):
             ids, bounds = _tokens.encode(part.column("text"), tokenizer, end_id)
             sizes = np.diff(bounds)
             count = -(-sizes // capacity)

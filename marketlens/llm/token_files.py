@@ -48,7 +48,7 @@ def write_tokens(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before = TaskContext.get().partitionId(), 0
-        for part in _text.slices(batches, most=10 << 20):
+        for part in _text.slices(batches, most=5 << 20):
             ids, bounds = _tokens.encode(part.column("text"), tokenizer, end_id)
             rows = part.num_rows
             yield pa.RecordBatch.from_arrays(
