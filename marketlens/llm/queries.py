@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import _scratch, hmm_score, jaccard_join, language_id, packing, pii, secrets, token_files
+from marketlens.llm import _scratch, hmm_score, jaccard_join, language_id, packing, pii, secrets, suffix_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +48,16 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_documents(spark, sf_dir))
+
+
 def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_score.score(_documents(spark, sf_dir), _remainder(7) == 2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_language_id, op5_token_files, op6_secrets, op7_pii, op8_jaccard_join, op10_hmm_score)}
+    return {f.__name__: f for f in (op3_packing, op4_language_id, op5_token_files, op6_secrets, op7_pii, op8_jaccard_join, op9_suffix_dedup, op10_hmm_score)}
 
 
 def oracles() -> dict[str, str]:
