@@ -166,7 +166,7 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     if not counts:
         return None
     model = estimate(counts)
-    held = predict(sample.where("fold = 0").select(F.col("h").alias("doc_id"), "text", "lang"), model, keep=("lang",)).where("lang_pred = lang and n_chars >= 50").select("lang", "entropy").toPandas()
+    held = predict(sample.where("fold = 0").select(F.col("h").alias("doc_id"), "text", "lang"), model, keep=("lang",)).where("lang_pred = kept_lang and n_chars >= 50").select(F.col("kept_lang").alias("lang"), "entropy").toPandas()
     for k, lang in enumerate(model.languages):
         own = held.entropy[held.lang == lang]
         if len(own) >= 20:
@@ -176,7 +176,7 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score, entropy, n_chars and rejected for each row; columns of ``keep`` stay.
+    """doc_id, lang_pred, score, entropy, n_chars and rejected for each row; columns of ``keep`` come as kept_<name>.
 
     ``und`` with score 0, rejected, if the text is null or has no letter, or if there is no model. A tie goes to the
     first language in alphabetical order. The score is the posterior of the language from even odds, of a text of at
@@ -209,9 +209,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 out[own] = least > model.cutoff[best] + 4 * model.spread[best] / np.sqrt(size[own])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(size), pa.array(out), *(part.column(f"keep_{c}") for c in keep)],
-                ["doc_id", "lang_pred", "score", "entropy", "n_chars", "rejected", *keep],
+                ["doc_id", "lang_pred", "score", "entropy", "n_chars", "rejected", *(f"kept_{c}" for c in keep)],
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    extra = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    extra = "".join(f", kept_{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(label, f"doc_id {kind}, lang_pred string, score double, entropy double, n_chars long, rejected boolean{extra}")

@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import _scratch, hmm_score, jaccard_join, language_id, packing, pii, secrets, suffix_dedup, token_files
+from marketlens.llm import _scratch, ann, decontaminate, hmm_score, jaccard_join, language_id, packing, pii, secrets, suffix_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut(_documents(spark, sf_dir)))
 
@@ -57,8 +66,8 @@ def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_language_id, op5_token_files, op6_secrets, op7_pii, op8_jaccard_join, op9_suffix_dedup, op10_hmm_score)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_ann, op3_packing, op4_language_id, op5_token_files, op6_secrets, op7_pii, op8_jaccard_join, op9_suffix_dedup, op10_hmm_score)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL}
