@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def derived() -> dict[str, Column]:
     """Features of a listing's columns; flags are 0, never missing."""
     flag = lambda ok: F.coalesce(ok, F.lit(False)).cast("int")
-    age = F.greatest(2001 - F.col("year_built"), F.lit(-5))
+    age = F.when(F.col("year_built").isNotNull(), F.greatest(2001 - F.col("year_built"), F.lit(-5)))
     return {
         "floor_ratio": F.round(F.try_divide(F.col("floor").cast("double"), F.col("total_floors").cast("double")), 6),
         "is_first_floor": flag(F.col("floor") == 1),
