@@ -17,23 +17,27 @@ def last_price(history: DataFrame, cutoff: str) -> DataFrame:
     return before.groupBy("listing_id").agg(F.max_by("price", F.struct("observed_at", "seq")).alias("price"))
 
 
-def _week_ends(now: str, weeks: int) -> Column:
-    """The ends of the last whole weeks, oldest first."""
-    last = F.date_trunc("week", moment(now)).cast("timestamp_ntz")
-    return F.array(*(last - F.expr(f"interval {7 * i} days") for i in range(weeks - 1, -1, -1)))
+_WEEK = 7 * 86_400_000_000
 
 
-def _weeks_between(start: Column, stop: Column, now: str, weeks: int) -> Column:
-    """(t, end) of the weeks whose end lies in (start, stop], by filtering the short list of ends."""
-    ends = F.transform(_week_ends(now, weeks), lambda x, i: F.struct(i.cast("int").alias("t"), x.alias("end")))
-    return F.filter(ends, lambda w: (w["end"] > start) & (stop.isNull() | (w["end"] <= stop)))
+def _each_week(rows: DataFrame, start: Column, stop: Column, now: str, weeks: int) -> DataFrame:
+    """Rows with t (0 is the oldest of the last whole weeks), one for each week whose end lies in (start, stop].
+
+    The first and last such week come from arithmetic, so rows that touch none are dropped before anything is exploded.
+    """
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    last = micros(F.date_trunc("week", moment(now)))
+    low = F.greatest(F.floor(weeks - 1 - (last - micros(start)) / _WEEK) + 1, F.lit(0)).cast("int")
+    high = F.coalesce(F.least(F.floor(weeks - 1 - (last - micros(stop)) / _WEEK), F.lit(weeks - 1)), F.lit(weeks - 1)).cast("int")
+    placed = rows.withColumns({"_low": low, "_high": high}).where("_low <= _high")
+    return placed.withColumn("t", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
 
 
 def weekly_prices(history: DataFrame, now: str, weeks: int = 12) -> DataFrame:
     """listing_id, t and the price at the end of each week: each point holds until the next, so no join is needed."""
     nxt = F.lead("observed_at").over(Window.partitionBy("listing_id").orderBy("observed_at", "seq"))
     valid = history.where("price > 0").withColumn("until", nxt)
-    return valid.select("listing_id", "price", F.explode(_weeks_between(F.col("observed_at"), F.col("until"), now, weeks)).alias("w")).select("listing_id", "price", "w.t")
+    return _each_week(valid, F.col("observed_at"), F.col("until"), now, weeks).select("listing_id", "price", "t")
 
 
 def weekly_trend(listings: DataFrame, history: DataFrame, now: str, weeks: int = 12, least: int = 100, by: str | None = None) -> DataFrame:
@@ -45,8 +49,7 @@ def weekly_trend(listings: DataFrame, history: DataFrame, now: str, weeks: int =
     keys = [by] if by else []
     rows = listings.where("area > 0 and price > 0 and first_seen is not null")
     last = F.coalesce("last_seen", "first_seen")
-    alive = F.filter(_weeks_between(F.col("first_seen"), F.lit(None).cast("timestamp_ntz"), now, weeks), lambda w: w["end"] - F.expr("interval 7 days") <= last)
-    rows = rows.select("id", "area", *keys, F.explode(alive).alias("w")).select("id", "area", *keys, "w.t", "w.end")
+    rows = _each_week(rows, F.col("first_seen"), last + F.expr("interval 7 days"), now, weeks).select("id", "area", *keys, "t")
     prices = weekly_prices(history, now, weeks).alias("h")
     priced = rows.alias("l").join(prices, (F.col("l.id") == F.col("h.listing_id")) & (F.col("l.t") == F.col("h.t")), "left")
     grouped = priced.groupBy(*keys, F.col("l.t").alias("t")).agg(F.count("*").alias("alive"), F.count("h.price").alias("n"), F.median(F.col("h.price") / F.col("area")).cast("long").alias("median_ppsm"))

@@ -129,14 +129,23 @@ def analogues(targets: DataFrame, pool: DataFrame, k: int = 5, width: float = 0.
     """
     band = lambda c: F.floor(F.log(c) * 10).cast("int")
     low, high = F.col("area") * (1 - width), F.col("area") * (1 + width)
-    own = targets.where("area > 0").withColumn("band", F.explode(F.sequence(band(low), band(high)))).alias("t")
+    own = targets.where("area > 0").withColumn("band", F.explode(F.sequence(band(low), band(high))))
     other = pool.where("is_active = 1 and price > 0 and area > 0").withColumn("band", band(F.col("area"))).alias("p")
-    met = own.join(other, (F.col("t.band") == F.col("p.band")) & (F.col("t.rooms") == F.col("p.rooms")) & (F.col("t.id") != F.col("p.id")))
-    met = met.where(F.col("p.area").between(F.col("t.area") * (1 - width), F.col("t.area") * (1 + width)))
-    same = F.coalesce(F.col("t.district") == F.col("p.district"), F.lit(False)).cast("int")
-    rows = met.select(F.col("t.id").alias("id"), F.col("p.id").alias("analogue"), same.alias("same_district"), similarity("t", "p").alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("same_district"), "distance", "analogue"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def best(own: DataFrame, near: bool) -> DataFrame:
+        t = own.alias("t")
+        same = F.coalesce(F.col("t.district") == F.col("p.district"), F.lit(False))
+        on = (F.col("t.band") == F.col("p.band")) & (F.col("t.rooms") == F.col("p.rooms")) & (F.col("t.id") != F.col("p.id"))
+        met = t.join(other, on & (F.col("t.district") == F.col("p.district")) if near else on)
+        met = met.where(F.col("p.area").between(F.col("t.area") * (1 - width), F.col("t.area") * (1 + width)))
+        rows = met.select(F.col("t.id").alias("id"), F.col("p.id").alias("analogue"), same.cast("int").alias("same_district"), similarity("t", "p").alias("distance"))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("same_district"), "distance", "analogue"))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    # Those of the same district come first, so only targets with too few of them look further.
+    close = best(own, True)
+    full = close.where(F.col("rank") == k).select("id")
+    return close.join(full, "id", "left_semi").unionByName(best(own.join(full, "id", "left_anti"), False))
 
 
 def duplicates(listings: DataFrame) -> DataFrame:
