@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketlens.llm import _scratch
+from marketlens.llm import _scratch, _text
 
 #: Vectors on which centroids and code words are fitted.
 SAMPLE = 20_000
@@ -58,7 +58,7 @@ def _means(points: np.ndarray, k: int, rounds: int, rng: np.random.Generator) ->
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and vector (doubles) of the vectors that take part.
+    """vec_id and vector (its doubles as bytes) of the vectors that take part.
 
     Null or zero vectors and those with null or non-finite components don't, nor do those of another length than the
     commonest, nor rows with a null id. Rows that repeat an id and its vector count once.
@@ -68,13 +68,25 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(~bad & F.exists(v, lambda x: x != 0))
     sizes = rows.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size(v) == (sizes[0].d if sizes else 0))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column("vector")
+            flat = np.ascontiguousarray(vectors.flatten().to_numpy() + 0.0).tobytes()  # -0.0 becomes 0.0
+            cut = len(flat) // max(batch.num_rows, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([flat[i * cut : (i + 1) * cut] for i in range(batch.num_rows)], pa.binary())], ["vec_id", "vector"])
+
+    return rows.where(F.size(v) == (sizes[0].d if sizes else 0)).mapInArrow(pack, "vec_id long, vector binary")
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    data, offsets = _text.column_bytes(column)
+    return np.frombuffer(data.tobytes(), dtype=np.float64).reshape(len(offsets) - 1, -1)
 
 
-def _unit(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = flat.flatten().to_numpy().reshape(rows, -1)
-    # Scaled by the largest component first, so that no square overflows or vanishes.
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors scaled to length 1; by the largest component first, so that no square overflows or vanishes."""
+    x = _vectors(column)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -83,10 +95,8 @@ def fit(rows: DataFrame, total: int, lists: int | None = None, part: int = 4, se
     """Coarse centroids and code words from at most about SAMPLE vectors, taken by a hash of their id."""
     share = min(1.0, SAMPLE / max(total, 1))
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else rows
-    points = np.array(sample.select("vector").toPandas()["vector"].tolist(), dtype=np.float64)
-    if not len(points):
-        points = np.array([rows.select("vector").first().vector])
-    points /= np.sqrt((points**2).sum(axis=1, keepdims=True))
+    gathered = [r.vector for r in sample.select("vector").collect()] or [rows.select("vector").first().vector]
+    points = _unit(pa.array([bytes(x) for x in gathered], pa.binary()))
     rng = np.random.default_rng(seed)
     lists = lists or int(np.clip(2 ** round(np.log2(max(total, 1)) / 2), 4, 4096))
     coarse = _means(points, lists, 12, rng)
@@ -106,12 +116,12 @@ def build(entries: DataFrame, quantizer: Quantizer) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = _unit(batch.column("vector"), batch.num_rows)
+            unit = _unit(batch.column("vector"))
             lists = _nearest(unit, q.coarse)
             codes = q.residuals(unit, lists)
             yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), batch.column("entry"), batch.column("ids"), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("vector")], ["list", "entry", "ids", "code", "vector"])
 
-    return _scratch.stage(entries.mapInArrow(code, "list int, entry long, ids array<long>, code binary, vector array<double>"), "index")
+    return _scratch.stage(entries.mapInArrow(code, "list int, entry long, ids array<long>, code binary, vector binary"), "index")
 
 
 def _distinct(rows: DataFrame, most: int) -> DataFrame:
@@ -148,7 +158,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float = 0
     # Equal queries are asked once.
     groups = _scratch.stage(asked.groupBy("vector").agg(F.min("vec_id").alias("query")), "queries")
     dimension = quantizer.coarse.shape[1]
-    groups = groups.where(F.size("vector") == dimension)
+    groups = groups.where(F.octet_length("vector") == 8 * dimension)
     visits = max(1, round(probes * n_lists))
     shared = spark.sparkContext.broadcast((quantizer, held, blocks))
 
@@ -157,7 +167,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                unit = _unit(part.column("vector"), part.num_rows)
+                unit = _unit(part.column("vector"))
                 order = np.argsort(0.5 * (q.coarse**2).sum(axis=1) - unit @ q.coarse.T, axis=1, kind="stable")
                 enough = np.cumsum(held[order], axis=1) - held[order] < k + 1
                 row, rank = np.nonzero(enough | (np.arange(order.shape[1]) < visits))
@@ -168,7 +178,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float = 0
                 taken = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(block.astype(np.int32)), part.column("query").take(taken), part.column("vector").take(taken)], ["list", "block", "query", "vector"])
 
-    routed = _scratch.stage(groups.mapInArrow(route, "list int, block int, query long, vector array<double>"), "routed")
+    routed = _scratch.stage(groups.mapInArrow(route, "list int, block int, query long, vector binary"), "routed")
     # So many queries meet a block that they are dealt out too; the block is sent to each part of them.
     parts = {r.list: -(-r.n // QUERIES) for r in routed.where("block = 0").groupBy("list").agg(F.count("*").alias("n")).collect()}
     if not parts:
@@ -185,7 +195,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float = 0
         names = ["query", "vec_id", "score"]
         if not queries.num_rows or not entries.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-        unit, other = _unit(queries.column("vector"), queries.num_rows), _unit(entries.column("vector"), entries.num_rows)
+        unit, other = _unit(queries.column("vector")), _unit(entries.column("vector"))
         codes = np.frombuffer(b"".join(entries.column("code").to_pylist()), dtype=np.uint8).reshape(len(other), -1)
         tables = np.einsum("qpd,pwd->pqw", unit.reshape(len(unit), len(q.codes), -1), q.codes).astype(np.float32)
         near = np.zeros((len(unit), len(other)), dtype=np.float32)
