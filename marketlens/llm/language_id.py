@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marketlens.llm import _text
 
@@ -134,19 +133,19 @@ def estimate(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", a_language: int = 2000, longest: int = 20_000) -> Model | None:
     """A model from the rows that fulfil ``train``; None if none has a label and letters.
 
-    It is fitted on a bounded sample: the ``a_language`` rows of each language with the smallest hash of their id, of
-    those with at most ``longest`` characters. A quarter of these rows is held back to set the cut-offs: a text is
+    It is fitted on a bounded sample: about ``a_language`` rows of each language, taken by the hash of their id, of those
+    with at most ``longest`` characters. A quarter of these rows is held back to set the cut-offs: a text is
     rejected whose cross-entropy is over the highest of the language there by a tenth, with more slack for short texts.
     """
-    hashed = F.xxhash64(F.col(id_col).cast("string"))
+    hashed = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40))
     usable = docs.where(train & F.col(label_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), hashed.alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cut = {r.lang: r.h for r in usable.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= a_language).groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a label
+    cut = {r.lang: min(1.0, a_language / r.n) * (1 << 40) for r in counts}
     if not cut:
         return None
     within = F.lit(False)
     for lang, h in cut.items():
-        within = within | ((F.col("lang") == lang) & (F.col("h") <= h))
+        within = within | ((F.col("lang") == lang) & (F.col("h") < h))
     sample = usable.where(within).withColumn("fold", F.pmod("h", F.lit(4)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
