@@ -93,3 +93,11 @@ def params(c: Column | str) -> Column:
 def either(m: Column, key: str, other: str) -> Column:
     """A map's value, or that of another key if it is missing or empty."""
     return F.coalesce(F.nullif(F.try_element_at(m, F.lit(key)), F.lit("")), F.nullif(F.try_element_at(m, F.lit(other)), F.lit("")))
+
+
+def comma_decimal(c: Column) -> Column:
+    """A number of cents or more with one decimal after a comma, half to even."""
+    tenths = F.bround(F.round(c * 100) / 10).cast("long")
+    sign = F.when(tenths < 0, "\u2212").otherwise("")
+    tenths = F.abs(tenths)
+    return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit(","), (tenths % 10).cast("string"))
