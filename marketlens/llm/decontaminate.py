@@ -58,10 +58,10 @@ def matches(index: DataFrame, distinct: DataFrame, vocabulary: DataFrame, slop:
 
     With ``slop`` a proximity match: each term within so many words of its place in the phrase, as seen from the rarest.
     """
-    frequency = index.where("term > 0").groupBy("term").agg(F.count("*").alias("df"))
+    frequency = _scratch.stage(index.where("term > 0").groupBy("term").agg(F.count("*").alias("df")), "frequency")
     terms = distinct.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("off", "word")).join(vocabulary, "word")
     rank = F.row_number().over(Window.partitionBy("window").orderBy("df", "off"))
-    ranked = terms.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", rank)
+    ranked = terms.join(_bounded(frequency), "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", rank)
     # A window with a word that the corpus doesn't have can't occur.
     possible = F.min("df").over(Window.partitionBy("window")) > 0
     needs = _scratch.stage(ranked.withColumn("possible", possible).where("possible").select("window", "size", "off", "term", "rank"), "needs")
