@@ -147,3 +147,14 @@ def gate(new: DataFrame, old: DataFrame, mape: float = 0.5, coverage: tuple[floa
     }
     rows = F.array(*(F.struct(F.lit(k).alias("check"), F.coalesce(ok, F.lit(False)).alias("ok")) for k, ok in checks.items()))
     return n.crossJoin(o).select(F.explode(rows).alias("x")).select("x.*")  # one row each
+
+
+def paired_bootstrap(a: DataFrame, b: DataFrame, keys: tuple[str, ...], cluster: str, value: str, **params) -> DataFrame:
+    """Interval of the mean difference b - a over rows that both runs have, drawn by cluster.
+
+    ``cluster`` is a column of ``a``.
+    """
+    x = a.where(F.col(value).isNotNull()).select(*keys, F.col(cluster).alias("_cluster"), F.col(value).alias("_a"))
+    y = b.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_b"))
+    both = x.join(y, list(keys)).withColumn("difference", F.col("_b") - F.col("_a"))
+    return cluster_bootstrap(both, "_cluster", "difference", **params)
