@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Upper and lower bounds of price bins in millions; the last upper bound is only that of the label's open end.
+#: The edges of price bins in millions; the last upper bound is only that of the label's open end.
 SALE_BINS = (0, 20, 30, 40, 50, 60, 80, 100, 150, 250, 10_000)
 #: Weeks of a trend.
 WEEKS = 12

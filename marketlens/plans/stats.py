@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from marketlens import tables as t
-from marketlens.operators import asof, stats
+from marketlens.operators import asof, quantiles, stats
 
 L, H = t.listings, t.history
 _ACTIVE = ", a AS (SELECT *, price / area AS ppsm FROM listing WHERE is_active = 1 AND price > 0 AND area > 0)"
@@ -35,6 +37,7 @@ QUERIES = {
     "market_rent_yield": lambda s, d: stats.rent_yield(_deal(L(s, d), "rent"), _deal(L(s, d), "sale")),
     "market_district_yield": lambda s, d: stats.district_yield(_deal(L(s, d), "rent"), _deal(L(s, d), "sale"), t.NOW, 3, 400),
     "market_liquidity": lambda s, d: stats.liquidity(L(s, d), 15, 30),
+    "market_exact_medians": lambda s, d: quantiles.exact_medians(L(s, d).withColumn("ppsm", stats.unit_price()), ("district", "deal"), "ppsm", 100).withColumn("median", F.round("median", 4)),
     "trend_weekly": lambda s, d: asof.weekly_trend(L(s, d), H(s, d), t.NOW, 12, 20),
     "trend_weekly_by_district": lambda s, d: asof.weekly_trend(L(s, d), H(s, d), t.NOW, 26, 5, "district"),
 }
@@ -106,6 +109,7 @@ SELECT district, rooms, round(coalesce(fine, coarse), 2) AS yield_pct, CASE WHEN
 f AS (SELECT district, rooms, count(*) AS n, median(days) AS days FROM e WHERE district IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 15), c AS (SELECT count(*) AS n, median(days) AS days FROM e HAVING count(*) >= 30),
 k AS (SELECT DISTINCT district, rooms FROM listing WHERE district IS NOT NULL AND rooms IS NOT NULL)
 SELECT k.district, k.rooms, CAST(round_even(coalesce(f.days, c.days), 0) AS BIGINT) AS days, coalesce(f.n, c.n) AS n, CASE WHEN f.days IS NOT NULL THEN 'district_rooms' ELSE 'city' END AS scope FROM k LEFT JOIN f USING (district, rooms) CROSS JOIN c""",
+    "market_exact_medians": f"{t.sql('listing')} SELECT district, deal, count(price / area) AS n, round(median(price / area), 4) AS median FROM listing WHERE price / area IS NOT NULL GROUP BY 1, 2",
     "trend_weekly": _trend(12, 20),
     "trend_weekly_by_district": _trend(26, 5, "district"),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from marketlens.functions import geo, text
-from marketlens.operators import asof, filters, joins, merge, stats, validity, windows
+from marketlens.operators import asof, filters, joins, merge, quantiles, stats, validity, windows
 from marketlens.sources import html, snapshots
 from marketlens.streaming import events
 
@@ -45,6 +45,14 @@ def test_histogram_bounds(spark):
     assert counts[20] == 1 and sum(counts.values()) == 1  # left-closed; the last edge and beyond are dropped
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 1000, 1001])
+def test_exact_medians_equal_the_built_in(spark, n):
+    rows = spark.range(n).selectExpr("if(id % 3 = 0, null, id % 2) as k", "hash(id) % 500 as v").unionByName(spark.range(n).selectExpr("7 as k", "5 as v"))
+    for accuracy in (10, 100):
+        got = {r.k: (r.n, r.median) for r in quantiles.exact_medians(rows, ("k",), "v", accuracy).collect()}
+        assert got == {r.k: (r.n, r.m) for r in rows.groupBy("k").agg(F.count("v").alias("n"), F.median("v").alias("m")).collect()}
+
+
 def test_flat_unit_prices(spark):
     rows = spark.createDataFrame([(i, 100_000, 50.0, 1, "a", None, 1) for i in range(3)], MARKET)
     assert sum(r.n for r in stats.unit_price_histogram(rows).collect()) == 3
