@@ -60,7 +60,7 @@ def mask(text: str, spans: str) -> str:
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put a mask in the place of each secret; n_chars is that of the new text."""
     found = secrets.secrets(docs).where("spans <> ''").select("doc_id", "spans").dropDuplicates(["doc_id"])
-    marked = docs.join(found, "doc_id", "left")
+    marked = _text.bounded(docs).join(found, "doc_id", "left")
     names = docs.columns
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

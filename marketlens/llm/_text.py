@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Odd multipliers of the word hash.
 BASE, STEP = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -24,6 +25,18 @@ LOWER[65:91] += 32
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 
+#: Bytes of an Arrow batch that Spark hands to a Python worker, so that long texts don't fill its memory.
+BATCH_BYTES = 6 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame itself, after its session got BATCH_BYTES as limit, unless it has a limit of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

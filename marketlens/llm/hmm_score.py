@@ -267,7 +267,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.hash(text).alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"))
+    docs = _text.bounded(docs).select(F.col(id_col).alias("doc_id"), F.hash(text).alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"))
     counts = _scratch.stage(count_words(docs.where("not held_out")), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     classes = make_classes(counts)

@@ -138,7 +138,7 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     rejected whose cross-entropy is over the highest of the language there by a tenth, with more slack for short texts.
     """
     hashed = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40))
-    usable = docs.where(train & F.col(label_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), hashed.alias("h"))
+    usable = _text.bounded(docs).where(train & F.col(label_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), hashed.alias("h"))
     counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a label
     cut = {r.lang: min(1.0, a_language / r.n) * (1 << 40) for r in counts}
     if not cut:
@@ -211,6 +211,6 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 ["doc_id", "lang_pred", "score", "entropy", "n_chars", "rejected", *(f"kept_{c}" for c in keep)],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    rows = _text.bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     extra = "".join(f", kept_{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(label, f"doc_id {kind}, lang_pred string, score double, entropy double, n_chars long, rejected boolean{extra}")

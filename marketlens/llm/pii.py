@@ -141,5 +141,5 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _text.bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(scan, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -79,7 +79,7 @@ def scan_new(history: DataFrame, ledger: DataFrame | None = None, rules: dict |
     rules = rules or RULES
     names = [f"{k}@{v}" for k, (v, _) in rules.items()]
     wanted = F.array(*map(F.lit, names))
-    blobs = history.groupBy("blob").agg(F.first("text").alias("text"))
+    blobs = _text.bounded(history).groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is None:
         blobs = blobs.withColumn("rules", wanted)
     else:

@@ -64,7 +64,8 @@ def write_tokens(
             before += int(bounds[-1])
 
     (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        _text.bounded(docs)
+        .select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         .repartitionByRange(n, "doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(encode, f"doc_id {kind}, shard int, shard_start long, n_tokens long, ids array<int>")
