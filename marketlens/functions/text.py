@@ -101,3 +101,24 @@ def comma_decimal(c: Column) -> Column:
     sign = F.when(tenths < 0, "\u2212").otherwise("")
     tenths = F.abs(tenths)
     return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit(","), (tenths % 10).cast("string"))
+
+
+def without_tail(c: Column | str, tail: str = r"(?is)\s*(?:this work is licensed under|all rights reserved).*$") -> Column:
+    """A description without its closing formula, and without blanks around."""
+    return F.trim(F.regexp_replace(F.col(c) if isinstance(c, str) else c, tail, ""))
+
+
+def wish(c: Column | str, districts: tuple[str, ...], least_price: int = 1_000_000) -> Column:
+    """A struct of rooms (1 to 6), max_price (a number of at least ``least_price``) and district from a free text.
+
+    Of each the first fitting token counts; a district fits if its name holds the token (of three letters or more).
+    """
+    tokens = F.filter(F.split(F.lower(F.col(c) if isinstance(c, str) else c), r"[\s,;]+"), lambda t: t != "")
+    first = lambda ok: F.try_element_at(F.filter(tokens, ok), F.lit(1))
+    number = lambda t: t.try_cast("bigint")
+    rooms = number(first(lambda t: t.rlike("^[1-6]$"))).cast("int")
+    price = number(first(lambda t: F.coalesce(number(t) >= least_price, F.lit(False))))
+    named = F.array(*(F.lit(d.lower()) for d in districts))
+    match = lambda t: F.try_element_at(F.filter(named, lambda d: d.contains(t)), F.lit(1))
+    district = match(first(lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]") & F.exists(named, lambda d: d.contains(t))))
+    return F.struct(rooms.alias("rooms"), price.alias("max_price"), district.alias("district"))

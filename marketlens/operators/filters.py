@@ -77,3 +77,9 @@ def refresh_queue(rows: DataFrame, now: str, days: int, n: int) -> DataFrame:
     """The n active rows with details that were read longest ago."""
     old = F.col("last_seen") < F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {days} days")
     return rows.where((F.col("is_active") == 1) & F.col("title").isNotNull() & old).orderBy("last_seen", "id").limit(n)
+
+
+def as_of(rows: DataFrame, moment: str, days: int = 90) -> DataFrame:
+    """The rows as they were known at a moment: first seen by then (or at an unknown time), and current then."""
+    known = F.col("first_seen").isNull() | (F.col("first_seen") <= F.lit(moment).cast("timestamp_ntz"))
+    return current(rows.where(known), moment, days)

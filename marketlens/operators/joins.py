@@ -28,14 +28,17 @@ def backlog(listings: DataFrame, shards: DataFrame) -> DataFrame:
     return rows.groupBy("shard").agg(F.count("*").alias("n"))
 
 
-def fallback_levels(rows: DataFrame, reference: DataFrame, levels: tuple[tuple[str, ...], ...], value: Column) -> DataFrame:
+def fallback_levels(rows: DataFrame, reference: DataFrame, levels: tuple[tuple[str, ...], ...], value: Column, least: int = 1) -> DataFrame:
     """Each row's median of the finest level that its group is found at; the last level may be () for all.
 
+    A group counts from ``least`` rows on (the level for all always does).
+
     All levels come from one pass over the reference (grouping sets); each is joined on its own columns.
     """
     columns = list(dict.fromkeys(c for level in levels for c in level))
     base = reference.select(*columns, value.alias("_v"))
-    sets = base.groupingSets([list(x) for x in levels], *columns).agg(F.grouping_id().alias("_g"), F.median("_v").alias("_m"))
+    sets = base.groupingSets([list(x) for x in levels], *columns).agg(F.grouping_id().alias("_g"), F.median("_v").alias("_m"), F.count("_v").alias("_n"))
+    sets = sets.where((F.col("_n") >= least) | (F.col("_g") == (1 << len(columns)) - 1)).drop("_n")
     out = rows
     for i, level in enumerate(levels):
         mask = sum(0 if c in level else 1 << (len(columns) - 1 - k) for k, c in enumerate(columns))
@@ -202,3 +205,35 @@ def majority_label(points: DataFrame, zones: DataFrame, least: int = 3, share: f
     counts = placed.groupBy("zone", "label").agg(F.count("*").alias("n"))
     best = counts.groupBy("zone").agg(F.max_by("label", F.struct("n", "label")).alias("label"), F.max("n").alias("n"), F.sum("n").alias("total"))
     return best.where((F.col("total") >= least) & (F.col("n") >= share * F.col("total"))).select("zone", "label", "n")
+
+
+def unseen(rows: DataFrame, cutoff: str, key: str = "fp") -> DataFrame:
+    """Rows first seen after a moment whose key no row up to it has; rows without a key count as unseen."""
+    moment = F.lit(cutoff).cast("timestamp_ntz")
+    known = rows.where((F.col("first_seen") <= moment) & F.col(key).isNotNull()).select(key).distinct()
+    return rows.where(F.col("first_seen") > moment).join(known, key, "left_anti")
+
+
+def either_source(ids: DataFrame, sales: DataFrame, rents: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Each id's record from the sales, unless that is a rent by its price, then from the rents; the source is named.
+
+    ``sales`` has is_rent. A record is taken whole from one source.
+    """
+    s_ = sales.select("id", "is_rent", F.struct(*columns).alias("_s"))
+    r_ = rents.select("id", F.struct(*columns).alias("_r"))
+    joined = ids.join(s_, "id", "left").join(r_, "id", "left")
+    from_sale = F.col("_s").isNotNull() & ~F.coalesce("is_rent", F.lit(False))
+    record = F.when(from_sale, F.col("_s")).otherwise(F.col("_r"))
+    source = F.when(from_sale, "sale").when(F.col("_r").isNotNull(), "rent").otherwise("none")
+    return joined.withColumn("_x", record).select("id", *(F.col(f"_x.{c}").alias(c) for c in columns), source.alias("source"))
+
+
+def building_key() -> Column:
+    """The building: coordinates to 4 decimals, else the listing by itself."""
+    at = lambda c: F.bround(F.col(c) * 10_000).cast("long").cast("string")
+    return F.coalesce(F.concat(at("lat"), F.lit(":"), at("lon")), F.concat(F.lit("id:"), F.col("id").cast("string")))
+
+
+def split_by_group(rows: DataFrame, group: Column, per_cent: int = 20) -> DataFrame:
+    """Adds is_test: about a share of all groups, whole ones, by the CRC of the group's name."""
+    return rows.withColumn("is_test", F.crc32(group) % 100 < per_cent)

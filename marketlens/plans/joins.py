@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlens import tables as t
-from marketlens.functions import text
-from marketlens.operators import joins
+from marketlens.functions import geo, text
+from marketlens.operators import filters, joins
 
 L, H, P, R = t.listings, t.history, t.predictions, t.runs
 _L = t.sql("listing")
@@ -81,7 +81,30 @@ def _fp(s, d):
     return L(s, d).withColumn("fp", F.when(F.col("area").isNotNull(), F.concat_ws("|", "district", "rooms", F.col("area").cast("int").cast("string"))))
 
 
+def _hex(s, d):
+    rows = L(s, d).withColumns({f"cell_{k}": geo.hex_cell(F.col("lat"), F.col("lon"), size) for k, size in (("fine", 0.8), ("coarse", 2.0))})
+    out = joins.fallback_levels(rows.where("id % 3 = 0"), rows.where("price > 0 and area > 0 and id % 3 > 0"), (("cell_fine",), ("cell_coarse",), ("district",), ()), F.col("price") / F.col("area"), 8)
+    return out.select("id", F.round("value", 4).alias("value"), "level")
+
+
+def _sources(s, d):
+    rows = L(s, d).select("id", "price", "district", "deal", (F.col("price") < 3_000_000).alias("is_rent"))
+    return joins.either_source(rows.select("id"), rows.where("deal = 'sale' or id % 2 = 0"), rows.where("deal = 'rent' or id % 3 = 0"), ("price", "district"))
+
+
+def _wishes(s, d):
+    c = t.read(s, d, "customer").withColumn("wish", F.expr("concat('want ', cast(c_custkey % 9 as string), ' rooms, ', cast(c_custkey * 9000 as string), ' in Nation_', cast(c_nationkey as string))"))
+    return c.select("c_custkey", text.wish("wish", tuple(f"NATION_{i}" for i in range(25))).alias("w")).select("c_custkey", "w.*")
+
+
 QUERIES = {
+    "join_hex_fallback": _hex,
+    "join_unseen": lambda s, d: joins.unseen(_fp(s, d), "2001-03-01 00:00:00").select("id"),
+    "join_either_source": _sources,
+    "split_buildings": lambda s, d: joins.split_by_group(L(s, d), joins.building_key()).select("id", "is_test"),
+    "filter_as_of": lambda s, d: filters.as_of(L(s, d), "1999-05-05 00:00:00").select("id"),
+    "feature_wishes": _wishes,
+    "feature_descriptions": lambda s, d: t.read(s, d, "documents").select("doc_id", F.length(text.without_tail("text")).alias("n")),
     "join_latest_fair_price": lambda s, d: joins.latest(P(s, d), "listing_id", "fair_price", "predicted_at", "seq", where="fair_price > 0"),
     "join_latest_stock": lambda s, d: joins.latest(R(s, d), "shard", "stock", "run_id", where="stock > 0"),
     "join_unattributed": lambda s, d: joins.unattributed(L(s, d), _sharded(s, d)),
@@ -104,7 +127,20 @@ QUERIES = {
 
 _X, _Y = "lon * (111.32e0 * cos(radians(43.25e0)))", "lat * 111.32e0"
 _PLACES = "id < 800 AND id % 17 > 0 AND id % 500 < 20"
+_HEX_OF = """{p}0 AS (SELECT id, (lon * (111.32e0 * cos(radians(43.25e0))) * 1.7320508075688772e0 / 3 - lat * 111.32e0 / 3) / {size} AS q, lat * 111.32e0 * 2 / 3 / {size} AS r FROM listing WHERE lat IS NOT NULL), {p}1 AS (SELECT *, floor(q + 0.5e0) AS rq, floor(r + 0.5e0) AS rr, floor(-q - r + 0.5e0) AS rs FROM {p}0),
+{p}2 AS (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs + q + r) AS ds FROM {p}1), {p} AS (SELECT id, concat(CAST(CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS VARCHAR), ':', CAST(CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS VARCHAR)) AS cell FROM {p}2)"""
+_FPSQL = "f AS (SELECT id, first_seen, CASE WHEN area IS NOT NULL THEN concat_ws('|', district, CAST(rooms AS VARCHAR), CAST(CAST(area AS INTEGER) AS VARCHAR)) END AS fp FROM listing)"
 ORACLES = {
+    "join_hex_fallback": f"""{_L}, {_HEX_OF.format(p='hf', size='0.8e0')}, {_HEX_OF.format(p='hc', size='2.0e0')}, x AS (SELECT l.id, hf.cell AS cf, hc.cell AS cc, district, price / area AS v, price > 0 AND area > 0 AND l.id % 3 > 0 AS ref FROM listing l LEFT JOIN hf ON hf.id = l.id LEFT JOIN hc ON hc.id = l.id),
+a AS (SELECT cf, median(v) AS m FROM x WHERE ref GROUP BY 1 HAVING count(*) >= 8), b AS (SELECT cc, median(v) AS m FROM x WHERE ref GROUP BY 1 HAVING count(*) >= 8), c AS (SELECT district, median(v) AS m FROM x WHERE ref GROUP BY 1 HAVING count(*) >= 8), g AS (SELECT median(v) AS m FROM x WHERE ref)
+SELECT x.id, round(coalesce(a.m, b.m, c.m, g.m), 4) AS value, CASE WHEN a.m IS NOT NULL THEN 0 WHEN b.m IS NOT NULL THEN 1 WHEN c.m IS NOT NULL THEN 2 ELSE 3 END AS level FROM x LEFT JOIN a ON a.cf = x.cf LEFT JOIN b ON b.cc = x.cc LEFT JOIN c ON c.district = x.district CROSS JOIN g WHERE x.id % 3 = 0""",
+    "join_unseen": f"{_L}, {_FPSQL} SELECT id FROM f WHERE first_seen > TIMESTAMP '2001-03-01' AND (fp IS NULL OR fp NOT IN (SELECT fp FROM f WHERE first_seen <= TIMESTAMP '2001-03-01' AND fp IS NOT NULL))",
+    "join_either_source": f"""{_L}, s AS (SELECT *, price < 3000000 AS is_rent FROM listing WHERE deal = 'sale' OR id % 2 = 0), r AS (SELECT * FROM listing WHERE deal = 'rent' OR id % 3 = 0)
+SELECT l.id, CASE WHEN s.id IS NOT NULL AND NOT coalesce(s.is_rent, FALSE) THEN s.price ELSE r.price END AS price, CASE WHEN s.id IS NOT NULL AND NOT coalesce(s.is_rent, FALSE) THEN s.district ELSE r.district END AS district, CASE WHEN s.id IS NOT NULL AND NOT coalesce(s.is_rent, FALSE) THEN 'sale' WHEN r.id IS NOT NULL THEN 'rent' ELSE 'none' END AS source
+FROM listing l LEFT JOIN s ON s.id = l.id LEFT JOIN r ON r.id = l.id""",
+    "filter_as_of": f"{_L} SELECT id FROM listing WHERE (first_seen IS NULL OR first_seen <= TIMESTAMP '1999-05-05') AND (coalesce(is_active, 1) = 1 OR coalesce(delisted_at >= TIMESTAMP '1999-05-05' - INTERVAL 90 DAY, FALSE)) AND (lat IS NULL OR lon IS NULL OR (lat BETWEEN 43.12e0 AND 43.38e0 AND lon BETWEEN 76.75e0 AND 77.15e0))",
+    "feature_wishes": "SELECT c_custkey, CASE WHEN c_custkey % 9 BETWEEN 1 AND 6 THEN CAST(c_custkey % 9 AS INTEGER) END AS rooms, CASE WHEN c_custkey * 9000 >= 1000000 THEN c_custkey * 9000 END AS max_price, CASE WHEN c_nationkey IN (1, 2) THEN concat('nation_', CAST(c_nationkey AS VARCHAR)) ELSE concat('nation_', CAST(c_nationkey AS VARCHAR)) END AS district FROM customer",
+    "feature_descriptions": "SELECT doc_id, CAST(length(trim(regexp_replace(text, '(?is)\\s*(?:this work is licensed under|all rights reserved).*$', ''))) AS INTEGER) AS n FROM documents",
     "join_latest_fair_price": f"{t.sql('prediction')} SELECT listing_id, fair_price FROM prediction WHERE fair_price > 0 QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY predicted_at DESC, seq DESC) = 1",
     "join_latest_stock": f"{t.sql('run')} SELECT shard, arg_max(stock, run_id) AS stock FROM run WHERE stock > 0 GROUP BY shard",
     "join_unattributed": f"{_L}, {_SHARDS} SELECT id FROM listing WHERE is_active = 1 AND title IS NULL AND id NOT IN (SELECT listing_id FROM shards)",
