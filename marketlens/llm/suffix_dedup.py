@@ -34,7 +34,7 @@ GATHERED = 1_000_000
 BUCKET_ROWS = 20_000
 #: Suffixes that are sorted at once (whole buckets, so a bucket may exceed it).
 SUFFIXES = 150_000
-#: Ids of documents whose texts are wanted are broadcast up to this number (16 bytes each), and joined by a shuffle beyond.
+#: Ids of documents whose texts are wanted are broadcast up to this number (a hash each), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
 
@@ -283,8 +283,13 @@ def _windows(runs: DataFrame, length: int) -> DataFrame:
 
 
 def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with these (doc_id, mark), before they are shuffled for a join if the ids are few enough."""
-    return docs.join(F.broadcast(ids), ["doc_id", "mark"], "left_semi") if ids.count() <= BROADCAST_IDS else docs
+    """The rows of ``docs`` that may have these (doc_id, mark), if the ids are few enough to be sent to all tasks.
+
+    It only spares a shuffle of other texts before the join on both columns, so one hash of them will do.
+    """
+    key = F.xxhash64("doc_id", "mark")
+    few = ids.select(key.alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(F.broadcast(few), "_key", "left_semi").drop("_key") if ids.count() <= BROADCAST_IDS else docs
 
 
 def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,7 +301,7 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     read. ``length`` is at least 64.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    docs = _text.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     sha = F.sha2("text", 256)
     mark = F.conv(F.substring(sha, 1, 6), 16, 10).cast("long")
     docs = docs.withColumn("mark", mark).withColumn("fp", F.xxhash64("text"))
