@@ -64,7 +64,7 @@ def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with about ``most`` bytes of text each; one longer text makes a part alone."""
     for batch in batches:
         if not batch.num_rows:
