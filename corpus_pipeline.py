@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences, in stages that each work on all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each as Parquet and reads it for the next.
-All but the last return the columns of ``documents``. Rows with a null id stay in every stage (no stage can tell them
-apart) and are packed like others; an empty table passes through all stages.
+All but the last return the columns of ``documents``. Decisions are made by row, not by id: near copies and contaminated
+texts are joined back by a stored number of each row, secrets by the SHA-256 of the text, so rows with a null or a
+repeated id are treated like others; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from marketlens.llm import _scratch, _text, decontaminate, jaccard_join, languag
 
 #: What stands for a secret in the texts.
 MASK = "[REDACTED]"
+#: The column that tells rows apart within a stage.
+ROW = "_row"
 
 #: No SQL can express the stages' models and tokenizer.
 ORACLE_SQL = None
@@ -31,18 +34,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own in ROW, stored, so that every later read has the same numbers."""
+    return _scratch.stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    groups = jaccard_join.jaccard_join(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the row with the smallest id stays (null last, then the first row)."""
+    rows = _numbered(docs)
+    linked = jaccard_join.jaccard_join(rows, id_col=ROW).where("component_id <> doc_id")
+    members = _scratch.stage(linked.select("component_id", F.explode(F.array("doc_id", "component_id")).alias(ROW)).distinct(), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
+    stay = members.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias(ROW)).select(ROW)
+    gone = members.join(stay, ROW, "left_anti").select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = decontaminate.decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = _numbered(docs)
+    gone = decontaminate.decontaminate(rows, benchmark, id_col=ROW).where("contaminated").select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def mask(text: str, spans: str) -> str:
@@ -59,8 +72,10 @@ def mask(text: str, spans: str) -> str:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put a mask in the place of each secret; n_chars is that of the new text."""
-    found = secrets.secrets(docs).where("spans <> ''").select("doc_id", "spans").dropDuplicates(["doc_id"])
-    marked = _text.bounded(docs).join(found, "doc_id", "left")
+    keyed = _text.bounded(docs).withColumn(ROW, F.sha2(F.coalesce("text", F.lit("")), 256))
+    # Rows of one key have one text, and so the same spans.
+    found = secrets.secrets(keyed, id_col=ROW).where("spans <> ''").select(F.col("doc_id").alias(ROW), "spans").dropDuplicates([ROW])
+    marked = keyed.join(found, ROW, "left")
     names = docs.columns
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

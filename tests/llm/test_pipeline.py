@@ -33,3 +33,21 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    secret = lambda n: f"{'x ' * n}token = abcdef{n}23456 end"
+    rows = [(1, secret(3), "en", "s", 0), (1, secret(9), "en", "s", 0), (None, secret(5), "en", "s", 0), (None, "plain text", "en", "s", 0)]
+    out = [r.text for r in corpus_pipeline.redact_secrets(spark, frame(spark, rows), SF).collect()]
+    assert sum("[REDACTED]" in t for t in out) == 3 and not any("abcdef" in t for t in out) and "plain text" in out
+    assert all(t.endswith(" end") for t in out if "[REDACTED]" in t)
+
+    copy, other = "one two three four five six seven eight", "quite another text of a good many words here"
+    rows = [(None, copy, "en", "a", 0), (None, copy, "en", "b", 0), (7, copy, "en", "c", 0), (7, other, "en", "d", 0), (3, copy, "en", "e", 0), (None, other + " and its end", "en", "f", 0), (None, None, "en", "g", 0), (None, None, "en", "h", 0)]
+    out = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), SF).collect()
+    assert sorted(r.source for r in out) == ["d", "e", "f", "g", "h"]
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null and size(split(text, ' ')) > 12").first().text
+    rows = [(1, item, "en", "a", 0), (1, other, "en", "b", 0), (None, item, "en", "c", 0), (None, copy, "en", "d", 0)]
+    out = corpus_pipeline.drop_contaminated(spark, frame(spark, rows), SF).collect()
+    assert sorted(r.source for r in out) == ["b", "d"]
