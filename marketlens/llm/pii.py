@@ -12,6 +12,7 @@ Base kinds are email, ip, card and phone; the method adds ``login`` (user and pa
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -29,7 +30,12 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@[^\s/@]+")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+#: Words, in any case and within longer words, that say that an account number follows; it starts at most ACCOUNT_REACH
+#: characters after one of them, or after another valid number.
+ACCOUNT_CUES, ACCOUNT_REACH = ("iban", "account", "konto", "compte", "cuenta"), 80
+#: Characters that _IBAN takes at most.
+_IBAN_SPAN = 64
 
 _EMAIL_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 _NUMBER_RUN = frozenset("0123456789 .-")
@@ -52,6 +58,26 @@ def iban(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def _accounts(text: str, at: int) -> Iterator[tuple[int, int]]:
+    """Spans of the account numbers from ``at`` on, each within reach of ``at`` or of the one before.
+
+    Of the ends that a run of groups offers (before anything but a letter or digit) the last one with valid check digits counts, so the
+    next number or a word in capitals does no harm.
+    """
+    reach = at + ACCOUNT_REACH
+    while m := _IBAN.search(text, at, min(len(text), reach + _IBAN_SPAN)):
+        start, end = m.span()
+        if start >= reach:
+            return
+        while end - start >= 15 and not ((end == len(text) or not (text[end].isascii() and text[end].isalnum())) and text[end - 1] != " " and iban(text[start:end])):
+            end -= 1
+        if end - start >= 15:
+            yield start, end
+            at, reach = end, end + ACCOUNT_REACH
+        else:
+            at = start + 1
+
+
 def _left(text: str, at: int, run: frozenset, least: int) -> int:
     while at > least and text[at - 1] in run:
         at -= 1
@@ -92,15 +118,16 @@ def find(text: str, automaton) -> list[tuple[str, int, int]]:
             start = at - 2
             while start > login_to and (text[start - 1].isascii() and text[start - 1].isalnum() or text[start - 1] in "+.-"):
                 start -= 1
-            m = _LOGIN.search(text, start, min(len(text), at + 2000)) if start < at - 2 else None
-            if m and m.start() <= at:
+            while start < at - 2 and not text[start].isalpha():
+                start += 1
+            # The parser stops at a blank by itself, so nothing is cut however long a part is.
+            m = _LOGIN.match(text, start) if start < at - 2 else None
+            if m:
                 login.append(("login", m.start(), m.end()))
                 login_to = m.end()
         else:  # an account cue: the number follows within a few words
-            for m in _IBAN.finditer(text, max(at + 1, account_to), min(len(text), at + 80)):
-                if iban(m[0]):
-                    account.append(("account", m.start(), m.end()))
-                    account_to = m.end()
+            for start, account_to in _accounts(text, max(at + 1, account_to)):
+                account.append(("account", start, account_to))
     return [*email, *ip, *card, *phone, *login, *account]
 
 
@@ -113,8 +140,9 @@ def _automaton():
     automaton.add_word("@", "@")
     automaton.add_word("+", "+")
     automaton.add_word("://", "scheme")
-    for cue in ("IBAN", "iban", "account", "Account"):
-        automaton.add_word(cue, "cue")
+    for cue in ACCOUNT_CUES:
+        for letters in itertools.product(*zip(cue, cue.upper(), strict=True)):
+            automaton.add_word("".join(letters), "cue")
     automaton.make_automaton()
     return automaton
 

@@ -37,6 +37,21 @@ def test_pii_added_kinds():
     assert [k for k, _, _ in found if k in pii.ADDED_KINDS] == ["login", "account"]
 
 
+def test_pii_accounts_and_logins_of_any_length():
+    automaton = pii._automaton()
+    added = lambda text: [(k, text[a:b]) for k, a, b in pii.find(text, automaton) if k in pii.ADDED_KINDS]
+    number = "DE89 3704 0044 0532 0130 00"
+    for between in (" ", ", ", "\n", " AND "):
+        assert added("IBAN: " + between.join([number] * 9)) == [("account", number)] * 9
+    for cue in ("Iban", "ACCOUNT", "Konto", "KONTONUMMER", "compte", "Cuenta"):
+        assert added(f"{cue} {number}.") == [("account", number)]
+    assert added("account " + "x" * 60 + f" {number}") == [("account", number)]
+    assert added("account " + "x" * 90 + f" {number}") == [] and added(f"IBAN {number[:-1]}1") == []
+    for user, password, host in (("u" * 3000, "p", "h.de"), ("u", "p" * 3000, "h.de"), ("u", "p", "h" * 3000)):
+        url = f"https://{user}:{password}@{host}"
+        assert added(f"see {url} there") == [("login", url)]
+
+
 def test_pii_rows(spark):
     text = "mail a.b@c.de, 4111 1111 1111 1111 or +49 (30) 123-4567 at 10.0.0.1 and 300.1.1.1"
     rows = [(1, text, None, None, 0), (2, None, None, None, 0), (1, text, None, None, 0)]
