@@ -18,25 +18,35 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import _text
 
-#: Longest n-gram; four characters of 16 bits fill the 64 bits of a key.
+#: Longest n-gram; four symbols of 16 bits fill the 64 bits of a key.
 ORDER = 4
 _letter: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
     if not _letter:
-        _letter.append(np.array([chr(i).isalpha() for i in range(0x10000)]))
+        _letter.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
     return _letter[0]
 
 
 def characters(text: str) -> np.ndarray:
-    """Lower-case letters of a text as 16-bit codes, each stretch of anything else as one blank; a blank at both ends."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint16)
+    """Lower-case letters of a text as 16-bit symbols, each stretch of anything else as one blank; a blank at both ends.
+
+    A letter beyond U+FFFF is two symbols, its surrogates.
+    """
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     keep = _letters()[codes]
-    codes = np.where(keep, codes, np.uint16(32))
+    codes = np.where(keep, codes, np.uint32(32))
     first = np.ones(len(codes), dtype=bool)
     first[1:] = keep[1:] | keep[:-1]
     codes = codes[first]
+    wide = codes > 0xFFFF
+    if wide.any():
+        codes = np.repeat(codes, 1 + wide)
+        high = np.flatnonzero(wide) + np.arange(wide.sum())
+        beyond = codes[high] - np.uint32(0x10000)
+        codes[high], codes[high + 1] = 0xD800 + (beyond >> 10), 0xDC00 + (beyond & 0x3FF)
+    codes = codes.astype(np.uint16)
     return np.concatenate([codes[:0] if len(codes) and codes[0] == 32 else np.array([32], np.uint16), codes, np.array([32] * bool(len(codes) and codes[-1] != 32), np.uint16)])
 
 

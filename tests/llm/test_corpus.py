@@ -213,6 +213,16 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.predict(odd, None).collect()} == {"und"}
 
 
+def test_letters_beyond_16_bits(spark):
+    assert language_id.characters("\U00020000b\U0001e900").tolist() == [32, 0xD840, 0xDC00, ord("b"), 0xD83A, 0xDD22, 32]  # Adlam has lower case
+    assert len(language_id.characters("\U0001f916 \U0001f600!")) == 1  # no letter
+    adlam = "\U0001e922\U0001e923\U0001e924 \U0001e925\U0001e926 " * 9
+    docs = frame(spark, [(i, adlam if i % 2 else "plain words of a text " * 9, "ff" if i % 2 else "en", "s", 0) for i in range(60)])
+    model = language_id.learn(docs, F.lit(True))
+    odd = spark.createDataFrame([(1, adlam), (2, "\U0001f916\U0001f600"), (3, "plain words")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(odd, model).collect()} == {1: "ff", 2: "und", 3: "en"}
+
+
 def test_kneser_ney_is_a_distribution(spark):
     rng = random.Random(2)
     text = "".join(rng.choice("abca ") for _ in range(3000))
