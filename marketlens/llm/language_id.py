@@ -20,6 +20,8 @@ from marketlens.llm import _text
 
 #: Longest n-gram; four symbols of 16 bits fill the 64 bits of a key.
 ORDER = 4
+#: Languages with fewer segments of text are cross-validated; a cut-off of a language's own needs so many scores.
+FEW, HELD = 200, 20
 _letter: list[np.ndarray] = []
 
 
@@ -143,44 +145,67 @@ def estimate(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", a_language: int = 2000, longest: int = 20_000) -> Model | None:
     """A model from the rows that fulfil ``train``; None if none has a label and letters.
 
-    It is fitted on a bounded sample: about ``a_language`` rows of each language, taken by the hash of their id, of those
-    with at most ``longest`` characters. A quarter of these rows is held back to set the cut-offs: a text is
-    rejected whose cross-entropy is over the highest of the language there by a tenth, with more slack for short texts.
+    Texts are taken in segments of ``longest`` characters, the last one shorter. The model is fitted on a bounded sample:
+    about ``a_language`` segments of each language, by the hash of their id, place and text. A quarter of these is held
+    back to set the cut-offs: a text is rejected whose cross-entropy is over the highest of the language there by a
+    tenth, with more slack for short texts. Languages of fewer than FEW segments are fitted on all of them, and each
+    quarter is scored by a model without it. Where fewer than HELD scores are left, the cut-off is that of all
+    languages' scores together; without any score, that of even odds over the alphabet.
     """
-    hashed = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40))
-    usable = _text.bounded(docs).where(train & F.col(label_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), hashed.alias("h"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a label
-    cut = {r.lang: min(1.0, a_language / r.n) * (1 << 40) for r in counts}
+    labelled = _text.bounded(docs).where(train & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    places = F.sequence(F.lit(0), F.floor(F.greatest(F.length(text_col) - 1, F.lit(0)) / longest))
+    cut_up = labelled.select(F.col(label_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.explode(places).alias("place"))
+    cut_up = cut_up.withColumn("text", F.expr(f"substring(text, int(place * {longest} + 1), {longest})"))
+    usable = cut_up.select("lang", "text", F.pmod(F.xxhash64("id", "place", "text"), F.lit(1 << 40)).alias("h"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()  # a row a label
+    cut = {r.lang: max(min(1.0, a_language / r.n) * (1 << 40), r.least + 1) for r in sizes}
     if not cut:
         return None
     within = F.lit(False)
     for lang, h in cut.items():
         within = within | ((F.col("lang") == lang) & (F.col("h") < h))
-    sample = usable.where(within).withColumn("fold", F.pmod("h", F.lit(4)))
+    few = [r.lang for r in sizes if min(r.n, a_language) < FEW]
+    sample = usable.where(within).withColumn("fold", F.pmod("h", F.lit(4))).withColumn("few", F.col("lang").isin(few) if few else F.lit(False))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.slices(batches):
-            langs = np.array(part.column("lang").to_pylist(), dtype=object)
             grams = [keys(characters(t)) if t else np.zeros(0, np.uint64) for t in part.column("text").to_pylist()]
-            for lang in np.unique(langs):
-                own = [g for g, x in zip(grams, langs, strict=True) if x == lang]
+            groups: dict[tuple[str, int], list[np.ndarray]] = {}
+            for lang, fold, own in zip(part.column("lang").to_pylist(), part.column("part").to_pylist(), grams, strict=True):
+                groups.setdefault((lang, fold), []).append(own)
+            for (lang, fold), own in groups.items():
                 gram, n = np.unique(np.concatenate(own), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
-
-    rows = sample.where("fold > 0").select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = {}
-    for lang, own in rows.groupby("lang"):
-        own = own.assign(gram=own.gram.to_numpy(np.int64).view(np.uint64)).sort_values("gram")
-        counts[lang] = own.gram.to_numpy(np.uint64), own.n.to_numpy(float)
-    if not counts:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array([fold] * len(gram), pa.int32()), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "part", "gram", "n"])
+
+    # The folds of languages with few segments are counted apart.
+    fitted = sample.where("few or fold > 0").select("lang", F.expr("int(if(few, fold, -1))").alias("part"), "text")
+    rows = fitted.mapInArrow(count, "lang string, part int, gram long, n long").groupBy("lang", "part", "gram").agg(F.sum("n").alias("n")).toPandas()
+
+    def fit(without: int | None = None) -> Model | None:
+        counts = {}
+        for lang, own in rows[rows.part != without].groupby("lang"):
+            own = own.groupby("gram", as_index=False).n.sum()
+            own = own.assign(gram=own.gram.to_numpy(np.int64).view(np.uint64)).sort_values("gram")
+            counts[lang] = own.gram.to_numpy(np.uint64), own.n.to_numpy(float)
+        return estimate(counts) if counts else None
+
+    def scores(held: DataFrame, model: Model):
+        return predict(held.select(F.col("h").alias("doc_id"), "text", "lang"), model, keep=("lang",)).where("lang_pred = kept_lang and n_chars >= 50").select(F.col("kept_lang").alias("lang"), "entropy").toPandas()
+
+    model = fit()
+    if model is None:
         return None
-    model = estimate(counts)
-    held = predict(sample.where("fold = 0").select(F.col("h").alias("doc_id"), "text", "lang"), model, keep=("lang",)).where("lang_pred = kept_lang and n_chars >= 50").select(F.col("kept_lang").alias("lang"), "entropy").toPandas()
+    held = [scores(sample.where("fold = 0 and not few"), model)]
+    if few:
+        for fold in range(4):
+            if (part := fit(fold)) is not None:
+                held.append(scores(sample.where("few").where(F.col("fold") == fold), part))
+    found = {lang: np.concatenate([x.entropy[x.lang == lang].to_numpy(float) for x in held]) for lang in model.languages}
+    every = np.concatenate(list(found.values()))
+    even = float(np.log(len(model.keys[1]) + 1))
     for k, lang in enumerate(model.languages):
-        own = held.entropy[held.lang == lang]
-        if len(own) >= 20:
-            model.cutoff[k] = 1.1 * own.max()
-            model.spread[k] = own.mean()
+        own = found[lang] if len(found[lang]) >= HELD else every
+        model.cutoff[k], model.spread[k] = (1.1 * own.max(), own.mean()) if len(own) else (even, even)
     return model
 
 

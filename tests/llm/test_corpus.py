@@ -213,6 +213,20 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.predict(odd, None).collect()} == {"und"}
 
 
+def test_every_language_has_a_cutoff(spark):
+    rng = random.Random(3)
+    word = lambda of: "".join(rng.choice(of) for _ in range(rng.randint(2, 7)))
+    text = lambda of, n=60: " ".join(word(of) for _ in range(n))
+    # 30 texts of one language, one of a second, and a third that only has a text of several segments.
+    rows = [(i, text("abcde"), "aa", "s", 0) for i in range(30)] + [(50, text("fghij"), "ff", "s", 0), (51, text("klmno", 9000), "kk", "s", 0)]
+    model = language_id.learn(frame(spark, rows), F.lit(True))
+    assert model.languages == ["aa", "ff", "kk"] and np.isfinite(model.cutoff).all()
+    odd = spark.createDataFrame([(1, text("abcde")), (2, text("klmno")), (3, "\u03b6\u03c8\u03be\u03c9 " * 60), (4, text("abcde", 9000))], "doc_id long, text string")
+    out = {r.doc_id: r for r in language_id.predict(odd, model).collect()}
+    assert [out[i].lang_pred for i in (1, 2, 4)] == ["aa", "kk", "aa"] and not any(out[i].rejected for i in (1, 2, 4))
+    assert out[3].rejected
+
+
 def test_letters_beyond_16_bits(spark):
     assert language_id.characters("\U00020000b\U0001e900").tolist() == [32, 0xD840, 0xDC00, ord("b"), 0xD83A, 0xDD22, 32]  # Adlam has lower case
     assert len(language_id.characters("\U0001f916 \U0001f600!")) == 1  # no letter
