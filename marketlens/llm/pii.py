@@ -3,7 +3,8 @@
 An Aho-Corasick automaton finds the anchors (at-signs, plus signs, digits, URL schemes, account cues) in one pass. From
 each, the stretch of characters that its kind can hold is expanded to both sides; a deterministic parser runs only
 within it and validates what it finds. No match of a kind can leave such a stretch or lie in none, so the result is that
-of a search through the whole text.
+of a search through the whole text. Each parser reads a stretch once, so the time grows with the text's length, whatever
+it holds.
 
 Base kinds are email, ip, card and phone; the method adds ``login`` (user and password in a URL) and ``account``
 (IBAN with valid check digits).
@@ -25,8 +26,10 @@ from marketlens.llm import _text
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("login", "account")
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: What follows the at-sign; the local part is what an address can hold to the left of it.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: Whole digit runs only, and no way back into one: a search that starts within a run fails where this one has failed.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@[^\s/@]+")
@@ -37,9 +40,8 @@ ACCOUNT_CUES, ACCOUNT_REACH = ("iban", "account", "konto", "compte", "cuenta"),
 #: Characters that _IBAN takes at most.
 _IBAN_SPAN = 64
 
-_EMAIL_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NUMBER_RUN = frozenset("0123456789 .-")
-_EMAIL_LEFT, _EMAIL_RIGHT = re.compile(r"[A-Za-z0-9._%+@-]*"), re.compile(r"[A-Za-z0-9._%+@-]*")
 _NUMBER_RIGHT = re.compile(r"[0-9 .-]*")
 
 
@@ -106,10 +108,11 @@ def find(text: str, automaton) -> list[tuple[str, int, int]]:
                 if 16 <= len(digits) <= 19 and luhn(digits):
                     card.append(("card", m.start(), m.end()))
         elif what == "@":
-            if at < email_to:
-                continue
-            start, email_to = _left(text, at, _EMAIL_RUN, email_to), _EMAIL_RIGHT.match(text, at).end()
-            email.extend(("email", m.start(), m.end()) for m in _EMAIL.finditer(text, start, email_to))
+            # Neither scan passes another at-sign, so all of them together read the text about twice.
+            start, m = _left(text, at, _LOCAL, email_to), _DOMAIN.match(text, at + 1)
+            if m and start < at:
+                email_to = m.end()
+                email.append(("email", start, email_to))
         elif what == "+":
             m = _PHONE.match(text, at)
             if m and 8 <= sum(c.isdigit() for c in m[0]) <= 15:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -52,6 +53,15 @@ def test_pii_accounts_and_logins_of_any_length():
         assert added(f"see {url} there") == [("login", url)]
 
 
+@pytest.mark.parametrize("text", ["1" * 10**6, "a" * 10**6 + "@", "a://" * 250_000, "1." * 500_000, "a@" * 500_000, "+1" * 500_000, "1 " * 500_000, "iban" * 250_000])
+def test_pii_of_very_long_runs(text):
+    """Texts of a million characters take a second or so; plain searches of some of these would take hours."""
+    began = time.process_time()
+    found = pii.find(text, pii._automaton())
+    assert time.process_time() - began < 10
+    assert found == ([("ip", i, i + 7) for i in range(0, 10**6 - 7, 8)] if text.startswith("1.") else [])
+
+
 def test_pii_rows(spark):
     text = "mail a.b@c.de, 4111 1111 1111 1111 or +49 (30) 123-4567 at 10.0.0.1 and 300.1.1.1"
     rows = [(1, text, None, None, 0), (2, None, None, None, 0), (1, text, None, None, 0)]
