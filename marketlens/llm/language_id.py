@@ -71,7 +71,7 @@ class Model:
     logs: list[np.ndarray]
     contexts: list[np.ndarray]
     backs: list[np.ndarray]
-    floor: float
+    floor: np.ndarray  # a number a language
     cutoff: np.ndarray
     spread: np.ndarray
 
@@ -137,14 +137,19 @@ def estimate(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             p[np.searchsorted(union, gram), k] = kept / total[np.searchsorted(head, gram >> np.uint64(16))]
         p += rest[np.searchsorted(heads, union >> np.uint64(16))] * below
         all_keys[n], logs[n], contexts[n], backs[n], shorter = union, np.log(p).astype(np.float32), heads, np.log(rest).astype(np.float32), p
-    # A character that no language has: what the empty context leaves, spread over the alphabet.
-    floor = float(np.log(1 / alphabet) + logs[1].min())
+    # The alphabet has one more character, which stands for all that no language has: it gets what the empty context leaves.
+    floor = (backs[1][0] - np.log(alphabet)).astype(np.float32)
     return Model(languages, all_keys, logs, contexts, backs, floor, np.full(len(languages), np.inf), np.zeros(len(languages)))
 
 
-def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", a_language: int = 2000, longest: int = 20_000) -> Model | None:
+def learn(
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", a_language: int = 2000, longest: int = 20_000, most_languages: int = 200
+) -> Model | None:
     """A model from the rows that fulfil ``train``; None if none has a label and letters.
 
+    At most ``most_languages`` labels are learned, those of most segments (then in alphabetical order), so a noisy label
+    column makes neither the model nor what is gathered larger.
+
     Texts are taken in segments of ``longest`` characters, the last one shorter. The model is fitted on a bounded sample:
     about ``a_language`` segments of each language, by the hash of their id, place and text. A quarter of these is held
     back to set the cut-offs: a text is rejected whose cross-entropy is over the highest of the language there by a
@@ -157,15 +162,13 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     cut_up = labelled.select(F.col(label_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.explode(places).alias("place"))
     cut_up = cut_up.withColumn("text", F.expr(f"substring(text, int(place * {longest} + 1), {longest})"))
     usable = cut_up.select("lang", "text", F.pmod(F.xxhash64("id", "place", "text"), F.lit(1 << 40)).alias("h"))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()  # a row a label
-    cut = {r.lang: max(min(1.0, a_language / r.n) * (1 << 40), r.least + 1) for r in sizes}
-    if not cut:
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not sizes:
         return None
-    within = F.lit(False)
-    for lang, h in cut.items():
-        within = within | ((F.col("lang") == lang) & (F.col("h") < h))
     few = [r.lang for r in sizes if min(r.n, a_language) < FEW]
-    sample = usable.where(within).withColumn("fold", F.pmod("h", F.lit(4))).withColumn("few", F.col("lang").isin(few) if few else F.lit(False))
+    cuts = docs.sparkSession.createDataFrame([(r.lang, int(max(min(1.0, a_language / r.n) * (1 << 40), r.least + 1)), r.lang in few) for r in sizes], "lang string, cut long, few boolean")
+    # At most ``most_languages`` rows.
+    sample = usable.join(F.broadcast(cuts), "lang").where("h < cut").select("lang", "text", "h", "few", F.pmod("h", F.lit(4)).alias("fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.slices(batches):
