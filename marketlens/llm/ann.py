@@ -2,11 +2,12 @@
 
 Vectors are scaled to length 1. Each is filed under its nearest coarse centroid, and what is left is coded by one byte
 for each few dimensions. A query visits the lists of the centroids nearest to it; a table of its products with all code
-words gives each code's approximate cosine by a few additions (asymmetric distances), and the best of each block of a
-list are ranked again by their exact cosine, in double precision on the original vectors.
+words gives each code's approximate cosine by a few additions (asymmetric distances). Only codes and ids move for that.
+The best of all that a query visits are then ranked again by their exact cosine, in double precision on the original
+vectors, which move for those alone.
 
 Equal vectors are one entry of the index, with its number of rows and the k + 1 smallest ids, which are all that the
-k nearest of any query can be among them. So copies don't fill a list, and lists are searched in blocks of bounded size.
+k nearest of any query can be among them. So copies don't fill a list, and lists are searched in shards of bounded size.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from marketlens.llm import _scratch, _text
 
 #: Vectors on which centroids and code words are fitted.
 SAMPLE = 20_000
-#: Entries of a list, and queries, that meet in one task.
-BLOCK, QUERIES = 4096, 512
+#: Entries of the lists, and queries, whose codes meet in one task; a longer list is split.
+SHARD, QUERIES = 8192, 4096
+#: Queries that are ranked again together in one task (each with its ``rerank`` vectors).
+RANKED = 128
 
 
 @dataclass
@@ -57,17 +60,25 @@ def _means(points: np.ndarray, k: int, rounds: int, rng: np.random.Generator) ->
     return centroids
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and vector (its doubles as bytes) of the vectors that take part.
-
-    Null or zero vectors and those with null or non-finite components don't, nor do those of another length than the
-    commonest, nor rows with a null id. Rows that repeat an id and its vector count once.
-    """
+def _sound(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(~bad & F.exists(v, lambda x: x != 0))
-    sizes = rows.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(~bad & F.exists(v, lambda x: x != 0))
+
+
+def commonest_dimension(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
+    """The length that most vectors that can take part have (the least of equally common ones); 0 without any."""
+    sizes = _sound(vectors, id_col, vector_col).groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return sizes.d if sizes else 0
+
+
+def usable(vectors: DataFrame, dimension: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id and vector (its doubles as bytes) of the vectors that take part.
+
+    Null or zero vectors and those with null or non-finite components don't, nor do those of another length than
+    ``dimension``, nor rows with a null id. Rows that repeat an id and its vector count once.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,7 +87,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             cut = len(flat) // max(batch.num_rows, 1)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([flat[i * cut : (i + 1) * cut] for i in range(batch.num_rows)], pa.binary())], ["vec_id", "vector"])
 
-    return rows.where(F.size(v) == (sizes[0].d if sizes else 0)).mapInArrow(pack, "vec_id long, vector binary")
+    return _sound(vectors, id_col, vector_col).where(F.size("vector") == dimension).mapInArrow(pack, "vec_id long, vector binary")
 
 
 def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -132,16 +143,33 @@ def _distinct(rows: DataFrame, most: int) -> DataFrame:
     return few.groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("entry"), "ids", "vector")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float = 0.85, rerank: int = 100, lists: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _shards(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Each list's first shard and number of shards, so that a shard holds about SHARD entries; and how many there are."""
+    first, parts, shard, held = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if n > SHARD:
+            shard, held = shard + bool(held), 0
+            first[i], parts[i] = shard, -(-n // SHARD)
+            shard += int(parts[i])
+            continue
+        if held + n > SHARD:
+            shard, held = shard + 1, 0
+        first[i], held = shard, held + n
+    return first, parts, shard + 1
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float = 0.6, rerank: int = 100, lists: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found to each query, without the query's own id.
 
-    A query visits the share ``probes`` of all lists, and more until these hold k + 1 ids (all, if there are fewer).
-    Equal scores are ranked by the smaller id. A vector that takes no part (see ``usable``) is neither found nor
-    answered; no vectors or no queries give no rows. Other columns are not read.
+    A query visits the share ``probes`` of all lists, and more until these hold k + 1 ids (all, if there are fewer). Of
+    all entries that it visits, the ``rerank`` with the best codes are scored exactly. Equal scores are ranked by the
+    smaller id. A vector that takes no part (see ``usable``; the length that counts is the commonest in ``vectors``) is
+    neither found nor answered; no vectors or no queries give no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col)
-    asked = usable(queries, id_col, vector_col).distinct()
+    dimension = commonest_dimension(vectors, id_col, vector_col)
+    rows = usable(vectors, dimension, id_col, vector_col)
+    asked = usable(queries, dimension, id_col, vector_col).distinct()
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     entries = _scratch.stage(_distinct(rows, k + 1), "entries")
     total = entries.count()
@@ -150,75 +178,124 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float = 0
     quantizer = fit(entries.select(F.col("entry").alias("vec_id"), "vector"), total, lists)
     index = build(entries, quantizer)
     n_lists = len(quantizer.coarse)
-    held = np.zeros(n_lists, dtype=np.int64)
-    blocks = np.ones(n_lists, dtype=np.int64)
-    for r in index.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect():
-        held[r.list], blocks[r.list] = r.ids, -(-r.n // BLOCK)
+    held, sizes = np.zeros(n_lists, dtype=np.int64), np.zeros(n_lists, dtype=np.int64)
+    for r in index.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect():  # a row a list
+        held[r.list], sizes[r.list] = r.ids, r.n
+    first, parts, n_shards = _shards(sizes)
 
     # Equal queries are asked once.
     groups = _scratch.stage(asked.groupBy("vector").agg(F.min("vec_id").alias("query")), "queries")
-    dimension = quantizer.coarse.shape[1]
-    groups = groups.where(F.octet_length("vector") == 8 * dimension)
+    n_queries = groups.count()
+    if not n_queries:
+        return nothing
     visits = max(1, round(probes * n_lists))
-    shared = spark.sparkContext.broadcast((quantizer, held, blocks))
+    shared = spark.sparkContext.broadcast((quantizer, held, first, parts))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, held, blocks = shared.value
+        """A row for each shard with lists that a query visits: their numbers, and the query in single precision."""
+        q, held, first, parts = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 unit = _unit(part.column("vector"))
                 order = np.argsort(0.5 * (q.coarse**2).sum(axis=1) - unit @ q.coarse.T, axis=1, kind="stable")
                 enough = np.cumsum(held[order], axis=1) - held[order] < k + 1
                 row, rank = np.nonzero(enough | (np.arange(order.shape[1]) < visits))
                 lists = order[row, rank]
-                times = blocks[lists]
+                times = parts[lists]
+                step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 row, lists = np.repeat(row, times), np.repeat(lists, times)
-                block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                taken = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(block.astype(np.int32)), part.column("query").take(taken), part.column("vector").take(taken)], ["list", "block", "query", "vector"])
-
-    routed = _scratch.stage(groups.mapInArrow(route, "list int, block int, query long, vector binary"), "routed")
-    # So many queries meet a block that they are dealt out too; the block is sent to each part of them.
-    parts = {r.list: -(-r.n // QUERIES) for r in routed.where("block = 0").groupBy("list").agg(F.count("*").alias("n")).collect()}
-    if not parts:
-        return nothing
-    of_block = F.array(*(F.lit(int(x)) for x in blocks))
-    of_part = F.array(*(F.lit(int(parts.get(i, 1))) for i in range(n_lists)))
-    left = routed.withColumn("part", F.pmod(F.xxhash64("query"), F.element_at(of_part, F.col("list") + 1)).cast("int"))
-    right = index.withColumn("block", F.pmod(F.xxhash64("entry"), F.element_at(of_block, F.col("list") + 1)).cast("int")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.element_at(of_part, F.col("list") + 1) - 1))
-    )
+                shard = first[lists] + step
+                by = np.lexsort((lists, shard, row))
+                row, lists, shard = row[by], lists[by], shard[by]
+                begin = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])]))
+                short = [x.tobytes() for x in unit.astype(np.float32)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(shard[begin].astype(np.int32)),
+                        part.column("query").take(pa.array(row[begin])),
+                        pa.array([short[i] for i in row[begin]], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)).astype(np.int32)), pa.array(lists.astype(np.int32))),
+                    ],
+                    ["shard", "query", "unit", "lists"],
+                )
+
+    # So many queries meet a shard that they are dealt out too; the shard's codes are sent to each part of them.
+    n_parts = -(-n_queries // QUERIES)
+    left = groups.mapInArrow(route, "shard int, query long, unit binary, lists array<int>").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(n_parts)).cast("int"))
+    of = lambda values: F.element_at(F.array(*(F.lit(int(x)) for x in values)), F.col("list") + 1)  # noqa: E731  at most 4,096 numbers
+    shard = (of(first) + F.pmod(F.xxhash64("entry"), of(parts))).cast("int")
+    right = index.select(shard.alias("shard"), "list", "entry", "code", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"))
+    depth = max(rerank, k + 1)
 
     def meet(queries: pa.Table, entries: pa.Table) -> pa.Table:
-        q = shared.value[0]
-        names = ["query", "vec_id", "score"]
+        """The ``depth`` entries of a shard with the best codes for each query, by asymmetric distances."""
+        q, names = shared.value[0], ["query", "entry", "near"]
         if not queries.num_rows or not entries.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float32())], names)
+        lists = entries.column("list").to_numpy()
+        by = np.argsort(lists, kind="stable")
+        lists, entry = lists[by], entries.column("entry").to_numpy()[by]
+        codes = np.frombuffer(b"".join(entries.column("code").to_pylist()), dtype=np.uint8).reshape(len(lists), -1)[by]
+        kinds, begin = np.unique(lists, return_index=True)
+        end = np.append(begin[1:], len(lists))
+        out: list[list[np.ndarray]] = [[], [], []]
+        for at in range(0, queries.num_rows, 256):
+            part = queries.slice(at, 256).combine_chunks()
+            data, _ = _text.column_bytes(part.column("unit"))
+            unit = np.frombuffer(data.tobytes(), dtype=np.float32).reshape(part.num_rows, -1)
+            tables = np.einsum("qpd,pwd->pqw", unit.reshape(len(unit), len(q.codes), -1), q.codes.astype(np.float32))
+            visited = part.column("lists").combine_chunks()
+            row = np.repeat(np.arange(part.num_rows), np.diff(visited.offsets.to_numpy()))
+            asks = np.zeros((len(kinds), part.num_rows), dtype=bool)
+            seat = np.minimum(np.searchsorted(kinds, visited.flatten().to_numpy()), len(kinds) - 1)
+            asks[seat, row] = kinds[seat] == visited.flatten().to_numpy()
+            near = np.full((part.num_rows, len(lists)), -np.inf, dtype=np.float32)
+            for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+                who = np.flatnonzero(asks[i])
+                if not len(who):
+                    continue
+                total = (unit[who] @ q.coarse[kinds[i]].astype(np.float32))[:, None]
+                for p in range(len(q.codes)):
+                    total = total + tables[p][who][:, codes[a:b, p]]
+                near[who, a:b] = total
+            n = min(depth, len(lists))
+            best = np.argpartition(-near, n - 1, axis=1)[:, :n]
+            score = np.take_along_axis(near, best, axis=1)
+            i, j = np.nonzero(score > -np.inf)
+            for x, y in zip(out, (part.column("query").to_numpy()[i], entry[best[i, j]], score[i, j]), strict=True):
+                x.append(y)
+        return pa.table([pa.array(np.concatenate(x)) for x in out], names)
+
+    keys = ["shard", "part"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query long, entry long, near float")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "entry"))
+    chosen = found.withColumn("place", best).where(F.col("place") <= depth).select("query", "entry")
+    buckets = max(1, n_queries // RANKED)
+    bucket = F.pmod(F.xxhash64("query"), F.lit(buckets)).cast("int").alias("bucket")
+    pairs = chosen.join(index.select("entry", "ids", "vector"), "entry").select(bucket, "query", "ids", "vector")
+
+    def rank(queries: pa.Table, pairs: pa.Table) -> pa.Table:
+        """The k + 1 nearest of each query's pairs by the exact cosine."""
+        names = ["query", "vec_id", "score"]
+        if not queries.num_rows or not pairs.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-        unit, other = _unit(queries.column("vector")), _unit(entries.column("vector"))
-        codes = np.frombuffer(b"".join(entries.column("code").to_pylist()), dtype=np.uint8).reshape(len(other), -1)
-        tables = np.einsum("qpd,pwd->pqw", unit.reshape(len(unit), len(q.codes), -1), q.codes).astype(np.float32)
-        near = np.zeros((len(unit), len(other)), dtype=np.float32)
-        for p in range(len(q.codes)):
-            near += tables[p][:, codes[:, p]]
-        depth = min(max(rerank, k + 1), len(other))
-        best = np.argpartition(-near, depth - 1, axis=1)[:, :depth]
-        ids = entries.column("ids").to_pylist()
         query = queries.column("query").to_numpy()
-        out = []
-        for i in range(len(unit)):
-            exact = (other[best[i]] * unit[i]).sum(axis=1)
-            found = sorted((-s, x) for s, j in zip(exact.tolist(), best[i].tolist(), strict=True) for x in ids[j])[: k + 1]
-            out.extend((query[i], x, -s) for s, x in found)
-        query, ids, scores = zip(*out, strict=True)
-        return pa.table([pa.array(query, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names)
-
-    keys = ["list", "block", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query long, vec_id long, score double")
-    nearest = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k + 1)
+        by = np.argsort(query)
+        mine = by[np.searchsorted(query[by], pairs.column("query").to_numpy())]
+        score = (_unit(pairs.column("vector")) * _unit(queries.column("vector"))[mine]).sum(axis=1)
+        ids = pairs.column("ids").combine_chunks()
+        times = np.diff(ids.offsets.to_numpy())
+        mine, score, ids = np.repeat(mine, times), np.repeat(score, times), ids.flatten().to_numpy()
+        by = np.lexsort((ids, -score, mine))
+        mine, score, ids = mine[by], score[by], ids[by]
+        start = np.searchsorted(mine, mine, side="left")
+        keep = np.arange(len(mine)) - start <= k
+        return pa.table([pa.array(query[mine[keep]]), pa.array(ids[keep]), pa.array(score[keep])], names)
+
+    nearest = groups.select(bucket, "query", "vector").groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(rank, "query long, vec_id long, score double")
     # Back to all queries with that vector; each leaves itself out.
     own = asked.join(groups, "vector").select("query", F.col("vec_id").alias("query_id"))
-    answers = own.join(found.drop("rank"), "query").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    answers = own.join(nearest, "query").where("vec_id <> query_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return answers.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -192,6 +192,30 @@ def test_few_neighbours(spark):
     assert ann.search(three, three.where("vec_id < 0")).count() == 0
 
 
+def test_neighbours_of_mixed_lengths_and_clashing_columns(spark):
+    """The length that counts is that of the corpus, whatever the queries have; each list may fill several shards."""
+    rows = [(i, [float(i % 7 + 1), float(i), 1.0], 1, 1) for i in range(60)] + [(100 + i, [1.0, float(i)], 1, 1) for i in range(5)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int, entry int")
+    out = ann.search(vectors, vectors.where("vec_id >= 100 or vec_id < 3")).collect()
+    assert {r.query_id for r in out} == {0, 1, 2} and len(out) == 15
+    assert ann.commonest_dimension(vectors) == 3 and ann.commonest_dimension(vectors.where("vec_id < 0")) == 0
+    twice = ann.search(vectors.union(vectors), vectors.where("vec_id = 1")).collect()
+    assert sorted((r.rank, r.vec_id) for r in twice) == sorted((r.rank, r.vec_id) for r in out if r.query_id == 1)
+
+
+def test_shards_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 10)
+    first, parts, n = ann._shards(np.array([4, 5, 25, 3, 8, 0]))
+    assert (first.tolist(), parts.tolist(), n) == ([0, 0, 1, 4, 5, 5], [1, 1, 3, 1, 1, 1], 6)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {(r.query_id, r.vec_id) for r in ann.search(vectors, vectors.where("vec_id % 10 = 0"), probes=1.0, lists=4).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = {(q, int(i)) for q in range(0, 300, 10) for i in np.argsort(-(unit @ unit[q]) + 9 * (np.arange(300) == q))[:5]}
+    assert len(out & best) >= 0.97 * len(best)
+
+
 def test_language_identification(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.op4_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
@@ -243,8 +267,49 @@ def test_kneser_ney_is_a_distribution(spark):
     gram, n = np.unique(language_id.keys(language_id.characters(text)), return_counts=True)
     model = language_id.estimate({"x": (gram, n.astype(float))})
     head = np.uint64(gram[10]) >> np.uint64(16)
-    every = np.array([(int(head) << 16) | ord(c) for c in " abc"], dtype=np.uint64)
-    assert 0.8 < np.exp(model.score(every)).sum() <= 1.0 + 1e-6  # the rest is for unseen characters
+    every = np.array([(int(head) << 16) | ord(c) for c in " abc\u03b6"], dtype=np.uint64)  # one stands for all unseen ones
+    assert abs(np.exp(model.score(every)).sum() - 1.0) < 1e-6
+
+
+def plain_kneser_ney(counts: Counter, text: str) -> list[float]:
+    """Log probabilities of a text's characters by the textbook recursion, from counts of 4-grams."""
+    levels = {4: counts}
+    for n in (3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])  # in how many contexts
+    alphabet = len(levels[1]) + 1
+
+    def p(gram: str) -> float:
+        n = len(gram)
+        if not n:
+            return 1 / alphabet
+        own = levels[n]
+        ones, twos = sum(c == 1 for c in own.values()), sum(c == 2 for c in own.values())
+        d = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.9)
+        total = sum(c for g, c in own.items() if g[:-1] == gram[:-1])
+        if not total:
+            return p(gram[1:])
+        kinds = sum(g[:-1] == gram[:-1] for g in own)
+        return max(own.get(gram, 0) - d, 0) / total + d * kinds / total * p(gram[1:])
+
+    padded = "   " + text
+    return [math.log(p(padded[i - 3 : i + 1])) for i in range(3, len(padded))]
+
+
+def test_kneser_ney_equals_the_plain_recursion():
+    rng = random.Random(8)
+    text = "".join(rng.choice("abbca ") for _ in range(400))
+    gram, n = np.unique(language_id.keys(language_id.characters(text)), return_counts=True)
+    model = language_id.estimate({"x": (gram, n.astype(float))})
+    decode = lambda g: "".join(chr((int(g) >> s) & 0xFFFF) for s in (48, 32, 16, 0))
+    counts = Counter({decode(g): int(c) for g, c in zip(gram, n, strict=True)})
+    other = " ".join("".join(rng.choice("abcd") for _ in range(4)) for _ in range(12)) + " "
+    got = model.score(language_id.keys(language_id.characters(other)))[:, 0]
+    assert np.allclose(got, plain_kneser_ney(counts, other), atol=1e-4)
+
+
+def test_labels_are_bounded(spark):
+    docs = frame(spark, [(i, f"some words of text {i}", f"l{i // 3}" if i < 30 else "en", "s", 0) for i in range(90)])
+    assert language_id.learn(docs, F.lit(True), most_languages=3).languages == ["en", "l0", "l1"]
 
 
 def test_scores(spark):
