@@ -24,7 +24,8 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.cut(_documents(spark, sf_dir)))
+    """The pieces with their places; the CRCs are those of the ids that the sequences hold."""
+    return token_files.with_checksums(packing.pack(packing.cut(_documents(spark, sf_dir))).drop("row"))
 
 
 def _remainder(n: int) -> F.Column:

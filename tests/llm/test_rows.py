@@ -155,19 +155,29 @@ def test_token_file_layout(spark, tmp_path):
 
 def test_pieces_and_sequences(spark):
     tokenizer, _ = _tokens._tokenizer(_tokens.default_path())
-    out = packing.pack(packing.cut(clashing(spark), capacity=512), capacity=512).toPandas()
+    packed = packing.pack(packing.cut(clashing(spark), capacity=512), capacity=512)
+    out = packed.toPandas()
     for i, text, *_ in corpus():
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
         own = out[out.doc_id == i].sort_values("piece")
         assert own.piece.tolist() == list(range(-(-len(ids) // 512)))
         for r in own.itertuples():
             part = ids[r.start : r.start + r.length]
-            assert len(part) == r.length and zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32
+            assert len(part) == r.length and list(r.ids) == part
+    crc = {(r.doc_id, r.piece): r.ids_crc32 for r in token_files.with_checksums(packed).collect()}
+    assert crc == {(r.doc_id, r.piece): zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in out.itertuples()}
+    whole = {r.sequence_id: r for r in packing.sequences(packed).collect()}
+    for k, own in out.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert list(whole[k].ids) == [x for ids in own.ids for x in ids] and whole[k].n_tokens == own.length.sum()
+        assert [(d.doc_id, d.piece, d.offset) for d in whole[k].documents] == list(zip(own.doc_id, own.piece, own.offset, strict=True))
     for _, own in out.groupby("sequence_id"):
         own = own.sort_values("offset")
         assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 512
     assert out.sequence_id.nunique() <= out.length.sum() / 512 * 1.1 + 1
     assert packing.pack(packing.cut(frame(spark, []))).count() == 0
+    twice = frame(spark, [(1, "a b", None, None, 0), (1, "a b", None, None, 0), (None, None, None, None, 0)])
+    assert sorted((r.doc_id or 0, r.piece, r.length) for r in packing.pack(packing.cut(twice)).collect()) == [(0, 0, 1), (1, 0, 3), (1, 0, 3)]
 
 
 @settings(max_examples=60, deadline=None)
