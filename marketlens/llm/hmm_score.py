@@ -3,8 +3,12 @@
 Words are counted over all training texts. The model's latent states emit word classes: each of the commonest words is
 a class, all other words fall into classes by their hash, and within such a class a word has its add-one share of the
 class's counts. States, transitions and emissions are trained by Baum-Welch: each task runs forward and backward over
-its texts and adds up expected counts, which are summed across tasks in steps. A text's score is its exact log
-probability by the scaled forward recursion over the whole text.
+its texts and adds up expected counts, which are summed across tasks in steps. The states begin apart, as clusters of
+classes that have like neighbours. A text's score is its exact log probability by the scaled forward recursion over the
+whole text.
+
+Long texts are worked on in segments at once without a loss: the product of a segment's step matrices carries the state
+before it to the state behind it, so each segment gets what the whole recursion has at its ends.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ END = 0
 HELD_WORDS = 1 << 17
 #: Distinct words that a task gathers before it sends their counts on.
 GATHERED = 1_500_000
-#: Long texts are trained on in segments of so many tokens; scoring takes whole texts.
-SEGMENT = 1024
+#: Texts of more than LONG tokens are worked on in segments; what comes out is that of the whole text.
+LONG, SEGMENT = 4096, 1024
+#: Dimensions in which the neighbours of a class, on either side, are summed up to find the first states.
+TRAITS = 24
 
 
 @dataclass
@@ -164,34 +170,111 @@ def _ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-lengths[order], -np.arange(lengths.max() if len(lengths) else 0), side="left")
 
 
-def forward(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Natural log probability of each row's codes: one step a token, over all rows that still have one."""
+def _forward(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled states behind each row's last token and the log of the scales; ``before`` predicts the first token's state."""
     order, active = _ragged(lengths)
     begin = begin[order]
-    total = np.zeros(len(order))
-    alpha = np.empty((0, 0))
+    total, last = np.zeros(len(order)), np.empty((len(order), len(model.start)))
+    alpha = before[order]
     for t, n in enumerate(active.tolist()):
-        seen = model.emit[codes[begin[:n] + t]]
-        alpha = (model.start if t == 0 else alpha[:n] @ model.move) * seen
+        if t:
+            last[n : len(alpha)] = alpha[n:]
+            alpha = alpha[:n] @ model.move
+        alpha = alpha[:n] * model.emit[codes[begin[:n] + t]]
         scale = alpha.sum(axis=1)
         alpha /= scale[:, None]
         total[:n] += np.log(scale)
-    out = np.empty(len(order))
-    out[order] = total
+    last[: len(alpha)] = alpha
+    out, log = np.empty_like(last), np.empty(len(order))
+    out[order], log[order] = last, total
+    return out, log
+
+
+@dataclass
+class Segments:
+    """Stretches of texts: each one's text, first code and length, the states before it (none for a text's first) and
+    the weights of the states behind it (all alike for a text's last); and each text's log probability if asked for."""
+
+    row: np.ndarray
+    begin: np.ndarray
+    lengths: np.ndarray
+    first: np.ndarray
+    prev: np.ndarray
+    after: np.ndarray
+    #: log probabilities of the texts of several segments: (text, log)
+    known: dict[int, float]
+
+
+def segments(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> Segments:
+    """The texts in segments, each with what the recursions over the whole text have at its ends."""
+    states = len(model.start)
+    pieces = np.where(lengths > LONG, -(-lengths // SEGMENT), 1)
+    row = np.repeat(np.arange(len(lengths)), pieces)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    size = np.where(pieces[row] > 1, np.minimum(lengths[row] - piece * SEGMENT, SEGMENT), lengths[row])
+    out = Segments(row, begin[row] + piece * SEGMENT, size, piece == 0, np.zeros((len(row), states)), np.ones((len(row), states)), {})
+    several = np.flatnonzero(pieces[row] > 1)
+    if not len(several):
+        return out
+    heads, rest = several[out.first[several]], several[~out.first[several]]
+    alpha, log = _forward(model, codes, out.begin[heads], size[heads], np.broadcast_to(model.start, (len(heads), states)))
+    # From each single state before a segment.
+    each = np.repeat(rest, states)
+    moved, scales = _forward(model, codes, out.begin[each], size[each], np.tile(model.move, (len(rest), 1)))
+    moved, scales = moved.reshape(-1, states, states), scales.reshape(-1, states)
+    most = scales.max(axis=1)
+    moved = moved * np.exp(scales - most[:, None])[:, :, None]
+    seat = dict(zip(rest.tolist(), range(len(rest)), strict=True))
+    for h, now, total in zip(heads.tolist(), alpha, log.tolist(), strict=True):
+        n = int(pieces[row[h]])
+        for k in range(h + 1, h + n):
+            out.prev[k] = now
+            now = now @ moved[seat[k]]
+            total += most[seat[k]] + np.log(now.sum())
+            now = now / now.sum()
+        behind = np.ones(states)
+        for k in range(h + n - 1, h, -1):
+            out.after[k] = behind
+            behind = moved[seat[k]] @ behind
+            behind = behind / behind.max()
+        out.after[h] = behind
+        out.known[int(row[h])] = total
+    return out
+
+
+def forward(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Natural log probability of each row's codes: one step a token, over all rows that still have one."""
+    long = lengths > LONG
+    out = np.empty(len(lengths))
+    short = np.flatnonzero(~long)
+    out[short] = _forward(model, codes, begin[short], lengths[short], np.broadcast_to(model.start, (len(short), len(model.start))))[1]
+    for i in np.flatnonzero(long).tolist():
+        out[i] = segments(model, codes, begin[i : i + 1], lengths[i : i + 1]).known[0]
     return out
 
 
-def expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray, begins_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions of the rows, and their log probability."""
+def expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions of whole texts, and their log probability; about ``most`` tokens at once."""
+    parts = segments(model, codes, begin, lengths)
+    states, kinds = len(model.start), len(model.emit)
+    starts, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((kinds, states)), 0.0
+    cuts = np.searchsorted(np.cumsum(parts.lengths), np.arange(most, parts.lengths.sum(), most))
+    for own in np.split(np.arange(len(parts.row)), np.unique(cuts + 1)):
+        if len(own):
+            a, b, c, d = _expect(model, codes, parts.begin[own], parts.lengths[own], parts.first[own], parts.prev[own], parts.after[own])
+            starts, move, emit, log = starts + a, move + b, emit + c, log + d
+    return starts, move, emit, log
+
+
+def _expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray, first: np.ndarray, prev: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     order, active = _ragged(lengths)
-    begin, first = begin[order], begins_text[order]
+    begin, first, prev, after = begin[order], first[order], prev[order], after[order]
     states = len(model.start)
     steps = np.concatenate([[0], np.cumsum(active)])
     alphas, scales = np.empty((steps[-1], states)), np.empty(steps[-1])
-    still = np.full(states, 1 / states)
+    alpha = np.where(first[:, None], model.start, prev @ model.move)
     for t, n in enumerate(active.tolist()):
-        before = np.where(first[:, None], model.start, still) if t == 0 else alpha[:n] @ model.move  # noqa: F821
-        alpha = before * model.emit[codes[begin[:n] + t]]
+        alpha = (alpha[:n] @ model.move if t else alpha) * model.emit[codes[begin[:n] + t]]
         scale = alpha.sum(axis=1)
         alpha /= scale[:, None]
         alphas[steps[t] : steps[t + 1]], scales[steps[t] : steps[t + 1]] = alpha, scale
@@ -200,8 +283,9 @@ def expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarr
     beta = np.ones((0, states))
     for t in range(len(active) - 1, -1, -1):
         n, a, b = int(active[t]), steps[t], steps[t + 1]
-        if len(beta) < n:  # rows whose last token this is
-            beta = np.concatenate([beta, np.ones((n - len(beta), states))])
+        if (m := len(beta)) < n:  # rows whose last token this is
+            new = after[m:n] / (alphas[a + m : b] * after[m:n]).sum(axis=1, keepdims=True)
+            beta = np.concatenate([beta, new])
         kinds[a:b] = codes[begin[:n] + t]
         gammas[a:b] = alphas[a:b] * beta
         weighted = beta * model.emit[kinds[a:b]] / scales[a:b, None]
@@ -210,6 +294,7 @@ def expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarr
             beta = weighted @ model.move.T
         else:
             starts += gammas[a:b][first].sum(axis=0)
+            move += prev[~first].T @ weighted[~first]
     emit = np.stack([np.bincount(kinds, weights=gammas[:, k], minlength=len(model.emit)) for k in range(states)], axis=1)
     return starts, move * model.move, emit, float(np.log(scales).sum())
 
@@ -222,44 +307,92 @@ def _rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Rec
         yield part, codes, offsets[:-1] // 2, np.diff(offsets) // 2
 
 
-def train(coded: DataFrame, classes: Classes, states: int = 6, rounds: int = 4, seed: int = 7) -> Model:
-    """Baum-Welch over all rows of ``coded``, from emissions near the class frequencies."""
+def _gather(coded: DataFrame, size: int, work, most: int = 1 << 20) -> np.ndarray | None:
+    """The sum over all rows of what ``work(codes, begin, lengths)`` gives for parts of them: ``size`` numbers."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for _, codes, begin, lengths in _rows(batches, most):
+            total += work(codes, begin, lengths)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+
+    sums = _sums.sum_arrays(coded.select("codes").mapInArrow(gather, "part int, counts binary"))
+    return sums[0] if sums else None
+
+
+def first_states(coded: DataFrame, classes: Classes, states: int, seed: int = 7) -> np.ndarray:
+    """Emissions of states that are clusters of classes with like neighbours on both sides (k-means)."""
     rng = np.random.default_rng(seed)
     kinds = len(classes.unigram)
-    emit = classes.unigram[:, None] * rng.uniform(0.5, 1.5, (kinds, states))
+    traits = coded.sparkSession.sparkContext.broadcast(rng.normal(size=(kinds, TRAITS)))
+
+    def neighbours(codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        inner = np.ones(len(codes), dtype=bool)
+        inner[begin + lengths - 1] = False  # the end has no next token
+        a = np.flatnonzero(inner)
+        out = []
+        for own, other in ((codes[a], codes[a + 1]), (codes[a + 1], codes[a])):
+            pair, n = np.unique(own * kinds + other, return_counts=True)
+            of = traits.value[pair % kinds] * n[:, None]
+            out += [np.bincount(pair // kinds, weights=of[:, d], minlength=kinds) for d in range(TRAITS)]
+        return np.concatenate(out)
+
+    sums = _gather(coded, 2 * TRAITS * kinds, neighbours)
+    share = np.full((kinds, states), 1 / states)
+    if sums is not None:
+        at = sums.reshape(2 * TRAITS, kinds).T / (classes.unigram / classes.unigram.min())[:, None]
+        at -= np.average(at, axis=0, weights=classes.unigram)
+        at /= np.linalg.norm(at, axis=1, keepdims=True) + 1e-12
+        weight = np.sqrt(classes.unigram)
+        centre = at[rng.choice(kinds, states, replace=kinds < states, p=weight / weight.sum())]
+        for _ in range(20):
+            own = (at @ centre.T).argmax(axis=1)
+            sums = np.stack([np.bincount(own, weights=at[:, d] * weight, minlength=states) for d in range(at.shape[1])], axis=1)
+            full = np.bincount(own, minlength=states) > 0
+            centre[full] = sums[full] / (np.linalg.norm(sums[full], axis=1, keepdims=True) + 1e-12)
+        share = 0.8 * (own[:, None] == np.arange(states)) + 0.2 * rng.dirichlet(np.ones(states), kinds)
+    emit = classes.unigram[:, None] * share
+    return emit / emit.sum(axis=0)
+
+
+def train(coded: DataFrame, classes: Classes, states: int = 16, parts: int = 6, rounds: int = 2, least_gain: float = 1e-3, seed: int = 7) -> Model:
+    """Baum-Welch over all rows of ``coded``.
+
+    The first ``parts`` rounds take a part of the texts each (by hash, every text once), which brings the states near;
+    then up to ``rounds`` rounds take all texts, until one gains less than ``least_gain`` (natural log, a token).
+    """
+    kinds = len(classes.unigram)
+    rng = np.random.default_rng(seed)
     move = rng.uniform(0.5, 1.5, (states, states))
-    model = Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    model = Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), first_states(coded, classes, states, seed))
     spark = coded.sparkSession
-
-    for _ in range(rounds):
+    part = F.pmod(F.xxhash64("codes"), F.lit(parts))
+    before = -np.inf
+    for k in range(parts + rounds):
         shared = spark.sparkContext.broadcast(model)
 
-        def gather(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            total = np.zeros(states + states * states + kinds * states + 1)
-            for _, codes, begin, lengths in _rows(batches, 1 << 20):
-                pieces = -(-lengths // SEGMENT)
-                row = np.repeat(np.arange(len(lengths)), pieces)
-                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                at = begin[row] + piece * SEGMENT
-                size = np.minimum(lengths[row] - piece * SEGMENT, SEGMENT)
-                starts, moves, emits, log = expect(own, codes, at, size, piece == 0)
-                total += np.concatenate([starts, moves.ravel(), emits.ravel(), [log]])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
-
-        sums = _sums.sum_arrays(coded.select("codes").mapInArrow(gather, "part int, counts binary"))
-        if not sums:
-            break
-        starts, moves, emits, _log = np.split(sums[0], np.cumsum([states, states * states, kinds * states]))
+        def counts(codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray, shared=shared) -> np.ndarray:
+            starts, moves, emits, log = expect(shared.value, codes, begin, lengths)
+            return np.concatenate([starts, moves.ravel(), emits.ravel(), [log]])
+
+        sums = _gather(coded.where(part == k) if k < parts else coded, states + states * states + kinds * states + 1, counts)
+        if sums is None:
+            continue
+        starts, moves, emits, log = np.split(sums, np.cumsum([states, states * states, kinds * states]))
         starts, moves = starts + 1, moves.reshape(states, states) + 1
         # Every class keeps a little of its frequency in each state, so no text has probability 0.
         emits = emits.reshape(kinds, states)
+        tokens = emits.sum()
         emits = emits + 0.01 * classes.unigram[:, None] * (emits.sum(axis=0) + 1)
         model = Model(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+        if k >= parts:
+            if tokens and log[0] / tokens - before < least_gain:
+                break
+            before = log[0] / max(tokens, 1)
     return model
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = 6, rounds: int = 4) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = 16, rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Rows where ``held_out`` is not true train the model; all are scored. Null text is the empty text: one token, the
@@ -272,7 +405,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     classes = make_classes(counts)
     coded = _scratch.stage(encode(docs, classes), "coded")
-    model = train(coded.where("not held_out"), classes, states, rounds)
+    model = train(coded.where("not held_out"), classes, states, rounds=rounds)
 
     # Rare words meet their counts; a row's are summed up again. Equal rows share a sum, each its part of it.
     words = coded.select("doc_id", "key", F.explode("rare").alias("token")).join(counts, "token", "left")

@@ -370,13 +370,40 @@ def test_baum_welch_raises_the_likelihood():
     begin = np.array([0, 100, 250])
     model, last = _model(), -np.inf
     for _ in range(6):
-        start, move, emit, log = hmm_score.expect(model, codes, begin, lengths, np.ones(3, dtype=bool))
+        start, move, emit, log = hmm_score.expect(model, codes, begin, lengths)
         assert log >= last - 1e-9 and abs(log - hmm_score.forward(model, codes, begin, lengths).sum()) < 1e-6
         assert abs(emit.sum() - 300) < 1e-6 and abs(move.sum() - 297) < 1e-6 and abs(start.sum() - 3) < 1e-6
         last, emit = log, emit + 1e-9
         model = hmm_score.Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def test_segments_change_nothing(monkeypatch):
+    """Long texts in segments: the likelihood and all expected counts of the whole recursion."""
+    rng = np.random.default_rng(6)
+    codes, lengths = rng.integers(0, 5, 400), np.array([150, 7, 200, 1, 42])
+    begin = np.cumsum(lengths) - lengths
+    model = _model()
+    whole, log = hmm_score.expect(model, codes, begin, lengths), hmm_score.forward(model, codes, begin, lengths)
+    for long, segment, most in ((40, 16, 1 << 19), (1, 1, 1 << 19), (149, 149, 50), (10, 7, 3)):
+        monkeypatch.setattr(hmm_score, "LONG", long)
+        monkeypatch.setattr(hmm_score, "SEGMENT", segment)
+        parts = hmm_score.expect(model, codes, begin, lengths, most)
+        assert all(np.allclose(a, b) for a, b in zip(whole, parts, strict=True))
+        assert np.allclose(log, hmm_score.forward(model, codes, begin, lengths))
+
+
+def test_training_beats_word_counts(spark):
+    """Texts of two topics whose words alternate in kind: on held-out texts the model is far better than counts."""
+    rng = random.Random(4)
+    kinds = [[f"{k}{i}" for i in range(30)] for k in ("an", "bn", "av", "bv")]
+    rows = []
+    for i in range(400):
+        topic = rng.randrange(2)
+        rows.append((i, " ".join(rng.choice(kinds[topic + 2 * (j % 2)]) for j in range(rng.randint(20, 80))), None, None, 0))
+    out = hmm_score.score(frame(spark, rows), F.crc32(F.col("doc_id").cast("string")) % 7 == 2).where("held_out").toPandas()
+    assert (out.score - out.base_score).sum() / out.n_tokens.sum() > 0.4  # log10 a token; a factor of 4 is 0.6
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracles()))
 def test_twins(spark, name):
     assert rows_of(queries.queries()[name](spark, SF)) == rows_of_sql(connect(SF), queries.oracles()[name])
