@@ -1,4 +1,4 @@
-"""Removal of long byte strings that occur earlier in the corpus, with enhanced suffix arrays.
+"""Repeated byte strings of a corpus and their removal, with enhanced suffix arrays.
 
 Windows of ``length`` bytes are dealt out by their anchor: the 32-gram of least hash in them (the leftmost of equal
 ones). Equal windows have equal anchors at equal places, so they meet. An anchor seen once has no repeated window; only
@@ -6,11 +6,15 @@ around the others are bytes moved, one row for each run of windows with one anch
 
 Rows that meet are sorted into a suffix array (of the suffixes that hold a whole window) with the lengths of common
 prefixes of neighbours. A scan with a stack walks the tree of common-prefix intervals; an interval whose suffixes are
-preceded by different bytes, or begin a row, can't be extended to the left: it is a maximal repeat of its row, with all
-its occurrences. Of each such group all but the first occurrence are removed.
+preceded by different bytes, or begin a row, can't be extended to the left: it is a maximal repeat of its rows. Rows
+with equal bytes are one row there, and a repeat's occurrences are those of all rows that it stands for.
 
-Equal texts and equal rows are met by their hashes before, so copies never come to the suffix arrays; a bucket of very
-many different rows is resolved window by window with an aggregation instead, with the same result.
+An anchor of very many different rows is dealt out once more: its suffixes by their first window, as no interval holds
+suffixes of different ones, and what is too large still by one byte more at a time, each such node of the tree being an
+aggregation. So no task gets an unbounded group, and the repeats are the same.
+
+``repeats`` joins those that go on from run to run in the same places, and gives each with all its occurrences;
+``dedup`` removes all occurrences but the first. Copies of whole texts are met by their hash and searched once.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marketlens.llm import _scratch, _text
 
@@ -30,12 +36,17 @@ GRAM = 32
 START_BITS = 36
 #: Anchors that a task gathers before it sends them on.
 GATHERED = 1_000_000
-#: Rows of a bucket that go to one suffix array.
-BUCKET_ROWS = 20_000
+#: Different rows that a task gathers before it sends them on.
+HELD_ROWS = 200_000
+#: Rows of one anchor, or suffixes of one window, that go to one suffix array.
+BUCKET_ROWS = 4_000
 #: Suffixes that are sorted at once (whole buckets, so a bucket may exceed it).
 SUFFIXES = 150_000
-#: Ids of documents whose texts are wanted are broadcast up to this number (a hash each), and joined by a shuffle beyond.
+#: Ids of documents whose texts are wanted are broadcast up to this number (a hash each: 8 MB), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: A row whose suffixes are all to be sorted has this in place of the byte before it.
+WHOLE = -2
+_SCAN = "key long, print long, off int, before int, doc_id long, at long, many boolean, bytes binary"
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,9 +124,17 @@ def _all_anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each run of windows around a repeated anchor (``starts`` lists them); equal ones of a task are known."""
+    """A row for each run of windows around a repeated anchor (``starts`` lists them), without bytes; and one with bytes
+    for each different run that a task sees, with its smallest place there and whether it has more."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "print", "doc_id", "at", "many", "bytes"]
+        heads: dict[tuple[int, int], list] = {}
+
+        def send() -> pa.RecordBatch:
+            keys, rows = list(zip(*heads, strict=True)), list(zip(*heads.values(), strict=True))
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (*keys, *rows[:2])), pa.array(rows[2], pa.bool_()), pa.array(rows[3], pa.binary())], names)
+
         for part in _text.slices(batches, most=1 << 20):
             data, offsets = _text.column_bytes(part.column("text"))
             (first, last, anchor), h, row = _anchors(data, offsets, length)
@@ -125,28 +144,31 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
             first, last, anchor, row = first[keep], last[keep], anchor[keep], row[keep]
             if not len(first):
                 continue
-            doc = part.column("doc_id").to_numpy()[row]
+            doc = part.column("doc_id").to_numpy()[row].astype(np.int64)
             at = (part.column("mark").to_numpy()[row] << START_BITS) | (first - offsets[:-1][row])
-            size = last + length - first
-            bucket, print_ = h[anchor], _text.hashes(data, first, first + size, fold=False)
+            end = last + length
+            bucket, print_ = h[anchor].view(np.int64), _text.hashes(data, first, end, fold=False).view(np.int64)
             order = np.lexsort((at, doc, print_, bucket))
-            known = np.zeros(len(order), dtype=bool)
-            a, b = order[1:], order[:-1]
-            known[a] = (bucket[a] == bucket[b]) & (print_[a] == print_[b])
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (bucket[order][1:] != bucket[order][:-1]) | (print_[order][1:] != print_[order][:-1])
             raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket.view(np.int64)),
-                    pa.array(print_.view(np.int64)),
-                    pa.array(doc.astype(np.int64)),
-                    pa.array(at),
-                    pa.array(size.astype(np.int32)),
-                    pa.array([None if k else raw[x : x + n] for k, x, n in zip(known.tolist(), first.tolist(), size.tolist(), strict=True)], pa.binary()),
-                ],
-                ["bucket", "print", "doc_id", "at", "size", "bytes"],
-            )
+            several = (np.diff(np.append(np.flatnonzero(new), len(new))) > 1).tolist()
+            for b, p, d, x, i, j, k in zip(*(v[order[new]].tolist() for v in (bucket, print_, doc, at, first, end)), several, strict=True):
+                own = heads.get((b, p))
+                if own is None:
+                    heads[b, p] = [d, x, k, raw[i:j]]
+                    continue
+                own[2] = True
+                if (d, x) < (own[0], own[1]):
+                    own[:2] = d, x
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (bucket, print_, doc, at)), pa.nulls(len(doc), pa.bool_()), pa.nulls(len(doc), pa.binary())], names)
+            if len(heads) > HELD_ROWS:
+                yield send()
+                heads.clear()
+        if heads:
+            yield send()
 
-    return docs.mapInArrow(cut, "bucket long, print long, doc_id long, at long, size int, bytes binary")
+    return docs.mapInArrow(cut, "bucket long, print long, doc_id long, at long, many boolean, bytes binary")
 
 
 def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -164,90 +186,97 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append([x, first])
 
 
-def maximal_repeats(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, int, int]]:
-    """(length, suffixes in order, first, last) of the maximal repeats of at least ``length`` bytes of some rows.
+def maximal_repeats(data: np.ndarray, place: np.ndarray, end: np.ndarray, before: np.ndarray, many: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, int, int]]:
+    """(length, suffixes in order, first, last) of the maximal repeats of at least ``length`` bytes among some suffixes.
 
-    A suffix is a place in ``data``; suffixes[first : last + 1] are all occurrences. What begins a row counts as not
-    to be extended to the left, and no repeat goes beyond its row.
+    A suffix is ``data[place:end]`` after the byte ``before`` (-1: none, which counts as not to be extended to the left);
+    suffixes[first : last + 1] are the numbers of those that begin with the repeat. One that stands for ``many`` places is
+    a repeat by itself, unless others begin with it.
     """
-    sizes = np.diff(offsets)
-    each = np.maximum(sizes - length + 1, 0)
-    row = np.repeat(np.arange(len(sizes)), each)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + offsets[:-1][row]
     if not len(place):
         return
-    width = int(sizes.max())
-    # 1 is added to all bytes (UTF-8 has none over 0xF7), so that 0 ends a row.
+    left = end - place
+    width = int(left.max())
+    # 1 is added to all bytes (UTF-8 has none over 0xF7), so that 0 ends a suffix.
     padded = np.zeros(len(data) + width, dtype=np.uint8)
     padded[: len(data)] = data + 1
-    left = offsets[1:][row] - place
     table = np.lib.stride_tricks.sliding_window_view(padded, width)[place]
     table[np.arange(width)[None, :] >= left[:, None]] = 0
     order = np.argsort(table.view(f"S{width}").ravel(), kind="stable")
-    table, place, left, row = table[order], place[order], left[order], row[order]
+    table, left, before = table[order], left[order], before[order]
     same = table[1:] == table[:-1]
     common = np.where(same.all(axis=1), width, same.argmin(axis=1))
     common = np.minimum(common, np.minimum(left[1:], left[:-1]))
-    before = np.where(place > offsets[:-1][row], data[place - 1].astype(np.int64), -1)
+    near = np.concatenate([[0], common, [0]])
+    for i in np.flatnonzero(many[order] & (np.maximum(near[1:], near[:-1]) < left)).tolist():
+        yield int(left[i]), order, i, i
     # Blocks of suffixes that share a window; those that all have one byte before them lie in longer repeats.
     cuts = np.flatnonzero(common < length) + 1
-    begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(place)]])
+    begin, stop = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(place)]])
     changes = np.concatenate([[0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))])
     heads = np.concatenate([[0], np.cumsum(before < 0)])
-    several = np.flatnonzero((end - begin > 1) & ((changes[end - 1] > changes[begin]) | (heads[end] > heads[begin])))
-    for a, b in zip(begin[several].tolist(), end[several].tolist(), strict=True):
+    several = np.flatnonzero((stop - begin > 1) & ((changes[stop - 1] > changes[begin]) | (heads[stop] > heads[begin])))
+    for a, b in zip(begin[several].tolist(), stop[several].tolist(), strict=True):
         if b - a == 2:
-            yield int(common[a]), place, a, a + 1
+            yield int(common[a]), order, a, a + 1
             continue
         for depth, x, y in intervals(common[a : b - 1].tolist()):
             if changes[a + y] > changes[a + x] or heads[a + y + 1] > heads[a + x]:
-                yield depth, place, a + x, a + y
-
-
-def _covered(doc: np.ndarray, at: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, at and size of the strings to remove among some rows: all but the first occurrence of each maximal repeat."""
-    sizes = np.array([len(x) for x in texts], dtype=np.int64)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    by_place = np.zeros(len(data), dtype=np.int64)  # how far each place is covered
-    row_of = np.repeat(np.arange(len(sizes)), sizes)
-    start = at[row_of] + np.arange(len(data)) - offsets[:-1][row_of]
-    rank = np.empty(len(data), dtype=np.int64)
-    rank[np.lexsort((start, doc[row_of]))] = np.arange(len(data))
-    for size, place, a, b in maximal_repeats(data, offsets, length):
-        own = place[a : b + 1]
-        first = own[rank[own].argmin()]
-        kept = by_place[first]
-        by_place[own] = np.maximum(by_place[own], size)
-        by_place[first] = kept
-    hit = np.flatnonzero(by_place)
-    return doc[row_of[hit]], start[hit], by_place[hit]
-
-
-def _repeats(runs: DataFrame, length: int) -> DataFrame:
-    """doc_id, at, size of what is removed for the rows of each bucket; whole buckets meet in a task, sorted."""
+                yield depth, order, a + x, a + y
+
+
+_FOUND = "repeat long, size long, print long, off int, first_doc long, first_at long"
+
+
+def _scan(rows: DataFrame, length: int) -> DataFrame:
+    """The maximal repeats among the rows of each key: repeat (a hash of its bytes), size, and each row (print, off) that
+    has it, with the first occurrence of all (doc, at). Whole keys meet in a task, sorted."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def resolve(table: pa.Table) -> pa.RecordBatch:
-            bucket, print_, doc, at, size = (table.column(c).to_numpy() for c in ("bucket", "print", "doc_id", "at", "size"))
-            again = np.zeros(len(bucket), dtype=bool)  # the rows are sorted: the first of equal ones stays
-            again[1:] = (bucket[1:] == bucket[:-1]) & (print_[1:] == print_[:-1])
-            here = np.flatnonzero(~again)
-            # A bucket with one row alone may still repeat within it.
-            found = _covered(doc[here], at[here], table.column("bytes").take(pa.array(here)).to_pylist(), length)
-            out = [np.concatenate([x[again], y]) for x, y in zip((doc, at, size.astype(np.int64)), found, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc_id", "at", "size"])
+            key, print_, off = (table.column(c).to_numpy() for c in ("key", "print", "off"))
+            new = np.ones(len(key), dtype=bool)  # the rows are sorted: the first of equal ones stays
+            new[1:] = (key[1:] != key[:-1]) | (print_[1:] != print_[:-1]) | (off[1:] != off[:-1])
+            several = np.add.reduceat(np.where(table.column("many").to_numpy(zero_copy_only=False), 2, 1), np.flatnonzero(new)) > 1
+            table = table.filter(pa.array(new))
+            print_, off, before, doc, at = (table.column(c).to_numpy() for c in ("print", "off", "before", "doc_id", "at"))
+            data, offsets = _text.column_bytes(table.column("bytes"))
+            whole = before == WHOLE
+            each = np.where(whole, np.maximum(np.diff(offsets) - length + 1, 0), 1)
+            row = np.repeat(np.arange(len(each)), each)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+            place = offsets[:-1][row] + step
+            left = np.where(step > 0, data[np.maximum(place - 1, 0)].astype(np.int64), np.where(whole[row], -1, before[row]))
+            sizes, members, begin = [], [], []
+            for size, order, a, b in maximal_repeats(data, place, offsets[1:][row], left, several[row] & (left < 0), length):
+                own = order[a : b + 1]
+                sizes.append(size)
+                members.append(own)
+                begin.append(place[own[0]])
+            if not sizes:
+                return pa.RecordBatch.from_pylist([], pa.schema([(x.split()[0], pa.int32() if x.endswith("int") else pa.int64()) for x in _FOUND.split(", ")]))
+            node = np.repeat(np.arange(len(sizes)), [len(x) for x in members])
+            own, sizes, begin = np.concatenate(members), np.array(sizes), np.array(begin)
+            repeat = _text.hashes(data, begin, begin + sizes, fold=False).view(np.int64)
+            row, off_ = row[own], (off[row[own]] + step[own])
+            start = at[row] + off_
+            by = np.lexsort((start, doc[row], node))
+            head = by[np.searchsorted(node[by], np.arange(len(sizes)))]
+            out = [repeat[node], sizes[node], print_[row], off_.astype(np.int32), doc[row[head]][node], start[head][node]]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], [x.split()[0] for x in _FOUND.split(", ")])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if rest is None else pa.concat_tables([rest, table])
-            bucket = table.column("bucket").to_numpy()
-            edges = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-            total = np.concatenate([[0], np.cumsum(table.column("size").to_numpy() - length + 1)])
+            key = table.column("key").to_numpy()
+            edges = np.flatnonzero(key[1:] != key[:-1]) + 1
+            whole = table.column("before").to_numpy() == WHOLE
+            sizes = pc.binary_length(table.column("bytes")).to_numpy()
+            total = np.concatenate([[0], np.cumsum(np.where(whole, sizes - length + 1, 1))])
             at = 0
-            while len(edges) and edges[-1] > at:  # the last bucket may go on in the next batch
+            while len(edges) and edges[-1] > at:  # the last key may go on in the next batch
                 to = edges[max(0, np.searchsorted(total[edges], total[at] + SUFFIXES, side="right") - 1)]
                 to = int(to if to > at else edges[np.searchsorted(edges, at, side="right")])
                 yield resolve(table.slice(at, to - at))
@@ -256,30 +285,65 @@ def _repeats(runs: DataFrame, length: int) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield resolve(rest)
 
-    return runs.repartition("bucket").sortWithinPartitions("bucket", "print", "doc_id", "at").mapInArrow(scan, "doc_id long, at long, size long")
+    return rows.repartition("key").sortWithinPartitions("key", "print", "off", "doc_id", "at").mapInArrow(scan, _FOUND)
 
 
-def _windows(runs: DataFrame, length: int) -> DataFrame:
-    """What is removed for the rows of very large buckets: of equal windows all but the first, by an aggregation."""
+def _keyed(rows: DataFrame, depth: int, length: int) -> DataFrame:
+    """Suffixes (of WHOLE rows: each with a whole window) by the hash of their first ``depth`` bytes, and the next byte (-1: none)."""
 
-    def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.slices(batches, "bytes", 1 << 18):
             data, offsets = _text.column_bytes(part.column("bytes"))
-            each = np.diff(offsets) - length + 1
+            before = part.column("before").to_numpy()
+            whole = before == WHOLE
+            each = np.where(whole, np.diff(offsets) - length + 1, np.diff(offsets) >= depth)
             row = np.repeat(np.arange(len(each)), each)
             step = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-            place = offsets[:-1][row] + step
-            one = _text.hashes(data, place, place + length, fold=False)
-            two = _text.hashes(data[::-1].copy(), len(data) - place - length, len(data) - place, fold=False)
+            place, end = offsets[:-1][row] + step, offsets[1:][row]
+            keys = _text.hashes(data, place, place + depth, fold=False).view(np.int64)
+            left = np.where(step > 0, data[np.maximum(place - 1, 0)], np.where(whole[row], -1, before[row])).astype(np.int32)
+            follow = np.where(place + depth < end, data[np.minimum(place + depth, max(len(data) - 1, 0))].astype(np.int32), -1).astype(np.int32)
+            raw, taken = data.tobytes(), pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column("doc_id").take(pa.array(row)), pa.array(part.column("at").to_numpy()[row] + step)],
-                ["one", "two", "doc_id", "at"],
+                [
+                    pa.array(keys),
+                    part.column("print").take(taken),
+                    pa.array((part.column("off").to_numpy()[row] + step).astype(np.int32)),
+                    pa.array(left),
+                    part.column("doc_id").take(taken),
+                    part.column("at").take(taken),
+                    pa.array(part.column("many").to_numpy(zero_copy_only=False)[row] & (left < 0)),
+                    pa.array([raw[a:b] for a, b in zip(place.tolist(), end.tolist(), strict=True)], pa.binary()),
+                    pa.array(follow),
+                ],
+                ["key", "print", "off", "before", "doc_id", "at", "many", "bytes", "follow"],
             )
 
-    rows = runs.select("bytes", "doc_id", "at").mapInArrow(hash_, "one long, two long, doc_id long, at long")
-    first = rows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = rows.join(first, ["one", "two"]).where("first.doc_id <> doc_id or first.at <> at")
-    return later.select("doc_id", "at", F.lit(length).cast("long").alias("size"))
+    columns = [x.split()[0] for x in _SCAN.split(", ")]
+    return rows.select(*columns).mapInArrow(key, f"{_SCAN}, follow int")
+
+
+def _split(rows: DataFrame, length: int) -> list[DataFrame]:
+    """What ``_scan`` gives for WHOLE rows of anchors with very many of them, as several tables."""
+    same = rows.groupBy("print").agg(F.first("bytes").alias("bytes"), F.min(F.struct("doc_id", "at")).alias("x"), (F.max("many") | (F.count("*") > 1)).alias("many"))
+    rows = same.select(F.lit(0).cast("long").alias("key"), "print", F.lit(0).alias("off"), F.lit(WHOLE).alias("before"), "x.doc_id", "x.at", "many", "bytes")
+    depth, out = length, []
+    place = F.struct("doc_id", (F.col("at") + F.col("off")).alias("at"))
+    while True:
+        suffixes = _scratch.stage(_keyed(rows, depth, length), "suffixes")
+        nodes = suffixes.groupBy("key").agg(
+            F.count("*").alias("n"), F.min(place).alias("first"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("follow").alias("f0"), F.max("follow").alias("f1"), F.max("many").alias("more")
+        )
+        nodes = _scratch.stage(nodes.where("n > 1 or more"), "nodes")
+        out.append(_scan(suffixes.join(nodes.where(F.col("n") <= BUCKET_ROWS), "key", "left_semi").drop("follow"), length))
+        large = nodes.where(F.col("n") > BUCKET_ROWS)
+        if not (count := large.count()):
+            return out
+        large = large.drop("more")
+        within = _scratch.stage(suffixes.join(F.broadcast(large) if count <= BROADCAST_IDS // 10 else large, "key"), "within")
+        node = within.where("(b0 <> b1 or b0 = -1) and (f0 <> f1 or f0 = -1)")
+        out.append(node.select(F.col("key").alias("repeat"), F.lit(depth).cast("long").alias("size"), "print", "off", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at")))
+        rows, depth = within.where("follow >= 0"), depth + 1
 
 
 def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -292,24 +356,24 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.withColumn("_key", key).join(F.broadcast(few), "_key", "left_semi").drop("_key") if ids.count() <= BROADCAST_IDS else docs
 
 
-def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
-
-    Texts are UTF-8 bytes (null: empty). A byte goes if a string of ``length`` bytes over it starts earlier too: in a
-    smaller id, or before in the same text; texts of one id are in the order of their SHA-256, and rows that repeat both
-    id and text are one document. A row with a null id is compared with nothing and kept whole. Other columns are not
-    read. ``length`` is at least 64.
-    """
+def _signed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text, mark and fp (of the text), and a stored table of their hashes and sizes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = _text.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     sha = F.sha2("text", 256)
     mark = F.conv(F.substring(sha, 1, 6), 16, 10).cast("long")
     docs = docs.withColumn("mark", mark).withColumn("fp", F.xxhash64("text"))
-    signed = _scratch.stage(docs.select("doc_id", "mark", "fp", sha.alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "signed")
-    # Of equal texts the one with the smallest id stays; the others go as a whole if they hold a window.
+    return docs, _scratch.stage(docs.select("doc_id", "mark", "fp", sha.alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "signed")
+
+
+def _first(signed: DataFrame, length: int) -> DataFrame:
+    """Of equal texts that hold a window, the smallest id."""
     named = signed.where(f"doc_id is not null and n_bytes >= {length}")
-    first = named.groupBy("sha").agg(F.min("doc_id").alias("first"), F.first("mark").alias("mark"), F.first("fp").alias("fp"))
+    return named.groupBy("sha").agg(F.min("doc_id").alias("first"), F.first("mark").alias("mark"), F.first("fp").alias("fp"))
 
+
+def _occurrences(docs: DataFrame, first: DataFrame, length: int) -> DataFrame:
+    """repeat, size, doc_id, at, first_doc and first_at: where the texts in ``first`` have maximal repeats of runs."""
     anchors = _scratch.stage(_all_anchors(docs.where(f"doc_id is not null and octet_length(text) >= {length}"), length), "anchors")
     asked = anchors.where("not known")
     # A task asks once for each hash, so a hash that many documents share has few rows here.
@@ -321,15 +385,75 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
 
     around = _among(docs.select("doc_id", "mark", "text"), wanted.select("doc_id", "mark")).dropDuplicates(["doc_id", "mark"]).join(wanted, ["doc_id", "mark"])
     runs = _scratch.stage(_runs(around, length), "runs")
-    fresh = runs.where("bytes is not null")
-    hot = _scratch.stage(fresh.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS).select("bucket"), "hot")
-    cover = _repeats(fresh.join(hot, "bucket", "left_anti"), length).union(runs.where("bytes is null").select("doc_id", "at", F.col("size").cast("long")))
-    if hot.count():
-        cover = cover.union(_windows(fresh.join(hot, "bucket"), length))
-    where = F.col("at").bitwiseAND((1 << START_BITS) - 1)
-    spans = cover.groupBy("doc_id", F.shiftright("at", START_BITS).alias("mark")).agg(F.collect_set(F.struct(where.alias("start"), "size")).alias("spans"))
-    spans = _scratch.stage(spans, "spans")
+    heads = runs.where("bytes is not null")
+    hot = _scratch.stage(heads.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS).select("bucket"), "hot")
+    many = hot.count()
+    if many <= BROADCAST_IDS // 10:
+        hot = F.broadcast(hot)
+    rows = heads.join(hot, "bucket", "left_anti") if many else heads
+    found = [_scan(rows.select(F.col("bucket").alias("key"), "print", F.lit(0).alias("off"), F.lit(WHOLE).alias("before"), "doc_id", "at", "many", "bytes"), length)]
+    if many:
+        found += _split(heads.join(hot, "bucket"), length)
+    every = found[0]
+    for x in found[1:]:
+        every = every.union(x)
+    every = _scratch.stage(every, "found")
+    places = runs.where("bytes is null").select("print", "doc_id", "at").join(every, "print")
+    out = _scratch.stage(places.select("repeat", "size", "doc_id", (F.col("at") + F.col("off")).alias("at"), "first_doc", "first_at"), "occurrences")
     _scratch.drop(runs)
+    return out
+
+
+_START = (1 << START_BITS) - 1
+
+
+def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """repeat, kind, size, doc_id and start of every occurrence of every group of repeated strings.
+
+    A group of kind ``part`` is a string of at least ``length`` bytes with all places in the corpus that have it; of the
+    strings that have just these places, windows that follow each other make one group, however long. Nested groups (a
+    longer string with fewer places) are groups of their own. A group of kind ``text`` is a whole text with the ids that
+    have it. Null ids and texts take no part; repeated rows of one id and text are one document. See ``dedup``.
+    """
+    docs, signed = _signed(docs, id_col, text_col)
+    first = _scratch.stage(_first(signed, length), "first")
+    found = _occurrences(docs, first, length)
+    mark, start = F.shiftright("at", START_BITS), F.col("at").bitwiseAND(_START)
+    begin = F.col("first_at").bitwiseAND(_START)
+    # Groups with the same places but for a shift: one number and two hashes of the places as seen from the first.
+    of = lambda seed: F.bit_xor(F.xxhash64("doc_id", mark, start - begin, F.lit(seed)))
+    sets = found.distinct().groupBy("repeat", "size", "first_doc", "first_at").agg(F.count("*").alias("n"), of(1).alias("s1"), of(2).alias("s2")).where("n > 1")
+    same = Window.partitionBy("first_doc", F.shiftright("first_at", START_BITS), "n", "s1", "s2").orderBy(begin, "size")
+    reach = F.max(begin + F.col("size")).over(same.rowsBetween(Window.unboundedPreceding, -1))
+    sets = sets.withColumn("new", F.coalesce(begin > reach - length + 1, F.lit(True)).cast("int")).withColumn("end", begin + F.col("size"))
+    sets = sets.withColumn("chain", F.sum("new").over(same))
+    by = ["first_doc", F.shiftright("first_at", START_BITS).alias("m"), "n", "s1", "s2", "chain"]
+    groups = sets.groupBy(*by).agg(F.min_by(F.struct("repeat", "size"), begin).alias("head"), (F.max("end") - F.min(begin)).alias("long"))
+    groups = groups.select("head.repeat", "head.size", "long")
+    placed = found.select("repeat", "size", "doc_id", "at").distinct().join(groups, ["repeat", "size"]).select(F.xxhash64("repeat", "long").alias("repeat"), F.col("long").alias("size"), F.col("doc_id").alias("own"), mark.alias("mark"), start.alias("start"))
+    # All copies of a text have what the one that was searched has.
+    copies = signed.where(f"doc_id is not null and n_bytes >= {length}").select("sha", "doc_id", "n_bytes").distinct().join(first.select("sha", "first", "mark"), "sha")
+    parts = placed.join(copies.select(F.col("first").alias("own"), "mark", "doc_id"), ["own", "mark"]).select("repeat", F.lit("part").alias("kind"), "size", "doc_id", "start")
+    several = copies.groupBy("sha").agg(F.count("*").alias("n")).where("n > 1").select("sha")
+    whole = copies.join(several, "sha", "left_semi").select(F.xxhash64("sha").alias("repeat"), F.lit("text").alias("kind"), F.col("n_bytes").alias("size"), "doc_id", F.lit(0).cast("long").alias("start"))
+    return parts.union(whole)
+
+
+def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
+
+    Texts are UTF-8 bytes (null: empty). A byte goes if a string of ``length`` bytes over it starts earlier too: in a
+    smaller id, or before in the same text; texts of one id are in the order of their SHA-256, and rows that repeat both
+    id and text are one document. A row with a null id is compared with nothing and kept whole. Other columns are not
+    read. ``length`` is at least 64.
+    """
+    docs, signed = _signed(docs, id_col, text_col)
+    first = _scratch.stage(_first(signed, length), "first")
+    found = _occurrences(docs, first, length)
+    later = found.where("doc_id <> first_doc or at <> first_at")
+    spans = later.groupBy("doc_id", F.shiftright("at", START_BITS).alias("mark")).agg(F.collect_set(F.struct(F.col("at").bitwiseAND(_START).alias("start"), "size")).alias("spans"))
+    spans = _scratch.stage(spans, "spans")
+    _scratch.drop(found)
 
     cut = _among(docs.select("doc_id", "mark", "text"), spans.select("doc_id", "mark")).dropDuplicates(["doc_id", "mark"]).join(spans, ["doc_id", "mark"])
 

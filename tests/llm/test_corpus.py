@@ -127,9 +127,9 @@ def plain_dedup(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("rows_a_bucket", [20_000, 1])
+@pytest.mark.parametrize("rows_a_bucket", [4_000, 12])
 def test_suffix_dedup(spark, monkeypatch, rows_a_bucket):
-    """With one row a bucket, the aggregation by windows resolves what the suffix arrays do otherwise."""
+    """With few rows a bucket, anchors are dealt out again by windows, and those by one byte more at a time."""
     monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", rows_a_bucket)
     rng = random.Random(9)
     rows = [(i, t) for i, t, *_ in corpus()]
@@ -143,6 +143,42 @@ def test_suffix_dedup(spark, monkeypatch, rows_a_bucket):
     assert sum(r[1] for r in expected.values()) > 5000
 
 
+@pytest.mark.parametrize("rows_a_bucket", [4_000, 12])
+def test_repeat_groups(spark, monkeypatch, rows_a_bucket):
+    """Against all windows of all texts: each group has every place of its string, every repeated window lies in a
+    group at each of its places, and windows that share their places and follow each other are in one group."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", rows_a_bucket)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    shared = [word(n) for n in (130, 400, 900, 2000)]
+    texts = [word(40) + rng.choice(shared)[rng.randint(0, 90) :] + word(30) + (rng.choice(shared) if i % 3 else "") for i in range(24)]
+    texts += [texts[3], texts[3] + word(9), "xy" * 150, shared[2] + shared[1], None, word(50)]
+    docs = {i: (t or "").encode() for i, t in enumerate(texts)}
+    out = suffix_dedup.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    groups: dict = {}
+    for r in out:
+        groups.setdefault((r.kind, r.repeat, r.size), set()).add((r.doc_id, r.start))
+    assert {frozenset(d for d, _ in v) for (kind, *_), v in groups.items() if kind == "text"} == {frozenset([3, 24])}
+    groups = {k: v for k, v in groups.items() if k[0] == "part"}
+    places: dict = {}
+    for i, d in docs.items():
+        for k in range(len(d) - 99):
+            places.setdefault(d[k : k + 100], set()).add((i, k))
+    covered, shapes = set(), []
+    for (_, _, size), own in groups.items():
+        (string,) = {docs[i][k : k + size] for i, k in own}
+        assert len(string) == size and len(own) > 1
+        assert own == {(i, k) for i, k in places[string[:100]] if docs[i][k : k + size] == string}
+        covered |= {(i, k + s) for i, k in own for s in range(size - 99)}
+        i, k = min(own)
+        shapes.append((i, k, k + size, frozenset((j, x - k) for j, x in own)))
+    alone = {p for w in places.values() if len(w) == 2 and {i for i, _ in w} == {3, 24} for p in w}  # only in the copied text
+    assert {p for w in places.values() if len(w) > 1 for p in w} - alone <= covered
+    for a in shapes:
+        assert not any(b != a and b[0] == a[0] and b[3] == frozenset((j, x + a[1] - b[1]) for j, x in a[3]) and a[1] < b[1] <= a[2] - 99 for b in shapes)
+    assert max(size for _, _, size in groups) >= 1800
+
+
 def test_suffix_dedup_edges(spark):
     assert suffix_dedup.dedup(frame(spark, [])).count() == 0
     assert suffix_dedup.dedup(clashing(spark)).count() == len(corpus())
@@ -155,7 +191,10 @@ def test_maximal_repeats_and_intervals():
     assert sorted(suffix_dedup.intervals([1, 3, 3, 0, 2])) == [(1, 0, 3), (2, 4, 5), (3, 1, 3)]
     texts = [b"xx" + b"abcdefgh" * 10 + b"1", b"y" + b"abcdefgh" * 10 + b"2", b"z" + b"abcdefgh" * 9]
     data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
-    found = {(n, tuple(sorted(place[a : b + 1].tolist()))) for n, place, a, b in suffix_dedup.maximal_repeats(data, offsets, 70)}
+    place = np.concatenate([np.arange(a, b - 69) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+    end = offsets[np.searchsorted(offsets, place, side="right")]
+    before = np.where(np.isin(place, offsets), -1, data[place - 1].astype(int))
+    found = {(n, tuple(sorted(place[order[a : b + 1]].tolist()))) for n, order, a, b in suffix_dedup.maximal_repeats(data, place, end, before, np.zeros(len(place), bool), 70)}
     assert (80, (2, len(texts[0]) + 1)) in found
     for n, places in found:
         assert len({data[p : p + n].tobytes() for p in places}) == 1
