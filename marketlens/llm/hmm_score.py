@@ -253,15 +253,19 @@ def forward(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndar
     return out
 
 
-def expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions of whole texts, and their log probability; about ``most`` tokens at once."""
+def expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray, most: int = 1 << 19, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions of whole texts, and their log probability; about ``most`` tokens at once.
+
+    The recursions, whose numbers are scaled to 1, are in numbers of ``kind``; sums are in double precision.
+    """
     parts = segments(model, codes, begin, lengths)
     states, kinds = len(model.start), len(model.emit)
     starts, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((kinds, states)), 0.0
+    model = Model(model.start.astype(kind), model.move.astype(kind), model.emit.astype(kind))
     cuts = np.searchsorted(np.cumsum(parts.lengths), np.arange(most, parts.lengths.sum(), most))
     for own in np.split(np.arange(len(parts.row)), np.unique(cuts + 1)):
         if len(own):
-            a, b, c, d = _expect(model, codes, parts.begin[own], parts.lengths[own], parts.first[own], parts.prev[own], parts.after[own])
+            a, b, c, d = _expect(model, codes, parts.begin[own], parts.lengths[own], parts.first[own], parts.prev[own].astype(kind), parts.after[own].astype(kind))
             starts, move, emit, log = starts + a, move + b, emit + c, log + d
     return starts, move, emit, log
 
@@ -269,9 +273,9 @@ def expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarr
 def _expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray, first: np.ndarray, prev: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     order, active = _ragged(lengths)
     begin, first, prev, after = begin[order], first[order], prev[order], after[order]
-    states = len(model.start)
+    states, kind = len(model.start), model.start.dtype
     steps = np.concatenate([[0], np.cumsum(active)])
-    alphas, scales = np.empty((steps[-1], states)), np.empty(steps[-1])
+    alphas, scales = np.empty((steps[-1], states), kind), np.empty(steps[-1], kind)
     alpha = np.where(first[:, None], model.start, prev @ model.move)
     for t, n in enumerate(active.tolist()):
         alpha = (alpha[:n] @ model.move if t else alpha) * model.emit[codes[begin[:n] + t]]
@@ -280,7 +284,7 @@ def _expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndar
         alphas[steps[t] : steps[t + 1]], scales[steps[t] : steps[t + 1]] = alpha, scale
     move, starts = np.zeros((states, states)), np.zeros(states)
     gammas, kinds = np.empty_like(alphas), np.empty(steps[-1], dtype=np.int64)
-    beta = np.ones((0, states))
+    beta = np.ones((0, states), kind)
     for t in range(len(active) - 1, -1, -1):
         n, a, b = int(active[t]), steps[t], steps[t + 1]
         if (m := len(beta)) < n:  # rows whose last token this is
@@ -296,7 +300,7 @@ def _expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndar
             starts += gammas[a:b][first].sum(axis=0)
             move += prev[~first].T @ weighted[~first]
     emit = np.stack([np.bincount(kinds, weights=gammas[:, k], minlength=len(model.emit)) for k in range(states)], axis=1)
-    return starts, move * model.move, emit, float(np.log(scales).sum())
+    return starts, move * model.move, emit, float(np.log(scales.astype(np.float64)).sum())
 
 
 def _rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -355,11 +359,11 @@ def first_states(coded: DataFrame, classes: Classes, states: int, seed: int = 7)
     return emit / emit.sum(axis=0)
 
 
-def train(coded: DataFrame, classes: Classes, states: int = 16, parts: int = 6, rounds: int = 2, least_gain: float = 1e-3, seed: int = 7) -> Model:
+def train(coded: DataFrame, classes: Classes, states: int = 16, parts: int = 6, rounds: int = 1, least_gain: float = 1e-3, seed: int = 7) -> Model:
     """Baum-Welch over all rows of ``coded``.
 
     The first ``parts`` rounds take a part of the texts each (by hash, every text once), which brings the states near;
-    then up to ``rounds`` rounds take all texts, until one gains less than ``least_gain`` (natural log, a token).
+    then ``rounds`` rounds take all texts, or fewer if one gains less than ``least_gain`` (natural log, a token).
     """
     kinds = len(classes.unigram)
     rng = np.random.default_rng(seed)
@@ -372,7 +376,7 @@ def train(coded: DataFrame, classes: Classes, states: int = 16, parts: int = 6,
         shared = spark.sparkContext.broadcast(model)
 
         def counts(codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray, shared=shared) -> np.ndarray:
-            starts, moves, emits, log = expect(shared.value, codes, begin, lengths)
+            starts, moves, emits, log = expect(shared.value, codes, begin, lengths, kind=np.float32)
             return np.concatenate([starts, moves.ravel(), emits.ravel(), [log]])
 
         sums = _gather(coded.where(part == k) if k < parts else coded, states + states * states + kinds * states + 1, counts)
@@ -392,7 +396,7 @@ def train(coded: DataFrame, classes: Classes, states: int = 16, parts: int = 6,
     return model
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = 16, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = 16, rounds: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Rows where ``held_out`` is not true train the model; all are scored. Null text is the empty text: one token, the
