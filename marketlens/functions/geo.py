@@ -43,12 +43,12 @@ def hex_cell(lat: Column, lon: Column, size_km: float) -> Column:
 
 
 def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
-    """Even-odd test against a ring (array of struct lat, lon; closed by itself): crossings of a ray to greater lat."""
+    """Even-odd test against a ring (array of struct lat, lon; closed by itself): crossings of a ray to greater longitude."""
     nxt = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     edges = F.zip_with(ring, nxt, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     crosses = F.filter(
         edges,
-        lambda e: ((e["a"]["lon"] > lon) != (e["b"]["lon"] > lon)) & (lat < (e["b"]["lat"] - e["a"]["lat"]) * (lon - e["a"]["lon"]) / (e["b"]["lon"] - e["a"]["lon"]) + e["a"]["lat"]),
+        lambda e: ((e["a"]["lat"] > lat) != (e["b"]["lat"] > lat)) & (e["a"]["lon"] + (lat - e["a"]["lat"]) * (e["b"]["lon"] - e["a"]["lon"]) / (e["b"]["lat"] - e["a"]["lat"]) > lon),
     )
     return F.size(crosses) % 2 == 1
 

@@ -6,16 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def derived() -> dict[str, Column]:
-    """Features of a listing's columns; flags are 0, never missing."""
+def derived(year: int) -> dict[str, Column]:
+    """Features of a listing's columns in a year; flags are 0, never missing."""
     flag = lambda ok: F.coalesce(ok, F.lit(False)).cast("int")
-    age = F.when(F.col("year_built").isNotNull(), F.greatest(2001 - F.col("year_built"), F.lit(-5)))
+    age = F.when(F.col("year_built").isNotNull(), F.greatest(year - F.col("year_built"), F.lit(-5)))
     return {
         "floor_ratio": F.round(F.try_divide(F.col("floor").cast("double"), F.col("total_floors").cast("double")), 6),
         "is_first_floor": flag(F.col("floor") == 1),
         "is_last_floor": flag(F.col("floor") == F.col("total_floors")),
         "building_age": age,
-        "is_new_building": flag((F.col("category") == "novostroiki") | (age <= 2)),
+        "is_new_building": flag((F.col("category") == "novostroiki") | F.coalesce(age <= 1, F.lit(False)) | F.coalesce(F.col("user_type") == "complex", F.lit(False))),
         "is_panel_age": flag((F.col("building_type") == "panel") & F.col("year_built").between(1960, 1990)),
         "log_price": F.round(F.log1p(F.col("price").cast("double")), 6),
     }
@@ -41,6 +41,12 @@ def verdict(price: Column, low: Column, high: Column) -> Column:
     return F.when(price < low, "good").when(price > high, "high").when(price.isNotNull(), "fair")
 
 
+def verdict_by_share(price: Column, fair: Column, share: float = 0.1) -> Column:
+    """The verdict where only a point estimate is known: more than a share below or above it."""
+    off = F.try_divide(price - fair, fair)
+    return F.when(off < -share, "good").when(off > share, "high").when(off.isNotNull(), "fair")
+
+
 def deviation_pct(price: Column, fair: Column) -> Column:
     return F.bround(F.try_divide((price - fair) * 100.0, fair), 1)
 
@@ -55,9 +61,9 @@ def rounded(price: Column, deal: Column) -> Column:
 
 
 def scam_level(price: Column, low: Column, days: Column) -> Column:
-    """How far a price lies below the fair interval, the more so while it is new."""
-    below = F.try_divide((low - price) * 100.0, low)
-    return F.when(below >= 50, "high").when((below >= 30) & (days <= 3), "high").when(below >= 20, "medium").when(below.isNotNull(), "none")
+    """``high`` for a new listing (7 days) far below the fair interval (15 %), ``medium`` for any other below it, else null."""
+    below = F.when((low > 0) & (price != 0) & (price < low), (1 - price / low) * 100)
+    return F.when((below >= 15) & F.coalesce(days <= 7, F.lit(False)), "high").when(below.isNotNull(), "medium")
 
 
 def log_mean(a: Column, b: Column) -> Column:
@@ -71,10 +77,10 @@ def shard_label(district: Column, rooms: Column) -> Column:
 
 
 def deal_of(explicit: Column, price: Column, keys: Column, rent_keys: tuple[str, ...], sale_keys: tuple[str, ...], ceiling: int, floor: int) -> Column:
-    """The deal as stated; else by the price ceiling of rents, by the parameters, by the price floor of sales."""
+    """The deal as stated; else a price below the ceiling is a rent; then the parameters and the price floor of sales decide."""
     return (
         F.when(explicit.isin("sale", "rent"), explicit)
-        .when(price > ceiling, "sale")
+        .when(price < ceiling, "rent")
         .when(F.arrays_overlap(keys, F.array(*map(F.lit, rent_keys))), "rent")
         .when(F.arrays_overlap(keys, F.array(*map(F.lit, sale_keys))), "sale")
         .when(price < floor, "rent")

@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What stands before a complex's name, and what its parts are joined by.
+PREFIXES = ("жк", "жилой комплекс", "коттеджный городок", "кг", "мкр", "клубный дом", "complex")
+QUOTES = "\"'«»“”()\\[\\]"
+SEPARATORS = "\\s._\\-—–/#"
+
+
 def category(c: Column | str) -> Column:
     """Collapsed blanks, trimmed, lower case; missing and empty are 'unknown'."""
     c = F.col(c) if isinstance(c, str) else c
@@ -52,9 +58,9 @@ def latest_year(c: Column | str) -> Column:
 def complex_name(c: Column | str) -> Column:
     """Lower case, without quotes and prefixes, separators as single blanks."""
     c = F.lower(F.col(c) if isinstance(c, str) else c)
-    c = F.regexp_replace(c, r"[\"'«»()]", "")
-    c = F.regexp_replace(c, r"^(жк|complex)\s+", "")
-    return F.trim(F.regexp_replace(c, r"[\s#_-]+", " "))
+    c = F.regexp_replace(F.trim(c), "[" + QUOTES + "]", "")
+    c = F.regexp_replace(c, "^(" + "|".join(PREFIXES) + r")[\s.:]+", "")
+    return F.trim(F.regexp_replace(c, "[" + SEPARATORS + "]+", " "))
 
 
 def without_phase(c: Column) -> Column:

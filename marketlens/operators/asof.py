@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marketlens.operators.quantiles import summarise
+
 
 def moment(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
@@ -52,7 +54,9 @@ def weekly_trend(listings: DataFrame, history: DataFrame, now: str, weeks: int =
     rows = _each_week(rows, F.col("first_seen"), last + F.expr("interval 7 days"), now, weeks).select("id", "area", *keys, "t")
     prices = weekly_prices(history, now, weeks).alias("h")
     priced = rows.alias("l").join(prices, (F.col("l.id") == F.col("h.listing_id")) & (F.col("l.t") == F.col("h.t")), "left")
-    grouped = priced.groupBy(*keys, F.col("l.t").alias("t")).agg(F.count("*").alias("alive"), F.count("h.price").alias("n"), F.median(F.col("h.price") / F.col("area")).cast("long").alias("median_ppsm"))
+    flat = priced.select(*keys, F.col("l.t").alias("t"), "area", F.col("h.price").alias("paid"))
+    counts = [F.count("*").alias("alive"), F.count("paid").alias("n")]
+    grouped = summarise(flat, (*keys, "t"), counts, {"median_ppsm": F.col("paid") / F.col("area")}).withColumn("median_ppsm", F.col("median_ppsm").cast("long"))
     return grouped.where((F.col("alive") >= least) & (F.col("n") >= least)).select(*keys, "t", "median_ppsm", "n")
 
 

@@ -38,7 +38,8 @@ def params_frame(rows: DataFrame) -> DataFrame:
     m = text.params("raw_params")
     rows = rows.withColumn("_m", m)
     security = F.try_element_at(F.col("_m"), F.lit("flat.security"))
-    balcony = text.count_of(F.try_element_at(F.col("_m"), F.lit("balcony")))
+    balcony, loggia = (text.count_of(F.try_element_at(F.col("_m"), F.lit(k))) for k in ("balcony", "loggia"))
+    counted = F.when(balcony.isNotNull() | loggia.isNotNull(), F.format_string("b%d_l%d", F.coalesce(balcony, F.lit(-1)), F.coalesce(loggia, F.lit(-1))))
     return rows.select(
         "id",
         text.category(text.either(F.col("_m"), "flat.toilet", "flat.wc")).alias("toilet"),
@@ -46,13 +47,14 @@ def params_frame(rows: DataFrame) -> DataFrame:
         text.items_in(security).alias("security_items"),
         F.coalesce(security.contains("video"), F.lit(False)).cast("int").alias("has_video"),
         balcony.alias("balconies"),
-        F.when(text.category("building_type") == "unknown", F.format_string("b%d", F.coalesce(balcony, F.lit(0)))).otherwise(text.category("building_type")).alias("building"),
+        F.coalesce(counted, F.lit("unknown")).alias("balcony_kind"),
+        text.category("building_type").alias("building"),
         F.size(F.map_keys("_m")).alias("n_params"),
     )
 
 
-def feature_frame(rows: DataFrame) -> DataFrame:
-    return sanitized(rows).select("id", *(c.alias(k) for k, c in scoring.derived().items()))
+def feature_frame(rows: DataFrame, year: int) -> DataFrame:
+    return sanitized(rows).select("id", *(c.alias(k) for k, c in scoring.derived(year).items()))
 
 
 def new_listings(rows: DataFrame, alerted: DataFrame, now: str) -> DataFrame:
@@ -63,13 +65,16 @@ def new_listings(rows: DataFrame, alerted: DataFrame, now: str) -> DataFrame:
     return rows.where(recent).join(alerted, "id", "left_anti")
 
 
-def delist_guarded(rows: DataFrame, now: str, days: int = 3, most: float = 0.3) -> DataFrame:
-    """Active rows unseen for days are marked gone, unless that would be more than a share of all active ones."""
+def delist_guarded(rows: DataFrame, now: str, days: int = 3, most: float = 0.3, covered: bool = True) -> DataFrame:
+    """Active rows unseen for days are marked gone, unless that would be more than a share of all active ones.
+
+    Nothing is marked if the pass hasn't ``covered`` all shards.
+    """
     moment = F.lit(now).cast("timestamp_ntz")
     on = F.col("is_active") == 1
     gone = on & (F.col("last_seen") < moment - F.expr(f"interval {days} days"))
     share = rows.agg(F.try_divide(F.count_if(gone), F.count_if(on)).alias("_share"))
-    apply: Column = gone & (F.coalesce("_share", F.lit(0.0)) <= most)
+    apply: Column = F.lit(covered) & gone & (F.coalesce("_share", F.lit(0.0)) <= most)
     return rows.crossJoin(F.broadcast(share)).withColumn("gone", F.coalesce(apply, F.lit(False)))  # one row
 
 

@@ -7,9 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketlens.functions import geo, text
+from marketlens.operators.quantiles import summarise
 
-#: Rows of a reference table that a broadcast is taken for; larger ones go through the grid or a shuffle.
-BROADCAST_ROWS = 100_000
+
+def _cell(size_km: float) -> tuple[Column, Column]:
+    """The square of the local plane that a point (lat, lon) lies in."""
+    x, y = geo.project_km(F.col("lat"), F.col("lon"))
+    return F.floor(x / size_km).cast("long").alias("cx"), F.floor(y / size_km).cast("long").alias("cy")
+
+
+def _around(points: DataFrame, size_km: float) -> DataFrame:
+    """Each point in its cell and the eight around it."""
+    steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    placed = points.select("*", *_cell(size_km)).withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
+    return placed.withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")}).drop("dx", "dy")
 
 
 def latest(rows: DataFrame, key: str, value: str, *order: str, where: str = "true") -> DataFrame:
@@ -37,7 +48,7 @@ def fallback_levels(rows: DataFrame, reference: DataFrame, levels: tuple[tuple[s
     """
     columns = list(dict.fromkeys(c for level in levels for c in level))
     base = reference.select(*columns, value.alias("_v"))
-    sets = base.groupingSets([list(x) for x in levels], *columns).agg(F.grouping_id().alias("_g"), F.median("_v").alias("_m"), F.count("_v").alias("_n"))
+    sets = summarise(base, tuple(columns), [F.count("_v").alias("_n")], {"_m": F.col("_v")}, sets=[list(x) for x in levels]).withColumnRenamed("g", "_g")
     sets = sets.where((F.col("_n") >= least) | (F.col("_g") == (1 << len(columns)) - 1)).drop("_n")
     out = rows
     for i, level in enumerate(levels):
@@ -85,31 +96,61 @@ def neighbours(points: DataFrame, reference: DataFrame, k: int = 15, radius_km:
     return points.select("id").join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.when(F.col("n") >= least, F.col("m")), 4).alias("value"))
 
 
+#: Sides of the cells in which places are looked for, in km, one after another; the last is the whole plane.
+CELLS_KM = (2.0, 16.0, 128.0, 1e6)
+
+
 def nearest_places(points: DataFrame, places: DataFrame) -> DataFrame:
-    """Distance to the nearest place of each kind (kind, lat, lon; a fixed list, whose size is checked)."""
-    if (n := places.count()) > BROADCAST_ROWS:
-        raise ValueError(f"{n} places; this lookup takes a list of up to {BROADCAST_ROWS}")
+    """Distance to the nearest place of each kind (kind, lat, lon), for points within 5 degrees of the plane's latitude.
+
+    A place nearer than nine tenths of a cell's side lies in the nine cells around a point, so what is found that near
+    is the nearest. Only points that have none look further, in larger cells; both sides meet on cells.
+    """
     near = points.where("lat is not null and lon is not null").select("id", "lat", "lon")
-    pairs = near.crossJoin(F.broadcast(places.select("kind", F.col("lat").alias("plat"), F.col("lon").alias("plon"))))
-    return pairs.groupBy("id", "kind").agg(F.round(F.min(geo.plane_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))), 6).alias("km"))
+    wanted = near.join(F.broadcast(places.select("kind").distinct()))  # the kinds are a short list
+    places = places.select("kind", "lat", "lon")
+    out = None
+    for size in CELLS_KM:
+        spread = _around(places, size).toDF("kind", "plat", "plon", "cx", "cy")
+        met = wanted.select("*", *_cell(size)).join(spread, ["kind", "cx", "cy"])
+        km = geo.plane_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
+        found = met.groupBy("id", "kind").agg(F.min(km).alias("km")).where(F.col("km") <= 0.9 * size)
+        out = found if out is None else out.unionByName(found)
+        wanted = wanted.join(found.select("id", "kind"), ["id", "kind"], "left_anti")
+    return out.select("id", "kind", F.round("km", 6).alias("km"))
 
 
 def zone_of(points: DataFrame, zones: DataFrame) -> DataFrame:
-    """The first zone (by ord) whose outer rings hold the point and inner rings don't; the bounding box comes first."""
-    if (n := zones.count()) > BROADCAST_ROWS:
-        raise ValueError(f"{n} zones; this lookup takes a list of up to {BROADCAST_ROWS}")
+    """The first zone (by ord) whose outer rings hold the point and inner rings don't.
+
+    A zone is dealt to the cells, of a power of two of kilometres at least as long as its bounding box, that the box
+    touches: four at most. A point looks in its cell of each size that some zone has.
+    """
     flat = F.flatten("outer")
     lats, lons = F.transform(flat, lambda p: p["lat"]), F.transform(flat, lambda p: p["lon"])
     boxed = zones.select("ord", "name", "outer", "inner", F.array_min(lats).alias("lat0"), F.array_max(lats).alias("lat1"), F.array_min(lons).alias("lon0"), F.array_max(lons).alias("lon1"))
+    corner = lambda lat, lon: geo.project_km(F.col(lat), F.col(lon))
+    (x0, y0), (x1, y1) = corner("lat0", "lon0"), corner("lat1", "lon1")
+    boxed = boxed.withColumn("size", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(x1 - x0, y1 - y0, F.lit(1e-6))))))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / F.col("size")).cast("long"), F.floor(b / F.col("size")).cast("long")))
+    dealt = boxed.withColumn("cx", cells(x0, x1)).withColumn("cy", cells(y0, y1))
+    x, y = geo.project_km(F.col("lat"), F.col("lon"))
+    own = points.where("lat is not null and lon is not null").select("id", "lat", "lon").join(F.broadcast(boxed.select("size").distinct()))  # a few dozen sizes at most
+    own = own.withColumn("cx", F.floor(x / F.col("size")).cast("long")).withColumn("cy", F.floor(y / F.col("size")).cast("long"))
     box = (F.col("lat") >= F.col("lat0")) & (F.col("lat") <= F.col("lat1")) & (F.col("lon") >= F.col("lon0")) & (F.col("lon") <= F.col("lon1"))
     inside = geo.in_polygon(F.col("lat"), F.col("lon"), F.col("outer"), F.col("inner"))
-    hits = points.where("lat is not null and lon is not null").select("id", "lat", "lon").join(F.broadcast(boxed), box).where(inside)
+    hits = own.join(dealt, ["size", "cx", "cy"]).where(box).where(inside)
     return points.select("id").join(hits.groupBy("id").agg(F.min_by("name", "ord").alias("zone")), "id", "left")
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame, most_km: float = 1.2) -> DataFrame:
-    """The label of the nearest centroid (ord, label, lat, lon) within a distance; of equal ones the later."""
-    pairs = points.where("lat is not null and lon is not null").select("id", "lat", "lon").crossJoin(F.broadcast(centroids.select("ord", "label", F.col("lat").alias("clat"), F.col("lon").alias("clon"))))
+    """The label of the nearest centroid (ord, label, lat, lon) within a distance; of equal ones the later.
+
+    Points and centroids meet on cells a little longer than the distance (within 5 degrees of the plane's latitude).
+    """
+    size = 1.15 * most_km
+    spread = _around(centroids.select("ord", "label", "lat", "lon"), size).withColumnsRenamed({"lat": "clat", "lon": "clon"})
+    pairs = points.where("lat is not null and lon is not null").select("id", "lat", "lon", *_cell(size)).join(spread, ["cx", "cy"])
     km = F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), 9)
     best = pairs.withColumn("km", km).where(F.col("km") <= most_km).groupBy("id").agg(F.min_by("label", F.struct("km", -F.col("ord"))).alias("label"))
     return points.select("id").join(best, "id", "left")
@@ -180,18 +221,38 @@ def purge(train: DataFrame, test: DataFrame) -> DataFrame:
 def subscription_matches(listings: DataFrame, filters: DataFrame, sent: DataFrame, k: int = 5) -> DataFrame:
     """Up to k matches of each chat's filter that it hasn't got: best deviation first. A null field matches all.
 
-    Filters with a district are joined on it; the others, few by nature, are joined on conditions alone.
+    Chats with one filter are served together: of each distinct filter only the best k rows and as many more as one of
+    its chats has got can matter, so it keeps those. Listings meet filters on district and rooms, each of them also as
+    "any", never by conditions alone.
     """
-    rest = ((F.col("f.rooms").isNull()) | (F.col("f.rooms") == F.col("l.rooms"))) & (F.col("f.max_price").isNull() | (F.col("l.price") <= F.col("f.max_price")))
-    l_, f_ = listings.alias("l"), filters.alias("f")
-    placed = l_.join(f_.where("district is not null"), (F.col("l.district") == F.col("f.district")) & rest)
-    anywhere = l_.join(f_.where("district is null"), rest)
-    pick = lambda j: j.select(F.col("f.chat").alias("chat"), F.col("l.id").alias("id"), F.col("l.diff").alias("diff"))
-    hits = pick(placed).union(pick(anywhere)).join(sent, ["chat", "id"], "left_anti")
+    fields = ["district", "rooms", "max_price"]
+    got = filters.join(sent.groupBy("chat").agg(F.count("*").alias("_got")), "chat", "left")
+    distinct = got.groupBy(*fields).agg((F.coalesce(F.max("_got"), F.lit(0)) + k).alias("_most")).withColumn("_f", F.xxhash64(*fields))
+    any_of = lambda c: F.explode(F.array_distinct(F.array(F.col(c).cast("string"), F.lit(None).cast("string"))))
+    spread = listings.select("id", "price", "diff", any_of("district").alias("_d"), "rooms").withColumn("_r", any_of("rooms"))
+    same = F.col("_d").eqNullSafe(F.col("district")) & F.col("_r").eqNullSafe(F.col("_rooms"))
+    wanted = distinct.select("_f", "_most", "district", F.col("rooms").cast("string").alias("_rooms"), "max_price")
+    met = spread.drop("rooms").join(wanted, same).where(F.col("max_price").isNull() | (F.col("price") <= F.col("max_price")))
+    place = F.row_number().over(Window.partitionBy("_f").orderBy("diff", "id"))
+    best = met.withColumn("_p", place).where(F.col("_p") <= F.col("_most")).select("_f", "id", "diff")
+    hits = filters.select("chat", F.xxhash64(*fields).alias("_f")).join(best, "_f").select("chat", "id", "diff").join(sent, ["chat", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("chat").orderBy("diff", "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def validated(ids: DataFrame, cache: DataFrame, key: str, fingerprint: str, *columns: str) -> DataFrame:
+    """Cached columns of the ids whose fingerprint is still that of the cache; others have none of them."""
+    known = cache.select(key, F.col(fingerprint).alias("_h"), *columns)
+    return ids.join(known, (ids[key] == known[key]) & (ids[fingerprint] == known["_h"]), "left").select(ids[key], *(known[c] for c in columns))
+
+
+def pending(listings: DataFrame, cache: DataFrame, key: str, fingerprint: str) -> DataFrame:
+    """Listings that the cache lacks, or has with another fingerprint: active ones first, then the newest."""
+    known = cache.select(F.col(key).alias("_k"), F.col(fingerprint).alias("_h"))
+    rows = listings.join(known, F.col(key) == F.col("_k"), "left").where(F.col("_k").isNull() | ~F.col(fingerprint).eqNullSafe(F.col("_h")))
+    return rows.drop("_k", "_h").orderBy(F.desc("is_active"), F.desc(key))
+
+
 def paired(a: DataFrame, b: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     """Rows that both runs have with a valid value, and their difference."""
     x = a.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_a"))

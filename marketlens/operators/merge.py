@@ -90,8 +90,10 @@ def replace_by_key(rows: DataFrame, *key: str, order: tuple[str, ...]) -> DataFr
 
 
 def insert_or_ignore(stored: DataFrame, batch: DataFrame, *key: str) -> DataFrame:
-    """Stored rows and those of the batch with a new key (which comes once in it)."""
-    return stored.unionByName(batch.dropDuplicates(list(key)).join(stored.select(*key), list(key), "left_anti"))
+    """Stored rows and those of the batch with a new key; of rows with one key the least by its other columns counts."""
+    others = [c for c in batch.columns if c not in key]
+    once = batch.groupBy(*key).agg(F.min(F.struct(*others)).alias("_x")).select(*key, "_x.*").select(*batch.columns) if others else batch.distinct()
+    return stored.unionByName(once.join(stored.select(*key), list(key), "left_anti"))
 
 
 def streaks(rows: DataFrame, key: str, order: str, hit: Column) -> DataFrame:
@@ -103,10 +105,11 @@ def streaks(rows: DataFrame, key: str, order: str, hit: Column) -> DataFrame:
 
 
 def keep_last(rows: DataFrame, n: int, order: str, *key: str) -> DataFrame:
-    """The n rows of each key (or of all) that come last in order."""
+    """The n rows of each key (or of all) that come last in order; equal ones by their other columns, greatest first."""
+    by = [F.desc(order), *(F.desc(c) for c in rows.columns if c not in (order, *key))]
     if not key:
-        return rows.orderBy(F.desc(order)).limit(n)
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))
+        return rows.orderBy(*by).limit(n)
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*by))
     return rows.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
 
 
@@ -117,9 +120,14 @@ def initial_cohort(listings: DataFrame, days: int = 2) -> DataFrame:
     return listings.crossJoin(F.broadcast(first)).withColumn("first_seen_cohort", F.coalesce("first_seen_cohort", F.when(early, F.lit("initial")))).drop("_first")
 
 
-def gap_cohort(listings: DataFrame, start: str, stop: str) -> DataFrame:
-    """Mark rows first seen in [start, stop) with the gap's cohort where none is set; doing it again changes nothing."""
+def gap_cohort(listings: DataFrame, start: str, stop: str, expected: tuple[int, int] | None = None) -> DataFrame:
+    """Mark rows first seen in [start, stop) with the gap's cohort where none is set; doing it again changes nothing.
+
+    With ``expected`` the rows of the window, marked or not, are counted first; a number beyond it raises an error.
+    """
     within = (F.col("first_seen") >= F.lit(start).cast("timestamp_ntz")) & (F.col("first_seen") < F.lit(stop).cast("timestamp_ntz"))
+    if expected is not None and not expected[0] <= (n := listings.where(within).count()) <= expected[1]:
+        raise ValueError(f"{n} rows between {start} and {stop}; {expected[0]} to {expected[1]} are expected")
     return listings.withColumn("first_seen_cohort", F.coalesce("first_seen_cohort", F.when(within, F.lit(f"gap:{start[:10]}"))))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marketlens.operators.quantiles import summarise
+
 
 def shard_grid(districts: DataFrame, groups: tuple[str, ...] = ("1", "2", "3", "4+")) -> DataFrame:
     """Every district with every group of rooms (both lists are short)."""
@@ -66,11 +68,16 @@ def zero_details(runs: DataFrame) -> DataFrame:
 
 
 def data_gaps(runs: DataFrame, hours: float) -> DataFrame:
-    """Pauses between runs of more than some hours: of each hour only the first and last run are compared."""
+    """Pauses between runs of more than some hours.
+
+    Runs are put in slots of that length: a longer pause can't begin and end in one slot, so the first and last run of
+    each are enough, a row a slot.
+    """
+    length = int(hours * 3_600_000_000)
     micros = F.unix_micros(F.col("started_at").cast("timestamp"))
-    hourly = runs.groupBy(F.floor(micros / 3_600_000_000).alias("hour")).agg(F.min(micros).alias("first"), F.max(micros).alias("last"))
-    before = F.lag("last").over(Window.orderBy("hour"))
-    return hourly.withColumn("gap_start", before).where(F.col("first") - F.col("gap_start") > int(hours * 3_600_000_000)).select("gap_start", F.col("first").alias("gap_end"))
+    slots = runs.groupBy(F.floor(micros / length).alias("slot")).agg(F.min(micros).alias("first"), F.max(micros).alias("last"))
+    before = F.lag("last").over(Window.orderBy("slot"))
+    return slots.withColumn("gap_start", before).where(F.col("first") - F.col("gap_start") > length).select("gap_start", F.col("first").alias("gap_end"))
 
 
 def budget_split(shards: DataFrame, total: int, reserve: float = 0.1, least: int = 1) -> DataFrame:
@@ -155,8 +162,8 @@ def upper_median(rows: DataFrame, key: str, *values: str) -> DataFrame:
 
 def typical(rows: DataFrame, modes: tuple[str, ...], medians: tuple[str, ...]) -> DataFrame:
     """The commonest value (the smallest of equal ones) and the median of columns, in one row."""
-    aggs = [F.mode(c, True).alias(c) for c in modes] + [F.round(F.median(c), 4).alias(c) for c in medians]
-    return rows.agg(*aggs)
+    found = summarise(rows, (), [F.mode(c, True).alias(c) for c in modes], {c: F.col(c) for c in medians})
+    return found.select(*modes, *(F.round(c, 4).alias(c) for c in medians))
 
 
 def fill_typical(rows: DataFrame, values: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.operators.quantiles import summarise
+
 #: The edges of price bins in millions; the last upper bound is only that of the label's open end.
 SALE_BINS = (0, 20, 30, 40, 50, 60, 80, 100, 150, 250, 10_000)
 #: Weeks of a trend.
@@ -26,14 +28,15 @@ def active(listings: DataFrame) -> DataFrame:
 
 def totals(listings: DataFrame) -> DataFrame:
     """Count and medians of the active listings; zeros if there are none."""
-    whole = lambda c: F.coalesce(F.median(c).cast("long"), F.lit(0)).alias
-    return active(listings).agg(F.count("*").alias("total"), whole("price")("median_price"), whole("ppsm")("median_ppsm"))
+    found = summarise(active(listings), (), [F.count("*").alias("total")], {"median_price": F.col("price"), "median_ppsm": F.col("ppsm")})
+    return found.select("total", *(F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("median_price", "median_ppsm")))
 
 
 def by_group(listings: DataFrame, *keys: str) -> DataFrame:
     """Count and medians for each value of the keys; rows without a key value are left out."""
     rows = active(listings).dropna(subset=list(keys))
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.median("ppsm").cast("long").alias("median_ppsm"), F.median("price").cast("long").alias("median_price"))
+    found = summarise(rows, keys, [F.count("*").alias("n")], {"median_ppsm": F.col("ppsm"), "median_price": F.col("price")})
+    return found.withColumns({c: F.col(c).cast("long") for c in ("median_ppsm", "median_price")})
 
 
 def by_rooms(listings: DataFrame, most: int = 6) -> DataFrame:
@@ -61,7 +64,7 @@ def unit_price_histogram(listings: DataFrame, bins: int = 38) -> DataFrame:
     Bins are right-closed, the first also left-closed. If all prices are equal the bounds are 1 % around them.
     """
     rows = active(listings).select("ppsm")
-    q = rows.agg(F.percentile("ppsm", F.array(F.lit(0.01), F.lit(0.99))).alias("q"), F.min("ppsm").alias("a"), F.max("ppsm").alias("b"))
+    q = summarise(rows, (), [F.min("ppsm").alias("a"), F.max("ppsm").alias("b")], {"q": F.col("ppsm")}, at=(0.01, 0.99))
     flat = F.col("q")[1] <= F.col("q")[0]
     bounds = q.where("q is not null").select(F.when(flat, F.col("a") * 0.99).otherwise(F.col("q")[0]).alias("lo"), F.when(flat, F.col("b") * 1.01).otherwise(F.col("q")[1]).alias("hi"))
     placed = rows.crossJoin(F.broadcast(bounds)).withColumn("step", (F.col("hi") - F.col("lo")) / bins)  # one row
@@ -90,7 +93,7 @@ def target_maps(listings: DataFrame) -> DataFrame:
     """Median unit price by district, by microdistrict and over all, in one pass; a missing name is 'unknown'."""
     rows = listings.where("price > 0 and area > 0").select(*(F.coalesce(c, F.lit("unknown")).alias(c) for c in ("district", "microdistrict")), unit_price().alias("ppsm"))
     sets = [["district"], ["microdistrict"], []]
-    grouped = rows.groupingSets(sets, "district", "microdistrict").agg(F.grouping_id().alias("g"), F.median("ppsm").alias("m"))
+    grouped = summarise(rows, ("district", "microdistrict"), [], {"m": F.col("ppsm")}, sets=sets)
     level = F.when(F.col("g") == 1, "district").when(F.col("g") == 2, "microdistrict").otherwise("all")
     return grouped.select(level.alias("level"), F.coalesce("district", "microdistrict", F.lit("")).alias("name"), F.round("m", 4).alias("median_ppsm"))
 
@@ -111,7 +114,8 @@ def segment_medians(listings: DataFrame, year: int = 2001) -> DataFrame:
         "area_large": (F.col("area") >= 70) & (F.col("area") < 1000),
         "city": F.lit(True),
     }
-    wide = active(listings).agg(*(F.round(F.median(F.when(ok, p)), 4).alias(name) for name, ok in classes.items()))
+    found = summarise(active(listings), (), [], {name: F.when(ok, p) for name, ok in classes.items()})
+    wide = found.select(*(F.round(name, 4).alias(name) for name in classes))
     return wide.unpivot([], list(classes), "segment", "median_ppsm")
 
 
@@ -119,15 +123,15 @@ def summary(listings: DataFrame, now: str, days: int = 7) -> DataFrame:
     """Stock, flow of the last days and medians in one row."""
     since = F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {days} days")
     on = F.col("is_active") == 1
-    return listings.agg(
+    flow = [
         F.count("*").alias("total"),
         F.count_if(on).alias("active"),
         F.count_if(F.col("first_seen") >= since).alias("inflow"),
         F.count_if((F.col("delisted_at") >= since) & ~on).alias("outflow"),
         *(F.count_if(on & (F.col("rooms") == r)).alias(f"rooms_{r}") for r in (1, 2, 3)),
         F.count_if(on & (F.col("rooms") >= 4)).alias("rooms_4_up"),
-        F.median(F.when(on, F.col("price"))).cast("long").alias("median_price"),
-    )
+    ]
+    return summarise(listings, (), flow, {"median_price": F.when(on, F.col("price"))}).withColumn("median_price", F.col("median_price").cast("long"))
 
 
 def top_districts(listings: DataFrame, n: int = 5) -> DataFrame:
@@ -137,7 +141,7 @@ def top_districts(listings: DataFrame, n: int = 5) -> DataFrame:
 
 def rent_yield(rents: DataFrame, sales: DataFrame) -> DataFrame:
     """Medians of rents by district, and 12 * rent / price a unit in per cent where sales exist."""
-    per = lambda rows, name: active(rows).dropna(subset=["district"]).groupBy("district").agg(F.count("*").alias(f"n_{name}"), F.median("ppsm").alias(f"{name}_ppsm"))
+    per = lambda rows, name: summarise(active(rows).dropna(subset=["district"]), ("district",), [F.count("*").alias(f"n_{name}")], {f"{name}_ppsm": F.col("ppsm")})
     joined = per(rents, "rent").join(per(sales, "sale"), "district", "left")
     return joined.select("district", "n_rent", F.round("rent_ppsm", 4).alias("rent_ppsm"), F.round(F.try_divide(12 * F.col("rent_ppsm"), F.col("sale_ppsm")) * 100, 1).alias("gross_yield_pct"))
 
@@ -147,7 +151,7 @@ def recent_medians(listings: DataFrame, now: str, days: int = 60) -> DataFrame:
     since = F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {days} days")
     rows = listings.where((F.col("last_seen") >= since) & (F.col("price") > 0) & (F.col("area") > 0)).dropna(subset=["district"])
     rows = rows.select("district", F.least("rooms", F.lit(4)).alias("rooms"), unit_price().alias("ppsm"))
-    return rows.groupingSets([["district"], ["district", "rooms"]], "district", "rooms").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.median("ppsm").alias("ppsm"))
+    return summarise(rows, ("district", "rooms"), [F.count("*").alias("n")], {"ppsm": F.col("ppsm")}, sets=[["district"], ["district", "rooms"]])
 
 
 def district_yield(rents: DataFrame, sales: DataFrame, now: str, least: int = 30, days: int = 60) -> DataFrame:
@@ -174,7 +178,7 @@ def duration_medians(listings: DataFrame) -> DataFrame:
     days = lambda a, b: (F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))) / 86_400_000_000
     rows = listings.where("is_active = 0 and delisted_at is not null and first_seen_cohort is null").where((days("last_seen", "first_seen") >= 1) & (days("delisted_at", "last_seen") <= 7))
     rows = rows.select("district", "rooms", days("last_seen", "first_seen").alias("days"))
-    return rows.groupingSets([["district", "rooms"], ["district"], []], "district", "rooms").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.median("days").alias("days"))
+    return summarise(rows, ("district", "rooms"), [F.count("*").alias("n")], {"days": F.col("days")}, sets=[["district", "rooms"], ["district"], []])
 
 
 def liquidity(listings: DataFrame, least: int = 15, least_city: int = 30) -> DataFrame:

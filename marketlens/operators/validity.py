@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marketlens.operators.quantiles import exact_quantiles, summarise
+
 
 def canonical(c: Column | str) -> Column:
     """A category as text: whole numbers alike in any encoding, missing as '?'."""
@@ -53,8 +57,9 @@ def regression_metrics(rows: DataFrame, y: str, p: str, *keys: str) -> DataFrame
     e = F.abs(F.col(y) - F.col(p))
     valid = rows.where(F.col(y).isNotNull() & F.col(p).isNotNull() & (F.col(y) != 0))
     r2 = 1 - F.sum(F.pow(F.col(y) - F.col(p), 2)) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))
-    aggs = [F.count("*").alias("n"), F.round(F.avg(e), 4).alias("mae"), F.round(F.avg(e / F.col(y)) * 100, 4).alias("mape"), F.round(F.median(e / F.col(y)) * 100, 4).alias("mdape"), F.round(r2, 4).alias("r2")]
-    return valid.groupBy(*keys).agg(*aggs) if keys else valid.agg(*aggs)
+    aggs = [F.count("*").alias("n"), F.round(F.avg(e), 4).alias("mae"), F.round(F.avg(e / F.col(y)) * 100, 4).alias("mape"), F.round(r2, 4).alias("r2"), F.round(F.avg((F.col(p) - F.col(y)) / F.col(y)) * 100, 4).alias("bias")]
+    found = summarise(valid, keys, aggs, {"mdape": e / F.col(y)})
+    return found.select(*keys, "n", "mae", "mape", F.round(F.col("mdape") * 100, 4).alias("mdape"), "r2", "bias")
 
 
 def pinball(y: Column, q: Column, tau: float) -> Column:
@@ -65,10 +70,11 @@ def pinball(y: Column, q: Column, tau: float) -> Column:
 def interval_quality(rows: DataFrame, y: str, low: str, high: str, point: str, *keys: str) -> DataFrame:
     """Coverage, median relative width and pinball losses of intervals."""
     hit = F.col(y).between(F.col(low), F.col(high)).cast("int")
-    width = F.median(F.try_divide(F.col(high) - F.col(low), F.col(point)))
-    aggs = [F.count("*").alias("n"), F.round(F.avg(hit) * 100, 4).alias("coverage"), F.round(width * 100, 4).alias("width")]
+    width = F.try_divide(F.col(high) - F.col(low), F.col(point))
+    aggs = [F.count("*").alias("n"), F.round(F.avg(hit) * 100, 4).alias("coverage")]
     aggs += [F.round(F.avg(pinball(F.col(y), F.col(c), t)), 2).alias(f"pinball_{x}") for c, t, x in ((low, 0.1, "low"), (high, 0.9, "high"))]
-    return rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)
+    found = summarise(rows, keys, aggs, {"width": width})
+    return found.withColumn("width", F.round(F.col("width") * 100, 4))
 
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, reps: int = 400, least: int = 30, seed: int = 11, level: float = 0.95) -> DataFrame:
@@ -98,13 +104,9 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, reps: int = 400
 
 def conformal_scale(scores: DataFrame, cluster: str, score: str, coverage: float = 0.8, most: float = 10.0) -> DataFrame:
     """The score at rank ceil((n + 1) * coverage) of n clusters' (the 'higher' quantile of rows), within [0, most]."""
-    n = scores.agg(F.countDistinct(cluster).alias("k"), F.count("*").alias("n"))
-    level = F.least(F.ceil((F.col("k") + 1) * coverage) / F.col("k"), F.lit(1.0))
-    rank = F.ceil((F.col("n") - 1) * level) + 1
-    # Ranks come from counts of distinct scores, which are summed up in order.
-    counts = scores.groupBy(score).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(score)))
-    found = upto.crossJoin(F.broadcast(n.select(rank.alias("rank")))).where("upto >= rank").agg(F.min(score).alias("s"))
+    k = scores.agg(F.countDistinct(cluster).alias("k")).first().k  # one number
+    level = min(math.ceil((k + 1) * coverage) / k, 1.0) if k else 1.0
+    found = exact_quantiles(scores, (), {"s": F.col(score)}, (level,), higher=True).select(F.col("s")[0].alias("s"))
     return found.select(F.round(F.greatest(F.least("s", F.lit(most)), F.lit(0.0)), 6).alias("scale"))
 
 
@@ -133,7 +135,7 @@ def city_index(rows: DataFrame, cell: str, week: str, value: str, least: int = 8
     """Weekly median over a fixed basket: the cells with enough rows overall; the row without a week is over all."""
     basket = rows.groupBy(cell).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(cell)
     kept = rows.join(basket, cell, "left_semi")
-    return kept.groupBy(week).agg(F.median(value).alias("value")).unionByName(rows.agg(F.median(value).alias("value")).select(F.lit(None).cast(rows.schema[week].dataType).alias(week), "value"))
+    return summarise(kept, (week,), [], {"value": F.col(value)}).unionByName(summarise(rows, (), [], {"value": F.col(value)}).select(F.lit(None).cast(rows.schema[week].dataType).alias(week), "value"))
 
 
 def gate(new: DataFrame, old: DataFrame, mape: float = 0.5, coverage: tuple[float, float] = (75.0, 90.0)) -> DataFrame:

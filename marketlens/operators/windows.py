@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marketlens.operators.quantiles import summarise
+
 
 def price_clusters(rows: DataFrame, key: str = "fp", tolerance: float = 0.02) -> DataFrame:
     """A cluster number for the priced rows of each key: a new one where a price is over 2 % above the one before."""
@@ -40,15 +42,16 @@ def dedup_sizes(rows: DataFrame, key: str = "fp") -> DataFrame:
 
 
 def newest_streak(rows: DataFrame, key: str, order: str, hit: Column) -> DataFrame:
-    """For how many of its newest rows a key fulfils a condition without a break."""
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))))
-    miss = F.min(F.when(~F.coalesce(hit, F.lit(False)), F.col("_r")))
+    """For how many of its newest rows a key fulfils a condition without a break (of equally new ones a miss comes first)."""
+    hit = F.coalesce(hit, F.lit(False))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), hit)))
+    miss = F.min(F.when(~hit, F.col("_r")))
     return ranked.groupBy(key).agg((F.coalesce(miss, F.count("*") + 1) - 1).cast("long").alias("streak"))
 
 
 def rising(rows: DataFrame, key: str, order: str, value: str, steps: int = 3) -> DataFrame:
-    """Rows that end a run of so many rises in a row."""
-    run = Window.partitionBy(key).orderBy(order)
+    """Rows that end a run of so many rises in a row; equal moments are in the order of the value."""
+    run = Window.partitionBy(key).orderBy(order, value)
     ups = [F.lag(value, i).over(run) > F.lag(value, i + 1).over(run) for i in range(1, steps)]
     up = F.col(value) > F.lag(value).over(run)
     for more in ups:
@@ -149,7 +152,7 @@ def days_on_market(listings: DataFrame, now: str) -> DataFrame:
 
 def quintiles(rows: DataFrame, value: str) -> DataFrame:
     """1 to 5 by interpolated quantiles; equal values never part."""
-    cuts = rows.agg(F.percentile(value, F.array(*(F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)))).alias("_q"))
+    cuts = summarise(rows, (), [], {"_q": F.col(value)}, at=(0.2, 0.4, 0.6, 0.8))
     above = F.aggregate("_q", F.lit(1), lambda n, q: n + (F.col(value) > q).cast("int"))
     return rows.crossJoin(F.broadcast(cuts)).withColumn("quintile", F.when(F.col(value).isNotNull(), above)).drop("_q")
 

@@ -59,8 +59,8 @@ def _intervals(s, d):
 
 def _index_at(s, d):
     rows = L(s, d).where("price > 0 and area > 0")
-    week = rows.where("id % 9 = 0").groupBy(F.date_trunc("week", "first_seen").cast("timestamp_ntz").alias("week")).agg(F.count("*").cast("double").alias("value"))
-    index = week.where("value >= 3").unionByName(s.range(1).select(F.lit(None).cast("timestamp_ntz").alias("week"), F.lit(-1.0).alias("value")))
+    week = rows.groupBy(F.date_trunc("week", "first_seen").cast("timestamp_ntz").alias("week")).agg(F.count("*").cast("double").alias("value"))
+    index = week.where("value >= 8").unionByName(s.range(1).select(F.lit(None).cast("timestamp_ntz").alias("week"), F.lit(-1.0).alias("value")))
     return asof.index_at(index, rows.select(F.col("id").alias("key"), F.col("first_seen").alias("at")))
 
 
@@ -123,6 +123,6 @@ SELECT listing_id, version, price FROM v QUALIFY row_number() OVER (PARTITION BY
     "snapshots_kept": f"{_L} SELECT DISTINCT strftime(first_seen, '%Y-%m-%d') AS day FROM listing WHERE CAST(first_seen AS DATE) >= DATE '2001-08-02' - 60 OR dayofweek(first_seen) = 0",
     "asof_last_price": f"{_H} SELECT listing_id, price FROM history WHERE observed_at < TIMESTAMP '1999-06-01' QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY observed_at DESC, seq DESC) = 1",
     "asof_intervals": f"{_H} SELECT listing_id, price, strftime(observed_at, '%Y-%m-%d') AS valid_from, strftime(lead(observed_at) OVER (PARTITION BY listing_id ORDER BY observed_at, seq), '%Y-%m-%d') AS valid_to FROM history",
-    "asof_index": f"""{_L}, r AS (SELECT * FROM listing WHERE price > 0 AND area > 0), w AS (SELECT CAST(date_trunc('week', first_seen) AS TIMESTAMP) AS week, CAST(count(*) AS DOUBLE) AS value FROM r WHERE id % 9 = 0 GROUP BY 1 HAVING count(*) >= 3)
+    "asof_index": f"""{_L}, r AS (SELECT * FROM listing WHERE price > 0 AND area > 0), w AS (SELECT CAST(date_trunc('week', first_seen) AS TIMESTAMP) AS week, CAST(count(*) AS DOUBLE) AS value FROM r GROUP BY 1 HAVING count(*) >= 8)
 SELECT r.id AS key, coalesce(w.value, -1.0) AS value FROM r ASOF LEFT JOIN w ON date_trunc('week', r.first_seen) >= w.week""",
 }

@@ -20,9 +20,9 @@ def _sharded(s, d):
 _SHARDS = "shards AS (SELECT id AS listing_id, concat(deal, ' ', CAST(rooms AS VARCHAR)) AS shard FROM listing WHERE id % 5 > 0)"
 
 
-def _places(s, d, every: int = 500):
-    """A few listings stand for places of eight kinds."""
-    return L(s, d).where(f"id < 800 and id % 17 > 0 and id % {every} < 20").select(F.expr("cast(id % 8 as int)").alias("kind"), "lat", "lon")
+def _places(s, d):
+    """Suppliers stand for places of eight kinds."""
+    return t.read(s, d, "supplier").selectExpr("s_suppkey as ord", "concat('c', cast(s_suppkey as string)) as label", "cast(s_suppkey % 8 as int) as kind", "43.1e0 + cast(s_suppkey * 37 % 3000 as double) / 10000 as lat", "76.7e0 + cast(s_suppkey * 91 % 5000 as double) / 10000 as lon")
 
 
 def _squares(s):
@@ -42,15 +42,15 @@ _EAST = f"({_IN.format(a='43.20005e0', b='76.94005e0', c='43.30005e0', e='77.050
 
 def _baseline(s, d):
     rows = L(s, d)
-    reference = rows.where("price > 0 and area > 0 and id % 4 = 0")
-    out = joins.fallback_levels(rows.where("id % 4 = 1 and area > 0"), reference, (("district", "rooms"), ("district",), ()), F.col("price") / F.col("area"))
+    reference = rows.where("price > 0 and area > 0")
+    out = joins.fallback_levels(rows.where("area > 0"), reference, (("district", "rooms"), ("district",), ()), F.col("price") / F.col("area"))
     return out.select("id", F.round(F.col("value") * F.col("area"), 4).alias("baseline"), "level")
 
 
 def _ppsm_fallback(s, d):
     rows = L(s, d)
-    reference = rows.where("price > 0 and area > 0 and id % 40 = 0")
-    out = joins.fallback_levels(rows.where("id % 3 = 1"), reference, (("microdistrict",), ("district",), ()), F.col("price") / F.col("area"))
+    reference = rows.where("price > 0 and area > 0 and deal = 'rent'")
+    out = joins.fallback_levels(rows, reference, (("microdistrict",), ("district",), ()), F.col("price") / F.col("area"))
     return out.select("id", F.round("value", 4).alias("value"), "level")
 
 
@@ -66,7 +66,7 @@ def _complex_lookup(s, d):
 
 def _knn(s, d):
     rows = L(s, d).where("price > 0 and area > 0").withColumn("value", F.col("price") / F.col("area"))
-    return joins.neighbours(L(s, d).where("id % 6 = 0"), rows.where("id % 2 = 0"))
+    return joins.neighbours(L(s, d), rows)
 
 
 def _subscriptions(s, d):
@@ -83,7 +83,7 @@ def _fp(s, d):
 
 def _hex(s, d):
     rows = L(s, d).withColumns({f"cell_{k}": geo.hex_cell(F.col("lat"), F.col("lon"), size) for k, size in (("fine", 0.8), ("coarse", 2.0))})
-    out = joins.fallback_levels(rows.where("id % 3 = 0"), rows.where("price > 0 and area > 0 and id % 3 > 0"), (("cell_fine",), ("cell_coarse",), ("district",), ()), F.col("price") / F.col("area"), 8)
+    out = joins.fallback_levels(rows, rows.where("price > 0 and area > 0"), (("cell_fine",), ("cell_coarse",), ("district",), ()), F.col("price") / F.col("area"), 8)
     return out.select("id", F.round("value", 4).alias("value"), "level")
 
 
@@ -113,27 +113,27 @@ QUERIES = {
     "join_unit_price_fallback": _ppsm_fallback,
     "join_complex_lookup": _complex_lookup,
     "join_neighbours": _knn,
-    "join_nearest_places": lambda s, d: joins.nearest_places(L(s, d).where("id % 10 = 3"), _places(s, d)),
+    "join_nearest_places": lambda s, d: joins.nearest_places(L(s, d), _places(s, d)),
     "join_zone": lambda s, d: joins.zone_of(L(s, d), _squares(s)),
     "join_zone_label": lambda s, d: joins.majority_label(L(s, d).withColumn("label", F.expr("case when id % 5 < 4 then 'a' else 'b' end")), _squares(s)),
-    "join_nearest_centroid": lambda s, d: joins.nearest_centroid(L(s, d).where("id % 10 = 4"), L(s, d).where("id < 800 and id % 17 > 0 and id % 500 < 20").select(F.col("id").alias("ord"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("label"), "lat", "lon"), 3.0),
-    "join_analogues": lambda s, d: joins.analogues(L(s, d).where("id % 25 = 2"), L(s, d)),
+    "join_nearest_centroid": lambda s, d: joins.nearest_centroid(L(s, d), _places(s, d), 3.0),
+    "join_analogues": lambda s, d: joins.analogues(L(s, d), L(s, d)),
     "join_duplicates": lambda s, d: joins.duplicates(L(s, d).withColumns({"lat": F.lit(43.2), "lon": F.lit(76.9), "floor": F.lit(1), "total_floors": F.lit(9)})),
     "join_pin_counts": lambda s, d: joins.pin_counts(L(s, d), 2, 2),
-    "join_purge": lambda s, d: joins.purge(_fp(s, d).where("id % 3 = 0"), _fp(s, d).where("id % 3 = 1 and id < 3000")).select("id"),
+    "join_purge": lambda s, d: joins.purge(_fp(s, d).where("first_seen <= '2001-06-01'"), _fp(s, d).where("first_seen > '2001-06-01'")).select("id"),
     "join_subscriptions": _subscriptions,
     "join_paired": lambda s, d: joins.paired(P(s, d).where("seq % 2 = 0").groupBy("listing_id").agg(F.max("fair_price").alias("v")), P(s, d).where("seq % 2 = 1").groupBy("listing_id").agg(F.max("fair_price").alias("v")), ("listing_id",), "v"),
 }
 
 _X, _Y = "lon * (111.32e0 * cos(radians(43.25e0)))", "lat * 111.32e0"
-_PLACES = "id < 800 AND id % 17 > 0 AND id % 500 < 20"
+_PLACES = "SELECT s_suppkey AS ord, concat('c', CAST(s_suppkey AS VARCHAR)) AS label, CAST(s_suppkey % 8 AS INTEGER) AS kind, 43.1e0 + CAST(s_suppkey * 37 % 3000 AS DOUBLE) / 10000 AS plat, 76.7e0 + CAST(s_suppkey * 91 % 5000 AS DOUBLE) / 10000 AS plon FROM supplier"
 _HEX_OF = """{p}0 AS (SELECT id, (lon * (111.32e0 * cos(radians(43.25e0))) * 1.7320508075688772e0 / 3 - lat * 111.32e0 / 3) / {size} AS q, lat * 111.32e0 * 2 / 3 / {size} AS r FROM listing WHERE lat IS NOT NULL), {p}1 AS (SELECT *, floor(q + 0.5e0) AS rq, floor(r + 0.5e0) AS rr, floor(-q - r + 0.5e0) AS rs FROM {p}0),
 {p}2 AS (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs + q + r) AS ds FROM {p}1), {p} AS (SELECT id, concat(CAST(CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS VARCHAR), ':', CAST(CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS VARCHAR)) AS cell FROM {p}2)"""
 _FPSQL = "f AS (SELECT id, first_seen, CASE WHEN area IS NOT NULL THEN concat_ws('|', district, CAST(rooms AS VARCHAR), CAST(CAST(area AS INTEGER) AS VARCHAR)) END AS fp FROM listing)"
 ORACLES = {
-    "join_hex_fallback": f"""{_L}, {_HEX_OF.format(p='hf', size='0.8e0')}, {_HEX_OF.format(p='hc', size='2.0e0')}, x AS (SELECT l.id, hf.cell AS cf, hc.cell AS cc, district, price / area AS v, price > 0 AND area > 0 AND l.id % 3 > 0 AS ref FROM listing l LEFT JOIN hf ON hf.id = l.id LEFT JOIN hc ON hc.id = l.id),
+    "join_hex_fallback": f"""{_L}, {_HEX_OF.format(p='hf', size='0.8e0')}, {_HEX_OF.format(p='hc', size='2.0e0')}, x AS (SELECT l.id, hf.cell AS cf, hc.cell AS cc, district, price / area AS v, price > 0 AND area > 0 AS ref FROM listing l LEFT JOIN hf ON hf.id = l.id LEFT JOIN hc ON hc.id = l.id),
 a AS (SELECT cf, median(v) AS m FROM x WHERE ref GROUP BY 1 HAVING count(*) >= 8), b AS (SELECT cc, median(v) AS m FROM x WHERE ref GROUP BY 1 HAVING count(*) >= 8), c AS (SELECT district, median(v) AS m FROM x WHERE ref GROUP BY 1 HAVING count(*) >= 8), g AS (SELECT median(v) AS m FROM x WHERE ref)
-SELECT x.id, round(coalesce(a.m, b.m, c.m, g.m), 4) AS value, CASE WHEN a.m IS NOT NULL THEN 0 WHEN b.m IS NOT NULL THEN 1 WHEN c.m IS NOT NULL THEN 2 ELSE 3 END AS level FROM x LEFT JOIN a ON a.cf = x.cf LEFT JOIN b ON b.cc = x.cc LEFT JOIN c ON c.district = x.district CROSS JOIN g WHERE x.id % 3 = 0""",
+SELECT x.id, round(coalesce(a.m, b.m, c.m, g.m), 4) AS value, CASE WHEN a.m IS NOT NULL THEN 0 WHEN b.m IS NOT NULL THEN 1 WHEN c.m IS NOT NULL THEN 2 ELSE 3 END AS level FROM x LEFT JOIN a ON a.cf = x.cf LEFT JOIN b ON b.cc = x.cc LEFT JOIN c ON c.district = x.district CROSS JOIN g""",
     "join_unseen": f"{_L}, {_FPSQL} SELECT id FROM f WHERE first_seen > TIMESTAMP '2001-03-01' AND (fp IS NULL OR fp NOT IN (SELECT fp FROM f WHERE first_seen <= TIMESTAMP '2001-03-01' AND fp IS NOT NULL))",
     "join_either_source": f"""{_L}, s AS (SELECT *, price < 3000000 AS is_rent FROM listing WHERE deal = 'sale' OR id % 2 = 0), r AS (SELECT * FROM listing WHERE deal = 'rent' OR id % 3 = 0)
 SELECT l.id, CASE WHEN s.id IS NOT NULL AND NOT coalesce(s.is_rent, FALSE) THEN s.price ELSE r.price END AS price, CASE WHEN s.id IS NOT NULL AND NOT coalesce(s.is_rent, FALSE) THEN s.district ELSE r.district END AS district, CASE WHEN s.id IS NOT NULL AND NOT coalesce(s.is_rent, FALSE) THEN 'sale' WHEN r.id IS NOT NULL THEN 'rent' ELSE 'none' END AS source
@@ -145,33 +145,33 @@ FROM listing l LEFT JOIN s ON s.id = l.id LEFT JOIN r ON r.id = l.id""",
     "join_latest_stock": f"{t.sql('run')} SELECT shard, arg_max(stock, run_id) AS stock FROM run WHERE stock > 0 GROUP BY shard",
     "join_unattributed": f"{_L}, {_SHARDS} SELECT id FROM listing WHERE is_active = 1 AND title IS NULL AND id NOT IN (SELECT listing_id FROM shards)",
     "join_backlog": f"{_L}, {_SHARDS} SELECT shard, count(*) AS n FROM listing JOIN shards ON id = listing_id WHERE is_active = 1 AND title IS NULL GROUP BY shard",
-    "join_baseline": f"""{_L}, r AS (SELECT district, rooms, price / area AS v FROM listing WHERE price > 0 AND area > 0 AND id % 4 = 0), a AS (SELECT district, rooms, median(v) AS m FROM r GROUP BY 1, 2), b AS (SELECT district, median(v) AS m FROM r GROUP BY 1), c AS (SELECT median(v) AS m FROM r)
-SELECT id, round(coalesce(a.m, b.m, c.m) * area, 4) AS baseline, CASE WHEN a.m IS NOT NULL THEN 0 WHEN b.m IS NOT NULL THEN 1 ELSE 2 END AS level FROM listing l LEFT JOIN a ON l.district = a.district AND l.rooms = a.rooms LEFT JOIN b ON l.district = b.district CROSS JOIN c WHERE id % 4 = 1 AND area > 0""",
-    "join_unit_price_fallback": f"""{_L}, r AS (SELECT microdistrict, district, price / area AS v FROM listing WHERE price > 0 AND area > 0 AND id % 40 = 0), a AS (SELECT microdistrict, median(v) AS m FROM r GROUP BY 1), b AS (SELECT district, median(v) AS m FROM r GROUP BY 1), c AS (SELECT median(v) AS m FROM r)
-SELECT id, round(coalesce(a.m, b.m, c.m), 4) AS value, CASE WHEN a.m IS NOT NULL THEN 0 WHEN b.m IS NOT NULL THEN 1 ELSE 2 END AS level FROM listing l LEFT JOIN a ON l.microdistrict = a.microdistrict LEFT JOIN b ON l.district = b.district CROSS JOIN c WHERE id % 3 = 1""",
-    "join_complex_lookup": f"""{_L}, n AS (SELECT c_custkey AS complex_id, trim(regexp_replace(regexp_replace(lower(c_name), '["''«»()]', '', 'g'), '[\\s#_-]+', ' ', 'g')) AS k, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS score, c_mktsegment AS kind FROM customer WHERE c_custkey % 3 > 0),
+    "join_baseline": f"""{_L}, r AS (SELECT district, rooms, price / area AS v FROM listing WHERE price > 0 AND area > 0), a AS (SELECT district, rooms, median(v) AS m FROM r GROUP BY 1, 2), b AS (SELECT district, median(v) AS m FROM r GROUP BY 1), c AS (SELECT median(v) AS m FROM r)
+SELECT id, round(coalesce(a.m, b.m, c.m) * area, 4) AS baseline, CASE WHEN a.m IS NOT NULL THEN 0 WHEN b.m IS NOT NULL THEN 1 ELSE 2 END AS level FROM listing l LEFT JOIN a ON l.district = a.district AND l.rooms = a.rooms LEFT JOIN b ON l.district = b.district CROSS JOIN c WHERE area > 0""",
+    "join_unit_price_fallback": f"""{_L}, r AS (SELECT microdistrict, district, price / area AS v FROM listing WHERE price > 0 AND area > 0 AND deal = 'rent'), a AS (SELECT microdistrict, median(v) AS m FROM r GROUP BY 1), b AS (SELECT district, median(v) AS m FROM r GROUP BY 1), c AS (SELECT median(v) AS m FROM r)
+SELECT id, round(coalesce(a.m, b.m, c.m), 4) AS value, CASE WHEN a.m IS NOT NULL THEN 0 WHEN b.m IS NOT NULL THEN 1 ELSE 2 END AS level FROM listing l LEFT JOIN a ON l.microdistrict = a.microdistrict LEFT JOIN b ON l.district = b.district CROSS JOIN c""",
+    "join_complex_lookup": f"""{_L}, n AS (SELECT c_custkey AS complex_id, trim(regexp_replace(regexp_replace(lower(c_name), '["''«»()]', '', 'g'), '[\\s#_/.-]+', ' ', 'g')) AS k, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS score, c_mktsegment AS kind FROM customer WHERE c_custkey % 3 > 0),
 r AS (SELECT id, concat('Complex ', replace(complex_name, '#', '-'), CASE WHEN id % 2 = 0 THEN ' phase 2' ELSE '' END) AS complex_name FROM listing WHERE complex_name IS NOT NULL),
-k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(complex_name), '^(жк|complex)\\s+', ''), '[\\s#_-]+', ' ', 'g')) AS k1 FROM r), kk AS (SELECT *, trim(regexp_replace(k1, '\\s+(?:phase\\s*)?\\d+$', '')) AS k2 FROM k)
+k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(complex_name), '^(жк|complex)\\s+', ''), '[\\s#_/.-]+', ' ', 'g')) AS k1 FROM r), kk AS (SELECT *, trim(regexp_replace(k1, '\\s+(?:phase\\s*)?\\d+$', '')) AS k2 FROM k)
 SELECT id, complex_name, CASE WHEN a.k IS NOT NULL THEN a.score ELSE b.score END AS complex_score, CASE WHEN a.k IS NOT NULL THEN a.kind ELSE b.kind END AS complex_kind FROM kk LEFT JOIN n a ON a.k = k1 LEFT JOIN n b ON b.k = k2""",
-    "join_neighbours": f"""{_L}, p AS (SELECT id, {_X} AS x, {_Y} AS y FROM listing WHERE id % 6 = 0), r AS (SELECT id, {_X} AS x, {_Y} AS y, price / area AS v FROM listing WHERE price > 0 AND area > 0 AND id % 2 = 0 AND lat IS NOT NULL),
+    "join_neighbours": f"""{_L}, p AS (SELECT id, {_X} AS x, {_Y} AS y FROM listing), r AS (SELECT id, {_X} AS x, {_Y} AS y, price / area AS v FROM listing WHERE price > 0 AND area > 0 AND lat IS NOT NULL),
 n AS (SELECT p.id, r.v, row_number() OVER (PARTITION BY p.id ORDER BY sqrt(pow(r.x - p.x, 2) + pow(r.y - p.y, 2)), r.id) AS k FROM p JOIN r ON p.id <> r.id AND pow(r.x - p.x, 2) + pow(r.y - p.y, 2) <= 1),
 m AS (SELECT id, count(*) AS n, median(v) AS v FROM n WHERE k <= 15 GROUP BY id) SELECT p.id, coalesce(n, 0) AS n, round(CASE WHEN n >= 3 THEN v END, 4) AS value FROM p LEFT JOIN m USING (id)""",
-    "join_nearest_places": f"""{_L}, k AS (SELECT CAST(id % 8 AS INTEGER) AS kind, lat AS plat, lon AS plon FROM listing WHERE {_PLACES})
-SELECT id, kind, round(min(sqrt(pow((plon - lon) * 111.32e0 * cos(radians((lat + plat) / 2)), 2) + pow((plat - lat) * 111.32e0, 2))), 6) AS km FROM listing, k WHERE id % 10 = 3 AND lat IS NOT NULL GROUP BY 1, 2""",
+    "join_nearest_places": f"""{_L}, k AS ({_PLACES})
+SELECT id, kind, round(min(sqrt(pow((plon - lon) * 111.32e0 * cos(radians((lat + plat) / 2)), 2) + pow((plat - lat) * 111.32e0, 2))), 6) AS km FROM listing, k WHERE lat IS NOT NULL GROUP BY 1, 2""",
     "join_zone": f"{_L} SELECT id, CASE WHEN {_WEST} THEN 'west' WHEN {_EAST} THEN 'east' END AS zone FROM listing",
     "join_zone_label": f"""{_L}, z AS (SELECT CASE WHEN {_WEST} THEN 'west' WHEN {_EAST} THEN 'east' END AS zone, CASE WHEN id % 5 < 4 THEN 'a' ELSE 'b' END AS label FROM listing), c AS (SELECT zone, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY zone) AS total FROM z WHERE zone IS NOT NULL GROUP BY 1, 2)
 SELECT zone, label, n FROM c WHERE n >= 0.6e0 * total AND total >= 3""",
-    "join_nearest_centroid": f"""{_L}, c AS (SELECT id AS ord, concat('c', CAST(id AS VARCHAR)) AS label, lat AS clat, lon AS clon FROM listing WHERE {_PLACES}), p AS (SELECT id, lat, lon FROM listing WHERE id % 10 = 4),
+    "join_nearest_centroid": f"""{_L}, c AS (SELECT ord, label, plat AS clat, plon AS clon FROM ({_PLACES})), p AS (SELECT id, lat, lon FROM listing),
 k AS (SELECT id, ord, label, round(2 * 6371.0e0 * asin(sqrt(pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2))), 9) AS km FROM p, c)
 SELECT p.id, b.label FROM p LEFT JOIN (SELECT id, label FROM k WHERE km <= 3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, ord DESC) = 1) b USING (id)""",
     "join_analogues": f"""{_L}, m AS (SELECT a.id, b.id AS analogue, CASE WHEN a.district = b.district THEN 1 ELSE 0 END AS same_district,
   round(sqrt(pow((b.area - a.area) / (a.area * 0.25e0), 2) + 0.5e0 * coalesce(pow((b.floor - a.floor) / 5.0e0, 2), 2.25e0) + 0.5e0 * coalesce(pow((b.year_built - a.year_built) / 10.0e0, 2), 2.25e0)), 6) AS distance
-  FROM listing a JOIN listing b ON a.rooms = b.rooms AND a.id <> b.id AND b.area BETWEEN a.area * 0.75e0 AND a.area * 1.25e0 WHERE a.id % 25 = 2 AND a.area > 0 AND b.is_active = 1 AND b.price > 0)
+  FROM listing a JOIN listing b ON a.rooms = b.rooms AND a.id <> b.id AND b.area BETWEEN a.area * 0.75e0 AND a.area * 1.25e0 WHERE a.area > 0 AND b.is_active = 1 AND b.price > 0)
 SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY same_district DESC, distance, analogue) AS INTEGER) AS rank FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY same_district DESC, distance, analogue) <= 5""",
     "join_duplicates": f"""{_L}, f AS (SELECT concat_ws('|', coalesce(district, ''), CAST(rooms AS VARCHAR), CAST(area * 2 AS VARCHAR)) AS fp, id, is_active, last_seen FROM listing WHERE area IS NOT NULL)
 SELECT a.id, b.id AS duplicate FROM f a JOIN f b ON a.fp = b.fp AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.is_active DESC, b.last_seen DESC, b.id) = 1""",
     "join_pin_counts": f"""{_L}, k AS (SELECT id, count(*) OVER (PARTITION BY CAST(round(lat * 100) AS BIGINT), CAST(round(lon * 100) AS BIGINT)) - 1 AS others FROM listing WHERE lat IS NOT NULL AND lon IS NOT NULL) SELECT id, others, CASE WHEN others >= 2 THEN 1 ELSE 0 END AS coords_approx FROM k""",
-    "join_purge": f"{_L}, f AS (SELECT id, CASE WHEN area IS NOT NULL THEN concat_ws('|', district, CAST(rooms AS VARCHAR), CAST(CAST(area AS INTEGER) AS VARCHAR)) END AS fp FROM listing) SELECT id FROM f WHERE id % 3 = 0 AND (fp IS NULL OR fp NOT IN (SELECT fp FROM f WHERE id % 3 = 1 AND id < 3000 AND fp IS NOT NULL))",
+    "join_purge": f"{_L}, {_FPSQL} SELECT id FROM f WHERE first_seen <= TIMESTAMP '2001-06-01' AND (fp IS NULL OR fp NOT IN (SELECT fp FROM f WHERE first_seen > TIMESTAMP '2001-06-01' AND fp IS NOT NULL))",
     "join_subscriptions": f"""{t.sql("listing", "history")}, f AS (SELECT s_suppkey AS chat, CASE WHEN s_suppkey % 5 > 0 THEN n_name END AS district, CASE WHEN s_suppkey % 3 > 0 THEN 1 + s_suppkey % 6 END AS rooms, CASE WHEN s_suppkey % 2 = 0 THEN 20000000 END AS max_price FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 h AS (SELECT f.chat, l.id, l.price % 101 AS diff FROM listing l JOIN f ON (f.district IS NULL OR f.district = l.district) AND (f.rooms IS NULL OR f.rooms = l.rooms) AND (f.max_price IS NULL OR l.price <= f.max_price) WHERE l.is_active = 1 AND l.price > 0 AND NOT EXISTS (SELECT 1 FROM history x WHERE x.listing_id = l.id AND x.seq % 100 = f.chat))
 SELECT chat, id, diff, CAST(row_number() OVER (PARTITION BY chat ORDER BY diff, id) AS INTEGER) AS rank FROM h QUALIFY row_number() OVER (PARTITION BY chat ORDER BY diff, id) <= 5""",

@@ -36,14 +36,14 @@ def _delivered(s, d):
 
 
 def _contributions(s, d):
-    rows = t.read(s, d, "lineitem").where("l_orderkey < 500").groupBy(F.col("l_orderkey").alias("id"), F.concat(F.lit("f"), (F.col("l_partkey") % 7).cast("string")).alias("feature")).agg(F.sum(F.expr("cast(l_quantity as long) - 25")).alias("value"))
+    rows = t.read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.concat(F.lit("f"), (F.col("l_partkey") % 7).cast("string")).alias("feature")).agg(F.sum(F.expr("cast(l_quantity as long) - 25")).alias("value"))
     groups = s.createDataFrame([("f0", "place"), ("f1", "place"), ("f2", "house")], "feature string, group string")
     return p.fold_contributions(rows, groups)
 
 
 def _replies(s, d):
     e = t.read(s, d, "events").select((F.col("event_id") % 7000).alias("id"), F.array("event_type", F.lit("other")).alias("flags")).where("id % 3 > 0")
-    return p.valid_replies(e.where("id < 650 or id > 690").dropDuplicates(["id", "flags"]), L(s, d).where("id < 6000").select("id"), ("view", "click", "error")).select("id", F.array_join("flags", ",").alias("flags"))
+    return p.valid_replies(e.where("id < 650 or id > 690").dropDuplicates(["id", "flags"]), L(s, d).select("id"), ("view", "click", "error")).select("id", F.array_join("flags", ",").alias("flags"))
 
 
 def _filled(s, d):
@@ -97,7 +97,7 @@ SELECT shard, round(greatest(median(search_seconds / requests - 4), 0.1e0), 4) A
     "plan_cap_hits": f"{_R}, k AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY run_id DESC) AS r FROM run) SELECT shard, count(*) FILTER (quota >= 10 AND backlog > 0) AS hits, count(*) FILTER (quota >= 10 AND backlog > 0) = 3 AS alarm FROM k WHERE r <= 3 GROUP BY shard",
     "plan_degradation": f"{_R}, k AS (SELECT shard, run_id, found, median(found) OVER (PARTITION BY shard ORDER BY run_id ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS u FROM run) SELECT shard, run_id, found, round(u, 4) AS usual FROM k WHERE found < 0.5e0 * u",
     "plan_zero_details": f"{_R} SELECT run_id, shard FROM run WHERE quota > 0 AND (run_id % 50 = 0 OR found = 0) AND banned = 0",
-    "plan_data_gaps": "WITH g AS (SELECT lag(epoch_us(ts)) OVER (ORDER BY ts) AS gap_start, epoch_us(ts) AS gap_end, floor(epoch_us(ts) / 3600000000) AS h, lag(floor(epoch_us(ts) / 3600000000)) OVER (ORDER BY ts) AS ph FROM events) SELECT gap_start, gap_end FROM g WHERE gap_end - gap_start > 1440000000 AND h <> ph",
+    "plan_data_gaps": "WITH g AS (SELECT lag(epoch_us(ts)) OVER (ORDER BY ts) AS gap_start, epoch_us(ts) AS gap_end FROM events) SELECT gap_start, gap_end FROM g WHERE gap_end - gap_start > 1440000000",
     "plan_budget": f"{_R}, s AS (SELECT shard, CAST(sum(found) AS BIGINT) AS stock FROM run GROUP BY 1) SELECT shard, stock, CAST(greatest(floor(stock * 3060 / sum(stock) OVER ()), 1) AS BIGINT) AS requests FROM s",
     "report_invariants": f"""{t.sql("listing", "history")} SELECT 'rows' AS name, count(*) AS value, count(*) > 0 AS ok FROM listing UNION ALL SELECT 'points', count(*), count(*) > 0 FROM history UNION ALL SELECT 'bad_prices', count(*), count(*) = 0 FROM listing WHERE price <= 0
 UNION ALL SELECT 'active_and_gone', count(*), count(*) = 0 FROM listing WHERE is_active = 1 AND delisted_at IS NOT NULL UNION ALL SELECT 'seen_backwards', count(*), count(*) = 0 FROM listing WHERE last_seen < first_seen UNION ALL SELECT 'empty_points', count(*), count(*) = 0 FROM history WHERE price IS NULL""",
@@ -109,7 +109,7 @@ UNION ALL SELECT 'active_and_gone', count(*), count(*) = 0 FROM listing WHERE is
 WHEN l.price < k.price THEN 'cheaper' WHEN l.price > k.price THEN 'dearer' END AS event FROM k LEFT JOIN listing l ON l.id = k.id) SELECT chat, id, event, round_even((now_ - price) * 100.0e0 / nullif(price, 0), 1) + 0 AS change_pct FROM j WHERE event IS NOT NULL""",
     "track_capped": f"{_H}, k AS (SELECT seq % 40 AS chat, listing_id AS id, min(observed_at) AS since FROM history GROUP BY 1, 2) SELECT chat, id FROM k QUALIFY row_number() OVER (PARTITION BY chat ORDER BY since, id) <= 10",
     "track_delivered": "WITH l AS (SELECT DISTINCT conv_id AS id, turn AS chat FROM conversations), g AS (SELECT DISTINCT conv_id AS id, turn AS chat FROM conversations WHERE role = 'user' OR turn < 2) SELECT l.id, count(*) AS wanted, count(g.id) AS got, count(*) = count(g.id) AS done FROM l LEFT JOIN g USING (id, chat) GROUP BY l.id",
-    "feature_contributions": """WITH r AS (SELECT l_orderkey AS id, l_partkey % 7 AS f, CAST(sum(CAST(l_quantity AS BIGINT) - 25) AS BIGINT) AS v FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2), g AS (SELECT id, CASE WHEN f IN (0, 1) THEN 'place' WHEN f = 2 THEN 'house' ELSE concat('f', CAST(f AS VARCHAR)) END AS "group", CAST(sum(v) AS BIGINT) AS value FROM r GROUP BY 1, 2 HAVING sum(v) <> 0)
+    "feature_contributions": """WITH r AS (SELECT l_orderkey AS id, l_partkey % 7 AS f, CAST(sum(CAST(l_quantity AS BIGINT) - 25) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2), g AS (SELECT id, CASE WHEN f IN (0, 1) THEN 'place' WHEN f = 2 THEN 'house' ELSE concat('f', CAST(f AS VARCHAR)) END AS "group", CAST(sum(v) AS BIGINT) AS value FROM r GROUP BY 1, 2 HAVING sum(v) <> 0)
 SELECT id, "group", value, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, "group") AS INTEGER) AS rank FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, "group") <= 5""",
     "feature_replies": f"""{_L}, e AS (SELECT DISTINCT event_id % 7000 AS id, event_type AS f FROM events WHERE event_id % 7000 % 3 > 0 AND (event_id % 7000 < 650 OR event_id % 7000 > 690)), o AS (SELECT id, min(f) AS f FROM e GROUP BY 1 HAVING count(*) = 1)
 SELECT id, CASE WHEN f IN ('view', 'click', 'error') THEN f ELSE '' END AS flags FROM o WHERE id IN (SELECT id FROM listing WHERE id < 6000)""",

@@ -23,8 +23,8 @@ QUERIES = {
     "stream_daily": lambda s, d: e.drain(e.windows(_events(s, d), "1 day", "event_type"), "complete"),
     "stream_weekly": lambda s, d: e.drain(e.windows(_events(s, d), "7 days"), "complete"),
     "stream_sessions": lambda s, d: e.drain(e.sessions(_events(s, d), "12 hours", "user_id"), "complete"),
-    "stream_rate_limit": lambda s, d: e.drain(e.rate_limited(_events(s, d), "event_type", 15, 5400)),
-    "stream_gaps": lambda s, d: e.gaps(t.read(s, d, "events"), 0.4),
+    "stream_rate_limit": lambda s, d: e.drain(e.rate_limited(_events(s, d), "user_id", 2, 43_200)),
+    "stream_gaps": lambda s, d: e.gaps(e.drain(e.slots(_events(s, d), 0.4), "complete"), 0.4),
 }
 
 ORACLES = {
@@ -33,5 +33,5 @@ ORACLES = {
     "stream_weekly": "SELECT CAST(floor(epoch(ts) / 604800) * 604800 AS BIGINT) AS start, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM g)
 SELECT epoch_us(min(ts)) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, i""",
-    "stream_gaps": "WITH g AS (SELECT lag(epoch_us(ts)) OVER (ORDER BY ts) AS gap_start, epoch_us(ts) AS gap_end, floor(epoch_us(ts) / 3600000000) AS h, lag(floor(epoch_us(ts) / 3600000000)) OVER (ORDER BY ts) AS ph FROM events) SELECT gap_start, gap_end FROM g WHERE gap_end - gap_start > 1440000000 AND h <> ph",
+    "stream_gaps": "WITH g AS (SELECT lag(epoch_us(ts)) OVER (ORDER BY ts) AS gap_start, epoch_us(ts) AS gap_end FROM events) SELECT gap_start, gap_end FROM g WHERE gap_end - gap_start > 1440000000",
 }

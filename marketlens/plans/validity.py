@@ -78,7 +78,7 @@ _CITY = _STATS["trend_weekly"].replace("range(12)", "range(26)").replace("(12 -
 _LONG = """x AS (SELECT doc_id, unnest([{{'c': 'lang', 'v': coalesce(lang, '?')}}, {{'c': 'source', 'v': coalesce(source, '?')}}, {{'c': 'size', 'v': CAST(n_chars // 1000 AS VARCHAR)}}], recursive := true) FROM documents),
 p AS (SELECT c, v, count(*) / sum(count(*)) OVER (PARTITION BY c) AS p FROM x WHERE doc_id % 3 = 0 GROUP BY 1, 2), q AS (SELECT c, v, count(*) / sum(count(*)) OVER (PARTITION BY c) AS q FROM x GROUP BY 1, 2),
 t AS (SELECT coalesce(p.c, q.c) AS "column", round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) AS tvd FROM p FULL JOIN q ON p.c = q.c AND p.v = q.v GROUP BY 1)""".replace("{{", "{").replace("}}", "}")
-_METRICS = "count(*) AS n, round(avg(abs(price - fair_price)), 4) AS mae, round(avg(abs(price - fair_price) / price) * 100, 4) AS mape, round(median(abs(price - fair_price) / price) * 100, 4) AS mdape, round(1 - sum(pow(price - fair_price, 2)) / (var_pop(price) * count(*)), 4) AS r2"
+_METRICS = "count(*) AS n, round(avg(abs(price - fair_price)), 4) AS mae, round(avg(abs(price - fair_price) / price) * 100, 4) AS mape, round(median(abs(price - fair_price) / price) * 100, 4) AS mdape, round(avg((fair_price - price) / price) * 100, 4) AS bias, round(1 - sum(pow(price - fair_price, 2)) / (var_pop(price) * count(*)), 4) AS r2"
 _SQ3 = "1.7320508075688772e0"
 _HEX = f"""h0 AS (SELECT *, (lon * (111.32e0 * cos(radians(43.25e0))) * {_SQ3} / 3 - lat * 111.32e0 / 3) / 2.0e0 AS q, lat * 111.32e0 * 2 / 3 / 2.0e0 AS r FROM a WHERE lat IS NOT NULL), h1 AS (SELECT *, floor(q + 0.5e0) AS rq, floor(r + 0.5e0) AS rr, floor(-q - r + 0.5e0) AS rs FROM h0),
 h2 AS (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs + q + r) AS ds FROM h1), h AS (SELECT *, concat(CAST(CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS VARCHAR), ':', CAST(CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS VARCHAR)) AS cell FROM h2)"""

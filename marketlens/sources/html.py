@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Marks of pages that ask whether a reader is a robot.
-CHALLENGES = ("captcha", "are you a robot", "checking your browser", "access denied")
+#: The word alone isn't one: ordinary pages name the service in their footer.
+CHALLENGES = ('class="g-recaptcha"', "recaptcha/api2", "grecaptcha.render", "data-sitekey", "attention required", "cf-browser-verification", "are you a robot", "checking your browser", "access denied")
 
 
 def title(html: Column) -> Column:
@@ -29,11 +30,7 @@ def has_next(html: Column) -> Column:
 
 
 def is_challenge(html: Column) -> Column:
-    low = F.lower(html)
-    out = low.contains(CHALLENGES[0])
-    for mark in CHALLENGES[1:]:
-        out = out | low.contains(mark)
-    return out
+    return F.exists(F.array(*map(F.lit, CHALLENGES)), lambda mark: F.lower(html).contains(mark))
 
 
 def page_id(url: Column) -> tuple[Column, Column]:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 
 def source(spark: SparkSession, path: str, per_trigger: int = 4) -> DataFrame:
@@ -79,11 +80,16 @@ def rate_limited(events: DataFrame, key: str, limit: int, seconds: float, id_col
     return rows.groupBy("key").applyInPandasWithState(fold, "id long, key string, accepted boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def gaps(events: DataFrame, hours: float, ts: str = "ts") -> DataFrame:
-    """Pauses in the observation of more than some hours, from daily first and last moments (a row a day)."""
-    from pyspark.sql.window import Window
+def slots(events: DataFrame, hours: float, ts: str = "ts") -> DataFrame:
+    """First and last moment of each stretch of so many hours, as a streaming aggregation."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    return events.groupBy(F.floor(at / int(hours * 3_600_000_000)).alias("slot")).agg(F.min(at).alias("first"), F.max(at).alias("last"))
 
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    hourly = events.select(micros.alias("at")).groupBy(F.floor(F.col("at") / 3_600_000_000).alias("hour")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    before = F.lag("last").over(Window.orderBy("hour"))
-    return hourly.withColumn("gap_start", before).where(F.col("first") - F.col("gap_start") > int(hours * 3_600_000_000)).select("gap_start", F.col("first").alias("gap_end"))
+
+def gaps(slots: DataFrame, hours: float) -> DataFrame:
+    """Pauses of more than some hours, from what ``slots`` of these hours has so far.
+
+    A longer pause can't begin and end in one slot, so comparing slots (a row each) loses none.
+    """
+    before = F.lag("last").over(Window.orderBy("slot"))
+    return slots.withColumn("gap_start", before).where(F.col("first") - F.col("gap_start") > int(hours * 3_600_000_000)).select("gap_start", F.col("first").alias("gap_end"))
