@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = _scratch.stage(links.where("u <> v").select("u", "v").distinct(), "links")
     before = None
     while True:
-        edges = _scratch.stage(_small_star(_large_star(edges)), "links")
+        old, edges = edges, _scratch.stage(_small_star(_large_star(edges)), "links")
+        _scratch.drop(old)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

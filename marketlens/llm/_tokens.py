@@ -26,6 +26,15 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _by_word(path: str) -> bool:
+    """Whether a text's ids are those of its words one after another; else whole texts have to be encoded.
+
+    So it is if the pre-tokenizer leaves blanks, in any spelling, out of its pieces.
+    """
+    parts = _tokenizer(path)[0].pre_tokenizer
+    return parts is not None and not any(mark in piece for piece, _ in parts.pre_tokenize_str("a bc  d,\n e 1 2") for mark in " \nĠĊ▁")
+
+
 def _tokenizer(path: str) -> tuple:
     """The tokenizer and a flag per id that says if it ends a piece."""
     if path not in _loaded:
@@ -83,9 +92,13 @@ def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 def encode(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All rows' ids in one array, ``end_id`` after each row's, and the n + 1 offsets of the rows.
 
-    Equal to encoding every whole text by itself: no piece of this tokenizer spans a blank, so a text's ids are those
-    of its blank-separated words in order. Null is the empty text: only the end id.
+    Equal to encoding every whole text by itself: where no piece of a tokenizer spans a blank, a text's ids are those of
+    its blank-separated words in order; others encode whole texts. Null is the empty text: only the end id.
     """
+    if not _by_word(path):
+        texts = [t or "" for t in col.to_pylist()]
+        each = [[*e.ids, end_id] for e in _tokenizer(path)[0].encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for x in each for i in x), dtype=np.uint32), np.cumsum([0, *map(len, each)])
     data, offsets = _text.column_bytes(col)
     starts, ends, first = _text.words(data, offsets, _WORD)
     hashed = _text.hashes(data, starts, ends, fold=False)

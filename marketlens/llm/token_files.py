@@ -20,6 +20,9 @@ from pyspark.sql.window import Window
 
 from marketlens.llm import _text, _tokens
 
+#: Bytes of (stored) input for a file of ids where the number of files isn't given, and the most files then.
+FILE_BYTES, MOST_FILES = 128 << 20, 1_000_000
+
 
 def write_tokens(
     docs: DataFrame,
@@ -43,7 +46,10 @@ def write_tokens(
         raise ValueError(f"encoding is 'dictionary' or 'delta', not {encoding!r}")
     spark = docs.sparkSession
     tokenizer = tokenizer or _tokens.default_path()
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not partitions:
+        size = int(str(docs.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // FILE_BYTES), MOST_FILES))
+    n = partitions
     kind = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -122,6 +122,18 @@ def test_ids_are_the_tokenizer_s(spark):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 7]
 
 
+def test_other_vocabularies_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert _tokens._by_word(_tokens.default_path()) and not _tokens._by_word(path)
+    texts = ["a b  c", None, "", " one two\n\nthree"]
+    ids, bounds = _tokens.encode(pa.array(texts), path, 7)
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, 7]
+
+
 def test_token_files_round_trip(spark, tmp_path):
     path = str(tmp_path / "tokens")
     tokenizer, _ = _tokens._tokenizer(_tokens.default_path())
