@@ -106,6 +106,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = _scratch.stage(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, _scratch.stage(stage(spark, docs, sf_dir), name)
+        if i:
+            _scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
