@@ -296,5 +296,5 @@ def building_key() -> Column:
 
 
 def split_by_group(rows: DataFrame, group: Column, per_cent: int = 20) -> DataFrame:
-    """Adds is_test: about a share of all groups, whole ones, by the CRC of the group's name."""
-    return rows.withColumn("is_test", F.crc32(group) % 100 < per_cent)
+    """Adds is_test: about a share of all groups, whole ones, by the MD5 of the group's name."""
+    return rows.withColumn("is_test", F.conv(F.substring(F.md5(group), 1, 8), 16, 10).cast("long") % 100 < per_cent)

@@ -77,16 +77,17 @@ def interval_quality(rows: DataFrame, y: str, low: str, high: str, point: str, *
     return found.withColumn("width", F.round(F.col("width") * 100, 4))
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, reps: int = 400, least: int = 30, seed: int = 11, level: float = 0.95) -> DataFrame:
+def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, reps: int = 2000, least: int = 30, seed: int = 11, level: float = 0.95) -> DataFrame:
     """Interval of a mean when rows of a cluster go together: clusters are drawn again, not rows.
 
     Clusters are summed first. Each draws a Poisson(1) weight for each repetition from a hash, so repetitions are sums
-    by (repetition) with map-side sums: the work is clusters times repetitions, and nothing is gathered. Null bounds
-    with fewer than ``least`` clusters.
+    by (repetition) with map-side sums: the work is clusters times repetitions, and nothing is gathered. With fewer than
+    ``least`` clusters the bounds are null, and ``reason`` says so.
     """
     sums = rows.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
     # Poisson(1) by inversion of its distribution function; the tail beyond 6 has weight 1e-4 of a per cent.
-    u = F.pmod(F.xxhash64(F.col(cluster).cast("string"), F.col("rep"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    name = F.concat_ws("|", F.coalesce(F.col(cluster).cast("string"), F.lit("")), F.col("rep").cast("string"), F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / float(1 << 32)
     cdf, total, term = [], 0.0, 0.36787944117144233
     for k in range(7):
         total += term
@@ -99,7 +100,8 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, reps: int = 400
     bounds = means.agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
     point = sums.agg((F.sum("s") / F.sum("c")).alias("mean"), F.count("*").alias("clusters"))
     enough = F.col("clusters") >= least
-    return point.crossJoin(bounds).select("clusters", "mean", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"))  # one row each
+    reason = F.when(~enough, F.format_string("%d clusters, %d needed", F.col("clusters"), F.lit(least)))
+    return point.crossJoin(bounds).select("clusters", "mean", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"), reason.alias("reason"))  # one row each
 
 
 def conformal_scale(scores: DataFrame, cluster: str, score: str, coverage: float = 0.8, most: float = 10.0) -> DataFrame:

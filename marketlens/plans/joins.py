@@ -134,6 +134,7 @@ ORACLES = {
     "join_hex_fallback": f"""{_L}, {_HEX_OF.format(p='hf', size='0.8e0')}, {_HEX_OF.format(p='hc', size='2.0e0')}, x AS (SELECT l.id, hf.cell AS cf, hc.cell AS cc, district, price / area AS v, price > 0 AND area > 0 AS ref FROM listing l LEFT JOIN hf ON hf.id = l.id LEFT JOIN hc ON hc.id = l.id),
 a AS (SELECT cf, median(v) AS m FROM x WHERE ref GROUP BY 1 HAVING count(*) >= 8), b AS (SELECT cc, median(v) AS m FROM x WHERE ref GROUP BY 1 HAVING count(*) >= 8), c AS (SELECT district, median(v) AS m FROM x WHERE ref GROUP BY 1 HAVING count(*) >= 8), g AS (SELECT median(v) AS m FROM x WHERE ref)
 SELECT x.id, round(coalesce(a.m, b.m, c.m, g.m), 4) AS value, CASE WHEN a.m IS NOT NULL THEN 0 WHEN b.m IS NOT NULL THEN 1 WHEN c.m IS NOT NULL THEN 2 ELSE 3 END AS level FROM x LEFT JOIN a ON a.cf = x.cf LEFT JOIN b ON b.cc = x.cc LEFT JOIN c ON c.district = x.district CROSS JOIN g""",
+    "split_buildings": f"{_L} SELECT id, CAST(concat('0x', substr(md5(coalesce(CAST(CAST(round_even(lat * 10000, 0) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(round_even(lon * 10000, 0) AS BIGINT) AS VARCHAR), concat('id:', CAST(id AS VARCHAR)))), 1, 8)) AS BIGINT) % 100 < 20 AS is_test FROM listing",
     "join_unseen": f"{_L}, {_FPSQL} SELECT id FROM f WHERE first_seen > TIMESTAMP '2001-03-01' AND (fp IS NULL OR fp NOT IN (SELECT fp FROM f WHERE first_seen <= TIMESTAMP '2001-03-01' AND fp IS NOT NULL))",
     "join_either_source": f"""{_L}, s AS (SELECT *, price < 3000000 AS is_rent FROM listing WHERE deal = 'sale' OR id % 2 = 0), r AS (SELECT * FROM listing WHERE deal = 'rent' OR id % 3 = 0)
 SELECT l.id, CASE WHEN s.id IS NOT NULL AND NOT coalesce(s.is_rent, FALSE) THEN s.price ELSE r.price END AS price, CASE WHEN s.id IS NOT NULL AND NOT coalesce(s.is_rent, FALSE) THEN s.district ELSE r.district END AS district, CASE WHEN s.id IS NOT NULL AND NOT coalesce(s.is_rent, FALSE) THEN 'sale' WHEN r.id IS NOT NULL THEN 'rent' ELSE 'none' END AS source

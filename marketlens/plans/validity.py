@@ -61,7 +61,7 @@ QUERIES = {
     "validity_errors": lambda s, d: v.regression_metrics(_judged(s, d), "price", "fair_price"),
     "validity_errors_by_district": lambda s, d: v.regression_metrics(_judged(s, d), "price", "fair_price", "district").where("n >= 5"),
     "validity_intervals": lambda s, d: v.interval_quality(_judged(s, d), "price", "fair_low", "fair_high", "fair_price", "rooms"),
-    "validity_bootstrap": lambda s, d: v.cluster_bootstrap(_judged(s, d).select("district", (F.abs(F.col("price") - F.col("fair_price")) / F.col("price")).alias("ape")), "district", "ape", least=10),
+    "validity_bootstrap": lambda s, d: v.cluster_bootstrap(_judged(s, d).select("district", (F.abs(F.col("price") - F.col("fair_price")) / F.col("price")).alias("ape")), "district", "ape", least=10).withColumns({c: F.round(c, 8) for c in ("mean", "low", "high")}),
     "validity_conformal_scale": lambda s, d: v.conformal_scale(_judged(s, d).select("district", F.round((F.greatest(F.col("fair_low") - F.col("price"), F.col("price") - F.col("fair_high"))) / F.col("fair_price"), 6).alias("score")), "district", "score"),
     "validity_gate": _gate,
     "forecast_city": lambda s, d: v.trend_line(_trend(s, d), "t", "median_ppsm"),
@@ -83,12 +83,17 @@ _SQ3 = "1.7320508075688772e0"
 _HEX = f"""h0 AS (SELECT *, (lon * (111.32e0 * cos(radians(43.25e0))) * {_SQ3} / 3 - lat * 111.32e0 / 3) / 2.0e0 AS q, lat * 111.32e0 * 2 / 3 / 2.0e0 AS r FROM a WHERE lat IS NOT NULL), h1 AS (SELECT *, floor(q + 0.5e0) AS rq, floor(r + 0.5e0) AS rr, floor(-q - r + 0.5e0) AS rs FROM h0),
 h2 AS (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs + q + r) AS ds FROM h1), h AS (SELECT *, concat(CAST(CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS VARCHAR), ':', CAST(CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS VARCHAR)) AS cell FROM h2)"""
 _A = _L + ", a AS (SELECT *, price / area AS ppsm FROM listing WHERE is_active = 1 AND price > 0 AND area > 0)"
+_BOOT = "md5(concat_ws('|', coalesce(district, ''), CAST(rep AS VARCHAR), '11'))"
 ORACLES = {
     "validity_distance": f"WITH {_LONG} SELECT * FROM t",
     "validity_representative": f'WITH {_LONG} SELECT arg_max("column", (tvd, "column")) AS worst, max(tvd) AS tvd, max(tvd) <= 0.2e0 AS ok FROM t',
     "validity_confounding": f"""{_L}, x AS (SELECT date_trunc('month', first_seen) AS day, coalesce(district, '?') AS v FROM listing), c AS (SELECT day, v, count(*) AS n FROM x GROUP BY 1, 2), w AS (SELECT day, sum(n) AS w FROM c GROUP BY 1 HAVING sum(n) >= 30),
 q AS (SELECT v, sum(n) / (SELECT sum(n) FROM c) AS q FROM c GROUP BY 1), k AS (SELECT w.day, w, sum(abs(coalesce(n, 0) / w - q)) / 2 AS tvd FROM w CROSS JOIN q LEFT JOIN c ON c.day = w.day AND c.v = q.v GROUP BY 1, 2) SELECT count(*) AS days, round(sum(w * tvd) / sum(w), 6) AS confounding FROM k""",
     "validity_errors": f"{_JUDGED} SELECT {_METRICS} FROM j",
+    "validity_bootstrap": f"""{_JUDGED}, bc AS (SELECT district, sum(abs(price - fair_price) / price) AS s, count(*) AS c FROM j GROUP BY 1), bu AS (SELECT s, c, rep, CAST(concat('0x', substr({_BOOT}, 1, 8)) AS BIGINT) / 4294967296.0e0 AS u FROM bc, (SELECT unnest(range(1, 2001)) AS rep)),
+bw AS (SELECT s, c, rep, (u >= 0.36787944117144233e0)::INT + (u >= 0.73575888234288467e0)::INT + (u >= 0.91969860292860584e0)::INT + (u >= 0.98101184312384626e0)::INT + (u >= 0.99634015317265637e0)::INT + (u >= 0.99940581518241840e0)::INT + (u >= 0.99991675885071205e0)::INT AS w FROM bu),
+bm AS (SELECT rep, sum(s * w) / nullif(sum(c * w), 0) AS m FROM bw GROUP BY 1), bp AS (SELECT count(*) AS clusters, sum(s) / sum(c) AS mean FROM bc)
+SELECT clusters, round(mean, 8) AS mean, round(quantile_cont(m, 0.025), 8) AS low, round(quantile_cont(m, 0.975), 8) AS high, CAST(NULL AS VARCHAR) AS reason FROM bp, bm GROUP BY clusters, mean""",
     "validity_errors_by_district": f"{_JUDGED} SELECT district, {_METRICS} FROM j GROUP BY district HAVING count(*) >= 5",
     "validity_intervals": f"""{_JUDGED} SELECT rooms, count(*) AS n, round(avg(CASE WHEN price BETWEEN fair_low AND fair_high THEN 1 ELSE 0 END) * 100, 4) AS coverage, round(median((fair_high - fair_low) / fair_price) * 100, 4) AS width,
 round(avg(greatest(0.1e0 * (price - fair_low), -0.9e0 * (price - fair_low))), 2) AS pinball_low, round(avg(greatest(0.9e0 * (price - fair_high), (0.9e0 - 1) * (price - fair_high))), 2) AS pinball_high FROM j GROUP BY rooms""",

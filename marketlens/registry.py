@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries: each has QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("plans.stats", "plans.history", "plans.joins", "plans.windows", "plans.validity", "plans.features", "plans.planning", "plans.streams", "plans.model")
+MODULES: tuple[str, ...] = ("plans.stats", "plans.history", "plans.joins", "plans.windows", "plans.validity", "plans.features", "plans.planning", "plans.streams", "plans.model", "plans.delivery")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,6 +33,41 @@ def is_challenge(html: Column) -> Column:
     return F.exists(F.array(*map(F.lit, CHALLENGES)), lambda mark: F.lower(html).contains(mark))
 
 
+def card_prices(html: Column, card: str = '<div class="card"') -> Column:
+    """A map of id to price of a search page's cards.
+
+    Each card is read by itself, so a price outside of cards goes to none. An id counts only if the card links to it;
+    cards without a price in figures are left out, and of cards with one id the last counts.
+    """
+    cards = F.slice(F.split(html, card), 2, 1_000_000)
+    read = F.transform(
+        cards,
+        lambda c: F.struct(
+            F.nullif(F.regexp_extract(c, r'data-id="(\d+)"', 1), F.lit("")).try_cast("long").alias("id"),
+            F.regexp_replace(F.regexp_extract(c, r'(?s)class="price">([^<]*)<', 1), r"[^0-9]", "").try_cast("long").alias("price"),
+            F.regexp_extract_all(c, F.lit(r'href="[^"]*?/(\d+)"'), 1).alias("links"),
+        ),
+    )
+    sound = F.filter(read, lambda x: x["price"].isNotNull() & F.array_contains(x["links"], x["id"].cast("string")))
+    last = F.filter(sound, lambda x, i: ~F.exists(F.slice(sound, i + 2, F.size(sound)), lambda y: y["id"] == x["id"]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["id"], x["price"])))
+
+
+def listing_record(html: Column) -> Column:
+    """title, price, area, floor, total_floors, lat and lon of a listing's page; what is missing or malformed is null."""
+    found = lambda pattern, i=1: F.nullif(F.regexp_extract(html, pattern, i), F.lit(""))
+    floor = r"(?s)<dt>Floor</dt>\s*<dd>\s*(\d+)(?:\s*(?:of|/)\s*(\d+))?"
+    return F.struct(
+        F.trim(found(r"(?s)<h1[^>]*>(.*?)</h1>")).alias("title"),
+        F.regexp_replace(found(r'(?s)class="offer__price"[^>]*>([^<]*)<'), r"[^0-9]", "").try_cast("long").alias("price"),
+        F.replace(found(r"(?s)<dt>Area</dt>\s*<dd>\s*([\d.,]+)"), F.lit(","), F.lit(".")).try_cast("double").alias("area"),
+        found(floor).try_cast("int").alias("floor"),
+        found(floor, 2).try_cast("int").alias("total_floors"),
+        found(r'"lat":\s*(-?[\d.]+)').try_cast("double").alias("lat"),
+        found(r'"lon":\s*(-?[\d.]+)').try_cast("double").alias("lon"),
+    )
+
+
 def page_id(url: Column) -> tuple[Column, Column]:
     """(canonical address without query and fragment, last number of the path)."""
     base = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^https?://(m\.|www\.)?", "")
