@@ -248,8 +248,8 @@ def forward(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndar
     out = np.empty(len(lengths))
     short = np.flatnonzero(~long)
     out[short] = _forward(model, codes, begin[short], lengths[short], np.broadcast_to(model.start, (len(short), len(model.start))))[1]
-    for i in np.flatnonzero(long).tolist():
-        out[i] = segments(model, codes, begin[i : i + 1], lengths[i : i + 1]).known[0]
+    known = segments(model, codes, begin[long], lengths[long]).known
+    out[long] = [known[i] for i in range(len(known))]
     return out
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import _graph, ann, decontaminate, hmm_score, jaccard_join, language_id, queries, suffix_dedup
+from marketlens.llm import _graph, _text, ann, decontaminate, hmm_score, jaccard_join, language_id, queries, suffix_dedup
 from tests.llm.common import SCHEMA, clashing, corpus, frame, letters, sha, words
 from tests.oracle import connect, rows_of, rows_of_sql
 
@@ -431,6 +431,37 @@ def test_segments_change_nothing(monkeypatch):
         assert np.allclose(log, hmm_score.forward(model, codes, begin, lengths))
 
 
+def test_score_equals_a_plain_recursion(spark, monkeypatch):
+    """The query's score: class probabilities by a plain forward recursion, and each word's share of its class."""
+    kept = []
+    train = hmm_score.train
+    monkeypatch.setattr(hmm_score, "train", lambda *a, **k: kept.append(train(*a, **k)) or kept[-1])
+    rows = corpus()[:40]
+    out = {r.doc_id: r.score for r in hmm_score.score(frame(spark, rows), F.col("doc_id") % 5 == 0, states=3).collect()}
+    model = kept[0]
+    counts = Counter(w for i, t, *_ in rows if i % 5 for w in [*words(t), None])
+    hashed = {w: _text.word_hash(w) for i, t, *_ in rows for w in words(t)} | {None: hmm_score.END}
+    top = [w for w in sorted((w for w in counts if w), key=lambda w: (-counts[w], hashed[w]))][:4096]
+    kinds = {w: i for i, w in enumerate(top)}
+    kinds[None] = len(top) + 256
+    groups: dict = {}
+    for w, n in counts.items():
+        if w not in kinds:
+            own = groups.setdefault(hashed[w] % 256, [0, 0])
+            own[0], own[1] = own[0] + n, own[1] + 1
+    for i, text, *_ in rows:
+        alpha, total = model.start, 0.0
+        for k, w in enumerate([*words(text), None]):
+            kind = kinds.get(w, len(top) + hashed[w] % 256)
+            alpha = (alpha @ model.move if k else alpha) * model.emit[kind]
+            total += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+            if w is not None and w not in kinds:
+                n, v = groups.get(hashed[w] % 256, (0, 0))
+                total += math.log10((counts[w] + 1) / (n + v + 1))
+        assert abs(out[i] - total) < 1e-6
+
+
 def test_training_beats_word_counts(spark):
     """Texts of two topics whose words alternate in kind: on held-out texts the model is far better than counts."""
     rng = random.Random(4)
