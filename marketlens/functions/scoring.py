@@ -48,7 +48,7 @@ def verdict_by_share(price: Column, fair: Column, share: float = 0.1) -> Column:
 
 
 def deviation_pct(price: Column, fair: Column) -> Column:
-    return F.bround(F.try_divide((price - fair) * 100.0, fair), 1)
+    return F.bround(F.try_divide((price - fair) * 100.0, fair), 1) + F.lit(0.0)  # no negative zero
 
 
 def price_band(diff_pct: Column) -> Column:

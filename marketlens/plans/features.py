@@ -96,7 +96,7 @@ CASE WHEN b IS NOT NULL THEN concat('b', CAST(b AS VARCHAR), '_l-1') ELSE 'unkno
     "feature_derived": f"""{_L}, {_SANE} SELECT id, round(CAST(floor AS DOUBLE) / total_floors, 6) AS floor_ratio, CASE WHEN floor = 1 THEN 1 ELSE 0 END AS is_first_floor, CASE WHEN floor = total_floors THEN 1 ELSE 0 END AS is_last_floor, CASE WHEN year_built IS NOT NULL THEN greatest(2001 - year_built, -5) END AS building_age,
 CASE WHEN category = 'novostroiki' OR CASE WHEN year_built IS NOT NULL THEN greatest(2001 - year_built, -5) END <= 1 OR user_type = 'BUILDING' THEN 1 ELSE 0 END AS is_new_building, CASE WHEN building_type = 'panel' AND year_built BETWEEN 1960 AND 1990 THEN 1 ELSE 0 END AS is_panel_age, round(ln(1 + price), 6) AS log_price FROM s""",
     "feature_fingerprint": f"{_L} SELECT id, {_FP} AS fp FROM listing",
-    "feature_estimates": f"""{t.sql("listing", "prediction")}, r AS (SELECT *, round_even((price - fair_price) * 100.0e0 / fair_price, 1) AS diff, CASE WHEN fair_low > 0 AND price < fair_low THEN (1 - CAST(price AS DOUBLE) / fair_low) * 100 END AS below FROM listing JOIN prediction ON id = listing_id WHERE price > 0 AND fair_price > 0)
+    "feature_estimates": f"""{t.sql("listing", "prediction")}, r AS (SELECT *, round_even((price - fair_price) * 100.0e0 / fair_price, 1) + 0.0e0 AS diff, CASE WHEN fair_low > 0 AND price < fair_low THEN (1 - CAST(price AS DOUBLE) / fair_low) * 100 END AS below FROM listing JOIN prediction ON id = listing_id WHERE price > 0 AND fair_price > 0)
 SELECT id, seq, least(fair_low, fair_high, fair_price) AS low, greatest(fair_low, fair_high, fair_price) AS high, CASE WHEN price < fair_low THEN 'good' WHEN price > fair_high THEN 'high' ELSE 'fair' END AS verdict, diff AS diff_pct, CASE WHEN diff <= -5 THEN 'below' WHEN diff < 5 THEN 'near' ELSE 'above' END AS band,
 CAST(CASE WHEN deal = 'rent' THEN round_even(fair_price / 1000.0e0, 0) * 1000 ELSE round_even(fair_price / 10000.0e0, 0) * 10000 END AS BIGINT) AS rounded, CASE WHEN below >= 15 AND date_diff('day', first_seen, last_seen) <= 7 THEN 'high' WHEN below IS NOT NULL THEN 'medium' END AS scam, CASE WHEN (price - fair_price) / CAST(fair_price AS DOUBLE) < -0.1e0 THEN 'good' WHEN (price - fair_price) / CAST(fair_price AS DOUBLE) > 0.1e0 THEN 'high' ELSE 'fair' END AS verdict_by_share,
 round(pow(0.5e0, photos_count / 9.0e0), 6) AS weight, round(CASE WHEN price = fair_price THEN CAST(price AS DOUBLE) ELSE (price - fair_price) / (ln(price) - ln(fair_price)) END, 2) AS log_mean, district || ' ' || CASE WHEN rooms >= 4 THEN '4+' ELSE CAST(rooms AS VARCHAR) END AS shard FROM r""",
