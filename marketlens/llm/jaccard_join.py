@@ -9,6 +9,10 @@ Groups of copies are never paired out. Rows with equal sets are one class from t
 shared shingle and size band come first; after the components of those links, only pairs from different components are
 formed, so a large group of near copies costs about as many pairs as it has members. No link between different
 components is lost, so the components are exact.
+
+A shingle may be in a third of all prefixes. No window holds all rows of one: those that the sketch finds common are
+dealt out by the set's print, hubs are aggregates that are joined back, and of a shingle's largest component the rows
+are never paired with each other. The joins read stored tables, so that adaptive execution can split a heavy key.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ SKETCH_BITS, CHUNK = 18, 1 << 12
 MOST_MATCHES = 4
 #: Ids of documents to verify are broadcast up to this number (8 bytes each), and joined by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
+#: Rows of one shingle that are put in order together; a shingle that more documents share is dealt out.
+SPLIT = 100_000
 
 
 def _sets(part: pa.RecordBatch, words: int) -> list[np.ndarray]:
@@ -89,17 +95,22 @@ def _least(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """token, doc_id, n, l, place, fp for each shingle of each document's prefix; place counts from 0."""
+    """token, doc_id, n, l, place, fp, deal for each shingle of each document's prefix; place counts from 0.
+
+    ``deal`` is 0, but for shingles that share a counter with a common one: for these it is one of 1, 2, ... by the
+    set's print, so that about SPLIT documents have the same.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sketch)  # 2 MB
     kind = docs.schema["doc_id"].dataType.simpleString()
-    slots = 1 << SKETCH_BITS
+    slots, split = 1 << SKETCH_BITS, SPLIT
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         usual = float(np.median(common))
         # What a counter holds beyond the usual load and its scatter is taken for the documents that share the shingle.
         excess = np.maximum(common - usual - 4 * np.sqrt(usual + 1), 0)
+        deals = np.where(excess > split, np.ceil(excess / split), 0).astype(np.uint64)
         for part in _text.slices(batches):
             sets = _sets(part, words)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -134,12 +145,15 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) ->
             repeat = np.repeat(np.arange(len(keep_row)), size)
             rows = np.array(keep_row)
             counts = np.array([len(sets[i]) for i in keep_row])
+            tokens, prints = np.concatenate(keep_token), np.array(fp)[repeat]
+            ways = deals[tokens & np.uint64(slots - 1)]
+            deal = np.where(ways > 0, _text.mix(prints.view(np.uint64)) % np.maximum(ways, np.uint64(1)) + np.uint64(1), np.uint64(0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keep_token).view(np.int64)), part.column("doc_id").take(pa.array(rows[repeat])), pa.array(counts[repeat].astype(np.int32)), pa.array(np.array(match, dtype=np.int32)[repeat]), pa.array(np.concatenate([np.arange(p, dtype=np.int32) for p in size])), pa.array(np.array(fp)[repeat])],
-                ["token", "doc_id", "n", "l", "place", "fp"],
+                [pa.array(tokens.view(np.int64)), part.column("doc_id").take(pa.array(rows[repeat])), pa.array(counts[repeat].astype(np.int32)), pa.array(np.array(match, dtype=np.int32)[repeat]), pa.array(np.concatenate([np.arange(p, dtype=np.int32) for p in size])), pa.array(prints), pa.array(deal.astype(np.int32))],
+                ["token", "doc_id", "n", "l", "place", "fp", "deal"],
             )
 
-    return docs.mapInArrow(prefix, f"token long, doc_id {kind}, n int, l int, place int, fp long")
+    return docs.mapInArrow(prefix, f"token long, doc_id {kind}, n int, l int, place int, fp long, deal int")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -178,7 +192,7 @@ def _side(x: str, of: str = "") -> list[Column]:
 
 
 def _candidates(rows: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets can still have the overlap, from rows of shared tokens.
+    """The pairs (a, b), a < b, whose sets can still have the overlap, from rows of shared tokens, one a token and pair.
 
     Of sets with that overlap o, the k-th token that they share has at least o - k + 1 tokens from it on in both. So of
     the first m shared ones none comes later than a place where o - m + 1 tokens are left, and m = min(l, l') of them
@@ -189,7 +203,7 @@ def _candidates(rows: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     m = F.least("l_a", "l_b")
     near = rows.where(F.least("top_a", "top_b") >= need).where(left + m - 1 >= need)
-    pairs = near.groupBy("a", "b").agg(F.count("*").alias("c"), F.first(m).alias("m")).where("c >= m").select("a", "b")
+    pairs = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.first(m).alias("m")).where("c >= m").select("a", "b")
     for x in "ab":
         pairs = pairs.join(lists.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("tokens", "n", "l"))), x)
     after = F.greatest(*(F.ceil(F.col(f"n_{x}") * percent / 100) - F.col(f"l_{x}") for x in "ab"))
@@ -216,12 +230,13 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 
     named = docs.where("doc_id is not null")
     postings = _prefixes(named, _sketch(signed), words, percent)
-    token = Window.partitionBy("token")
+    token = Window.partitionBy("token", "deal")
     ordered = token.orderBy("fp", "doc_id")
-    # Tokens of one class alone are dropped, and of each class all but one row.
+    # Tokens of one class alone are dropped (unless dealt out: they only make ``top`` larger), and of each class all but
+    # one row; equal sets have equal prints, and so the same deal.
     shared = _scratch.stage(
         postings.withColumn("copy", F.lag("fp").over(ordered) == F.col("fp"))
-        .withColumn("many", F.first("fp").over(token.orderBy("fp")) != F.max("fp").over(token))
+        .withColumn("many", (F.col("deal") > 0) | (F.first("fp").over(token.orderBy("fp")) != F.max("fp").over(token)))
         .where("many and not coalesce(copy, false)")
         # Prefix shingles that no other set has are in no intersection: ``top`` is the most that any overlap can be.
         .withColumn("own", F.count("*").over(Window.partitionBy("doc_id")))
@@ -235,22 +250,30 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     lists = _scratch.stage(shared.groupBy("doc_id").agg(F.collect_set("token").alias("tokens"), F.first("n").alias("n"), F.first("l").alias("l")), "lists")
 
     # First the pairs with one hub for each token and size band, in two overlapping series of bands.
-    size = F.log("n") / np.log(100 / percent)
-    hubs = []
-    for shift in (0.0, 0.5):
-        hub = F.min(F.struct(*_SIDE)).over(Window.partitionBy("token", F.floor(size + shift)))
-        hubs.append(shared.withColumn("hub", hub).where("hub.doc_id <> doc_id").select("token", *_side("a", "hub."), *_side("b")))
-    star = _scratch.stage(_candidates(hubs[0].union(hubs[1]).distinct(), lists, percent), "pairs")
+    # Sets that can link are in one band or in bands side by side; the bands are a little wider than needed, for rounding.
+    size = F.log("n") / float(1.000001 * np.log(100 / min(percent, 99)))
+    keys = ["token", "series", "band"]
+    banded = shared.select("*", F.posexplode(F.array(F.floor(size), F.floor(size + 0.5))).alias("series", "band"))
+    hubs = banded.groupBy(*keys).agg(F.min(F.struct(*_SIDE)).alias("hub"), F.count("*").alias("many")).where("many > 1")
+    hubs = _scratch.stage(hubs.select(*keys, "hub"), "hubs")
+    spokes = banded.join(hubs, keys).where("hub.doc_id <> doc_id").select("token", *_side("a", "hub."), *_side("b")).distinct()
+    star = _scratch.stage(_candidates(spokes, lists, percent), "pairs")
     links = _scratch.stage(_verified(star, docs, words, percent).union(copies), "links")
     reached = _scratch.stage(_graph.components(links), "components")
 
     # Then all pairs of different components.
     placed = shared.join(reached, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id"))
-    several = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-    placed = placed.join(several, "token")
-    a, b = (placed.select("token", *_side(x), F.col("c").alias(f"c_{x}")) for x in "ab")
+    kinds = placed.groupBy("token", "c").agg(F.count("*").alias("many"))
+    largest = kinds.groupBy("token").agg(F.max_by("c", F.struct("many", "c")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    largest = _scratch.stage(largest.select("token", "main"), "largest")
+    placed = placed.join(largest, "token").select("token", *_SIDE, "c", (F.col("c") == F.col("main")).alias("main"), F.floor(size).alias("band"))
+    placed = _scratch.stage(placed, "placed")
+    # Each row outside its token's largest component meets the rows inside, and the later ones of those outside.
+    a = placed.where("not main").select("token", "band", *_side("a"), F.col("c").alias("c_a"))
+    near = F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band")
+    b = placed.select("token", near, *_side("b"), F.col("c").alias("c_b"), "main")
     # The conditions of _candidates are part of the join, so it makes no rows that they would drop.
-    crossing = a.join(b, "token").where("a < b and c_a <> c_b")
+    crossing = a.join(b, ["token", "band"]).where("c_a <> c_b and (main or a < b)")
     rest = _candidates(crossing, lists, percent).join(star, ["a", "b"], "left_anti")
     rest = _scratch.stage(rest, "pairs")
     more = _verified(rest, docs, words, percent)

@@ -77,7 +77,9 @@ def components(nodes, links) -> dict:
     return {x: find(x) for x in nodes}
 
 
-def test_jaccard_join(spark):
+@pytest.mark.parametrize("split", [100_000, 2])
+def test_jaccard_join(spark, monkeypatch, split):
+    monkeypatch.setattr(jaccard_join, "SPLIT", split)
     rows = corpus()
     rng = random.Random(3)
     base = rows[0][1].split()[:60] + ["w%d" % i for i in range(60)]
@@ -86,6 +88,10 @@ def test_jaccard_join(spark):
         for _ in range(k % 5):
             own[rng.randrange(len(own))] = rng.choice(["q", "r", f"u{k}"])
         rows.append((300 + k, " ".join(own), None, None, 0))
+    line = ["common%d" % i for i in range(9)]
+    for k in range(60):  # one line in all texts, which link by it alone, or with much or little else
+        own = line + ["e%d" % (k // 3 + i) for i in range(k % 4)] + ["f%d.%d" % (k // 2, i) for i in range(k % 30)]
+        rows.append((400 + k, " ".join(own), None, None, 0))
     sets = {i: shingles(t) for i, t, *_ in rows}
     ids = sorted(sets)
     links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
