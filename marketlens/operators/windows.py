@@ -135,6 +135,20 @@ def rotated(rows: DataFrame, n: int, turn: int, index: str = "idx") -> DataFrame
     return rows.withColumn("place", F.pmod(F.col(index) - offset, F.lit(n)))
 
 
+def cursors(visits: DataFrame, shard: str = "shard", order: str = "visit", most: int = 3) -> DataFrame:
+    """shard and cursor: the id that each shard's pass came to without a failure before it.
+
+    ``visits`` has id, ok, attempts and fresh. A failure stops the cursor unless it is the id's ``most``-th or a later
+    one, which is passed over. Fresh ids neither move nor stop it. A shard whose cursor doesn't move has no row. Both
+    steps are aggregates, so a large shard isn't gathered in one task.
+    """
+    walked = visits.where(~F.coalesce("fresh", F.lit(False)))
+    passed = F.coalesce("ok", F.lit(False)) | (F.coalesce("attempts", F.lit(0)) >= most)
+    stops = walked.where(~passed).groupBy(shard).agg(F.min(order).alias("_stop"))
+    before = walked.join(stops, shard, "left").where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop")))
+    return before.groupBy(shard).agg(F.max_by("id", order).alias("cursor"))
+
+
 def running_best(rows: DataFrame, order: str, value: str, n: int = 4, points: float = 0.5, share: float = 0.06) -> DataFrame:
     """Whether a value is worse than the best of the last n by more than a tolerance."""
     best = F.min(value).over(Window.partitionBy("model").orderBy(order).rowsBetween(-n, -1))

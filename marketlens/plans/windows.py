@@ -74,6 +74,11 @@ def _percentiles(s, d):
     return ranked.groupBy("shard").agg(at(F.bround((n - 1) * 0.5).cast("long")).alias("p50"), at(F.least(F.floor(n * 0.95).cast("long"), n - 1)).alias("p95"), at((F.floor(n * 0.99) - 1).cast("long")).alias("p99"))
 
 
+def _reached(s, d):
+    visits = R(s, d).selectExpr("shard", "run_id as id", "run_id as visit", "banned = 0 as ok", "requests % 5 as attempts", "quota = 0 as fresh")
+    return w.cursors(visits)
+
+
 QUERIES = {
     "window_price_clusters": lambda s, d: w.price_clusters(_keyed(s, d).where("fp is not null")).select("id", "fp", "cluster"),
     "window_dedup_relistings": lambda s, d: w.dedup_relistings(_keyed(s, d)).select("id", "price", "fp"),
@@ -87,6 +92,7 @@ QUERIES = {
     "window_redistribute": _plan,
     "window_rotation": lambda s, d: w.rotated(s.range(32).select(F.col("id").alias("idx")), 32, 3),
     "window_running_best": _best,
+    "window_cursors": _reached,
     "window_days_on_market": lambda s, d: w.days_on_market(L(s, d), t.NOW),
     "window_quintiles": lambda s, d: w.quintiles(L(s, d).select("id", "price"), "price").select("id", "quintile"),
     "window_folds": lambda s, d: w.folds(s, "2001-07-30", 4, 7, 2).select("fold", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("test_start", "test_end", "train_end"))),
@@ -119,6 +125,8 @@ a AS (SELECT shard, capacity, least(quota, capacity) AS q, capacity - least(quot
 c AS (SELECT *, least(left_, rooms) AS give, coalesce(least(left_, rooms) * room // nullif(rooms, 0), 0) AS g FROM b)
 SELECT shard, capacity, CAST(q + g + CASE WHEN row_number() OVER (ORDER BY room DESC, shard) <= give - sum(g) OVER () AND room > g THEN 1 ELSE 0 END AS BIGINT) AS quota FROM c""",
     "window_rotation": f"SELECT i AS idx, (i - {3 * w.rotation_step(32) % 32} + 32) % 32 AS place FROM range(32) r(i)",
+    "window_cursors": f"""{_R}, p AS (SELECT shard, run_id, banned = 0 OR requests % 5 >= 3 AS passed FROM run WHERE quota <> 0),
+b AS (SELECT shard, run_id, sum(CASE WHEN passed THEN 0 ELSE 1 END) OVER (PARTITION BY shard ORDER BY run_id) AS failed FROM p) SELECT shard, max(run_id) AS cursor FROM b WHERE failed = 0 GROUP BY shard""",
     "window_running_best": f"""{_R}, r AS (SELECT shard AS model, run_id, round(search_seconds, 2) AS mape FROM run), b AS (SELECT *, min(mape) OVER (PARTITION BY model ORDER BY run_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS best FROM r)
 SELECT model, run_id, mape, best, coalesce(mape > best + greatest(0.5e0, best * 0.06e0), FALSE) AS worse FROM b""",
     "window_days_on_market": f"{_L} SELECT id, CAST(greatest(floor((epoch_us(CASE WHEN is_active = 1 THEN TIMESTAMP '{t.NOW}' ELSE coalesce(delisted_at, last_seen) END) - epoch_us(first_seen)) / 86400000000), 0) AS BIGINT) AS days FROM listing",

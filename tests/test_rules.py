@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from marketlens.functions import display, geo, geometry, scoring, text
-from marketlens.operators import joins, merge, planning
+from marketlens.operators import joins, merge, planning, windows
 from marketlens.sources import html, snapshots
 from marketlens.streaming import events
 
@@ -58,6 +58,14 @@ def test_gaps_within_an_hour(spark):
         assert sorted((r.gap_end - r.gap_start) // 60_000_000 for r in found.collect()) == [48, 170]
 
 
+def test_cursors_stop_at_failures(spark):
+    rows = [("a", 90, 1, True, 0, False), ("a", 80, 2, False, 3, False), ("a", 70, 3, True, 0, False), ("a", 60, 4, False, 1, False), ("a", 50, 5, True, 0, False)]
+    rows += [("b", 9, 1, False, 2, False), ("b", 8, 2, True, 0, False), ("c", 99, 1, False, 1, True), ("c", 7, 2, True, 0, False), ("c", 98, 3, True, 0, True), ("d", 5, 1, None, None, None)]
+    visits = spark.createDataFrame(rows, "shard string, id long, visit int, ok boolean, attempts int, fresh boolean")
+    assert {r.shard: r.cursor for r in windows.cursors(visits).collect()} == {"a": 70, "c": 7}
+    assert windows.cursors(visits.where("false")).count() == 0
+
+
 def test_ties_are_decided(spark):
     rows = spark.createDataFrame([("k", 1, i) for i in range(9)], "key string, at int, v int")
     assert [r.v for r in merge.keep_last(rows, 2, "at", "key").collect()] == [8, 7]
