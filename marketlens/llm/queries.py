@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import _scratch, ann, decontaminate, hmm_score, jaccard_join, language_id, packing, pii, secrets, suffix_dedup, token_files
+from marketlens.llm import _scratch, ann, centroids, decontaminate, hmm_score, html_extract, jaccard_join, language_id, packing, pii, prefix_trie, secrets, suffix_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +66,21 @@ def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_score.score(_documents(spark, sf_dir), _remainder(7) == 2)
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.branched(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_ann, op3_packing, op4_language_id, op5_token_files, op6_secrets, op7_pii, op8_jaccard_join, op9_suffix_dedup, op10_hmm_score)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_ann, op3_packing, op4_language_id, op5_token_files, op6_secrets, op7_pii, op8_jaccard_join, op9_suffix_dedup, op10_hmm_score, op11_html_extract, op12_centroids, op13_prefix_trie)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op12_centroids": centroids.ORACLE_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL}
