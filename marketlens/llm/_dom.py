@@ -15,6 +15,8 @@ from html import unescape
 DEPTH = 150
 #: Tags that could not be read before a page is read on with the plainest pattern.
 PATIENCE = 50
+#: Open elements among which the end of an inline one looks for its start.
+NEAR = 100
 
 _TAG = re.compile(r"""<(?:!--|[!?][^>]*>|(/?)([A-Za-z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>)""")
 _PLAIN_TAG = re.compile(r"<(?:!--|[!?][^<>]*>|(/?)([A-Za-z][^\s/<>]*)([^<>]*)>)")
@@ -132,7 +134,7 @@ class Page:
             tag = tag.lower()
             if m.group(1):
                 if tag in INLINE:
-                    for k in range(len(stack) - 1, 0, -1):
+                    for k in range(len(stack) - 1, max(0, len(stack) - NEAR), -1) if count[tag] > 0 else ():
                         if stack[k].tag == tag:
                             if stack[k].aside != stack[k - 1].aside or stack[k].cue != stack[k - 1].cue:
                                 flush()

@@ -11,12 +11,12 @@ article, only that is taken.
 from __future__ import annotations
 
 import json
-import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,66 +69,73 @@ class _Host:
         return out
 
 
-def _same_text(text: str) -> str:
-    """What counts as one text: figures don't matter."""
-    return re.sub(r"\d+", "0", text)
-
-
 def _align(pages: DataFrame) -> DataFrame:
     """A row a page with its texts and their places in the task's wrapper of the host, and a row a wrapper with its tree."""
     schema = _SCHEMA.format(kind=pages.schema["page_id"].dataType.simpleString())
     fields = to_arrow_schema(StructType.fromDDL(schema))
-    names, types = list(fields.names), list(fields.types)
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        numbers = count(first)
-        hosts: dict[str, _Host] = {}
-
-        def wrappers(some: list[tuple[str, _Host]]) -> pa.RecordBatch:
-            rows = {c: [None] * len(some) for c in names}
-            rows["wrapper"], rows["host"] = [h.number for _, h in some], [name for name, _ in some]
-            rows["tree"] = [json.dumps(_dom.dump(h.tree), separators=(",", ":")) for _, h in some]
-            return pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in zip(names, types, strict=True)], names)
-
-        nodes = 0
-        for part in _text.slices(batches, "html"):
-            rows: dict[str, list] = defaultdict(list)
-            done = []
-            for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                page = _dom.Page(html)
-                own = hosts.get(host)
-                if own is None:
-                    own = hosts[host] = _Host(next(numbers))
-                before = own.nodes
-                rows["slots"].append(own.place(page))
-                nodes += own.nodes - before
-                rows["wrapper"].append(own.number)
-                rows["texts"].append(page.texts)
-                rows["hashes"].append(_hashes([_same_text(x) for x in page.texts]))
-                rows["allowed"].append(page.allowed)
-                rows["main"].append(page.main)
-                rows["lead"].append(_hashes([max(page.texts, key=len, default="")])[0])
-                if own.nodes > NODES:
-                    done.append((host, hosts.pop(host)))
-                    nodes -= own.nodes
-            given = {c: part.column(c) for c in ("host", "page_id", "url")}
-            rows["tree"] = [None] * part.num_rows
-            yield pa.RecordBatch.from_arrays([given[c] if c in given else pa.array(rows[c], t) for c, t in zip(names, types, strict=True)], names)
-            if nodes > HELD:
-                done += hosts.items()
-                hosts, nodes = {}, 0
-            if done:
-                yield wrappers(done)
-        for at in range(0, len(hosts), 64):
-            yield wrappers(list(hosts.items())[at : at + 64])
-
-    return pages.mapInArrow(align, schema)
-
-
-def _hashes(texts: list[str]) -> list[int]:
-    data, offsets = _text.column_bytes(pa.array(texts, pa.string()))
-    return _text.hashes(data, offsets[:-1], offsets[1:], fold=False).view("int64").tolist()
+    return pages.mapInArrow(lambda batches: _aligned(batches, fields, TaskContext.get().partitionId() << 32), schema)
+
+
+def _aligned(batches: Iterator[pa.RecordBatch], fields: pa.Schema, first: int) -> Iterator[pa.RecordBatch]:
+    numbers = count(first)
+    hosts: dict[str, _Host] = {}
+
+    def wrappers(some: list[tuple[str, _Host]]) -> pa.RecordBatch:
+        rows = {"wrapper": [h.number for _, h in some], "host": [name for name, _ in some], "tree": [json.dumps(_dom.dump(h.tree), separators=(",", ":")) for _, h in some]}
+        return pa.RecordBatch.from_arrays([pa.array(rows.get(f.name, [None] * len(some)), f.type) for f in fields], schema=fields)
+
+    nodes = 0
+    for part in _text.slices(batches, "html"):
+        own, done = [], []
+        slots: list[int] = []
+        texts: list[str] = []
+        allowed: list[bool] = []
+        main: list[bool] = []
+        longest: list[str] = []
+        ends = [0]
+        for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+            page = _dom.Page(html)
+            h = hosts.get(host)
+            if h is None:
+                h = hosts[host] = _Host(next(numbers))
+            before = h.nodes
+            slots += h.place(page)
+            nodes += h.nodes - before
+            own.append(h.number)
+            texts += page.texts
+            allowed += page.allowed
+            main += page.main
+            longest.append(max(page.texts, key=len, default=""))
+            ends.append(len(texts))
+            if h.nodes > NODES:
+                done.append((host, hosts.pop(host)))
+                nodes -= h.nodes
+        each = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        column = pa.array(texts, pa.string())
+        rows = {
+            "wrapper": pa.array(own),
+            "lead": pa.array(_hashes(pa.array(longest, pa.string()))),
+            "slots": each(pa.array(slots, pa.int32())),
+            # Figures don't make another text.
+            "hashes": each(pa.array(_hashes(pc.replace_substring_regex(column, "[0-9]+", "0")))),
+            "allowed": each(pa.array(allowed, pa.bool_())),
+            "main": each(pa.array(main, pa.bool_())),
+            "texts": each(column),
+            "tree": pa.nulls(part.num_rows, pa.string()),
+        }
+        yield pa.RecordBatch.from_arrays([rows[f.name] if f.name in rows else part.column(f.name) for f in fields], schema=fields)
+        if nodes > HELD:
+            done += hosts.items()
+            hosts, nodes = {}, 0
+        if done:
+            yield wrappers(done)
+    for at in range(0, len(hosts), 64):
+        yield wrappers(list(hosts.items())[at : at + 64])
+
+
+def _hashes(column: pa.Array) -> np.ndarray:
+    data, offsets = _text.column_bytes(column)
+    return _text.hashes(data, offsets[:-1], offsets[1:], fold=False).view(np.int64)
 
 
 def _merged(wrappers: DataFrame) -> DataFrame:
