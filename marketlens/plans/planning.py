@@ -42,8 +42,8 @@ def _contributions(s, d):
 
 
 def _replies(s, d):
-    e = t.read(s, d, "events").select((F.col("event_id") % 7000).alias("id"), F.array("event_type", F.lit("other")).alias("flags")).where("id % 3 > 0")
-    return p.valid_replies(e.where("id < 650 or id > 690").dropDuplicates(["id", "flags"]), L(s, d).select("id"), ("view", "click", "error")).select("id", F.array_join("flags", ",").alias("flags"))
+    e = t.read(s, d, "events").select((F.col("event_id") % 7000).alias("id"), F.array("event_type", F.lit("other")).alias("flags"))
+    return p.valid_replies(e.dropDuplicates(["id", "flags"]), L(s, d).select("id"), ("view", "click", "error")).select("id", F.array_join("flags", ",").alias("flags"))
 
 
 def _filled(s, d):
@@ -111,8 +111,8 @@ WHEN l.price < k.price THEN 'cheaper' WHEN l.price > k.price THEN 'dearer' END A
     "track_delivered": "WITH l AS (SELECT DISTINCT conv_id AS id, turn AS chat FROM conversations), g AS (SELECT DISTINCT conv_id AS id, turn AS chat FROM conversations WHERE role = 'user' OR turn < 2) SELECT l.id, count(*) AS wanted, count(g.id) AS got, count(*) = count(g.id) AS done FROM l LEFT JOIN g USING (id, chat) GROUP BY l.id",
     "feature_contributions": """WITH r AS (SELECT l_orderkey AS id, l_partkey % 7 AS f, CAST(sum(CAST(l_quantity AS BIGINT) - 25) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2), g AS (SELECT id, CASE WHEN f IN (0, 1) THEN 'place' WHEN f = 2 THEN 'house' ELSE concat('f', CAST(f AS VARCHAR)) END AS "group", CAST(sum(v) AS BIGINT) AS value FROM r GROUP BY 1, 2 HAVING sum(v) <> 0)
 SELECT id, "group", value, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, "group") AS INTEGER) AS rank FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, "group") <= 5""",
-    "feature_replies": f"""{_L}, e AS (SELECT DISTINCT event_id % 7000 AS id, event_type AS f FROM events WHERE event_id % 7000 % 3 > 0 AND (event_id % 7000 < 650 OR event_id % 7000 > 690)), o AS (SELECT id, min(f) AS f FROM e GROUP BY 1 HAVING count(*) = 1)
-SELECT id, CASE WHEN f IN ('view', 'click', 'error') THEN f ELSE '' END AS flags FROM o WHERE id IN (SELECT id FROM listing WHERE id < 6000)""",
+    "feature_replies": f"""{_L}, e AS (SELECT DISTINCT event_id % 7000 AS id, event_type AS f FROM events), o AS (SELECT id, min(f) AS f FROM e GROUP BY 1 HAVING count(*) = 1)
+SELECT id, CASE WHEN f IN ('view', 'click', 'error') THEN f ELSE '' END AS flags FROM o WHERE id IN (SELECT id FROM listing)""",
     "feature_filled": f"""{_L}, b AS (SELECT building_type AS v FROM listing WHERE building_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), c AS (SELECT category AS v FROM listing WHERE category IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), m AS (SELECT round(median(ceiling), 4) AS ce, round(median(year_built), 4) AS y FROM listing)
 SELECT id, coalesce(building_type, b.v) AS building_type, coalesce(category, c.v) AS category, coalesce(ceiling, ce) AS ceiling, coalesce(CAST(year_built AS DOUBLE), y) AS year_built FROM listing, b, c, m""",
     "complex_best_filled": f"{_L}, f AS (SELECT complex_name, id, (area IS NOT NULL)::INT + (year_built IS NOT NULL)::INT + (ceiling IS NOT NULL)::INT AS filled FROM listing WHERE complex_name IS NOT NULL) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY complex_name ORDER BY filled DESC, id) = 1",
