@@ -50,23 +50,27 @@ def anomalies_since(rows: DataFrame, bad: Column, since: str, at: str = "last_se
     return rows.where((F.col(at) >= F.lit(since).cast("timestamp_ntz")) & bad).agg(F.count("*").alias("anomalies"))
 
 
-def fold_rows(listings: DataFrame, history: DataFrame, start: str, stop: str, days: int = 90) -> DataFrame:
-    """id, part ('train' or 'test') and price of one walk-forward fold.
+def fold_rows(listings: DataFrame, history: DataFrame, start: str, stop: str, days: int = 90, train_end: str | None = None) -> DataFrame:
+    """id, part ('train', 'purged' or 'test') and price of one walk-forward fold.
 
     Both parts know only what was known then: the test has what was first seen from ``start`` to before ``stop`` with
-    its last price before ``stop``; training has what was first seen before ``start`` and was current then, with its
-    last price before ``start``. Of training rows with one fingerprint the newest stays, and those whose fingerprint the
-    test has are purged. ``listings`` has fp; rows without a fingerprint are all kept; rows without a price are not.
+    its last price before ``stop``; training has what was first seen before ``train_end`` (else ``start``) with its last
+    price before that. In both, what was delisted over ``days`` before the part's end, lies outside of the city's box or
+    has no price goes, and of a fingerprint one row stays for each price level, the one with the greatest id, as when
+    rows were last seen isn't known then. Training rows whose fingerprint the test has are purged. ``listings`` has fp.
     """
-    a, b = (F.lit(x).cast("timestamp_ntz") for x in (start, stop))
+    from marketlens.operators import filters, windows
 
-    def priced(rows: DataFrame, by: Column) -> DataFrame:
+    train_end = train_end or start
+    a, b, c = (F.lit(x).cast("timestamp_ntz") for x in (start, stop, train_end))
+
+    def part(rows: DataFrame, end: str, by: Column) -> DataFrame:
         last = history.where(F.col("observed_at") < by).groupBy("listing_id").agg(F.max_by("price", F.struct("observed_at", "seq")).alias("known"))
-        return rows.join(last, rows.id == last.listing_id).where("known > 0").select("id", "fp", "first_seen", F.col("known").alias("price"))
-
-    test = priced(listings.where((F.col("first_seen") >= a) & (F.col("first_seen") < b)), b)
-    gone = F.col("delisted_at") < a - F.expr(f"interval {days} days")
-    train = priced(listings.where((F.col("first_seen") < a) & ~F.coalesce(gone, F.lit(False))), a)
-    rank = F.row_number().over(Window.partitionBy(F.coalesce("fp", F.concat(F.lit("id:"), F.col("id").cast("string")))).orderBy(F.desc("first_seen"), F.desc("id")))
-    train = train.withColumn("_r", rank).where("_r = 1").join(test.where("fp is not null").select("fp").distinct(), "fp", "left_anti")
-    return train.select("id", F.lit("train").alias("part"), "price").union(test.select("id", F.lit("test").alias("part"), "price"))
+        rows = filters.current(rows, end, days).join(last, F.col("id") == F.col("listing_id")).where("known > 0")
+        return windows.dedup_relistings(rows.select("id", "fp", F.col("known").alias("price")), order=("id",))
+
+    test = part(listings.where((F.col("first_seen") >= a) & (F.col("first_seen") < b)), stop, b)
+    train = part(listings.where(F.col("first_seen") < c), train_end, c)
+    seen = test.where("fp is not null").select("fp", F.lit(True).alias("_seen")).distinct()
+    train = train.join(seen, "fp", "left").select("id", F.when(F.col("_seen"), "purged").otherwise("train").alias("part"), "price")
+    return train.union(test.select("id", F.lit("test").alias("part"), "price"))

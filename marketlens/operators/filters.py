@@ -25,10 +25,20 @@ def current(rows: DataFrame, now: str, days: int = 90) -> DataFrame:
     return rows.where(fresh & (F.col("lat").isNull() | F.col("lon").isNull() | inside))
 
 
-def sanitized(rows: DataFrame) -> DataFrame:
-    """Numbers out of range become missing; so do a floor above the top and both coordinates of a bad pair."""
+#: Bounds of numbers by the rule, both ends included; years go up to so many after the current one.
+BOUNDS = {"floor": (1, 100), "total_floors": (1, 100), "ceiling": (2.0, 5.0), "rooms": (1, 10)}
+FIRST_YEAR, YEARS_AHEAD = 1930, 3
+
+
+def sanitized(rows: DataFrame, year: int | None = None, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Numbers out of range become missing; so do a floor above the top and both coordinates of a bad pair.
+
+    ``bounds`` replaces those of some columns; ``year`` is the current one, else the session's clock tells.
+    """
     within = lambda c, a, b: F.when(F.col(c).between(a, b), F.col(c))
-    rows = rows.withColumns({c: within(c, a, b) for c, a, b in (("floor", 1, 100), ("total_floors", 1, 100), ("year_built", 1960, 2004), ("ceiling", 2.5, 3.1), ("rooms", 1, 5))})
+    last = F.year(F.current_date()) + YEARS_AHEAD if year is None else F.lit(year + YEARS_AHEAD)
+    every = BOUNDS | {"year_built": (FIRST_YEAR, last)} | (bounds or {})
+    rows = rows.withColumns({c: within(c, a, b) for c, (a, b) in every.items() if c in rows.columns})
     pair = F.col("lat").between(*BOX["lat"]) & F.col("lon").between(*BOX["lon"])
     return rows.withColumns({"floor": F.when(~F.coalesce(F.col("floor") > F.col("total_floors"), F.lit(False)), F.col("floor")), "lat": F.when(pair, F.col("lat")), "lon": F.when(pair, F.col("lon"))})
 
@@ -53,8 +63,8 @@ def params_frame(rows: DataFrame) -> DataFrame:
     )
 
 
-def feature_frame(rows: DataFrame, year: int) -> DataFrame:
-    return sanitized(rows).select("id", *(c.alias(k) for k, c in scoring.derived(year).items()))
+def feature_frame(rows: DataFrame, year: int, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    return sanitized(rows, year, bounds).select("id", *(c.alias(k) for k, c in scoring.derived(year).items()))
 
 
 def new_listings(rows: DataFrame, alerted: DataFrame, now: str) -> DataFrame:

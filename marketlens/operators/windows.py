@@ -191,6 +191,51 @@ def time_split(rows: DataFrame, day: str = "day", share: float = 0.2, bulk: floa
     return rows.join(F.broadcast(test_days), day, "left_anti"), rows.join(F.broadcast(test_days), day, "left_semi")
 
 
+def recent_split(
+    rows: DataFrame, at: str = "first_seen", key: str = "id", window: int = 14, need: float = 0.10, cap: float = 0.20, least: int = 500, lookback: int = 45, bulk_times: float = 3.0, bulk_least: int = 1500, bulk_days: int = 5, seed: str = "42"
+) -> DataFrame:
+    """Adds is_test: the newest rows by whole days, as a share of all rows between ``need`` (or ``least`` rows) and ``cap``.
+
+    Days of a bulk load (with ``bulk_days`` days or more: over ``bulk_times`` the median day and ``bulk_least`` rows) are
+    never test. From the newest other day on, days are taken while they fit under the cap, for ``window`` days, or for
+    ``lookback`` days while too few are taken. Of the first day that doesn't fit, as many rows as do are drawn by a hash,
+    if too few were taken before. A test of under ``least`` rows, or of a fifth of all if that is less, is none at all.
+    Rows without a moment are never test. Only the table of days is put in order, and a part of one day.
+    """
+    day = F.to_date(at)
+    days = rows.where(F.col(at).isNotNull()).groupBy(day.alias("_day")).agg(F.count("*").alias("_n"))
+    whole = days.agg(F.sum("_n").alias("_total"), F.count("*").alias("_days"), F.percentile("_n", F.lit(0.5)).alias("_median"))
+    days = days.crossJoin(F.broadcast(whole))  # one row
+    bulk = (F.col("_days") >= bulk_days) & (F.col("_n") >= F.greatest(bulk_times * F.col("_median"), F.lit(bulk_least)))
+    days = days.where(~bulk).withColumn("_cap", F.greatest(F.lit(1), F.floor(cap * F.col("_total"))))
+    days = days.withColumn("_need", F.least(F.greatest(F.lit(least), F.ceil(need * F.col("_total"))), F.col("_cap")))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("_day"))  # a row a day
+    days = days.withColumns({"_upto": F.sum("_n").over(order), "_age": F.date_diff(F.max("_day").over(Window.partitionBy(F.lit(1))), "_day")})
+    before = F.col("_upto") - F.col("_n")
+    open_ = (F.col("_age") <= lookback) & ((F.col("_age") < window) | (before < F.col("_need")))
+    days = days.withColumn("_open", open_).withColumn("_fits", F.col("_open") & (F.col("_upto") <= F.col("_cap")))
+    # Nothing is taken behind the first day that doesn't fit.
+    days = days.withColumn("_misses", F.sum((~F.col("_fits")).cast("int")).over(order))
+    take = F.when(F.col("_misses") == 0, F.col("_n")).when((F.col("_misses") == 1) & ~F.col("_fits") & F.col("_open") & (before < F.col("_need")), F.col("_cap") - before).otherwise(0)
+    days = days.withColumn("_take", take).withColumn("_size", F.sum("_take").over(Window.partitionBy(F.lit(1))))
+    enough = F.col("_size") >= F.least(F.lit(least), F.greatest(F.lit(1), F.floor(F.col("_total") / 5)))
+    days = days.where(enough & (F.col("_take") > 0)).select("_day", "_n", "_take")
+
+    placed = rows.withColumn("_at", day).join(F.broadcast(days), F.col("_at") == F.col("_day"), "left").drop("_at")  # a row a day
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed))), 1, 15), 16, 10).cast("long")
+    part = placed.where("_take < _n").withColumn("_draw", draw)
+    # Rows are drawn by their hash: whole slices of hashes first, then the rest from one slice in order.
+    slices = part.withColumn("_slice", F.shiftright("_draw", 48)).groupBy("_slice").agg(F.count("*").alias("_c"), F.first("_take").alias("_k"))
+    slices = slices.withColumn("_so_far", F.sum("_c").over(Window.partitionBy(F.lit(1)).orderBy("_slice")))  # 4,096 rows at most
+    edge = slices.where("_so_far > _k").agg(F.min("_slice").alias("_edge"), F.min_by(F.col("_k") - (F.col("_so_far") - F.col("_c")), "_slice").alias("_rest"))
+    part = part.crossJoin(F.broadcast(edge))  # one row
+    low = part.where(F.shiftright("_draw", 48) < F.col("_edge")).withColumn("_in", F.lit(True))
+    high = part.where(F.shiftright("_draw", 48) > F.col("_edge")).withColumn("_in", F.lit(False))
+    on = part.where(F.shiftright("_draw", 48) == F.col("_edge")).withColumn("_in", F.row_number().over(Window.partitionBy("_edge").orderBy("_draw", key)) <= F.col("_rest"))
+    drawn = low.unionByName(on).unionByName(high).select(*rows.columns, F.col("_in").alias("is_test"))
+    return placed.where("_take is null or _take = _n").select(*rows.columns, F.col("_take").isNotNull().alias("is_test")).unionByName(drawn)
+
+
 def decimate(points: Column, least: float) -> Column:
     """Points of a line (array of struct x, y) at least so far from the last kept one; the first is kept."""
     def step(kept: Column, p: Column) -> Column:

@@ -58,15 +58,18 @@ def _delisted(s, d):
     return filters.delist_guarded(L(s, d), "1999-01-01 00:00:00", 30, 1.0).select("id", "gone")
 
 
+#: Bounds that some of the made-up listings overstep.
+_BOUNDS = {"year_built": (1960, 2004), "ceiling": (2.5, 3.1), "rooms": (1, 5)}
+
 QUERIES = {
     "filter_clean": lambda s, d: filters.clean(L(s, d)).select("id", "price", "area"),
     "filter_current": lambda s, d: filters.current(L(s, d), t.NOW).select("id"),
-    "filter_sanitized": lambda s, d: filters.sanitized(L(s, d)).select("id", "floor", "year_built", "ceiling", "rooms", "lat", "lon"),
+    "filter_sanitized": lambda s, d: filters.sanitized(L(s, d), 2001, _BOUNDS).select("id", "floor", "year_built", "ceiling", "rooms", "lat", "lon"),
     "filter_new_listings": lambda s, d: filters.new_listings(L(s, d), L(s, d).where("id % 4 = 0").select("id"), "2000-05-05 00:00:00").select("id"),
     "filter_delist": _delisted,
     "filter_refresh_queue": lambda s, d: filters.refresh_queue(L(s, d), "2000-01-01 00:00:00", 30, 200).select("id"),
     "feature_params": lambda s, d: filters.params_frame(L(s, d)),
-    "feature_derived": lambda s, d: filters.feature_frame(L(s, d).withColumn("user_type", F.when(F.col("user_type") == "BUILDING", "complex").otherwise(F.col("user_type"))), 2001),
+    "feature_derived": lambda s, d: filters.feature_frame(L(s, d).withColumn("user_type", F.when(F.col("user_type") == "BUILDING", "complex").otherwise(F.col("user_type"))), 2001, _BOUNDS),
     "feature_fingerprint": lambda s, d: L(s, d).select("id", text.fingerprint().alias("fp")),
     "feature_estimates": _estimates,
     "feature_distances": _distances,
