@@ -129,7 +129,9 @@ CASE WHEN id % 5 = 0 THEN CASE WHEN id % 11 <= 7 THEN 'off the market' END WHEN
     "join_pending": f"{t.sql('listing', 'prediction')}, {_CACHE} SELECT l.id, is_active FROM l LEFT JOIN c ON c.id = l.id WHERE c.id IS NULL OR c.h <> l.h",
     "model_folds": f"""{t.sql('listing', 'history')}, f AS (SELECT *, CASE WHEN area IS NOT NULL THEN concat_ws('|', district, CAST(rooms AS VARCHAR), CAST(CAST(area AS INTEGER) AS VARCHAR)) END AS fp FROM listing),
 pa AS (SELECT listing_id, arg_max(price, (observed_at, seq)) AS known FROM history WHERE observed_at < TIMESTAMP '2000-06-01' GROUP BY 1), pb AS (SELECT listing_id, arg_max(price, (observed_at, seq)) AS known FROM history WHERE observed_at < TIMESTAMP '2000-09-01' GROUP BY 1),
-te AS (SELECT id, fp, known AS price FROM f JOIN pb ON listing_id = id WHERE known > 0 AND first_seen >= TIMESTAMP '2000-06-01' AND first_seen < TIMESTAMP '2000-09-01'),
-tr AS (SELECT id, fp, known AS price FROM f JOIN pa ON listing_id = id WHERE known > 0 AND first_seen < TIMESTAMP '2000-06-01' AND NOT coalesce(delisted_at < TIMESTAMP '2000-06-01' - INTERVAL 90 DAY, FALSE) QUALIFY row_number() OVER (PARTITION BY coalesce(fp, concat('id:', CAST(id AS VARCHAR))) ORDER BY first_seen DESC, id DESC) = 1)
-SELECT id, 'train' AS part, price FROM tr WHERE fp IS NULL OR fp NOT IN (SELECT fp FROM te WHERE fp IS NOT NULL) UNION ALL SELECT id, 'test', price FROM te""",
+x AS (SELECT id, fp, known AS price, 'test' AS part FROM f JOIN pb ON listing_id = id WHERE known > 0 AND first_seen >= TIMESTAMP '2000-06-01' AND first_seen < TIMESTAMP '2000-09-01' AND (coalesce(is_active, 1) = 1 OR coalesce(delisted_at >= TIMESTAMP '2000-09-01' - INTERVAL 90 DAY, FALSE)) AND (lat IS NULL OR lon IS NULL OR (lat BETWEEN 43.12e0 AND 43.38e0 AND lon BETWEEN 76.75e0 AND 77.15e0))
+UNION ALL SELECT id, fp, known, 'train' FROM f JOIN pa ON listing_id = id WHERE known > 0 AND first_seen < TIMESTAMP '2000-06-01' AND (coalesce(is_active, 1) = 1 OR coalesce(delisted_at >= TIMESTAMP '2000-06-01' - INTERVAL 90 DAY, FALSE)) AND (lat IS NULL OR lon IS NULL OR (lat BETWEEN 43.12e0 AND 43.38e0 AND lon BETWEEN 76.75e0 AND 77.15e0))),
+y AS (SELECT *, CASE WHEN price > lag(price) OVER (PARTITION BY part, fp ORDER BY price, id) * 1.02e0 THEN 1 ELSE 0 END AS fresh FROM x), z AS (SELECT *, sum(fresh) OVER (PARTITION BY part, fp ORDER BY price, id) AS cluster FROM y),
+k AS (SELECT * FROM z QUALIFY fp IS NULL OR row_number() OVER (PARTITION BY part, fp, cluster ORDER BY id DESC) = 1)
+SELECT id, CASE WHEN part = 'train' AND fp IN (SELECT fp FROM k WHERE part = 'test' AND fp IS NOT NULL) THEN 'purged' ELSE part END AS part, price FROM k""",
 }

@@ -79,7 +79,11 @@ def _reached(s, d):
     return w.cursors(visits)
 
 
+#: A cap that lies within a day of the supplied listings, so that a day is taken in part.
+_SPLIT = {"window": 14, "need": 0.003, "cap": 0.003, "least": 2, "bulk_least": 10_000}
+
 QUERIES = {
+    "window_recent_split": lambda s, d: w.recent_split(t.listings(s, d), **_SPLIT).select("id", "is_test"),
     "window_price_clusters": lambda s, d: w.price_clusters(_keyed(s, d).where("fp is not null")).select("id", "fp", "cluster"),
     "window_dedup_relistings": lambda s, d: w.dedup_relistings(_keyed(s, d)).select("id", "price", "fp"),
     "window_dedup_sizes": lambda s, d: w.dedup_sizes(_keyed(s, d)),
@@ -102,6 +106,14 @@ QUERIES = {
 }
 
 ORACLES = {
+    "window_recent_split": t.sql("listing")
+    + """, d AS (SELECT CAST(first_seen AS DATE) AS day, count(*) AS n FROM listing WHERE first_seen IS NOT NULL GROUP BY 1), w AS (SELECT sum(n) AS total FROM d),
+e AS (SELECT *, greatest(1, floor(0.003e0 * total)) AS cap, sum(n) OVER (ORDER BY day DESC) AS upto, max(day) OVER () - day AS age FROM d, w),
+f AS (SELECT *, least(greatest(2, ceil(0.003e0 * total)), cap) AS need FROM e), g AS (SELECT *, age <= 45 AND (age < 14 OR upto - n < need) AS open_ FROM f),
+h AS (SELECT *, open_ AND upto <= cap AS fits, sum(CASE WHEN open_ AND upto <= cap THEN 0 ELSE 1 END) OVER (ORDER BY day DESC) AS misses FROM g),
+k AS (SELECT day, total, CASE WHEN misses = 0 THEN n WHEN misses = 1 AND NOT fits AND open_ AND upto - n < need THEN cap - (upto - n) ELSE 0 END AS take FROM h),
+m AS (SELECT day, take FROM k QUALIFY sum(take) OVER () >= least(2, greatest(1, total // 5)))
+SELECT id, coalesce(row_number() OVER (PARTITION BY CAST(first_seen AS DATE) ORDER BY CAST(concat('0x', substr(md5(concat(id, '|42')), 1, 15)) AS BIGINT), id) <= take, FALSE) AS is_test FROM listing LEFT JOIN m ON day = CAST(first_seen AS DATE)""",
     "window_price_clusters": _KEYED + _CLUSTERS.format(src="(SELECT * FROM k WHERE fp IS NOT NULL AND price IS NOT NULL)") + " SELECT id, fp, CAST(cluster AS BIGINT) AS cluster FROM c",
     "window_dedup_relistings": _KEYED
     + ", n AS (SELECT *, count(price) OVER (PARTITION BY fp) AS priced FROM k WHERE fp IS NOT NULL)"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import factorial
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marketlens import tables
-from marketlens.operators import model, planning, rings, validity
+from marketlens.operators import boosting, delivery, explain, filters, model, planning, rings, training, validity, windows
 from marketlens.plans.model import _rows
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +23,7 @@ def rows(spark):
 
 @pytest.fixture(scope="module")
 def fitted(rows):
-    return model.fit(rows, trees=4, depth=3)
+    return model.fit(rows, trees=4, depth=3, quantile_trees=4)
 
 
 def test_estimates_lie_in_their_interval(rows, fitted):
@@ -70,3 +74,158 @@ def test_view_of_listings_matches_its_twin(spark):
     n = connect(SF).execute(f"{tables.sql('listing')} SELECT count(*), count(price), count(raw_params) FROM listing").fetchall()[0]
     got = tables.listings(spark, SF).agg(F.count("*"), F.count("price"), F.count("raw_params")).first()
     assert tuple(got) == n
+
+
+def test_contributions_equal_those_over_all_subsets(rows, fitted):
+    """Shapley values by their definition: a feature that isn't known takes both ways, by training rows."""
+    gbt = fitted.pipeline.stages[-1]
+    nodes, trees = explain._nodes(gbt), explain.read_trees(gbt)
+
+    def value(weight, tree, x, known, i=0):
+        node = tree[i]
+        if node["leftChild"] < 0:
+            return weight * node["prediction"]
+        split, (a, b) = node["split"], (node["leftChild"], node["rightChild"])
+        if split["featureIndex"] in known:
+            v, cut = x[split["featureIndex"]], split["leftCategoriesOrThreshold"]
+            left = v in cut if split["numCategories"] >= 0 else v <= cut[0]
+            return value(weight, tree, x, known, a if left else b)
+        return sum(tree[c]["rawCount"] / node["rawCount"] * value(weight, tree, x, known, c) for c in (a, b))
+
+    rng = np.random.default_rng(1)
+    frame = model._indexed(fitted, rows.where("price > 0")).select("features", "log_fair").limit(200).collect()
+    some = [frame[i] for i in rng.choice(len(frame), 8, replace=False)]
+    got = explain.shapley(trees, np.array([r.features.toArray() for r in some]))
+    for r, own in zip(some, got, strict=True):
+        x = r.features.toArray()
+        want, base = np.zeros(len(x)), 0.0
+        for weight, tree in nodes:
+            used = sorted({n["split"]["featureIndex"] for n in tree.values() if n["leftChild"] >= 0})
+            v = {s: value(weight, tree, x, set(s)) for k in range(len(used) + 1) for s in combinations(used, k)}
+            base += v[()]
+            for j in used:
+                others = [u for u in used if u != j]
+                for k in range(len(used)):
+                    for s in combinations(others, k):
+                        want[j] += factorial(k) * factorial(len(used) - k - 1) / factorial(len(used)) * (v[tuple(sorted((*s, j)))] - v[s])
+        assert np.allclose(own, want, atol=1e-10) and abs(base - trees.base) < 1e-10
+        assert abs(trees.base + own.sum() - r.log_fair) < 1e-10
+
+
+def test_parts_of_a_price_add_up(rows, fitted):
+    for groups in (None, {}):
+        out = model.explained(fitted, rows.where("price > 0"), n=3, groups=groups)
+        rest = F.col("fair_price") - F.col("factors_base") - F.aggregate("factors", F.lit(0.0), lambda a, x: a + x["amount"]) - F.col("factors_other")
+        got = out.agg(F.count("*").alias("n"), F.max(F.abs(rest)).alias("off"), F.max(F.size("factors")).alias("most")).first()
+        assert got.n == rows.where("price > 0").count() and got.off < 1e-6 and got.most <= 3
+        joined = out.join(model.estimate(fitted, rows.where("price > 0")).select("id", F.bround("fair_price", -4).alias("p")), "id")
+        assert joined.where(F.abs(F.col("p") - F.col("fair_price")) > 10_001).count() == 0  # but for what lies on the edge of rounding
+
+
+def test_money_of_contributions(spark):
+    """Rows by hand: base 9 and one factor that doubles e^y; and no factor at all."""
+    data = [(1, float(np.log1p(1_000_000)), {"a": float(np.log(2)), "b": 0.0}), (2, float(np.log1p(1_000_000)), {"a": 0.0, "b": 0.0})]
+    out = explain.in_money(spark.createDataFrame(data, "id int, base double, contributions map<string, double>")).orderBy("id").collect()
+    assert (out[0].fair_price, out[0].factors_base, out[0].factors_other) == (2_000_000, 1_000_000, 0)
+    assert [(f.factor, f.impact_pct, f.amount) for f in out[0].factors] == [("a", 100.0, 1_000_000)]
+    assert (out[1].fair_price, list(out[1].factors), out[1].factors_other) == (1_000_000, [], 0)
+
+
+def test_quantile_trees(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0, 1, (4000, 2))
+    y = np.where(x[:, 0] > 0.5, 3.0, 0.0) + rng.normal(0, 0.2 + 0.8 * (x[:, 1] > 0.5), 4000)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y double")
+    models = [boosting.fit(df.repartition(n), ["a", "b"], "y", (0.1, 0.9), trees=10, depth=2) for n in (1, 5)]
+    one, two = models
+    assert [(t.tau, t.features, t.bins, t.values.tolist()) for t in one.trees] == [(t.tau, t.features, t.bins, t.values.tolist()) for t in two.trees]
+    out = boosting.predict(one, df, ("low", "high"))
+    got = out.agg(F.avg((F.col("y") < F.col("low")).cast("int")).alias("l"), F.avg((F.col("y") > F.col("high")).cast("int")).alias("h")).first()
+    assert abs(got.l - 0.1) < 0.02 and abs(got.h - 0.1) < 0.02
+    wide = out.groupBy((F.col("b") > 0.5).alias("late")).agg(F.avg(F.col("high") - F.col("low")).alias("w")).orderBy("late").collect()
+    assert wide[1].w > 3 * wide[0].w
+
+
+def days(spark, counts: dict[str, int], missing: int = 0):
+    rows = [(i, d) for d, n in counts.items() for i in range(n)] + [(i, None) for i in range(missing)]
+    return spark.createDataFrame([(k, d) for k, (_, d) in enumerate(rows)], "id long, d string").select("id", F.col("d").cast("timestamp_ntz").alias("first_seen"))
+
+
+def taken(spark, counts: dict[str, int], missing: int = 0, **rules) -> dict[str, int]:
+    out = windows.recent_split(days(spark, counts, missing), **rules)
+    assert out.count() == sum(counts.values()) + missing
+    return {str(r.d): r["count"] for r in out.where("is_test").groupBy(F.to_date("first_seen").alias("d")).count().collect()}
+
+
+def test_recent_split_takes_whole_days_under_the_cap(spark):
+    """Each case by hand from the rule; 1,000 rows, the cap is 200."""
+    old = {"2024-01-01": 800}
+    rules = {"least": 50, "need": 0.1}
+    assert taken(spark, old | {"2024-03-01": 90, "2024-03-02": 110}, **rules) == {"2024-03-01": 90, "2024-03-02": 110}
+    # Enough is taken: the next day doesn't fit and nothing is drawn from it.
+    assert taken(spark, {"2024-01-01": 700, "2024-03-01": 190, "2024-03-02": 110}, **rules) == {"2024-03-02": 110}
+    # Too few are taken: a part of the next day fills up to the cap, and always the same part.
+    case = {"2024-01-01": 700, "2024-03-01": 250, "2024-03-02": 50}
+    assert taken(spark, case, **rules) == {"2024-03-01": 150, "2024-03-02": 50}
+    picked = [sorted(r.id for r in windows.recent_split(days(spark, case).repartition(n), **rules).where("is_test").collect()) for n in (1, 4)]
+    assert picked[0] == picked[1]
+    # Beyond the window only while too few are taken, and never beyond 45 days.
+    assert taken(spark, {"2024-01-01": 800, "2024-02-10": 80, "2024-03-02": 120}, **rules) == {"2024-03-02": 120}
+    assert taken(spark, {"2023-01-01": 820, "2024-02-10": 90, "2024-03-02": 90}, **rules) == {"2024-02-10": 90, "2024-03-02": 90}
+    assert taken(spark, {"2023-01-01": 820, "2024-01-10": 90, "2024-03-02": 90}, **rules) == {"2024-03-02": 90}
+
+
+def test_recent_split_without_a_test(spark):
+    assert taken(spark, {"2024-01-01": 950, "2024-03-02": 40}, least=500) == {}  # 40 are fewer than 198
+    assert taken(spark, {}, missing=5) == {} and taken(spark, {"2024-03-02": 1}, missing=3) == {"2024-03-02": 1}
+    bulk = {f"2024-03-0{i}": 20 for i in range(1, 6)} | {"2024-03-09": 2000}
+    assert "2024-03-09" not in taken(spark, bulk, least=10) and sum(taken(spark, bulk, least=10).values()) == 100
+
+
+def test_bounds_of_numbers(spark):
+    """The rule's own bounds: years 1930 to three after the current one, ceilings 2 to 5, one to ten rooms."""
+    columns = "floor int, total_floors int, year_built int, ceiling double, rooms int, lat double, lon double"
+    rows = [(1, 5, 1930, 2.0, 1, 43.2, 76.9), (0, 101, 1929, 1.9, 0, 43.2, 10.0), (6, 5, 2027, 5.1, 11, None, 76.9), (5, 5, 2028, 5.0, 10, 43.2, 76.9)]
+    out = [tuple(r) for r in filters.sanitized(spark.createDataFrame(rows, columns), 2024).collect()]
+    assert out == [(1, 5, 1930, 2.0, 1, 43.2, 76.9), (None,) * 7, (None, 5, 2027, None, None, None, None), (5, 5, None, 5.0, 10, 43.2, 76.9)]
+
+
+def test_fold_rows_know_only_what_was_known(spark):
+    """Prices as of the part's end, stale and outside rows gone, one row a price level in both parts, leaks purged."""
+    at = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    rows = [
+        (1, "a", "2024-01-01", 1, None, 43.2, 76.9),
+        (2, "b", "2024-01-02", 1, None, None, None),
+        (3, "b", "2024-01-03", 1, None, 43.2, 76.9),  # same flat and price level as 2
+        (4, "c", "2024-01-04", 0, "2023-09-01", 43.2, 76.9),  # gone long before
+        (5, "d", "2024-01-05", 1, None, 50.0, 76.9),  # elsewhere
+        (6, None, "2024-01-06", 1, None, 43.2, 76.9),
+        (7, "a", "2024-02-03", 1, None, 43.2, 76.9),
+        (8, "e", "2024-02-04", 1, None, 43.2, 76.9),
+        (9, "e", "2024-02-05", 1, None, 43.2, 76.9),  # relisted within the test
+        (10, "f", "2024-02-05", 1, None, 43.2, 76.9),  # first price comes later
+        (11, "g", "2024-02-20", 1, None, 43.2, 76.9),
+    ]
+    listings = spark.createDataFrame(rows, "id long, fp string, first_seen string, is_active int, delisted_at string, lat double, lon double").select("id", "fp", at("first_seen"), "is_active", at("delisted_at"), "lat", "lon")
+    log = [(i, 100 + i, "2024-01-10", 1) for i in range(1, 10)] + [(6, 900, "2024-02-03", 2), (2, 103, "2024-01-15", 2), (10, 50, "2024-02-20", 1), (9, 108, "2024-02-06", 2), (8, 700, "2024-02-09", 2)]
+    history = spark.createDataFrame(log, "listing_id long, price long, observed_at string, seq int").select("listing_id", "price", at("observed_at"), "seq")
+    out = sorted((r.id, r.part, r.price) for r in delivery.fold_rows(listings, history, "2024-02-01", "2024-02-08").collect())
+    assert out == [(1, "purged", 101), (3, "train", 103), (6, "train", 106), (7, "test", 107), (9, "test", 108)]
+
+
+def test_training_run(spark):
+    from marketlens.plans.model import _rows
+
+    out = training.train(_rows(spark, SF), tables.NOW, rules={"window": 400, "lookback": 900, "least": 40}, trees=6, depth=3, quantile_trees=4)
+    r = out.report.first()
+    assert r.n_rows == r.n_train + r.n_test + r.n_purged and r.n == r.n_test > 40 and r.r2 > 0.5 and 1 <= r.n_trees <= 6
+    assert out.model.trees == r.n_trees
+
+
+def test_backtest_without_enough_valid_folds(spark):
+    from marketlens.plans.model import _history
+
+    rows = _rows(spark, SF)
+    out = training.backtest(rows, _history(spark, SF), folds=2, days=200, least_train=20, least_test=5, trees=4, depth=2, quantile_trees=2).collect()
+    assert [r.fold for r in out] == [0, 1, None] and out[2].mape is None and "3 needed" in out[2].reason
+    assert training.backtest(rows.where("false"), _history(spark, SF)).collect()[0].reason == "0 of 0 folds are valid, 3 needed"
