@@ -356,14 +356,37 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.withColumn("_key", key).join(F.broadcast(few), "_key", "left_semi").drop("_key") if ids.count() <= BROADCAST_IDS else docs
 
 
+def _marks(signed: DataFrame) -> DataFrame:
+    """doc_id, sha and mark of the texts of ids that have several: their numbers in the order of their SHA-256.
+
+    An id may have very many; they are numbered within slices of hashes, and a slice starts where those before it end.
+    """
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("doc_id")
+    texts = signed.join(several, "doc_id", "left_semi").select("doc_id", "sha").distinct().withColumn("slice", F.substring("sha", 1, 3))
+    sizes = texts.groupBy("doc_id", "slice").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("doc_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 slices at most
+    sizes = sizes.select("doc_id", "slice", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("doc_id", "slice").orderBy("sha")) - 1
+    return texts.withColumn("number", number).join(sizes, ["doc_id", "slice"]).select("doc_id", "sha", (F.col("before") + F.col("number")).alias("mark"))
+
+
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """doc_id, text, mark and fp (of the text), and a stored table of their hashes and sizes."""
+    """doc_id, text, mark and fp (of the text), and a stored table of their hashes and sizes.
+
+    The mark tells the texts of an id apart; it is 0 where an id has one.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = _text.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    docs = _text.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("fp", F.xxhash64("text"))
     sha = F.sha2("text", 256)
-    mark = F.conv(F.substring(sha, 1, 6), 16, 10).cast("long")
-    docs = docs.withColumn("mark", mark).withColumn("fp", F.xxhash64("text"))
-    return docs, _scratch.stage(docs.select("doc_id", "mark", "fp", sha.alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "signed")
+    signed = _scratch.stage(docs.select("doc_id", "fp", sha.alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "signed")
+    marks = _scratch.stage(_marks(signed), "marks")
+    if not (n := marks.count()):
+        none = F.lit(0).cast("long").alias("mark")
+        return docs.select("*", none), signed.select("*", none)
+    if n <= BROADCAST_IDS:
+        marks = F.broadcast(marks)
+    marked = lambda rows: rows.join(marks, ["doc_id", "sha"], "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
+    return marked(docs.withColumn("sha", sha)).drop("sha"), marked(signed)
 
 
 def _first(signed: DataFrame, length: int) -> DataFrame:

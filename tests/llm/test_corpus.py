@@ -487,3 +487,32 @@ def test_twins(spark, name):
 
 def test_schema_of_the_corpus():
     assert SCHEMA.startswith("doc_id long")
+
+
+def test_suffix_dedup_of_many_texts_of_one_id(spark, monkeypatch):
+    """Each of the texts of an id gets its own bytes back, in the order of their hashes where they share a passage."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdef ") for _ in range(130))
+    texts = ["".join(rng.choice("ghijkl ") for _ in range(rng.randint(90, 140))) for _ in range(300)] + [f"{i} {passage} {i}" for i in range(12)]
+    rows = [(i, t, None, None, 0) for t in texts for i in (7, None)] + [(7, texts[0], None, None, 0), (9, "alone", None, None, 0)]
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", most)
+        out = suffix_dedup.dedup(frame(spark, rows)).collect()
+        assert len(out) == len(rows)
+        got = {(r.doc_id, r.kept_sha256) for r in out if not r.n_removed}
+        assert {(None, sha(t)) for t in texts} | {(7, sha(t)) for t in texts[:300]} | {(9, sha("alone"))} <= got
+        # Of the texts with the passage the one with the smallest hash keeps it.
+        first = min(texts[300:], key=sha)
+        assert (7, sha(first)) in got and sum(r.n_removed >= 130 for r in out if r.doc_id == 7) == 11
+
+
+def test_scores_of_many_texts_of_one_id(spark, monkeypatch):
+    """Rare words of rows that share an id, null included, are summed up row by row."""
+    monkeypatch.setattr(hmm_score, "HELD_WORDS", 2)
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 5]), " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 20))), None, None, 0) for _ in range(200)]
+    counts = Counter(w for _, t, *_ in rows for w in [*words(t), None])
+    total, kinds = sum(counts.values()), len(counts)
+    want = sorted(round(sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in [*words(t), None]), 6) for _, t, *_ in rows)
+    out = hmm_score.score(frame(spark, rows), F.lit(False), rounds=1).collect()
+    assert np.allclose(sorted(r.base_score for r in out), want, atol=2e-6) and all(r.n_known == r.n_tokens for r in out)

@@ -51,3 +51,18 @@ def test_rows_with_null_and_repeated_ids(spark):
     rows = [(1, item, "en", "a", 0), (1, other, "en", "b", 0), (None, item, "en", "c", 0), (None, copy, "en", "d", 0)]
     out = corpus_pipeline.drop_contaminated(spark, frame(spark, rows), SF).collect()
     assert sorted(r.source for r in out) == ["b", "d"]
+
+
+def test_extra_columns_pass_unchanged(spark):
+    """Columns with the names that stages and operators use inside come out of every stage as they went in."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 150")
+    extra = ("spans", "_row", "_ROW_", "_key", "_sha", "_spans", "component_id", "blob", "row", "key", "member", "kept_text", "h", "hash")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in extra}).withColumn("n_extra", F.col("doc_id") * 2)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns[-len(extra) - 1 :] == [*extra, "n_extra"] and docs.count() > 50, name
+        wrong = " or ".join(f"`{c}` <> concat('{c} ', doc_id)" for c in extra)
+        assert docs.where(f"{wrong} or n_extra <> doc_id * 2").count() == 0, name
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).count() > 0
