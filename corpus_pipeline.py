@@ -18,8 +18,6 @@ from marketlens.llm import _scratch, _text, decontaminate, jaccard_join, languag
 
 #: What stands for a secret in the texts.
 MASK = "[REDACTED]"
-#: The column that tells rows apart within a stage.
-ROW = "_row"
 
 #: No SQL can express the stages' models and tokenizer.
 ORACLE_SQL = None
@@ -34,28 +32,38 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own in ROW, stored, so that every later read has the same numbers."""
-    return _scratch.stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def _own(docs: DataFrame, name: str) -> str:
+    """A name for a stage's own column that no column of its input has, in any spelling."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, stored, so that every later read has the same numbers; and its column."""
+    row = _own(docs, "_row")
+    return _scratch.stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest id stays (null last, then the first row)."""
-    rows = _numbered(docs)
-    linked = jaccard_join.jaccard_join(rows, id_col=ROW).where("component_id <> doc_id")
-    members = _scratch.stage(linked.select("component_id", F.explode(F.array("doc_id", "component_id")).alias(ROW)).distinct(), "members")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
-    stay = members.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias(ROW)).select(ROW)
-    gone = members.join(stay, ROW, "left_anti").select(ROW)
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    rows, row = _numbered(docs)
+    linked = jaccard_join.jaccard_join(rows.select(row, "text"), id_col=row).where("component_id <> doc_id")
+    members = _scratch.stage(linked.select("component_id", F.explode(F.array("doc_id", "component_id")).alias("member")).distinct(), "members")
+    ids = rows.select(F.col(row).alias("member"), F.col("doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "member"))["member"]
+    stay = members.join(ids, "member").groupBy("component_id").agg(first.alias("member")).select("member")
+    gone = members.join(stay, "member", "left_anti").select(F.col("member").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = _numbered(docs)
-    gone = decontaminate.decontaminate(rows, benchmark, id_col=ROW).where("contaminated").select(F.col("doc_id").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    rows, row = _numbered(docs)
+    gone = decontaminate.decontaminate(rows.select(row, "text"), benchmark, id_col=row).where("contaminated").select(F.col("doc_id").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def mask(text: str, spans: str) -> str:
@@ -72,16 +80,17 @@ def mask(text: str, spans: str) -> str:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put a mask in the place of each secret; n_chars is that of the new text."""
-    keyed = _text.bounded(docs).withColumn(ROW, F.sha2(F.coalesce("text", F.lit("")), 256))
+    key, spans = _own(docs, "_sha"), _own(docs, "_spans")
+    keyed = _text.bounded(docs).withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
     # Rows of one key have one text, and so the same spans.
-    found = secrets.secrets(keyed, id_col=ROW).where("spans <> ''").select(F.col("doc_id").alias(ROW), "spans").dropDuplicates([ROW])
-    marked = keyed.join(found, ROW, "left")
+    found = secrets.secrets(keyed.select(key, "text"), id_col=key).where("spans <> ''").select(F.col("doc_id").alias(key), F.col("spans").alias(spans)).dropDuplicates([key])
+    marked = keyed.join(found, key, "left")
     names = docs.columns
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.slices(batches):
             columns = {c: part.column(c) for c in names}
-            rows = [(t if s is None else mask(t, s), s is not None) for t, s in zip(columns["text"].to_pylist(), part.column("spans").to_pylist(), strict=True)]
+            rows = [(t if s is None else mask(t, s), s is not None) for t, s in zip(columns["text"].to_pylist(), part.column(spans).to_pylist(), strict=True)]
             columns["text"] = pa.array([t for t, _ in rows], pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(t) if new else n for (t, new), n in zip(rows, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
