@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketlens.functions import geo, text
+from marketlens.operators import near
 from marketlens.operators.quantiles import summarise
+from marketlens.scratch import stage
 
 
 def _cell(size_km: float) -> tuple[Column, Column]:
@@ -79,21 +81,21 @@ def complex_lookup(rows: DataFrame, complexes: DataFrame, name: str, attributes:
 def neighbours(points: DataFrame, reference: DataFrame, k: int = 15, radius_km: float = 1.0, least: int = 3) -> DataFrame:
     """Median of the values of at most k nearest reference points within a radius, without the point itself.
 
-    Points and references are dealt to cells of the radius's size, and each reference to the nine cells around it, so
-    only near ones meet. Null if fewer than ``least`` are found. ``points`` has id, lat, lon; ``reference`` value too.
+    Of equally near ones the smaller ids count. Null if fewer than ``least`` are found. ``points`` has id, lat, lon;
+    ``reference`` value too. Points of one place are searched for once, with one neighbour more, as one may be the point
+    itself; see ``near`` for how the search keeps to few references however dense they lie.
     """
-    cell = lambda c, i: F.floor(c / radius_km).cast("long").alias(i)
     x, y = geo.project_km(F.col("lat"), F.col("lon"))
-    own = points.where("lat is not null and lon is not null").select("id", x.alias("x"), y.alias("y")).select("*", cell(F.col("x"), "cx"), cell(F.col("y"), "cy"))
-    ref = reference.where("lat is not null and lon is not null and value is not null").select(F.col("id").alias("ref_id"), x.alias("rx"), y.alias("ry"), "value")
-    steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    spread = ref.select("*", cell(F.col("rx"), "cx0"), cell(F.col("ry"), "cy0")).select("*", F.explode(steps).alias("dx")).select("*", F.explode(steps).alias("dy"))
-    spread = spread.select("ref_id", "rx", "ry", "value", (F.col("cx0") + F.col("dx")).alias("cx"), (F.col("cy0") + F.col("dy")).alias("cy"))
-    distance = F.hypot(F.col("rx") - F.col("x"), F.col("ry") - F.col("y"))
-    near = own.join(spread, ["cx", "cy"]).where("id <> ref_id").withColumn("km", distance).where(F.col("km") <= radius_km)
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("km", "ref_id"))).where(F.col("r") <= k)
-    found = ranked.groupBy("id").agg(F.count("*").alias("n"), F.median("value").alias("m"))
-    return points.select("id").join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.when(F.col("n") >= least, F.col("m")), 4).alias("value"))
+    own = points.where("lat is not null and lon is not null").select("id", x.alias("x"), y.alias("y"))
+    ref = reference.where("lat is not null and lon is not null and value is not null").select("id", x.alias("x"), y.alias("y"), "value")
+    places = stage(own.select("x", "y").distinct().withColumn("place", F.monotonically_increasing_id()), "places")
+    found = near.nearest(places, near.spots_of(ref, k + 1), k + 1, radius_km)
+    placed = own.join(places, ["x", "y"]).join(found, "place").select("id", "found")
+    others = F.slice(F.filter("found", lambda f: f["id"] != F.col("id")), 1, k)
+    values = placed.select("id", F.sort_array(F.transform(others, lambda f: f["value"].cast("double"))).alias("v")).withColumn("n", F.size("v"))
+    middle = (F.get("v", F.floor((F.col("n") - 1) / 2).cast("int")) + F.get("v", F.floor(F.col("n") / 2).cast("int"))) / 2
+    values = values.select("id", "n", F.when(F.col("n") >= F.lit(least), middle).alias("m"))
+    return points.select("id").join(values, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round("m", 4).alias("value"))
 
 
 #: Sides of the cells in which places are looked for, in km, one after another; the last is the whole plane.
@@ -166,30 +168,96 @@ def similarity(a: str, b: str) -> Column:
     return F.round(F.sqrt(area + 0.5 * floor + 0.5 * year), 6)
 
 
+#: Cells of listings at the first level: width of the logarithm of the area, floors and years; each further level halves them.
+ALIKE, ALIKE_LEVELS = (0.2, 12.0, 32.0), 4
+#: Cells for what has no floor or year, and for targets to which it makes no difference.
+_MISSING, _ANY = -999, -1000
+#: What a missing floor or year costs at least.
+_MISSING_COSTS = 1.06
+
+
+def _alike_cells(level: Column) -> tuple[Column, Column, Column]:
+    part = F.pow(F.lit(0.5), level)
+    cell = lambda c, width: F.floor(c / (width * part)).cast("int")
+    return cell(F.log("area"), ALIKE[0]), F.coalesce(cell(F.col("floor"), ALIKE[1]), F.lit(_MISSING)), F.coalesce(cell(F.col("year_built"), ALIKE[2]), F.lit(_MISSING))
+
+
+def _alike(targets: DataFrame, pool: DataFrame, keys: list[str], k: int, width: float) -> DataFrame:
+    """id, analogue, district (of the analogue) and distance: the k nearest of each target among those with its keys.
+
+    Listings alike in all that counts are one spot with its k + 1 smallest ids. A target's own cell is the smallest
+    around it that holds k + 1 listings; the (k + 1)-th distance within it bounds which other cells are visited.
+    """
+    most = k + 1
+    features = [*keys, "area", "floor", "year_built"]
+    rank = F.row_number().over(Window.partitionBy(*features).orderBy("id"))
+    spots = pool.withColumn("_r", rank).where(F.col("_r") <= most).groupBy(*features).agg(F.collect_list(F.struct("id", F.col("district").alias("d"))).alias("top"))
+    spots = stage(spots.withColumn("n", F.size("top")), "alike")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(ALIKE_LEVELS))).alias("level")
+    spread = spots.select("*", levels)
+    band, floor, year = _alike_cells(F.col("level"))
+    either = lambda c: F.explode(F.array(c, F.lit(_ANY)))
+    spread = spread.withColumn("band", band).withColumn("fb", either(floor)).withColumn("yb", either(year))
+    cell = [*keys, "level", "band", "fb", "yb"]
+    counts = spread.groupBy(*cell).agg(F.sum("n").alias("n")).where(F.col("n") >= most)
+
+    own = targets.where("area > 0").select("id", *keys, "area", "floor", "year_built")
+    at = own.select("*", levels)
+    band, floor, year = _alike_cells(F.col("level"))
+    free = lambda c, x: F.when(F.col(c).isNull(), F.lit(_ANY)).otherwise(x)
+    at = at.withColumns({"band": band, "fb": free("floor", floor), "yb": free("year_built", year)})
+    deepest = at.join(counts.select(*cell, F.lit(1).alias("full")), cell, "left").groupBy("id").agg(F.max(F.when(F.col("full") == 1, F.col("level"))).alias("level"))
+    own = stage(own.join(deepest, "id"), "targets")
+
+    def met(rows: DataFrame) -> DataFrame:
+        t, p = rows.alias("t"), spread.alias("p")
+        on = [F.col(f"t.{c}") == F.col(f"p.{c}") for c in cell]
+        pairs = t.join(p, on)
+        pairs = pairs.where(F.col("p.area").between(F.col("t.area") * (1 - width), F.col("t.area") * (1 + width)))
+        return pairs.select(F.col("t.id").alias("id"), F.col("t.bound").alias("bound"), similarity("t", "p").alias("distance"), "p.n", "p.top")
+
+    settled = own.where("level is not null")
+    band, floor, year = _alike_cells(F.col("level"))
+    inside = met(settled.withColumns({"band": band, "fb": free("floor", floor), "yb": free("year_built", year), "bound": F.lit(None).cast("double")}))
+    so_far = F.sum("n").over(Window.partitionBy("id").orderBy("distance").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bound = inside.withColumn("upto", so_far).where(F.col("upto") >= most).groupBy("id").agg((F.min("distance") + 1e-6).alias("bound"))
+    # Without a bound the widest cells on the area alone are visited.
+    ranged = own.join(bound, "id", "left").withColumn("level", F.when(F.col("bound").isNotNull(), F.col("level")).otherwise(F.lit(0)))
+    part = F.pow(F.lit(0.5), F.col("level"))
+    reach = F.least(F.lit(width), F.coalesce(0.25 * F.col("bound"), F.lit(width)))
+    edge = lambda share: F.floor(F.log(F.col("area") * share) / (ALIKE[0] * part)).cast("int")
+    tiny = 1e-9
+
+    def bins(c: str, step: float, unit: float) -> Column:
+        by = F.col("bound") * unit / 0.5**0.5 + tiny
+        near = F.sequence(F.floor((F.col(c) - by) / (step * part)).cast("int"), F.floor((F.col(c) + by) / (step * part)).cast("int"))
+        near = F.when(F.col("bound") >= _MISSING_COSTS, F.concat(near, F.array(F.lit(_MISSING)))).otherwise(near)
+        return F.when(F.col("bound").isNull() | F.col(c).isNull(), F.array(F.lit(_ANY))).otherwise(near)
+
+    visits = ranged.withColumn("band", F.explode(F.sequence(edge(1 - reach - tiny), edge(1 + reach + tiny)))).withColumn("fb", F.explode(bins("floor", ALIKE[1], 5.0))).withColumn("yb", F.explode(bins("year_built", ALIKE[2], 10.0)))
+    close = met(visits).where(F.col("bound").isNull() | (F.col("distance") <= F.col("bound")))
+    rows = close.select("id", "distance", F.explode("top").alias("x")).select("id", F.col("x.id").alias("analogue"), F.col("x.d").alias("district"), "distance").where("id <> analogue")
+    best = F.row_number().over(Window.partitionBy("id").orderBy("distance", "analogue"))
+    return rows.withColumn("_r", best).where(F.col("_r") <= k).drop("_r")  # a literal, so tasks drop the rest before the shuffle
+
+
 def analogues(targets: DataFrame, pool: DataFrame, k: int = 5, width: float = 0.25) -> DataFrame:
     """The k most alike active listings of each target: same rooms, area within a quarter, same district first.
 
-    The range on the area is a join on bands of its logarithm, each target visiting the bands that its range touches.
+    Those of the district come first, so only targets with too few of them look further, for twice as many, of which
+    at most k - 1 can be of their district.
     """
-    band = lambda c: F.floor(F.log(c) * 10).cast("int")
-    low, high = F.col("area") * (1 - width), F.col("area") * (1 + width)
-    own = targets.where("area > 0").withColumn("band", F.explode(F.sequence(band(low), band(high))))
-    other = pool.where("is_active = 1 and price > 0 and area > 0").withColumn("band", band(F.col("area"))).alias("p")
-
-    def best(own: DataFrame, near: bool) -> DataFrame:
-        t = own.alias("t")
-        same = F.coalesce(F.col("t.district") == F.col("p.district"), F.lit(False))
-        on = (F.col("t.band") == F.col("p.band")) & (F.col("t.rooms") == F.col("p.rooms")) & (F.col("t.id") != F.col("p.id"))
-        met = t.join(other, on & (F.col("t.district") == F.col("p.district")) if near else on)
-        met = met.where(F.col("p.area").between(F.col("t.area") * (1 - width), F.col("t.area") * (1 + width)))
-        rows = met.select(F.col("t.id").alias("id"), F.col("p.id").alias("analogue"), same.cast("int").alias("same_district"), similarity("t", "p").alias("distance"))
-        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("same_district"), "distance", "analogue"))
-        return rows.withColumn("rank", rank).where(F.col("rank") <= k)
-
-    # Those of the same district come first, so only targets with too few of them look further.
-    close = best(own, True)
-    full = close.where(F.col("rank") == k).select("id")
-    return close.join(full, "id", "left_semi").unionByName(best(own.join(full, "id", "left_anti"), False))
+    columns = ["id", "district", "rooms", "area", "floor", "year_built"]
+    alive = stage(pool.where("is_active = 1 and price > 0 and area > 0 and rooms is not null").select(*columns), "pool")
+    wanted = targets.where("area > 0 and rooms is not null").select(*columns)
+    near_ = stage(_alike(wanted.where("district is not null"), alive.where("district is not null"), ["district", "rooms"], k, width), "close")
+    full = near_.groupBy("id").count().where(F.col("count") >= k).select("id")
+    rest = wanted.join(full, "id", "left_anti")
+    far = _alike(rest, alive, ["rooms"], 2 * k, width).withColumnRenamed("district", "_d").join(rest.select("id", F.col("district").alias("_own")), "id")
+    far = far.where(~F.coalesce(F.col("_d") == F.col("_own"), F.lit(False))).select("id", "analogue", F.lit(0).alias("same_district"), "distance")
+    both = near_.select("id", "analogue", F.lit(1).alias("same_district"), "distance").unionByName(far)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("same_district"), "distance", "analogue"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def duplicates(listings: DataFrame) -> DataFrame:
@@ -218,6 +286,21 @@ def purge(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.join(seen, "fp", "left_anti")
 
 
+def _best(rows: DataFrame, key: str, order: list[str], most: str) -> DataFrame:
+    """The first rows of each key, as many as its column ``most`` says.
+
+    Spark's tasks keep only the best rows of a key before the shuffle if the limit is a number, so keys are served by the
+    power of two that their limit lies under: a window gets tasks times twice the limit at most.
+    """
+    power = F.ceil(F.log2(F.greatest(F.col(most), F.lit(1)))).cast("int")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    out = None
+    for p in sorted(r.p for r in rows.select(power.alias("p")).distinct().collect()):  # a few dozen numbers at most
+        part = rows.where(power == p).withColumn("_p", place).where(F.col("_p") <= 1 << p).where(F.col("_p") <= F.col(most)).drop("_p")
+        out = part if out is None else out.unionByName(part)
+    return rows.where("false") if out is None else out
+
+
 def subscription_matches(listings: DataFrame, filters: DataFrame, sent: DataFrame, k: int = 5) -> DataFrame:
     """Up to k matches of each chat's filter that it hasn't got: best deviation first. A null field matches all.
 
@@ -227,14 +310,13 @@ def subscription_matches(listings: DataFrame, filters: DataFrame, sent: DataFram
     """
     fields = ["district", "rooms", "max_price"]
     got = filters.join(sent.groupBy("chat").agg(F.count("*").alias("_got")), "chat", "left")
-    distinct = got.groupBy(*fields).agg((F.coalesce(F.max("_got"), F.lit(0)) + k).alias("_most")).withColumn("_f", F.xxhash64(*fields))
+    distinct = stage(got.groupBy(*fields).agg((F.coalesce(F.max("_got"), F.lit(0)) + k).alias("_most")).withColumn("_f", F.xxhash64(*fields)), "filters")
     any_of = lambda c: F.explode(F.array_distinct(F.array(F.col(c).cast("string"), F.lit(None).cast("string"))))
     spread = listings.select("id", "price", "diff", any_of("district").alias("_d"), "rooms").withColumn("_r", any_of("rooms"))
     same = F.col("_d").eqNullSafe(F.col("district")) & F.col("_r").eqNullSafe(F.col("_rooms"))
     wanted = distinct.select("_f", "_most", "district", F.col("rooms").cast("string").alias("_rooms"), "max_price")
     met = spread.drop("rooms").join(wanted, same).where(F.col("max_price").isNull() | (F.col("price") <= F.col("max_price")))
-    place = F.row_number().over(Window.partitionBy("_f").orderBy("diff", "id"))
-    best = met.withColumn("_p", place).where(F.col("_p") <= F.col("_most")).select("_f", "id", "diff")
+    best = _best(met, "_f", ["diff", "id"], "_most").select("_f", "id", "diff")
     hits = filters.select("chat", F.xxhash64(*fields).alias("_f")).join(best, "_f").select("chat", "id", "diff").join(sent, ["chat", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("chat").orderBy("diff", "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
