@@ -38,9 +38,9 @@ def details(labels: dict[str, str], photos: Column | None = None, most: int = 5)
 
 
 def masked(chat: Column) -> Column:
-    """A chat's number without all but its last three digits."""
-    text = chat.cast("string")
-    return F.concat(F.lit("***"), F.right(text, F.lit(3)))
+    """A chat's number as stars and its last two digits, as logs are public; stars alone if there is no digit."""
+    digits = F.regexp_replace(F.coalesce(chat.cast("string"), F.lit("")), r"[^0-9]", "")
+    return F.concat(F.lit("***"), F.right(digits, F.lit(2)))
 
 
 def ip_subject(ip: Column) -> Column:
@@ -62,11 +62,15 @@ def hint(factor: Column, per_cent: Column, least: float = 2.0, strong: float = 1
     return F.when(F.abs(per_cent) >= least, F.concat(factor, F.lit(" makes it "), size, way))
 
 
-def event_text(old: Column, new: Column, gone_days: Column, most_lag: int = 7) -> Column:
-    """The text of a price change, or of a delisting that was noticed within some days; else null."""
+def event_text(old: Column, new: Column, active: Column, lag_days: Column, most_lag: int = 7) -> Column:
+    """The text of a delisting, or of an active listing's price change; else null.
+
+    A delisting that was noticed after more than some days without a look says nothing of the market and isn't
+    reported; one whose lag isn't known is.
+    """
     share = F.bround(F.try_divide((new - old) * 100.0, old), 0).cast("long")
     change = F.concat(F.lit("price "), old.cast("string"), F.lit(" -> "), new.cast("string"), F.lit(" ("), F.when(share > 0, "+").otherwise(""), share.cast("string"), F.lit(" %)"))
-    return F.when(gone_days.between(0, most_lag), "off the market").when(gone_days.isNull() & (old != new), change)
+    return F.when(~active, F.when(~F.coalesce(lag_days > most_lag, F.lit(False)), "off the market")).when(old != new, change)
 
 
 def typed_record(json: Column, districts: dict[str, str]) -> Column:

@@ -64,8 +64,8 @@ def complex_name(c: Column | str) -> Column:
 
 
 def without_phase(c: Column) -> Column:
-    """A normalised name without its last number (the building phase)."""
-    return F.trim(F.regexp_replace(c, r"\s+(?:phase\s*)?\d+$", ""))
+    """A normalised name without the number of its phase at the end: one or two numbers, or a Roman one."""
+    return F.regexp_replace(c, "\\s+(?:[0-9]+(?:\\s+[0-9]+)?|[ivx]+)$", "")
 
 
 def text_key(c: Column | str, most: int = 3000) -> Column:

@@ -286,8 +286,8 @@ def purge(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.join(seen, "fp", "left_anti")
 
 
-def _best(rows: DataFrame, key: str, order: list[str], most: str) -> DataFrame:
-    """The first rows of each key, as many as its column ``most`` says.
+def _best(rows: DataFrame, key: str, order: list[str], most: str, limits: DataFrame) -> DataFrame:
+    """The first rows of each key, as many as its column ``most`` says, of which ``limits`` has all values.
 
     Spark's tasks keep only the best rows of a key before the shuffle if the limit is a number, so keys are served by the
     power of two that their limit lies under: a window gets tasks times twice the limit at most.
@@ -295,7 +295,7 @@ def _best(rows: DataFrame, key: str, order: list[str], most: str) -> DataFrame:
     power = F.ceil(F.log2(F.greatest(F.col(most), F.lit(1)))).cast("int")
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     out = None
-    for p in sorted(r.p for r in rows.select(power.alias("p")).distinct().collect()):  # a few dozen numbers at most
+    for p in sorted(r.p for r in limits.select(power.alias("p")).distinct().collect()):  # a few dozen numbers at most
         part = rows.where(power == p).withColumn("_p", place).where(F.col("_p") <= 1 << p).where(F.col("_p") <= F.col(most)).drop("_p")
         out = part if out is None else out.unionByName(part)
     return rows.where("false") if out is None else out
@@ -316,7 +316,7 @@ def subscription_matches(listings: DataFrame, filters: DataFrame, sent: DataFram
     same = F.col("_d").eqNullSafe(F.col("district")) & F.col("_r").eqNullSafe(F.col("_rooms"))
     wanted = distinct.select("_f", "_most", "district", F.col("rooms").cast("string").alias("_rooms"), "max_price")
     met = spread.drop("rooms").join(wanted, same).where(F.col("max_price").isNull() | (F.col("price") <= F.col("max_price")))
-    best = _best(met, "_f", ["diff", "id"], "_most").select("_f", "id", "diff")
+    best = _best(met, "_f", ["diff", "id"], "_most", distinct).select("_f", "id", "diff")
     hits = filters.select("chat", F.xxhash64(*fields).alias("_f")).join(best, "_f").select("chat", "id", "diff").join(sent, ["chat", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("chat").orderBy("diff", "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)

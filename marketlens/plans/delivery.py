@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketlens import tables as t
 from marketlens.functions import display, geometry
-from marketlens.operators import delivery, joins
+from marketlens.operators import delivery, joins, rings
 from marketlens.sources import html
 
 L, H, P = t.listings, t.history, t.predictions
@@ -33,7 +33,7 @@ def _display(s, d):
         F.array_join(F.transform(shown["items"], lambda x: F.concat(x["label"], F.lit("="), x["value"])), ";").alias("details"), F.size(known).cast("long").alias("n_known"), display.masked(F.col("id") + 1000).alias("chat"),
         display.in_city(F.when(F.col("id") % 3 == 0, F.lit(" Nation ")).when(F.col("id") % 3 == 1, F.lit("Other")), F.col("lat"), F.col("lon"), ("nation",), _BOX).alias("in_city"),
         display.is_complete("rooms", "area", "lat", "lon").alias("complete"), display.in_rectangle(F.col("lat"), F.col("lon"), (43.2, 43.3, 76.8, 77.0)).alias("square"), display.old_panel(F.col("building_type"), 2001 - F.col("year_built"), 30).alias("old_panel"),
-        display.hint(F.lit("floor"), (F.col("id") % 41 - 20).cast("double")).alias("hint"), display.event_text(F.col("price"), F.col("price") + F.col("id") % 3 * 100_000, F.when(F.col("id") % 5 == 0, F.col("id") % 11)).alias("event"),
+        display.hint(F.lit("floor"), (F.col("id") % 41 - 20).cast("double")).alias("hint"), display.event_text(F.col("price"), F.col("price") + F.col("id") % 3 * 100_000, F.col("id") % 5 != 0, F.when(F.col("id") % 3 != 1, F.col("id") % 11)).alias("event"),
     )
 
 
@@ -85,7 +85,30 @@ def _hashed(s, d):
 
 
 _CACHE = "c AS (SELECT listing_id AS id, count(*) % 3 AS h, count(*) AS flags FROM prediction GROUP BY 1), l AS (SELECT id, is_active, id % 3 AS h FROM listing)"
+def _typed(s, d):
+    """The record of every page by one pass over its tags."""
+    return t.read(s, d, "pages").select("page_id", html.typed(F.col("html")).alias("r")).select("page_id", "r.*").select("page_id", "lang", "charset", "title", "heading", "paragraphs", F.size("links").alias("n_links"), F.array_join("links", " ").alias("links"), F.element_at("by_class", "ad").alias("advert"))
+
+
+def _segments(s, d):
+    """The outline of a square around each listing's point in four segments, two of them against the others' direction,
+    with ends that are off by less than the tolerance; every seventh lacks one."""
+    square = ((-1, -1), (-1, 1), (1, 1), (1, -1))
+    at = lambda k, off=0.0: F.struct((F.col("lat") + square[k][0] * 0.001 + off).alias("lat"), (F.col("lon") + square[k][1] * 0.001).alias("lon"))
+    middle = F.struct((F.col("lat") - 0.001).alias("lat"), F.col("lon").alias("lon"))
+    ways = F.array(F.array(at(0), middle, at(1)), F.array(at(2), at(1, 4e-8)), F.array(at(2, -4e-8), at(3)), F.array(at(0, 4e-8), at(3)))
+    rows = L(s, d).where("lat is not null").select(F.col("id").cast("string").alias("zone"), F.lit("outer").alias("role"), F.posexplode(ways).alias("ord", "points"), "id")
+    return rows.where("id % 7 > 0 or ord < 3").select("zone", "role", "ord", "points")
+
+
+def _rings(s, d):
+    area = F.aggregate(F.sequence(F.lit(1), F.size("ring") - 1), F.lit(0.0), lambda a, i: a + F.element_at("ring", i)["lat"] * F.element_at("ring", i + 1)["lon"] - F.element_at("ring", i + 1)["lat"] * F.element_at("ring", i)["lon"])
+    return rings.assemble(_segments(s, d)).select(F.col("zone").cast("long").alias("id"), F.size("ring").alias("points"), F.round(F.abs(area) / 2 * 1e6, 2).alias("area"), (F.element_at("ring", 1) == F.element_at("ring", -1)).alias("closed"))
+
+
 QUERIES = {
+    "page_typed": _typed,
+    "geometry_rings": _rings,
     "show_fields": _display,
     "show_subjects": _subjects,
     "show_targets": _targets,
@@ -107,15 +130,19 @@ QUERIES = {
 
 _STAMP = "epoch(first_seen)::BIGINT - CASE WHEN id % 3 = 0 THEN 18000 ELSE 0 END"
 ORACLES = {
+    "page_typed": """WITH p AS (SELECT page_id, html, regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '', 'g') AS h FROM pages)
+SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g')) AS heading,
+CAST(len(regexp_extract_all(h, '<p>')) AS INTEGER) AS paragraphs, CAST(len(regexp_extract_all(h, '<a href="([^"]*)"', 1)) AS INTEGER) AS n_links, array_to_string(regexp_extract_all(h, '<a href="([^"]*)"', 1), ' ') AS links, trim(regexp_replace(regexp_extract(h, '(?s)<div class="ad">(.*?)</div>', 1), '\\s+', ' ', 'g')) AS advert FROM p""",
+    "geometry_rings": f"{_L} SELECT id, 6 AS points, 4.0e0 AS area, TRUE AS closed FROM listing WHERE lat IS NOT NULL AND id % 7 > 0",
     "show_fields": f"""{_L} SELECT id, {_STAMP} AS moment, (({_STAMP}) + 18000) % 86400 // 3600 >= 22 OR (({_STAMP}) + 18000) % 86400 // 3600 < 8 AS quiet, strftime(CASE WHEN id % 4 = 0 THEN first_seen ELSE last_seen END, '%Y-%m-%d') AS as_of,
-concat_ws(';', 'District=' || district, 'Kind=' || category, 'House=' || building_type) AS details, CAST((area IS NOT NULL)::INT + (floor IS NOT NULL)::INT + 1 AS BIGINT) AS n_known, concat('***', right(CAST(id + 1000 AS VARCHAR), 3)) AS chat,
+concat_ws(';', 'District=' || district, 'Kind=' || category, 'House=' || building_type) AS details, CAST((area IS NOT NULL)::INT + (floor IS NOT NULL)::INT + 1 AS BIGINT) AS n_known, concat('***', right(CAST(id + 1000 AS VARCHAR), 2)) AS chat,
 CASE WHEN id % 3 = 0 THEN TRUE WHEN id % 3 = 1 THEN FALSE WHEN lat IS NOT NULL THEN {_INBOX} ELSE TRUE END AS in_city, area IS NOT NULL AND lat IS NOT NULL AS complete, CASE WHEN lat BETWEEN 43.2e0 AND 43.3e0 AND lon BETWEEN 76.8e0 AND 77.0e0 THEN 1 ELSE 0 END AS square,
 CASE WHEN building_type = 'panel' AND 2001 - year_built > 30 THEN 1 ELSE 0 END AS old_panel, CASE WHEN abs(id % 41 - 20) >= 2 THEN concat('floor makes it ', CASE WHEN abs(id % 41 - 20) >= 10 THEN 'much ' ELSE '' END, CASE WHEN id % 41 > 20 THEN 'dearer' ELSE 'cheaper' END) END AS hint,
-CASE WHEN id % 5 = 0 THEN CASE WHEN id % 11 <= 7 THEN 'off the market' END WHEN id % 3 > 0 AND price IS NOT NULL THEN concat('price ', price, ' -> ', price + id % 3 * 100000, ' (', CASE WHEN round_even((id % 3 * 100000) * 100.0e0 / price, 0) > 0 THEN '+' ELSE '' END, CAST(round_even((id % 3 * 100000) * 100.0e0 / price, 0) AS BIGINT), ' %)') END AS event FROM listing""",
+CASE WHEN id % 5 = 0 THEN CASE WHEN id % 3 = 1 OR id % 11 <= 7 THEN 'off the market' END WHEN id % 3 > 0 AND price IS NOT NULL THEN concat('price ', price, ' -> ', price + id % 3 * 100000, ' (', CASE WHEN round_even((id % 3 * 100000) * 100.0e0 / price, 0) > 0 THEN '+' ELSE '' END, CAST(round_even((id % 3 * 100000) * 100.0e0 / price, 0) AS BIGINT), ' %)') END AS event FROM listing""",
     "show_subjects": f"{_L} SELECT id, CASE id % 3 WHEN 0 THEN concat('10.0.', id % 256, '.7') WHEN 1 THEN concat('10.1.', id % 256, '.7') ELSE '2001:db8:0:0::/64' END AS subject FROM listing",
     "show_targets": f"{_L} SELECT id, round(ln(1 + price), 6) AS t_price, round(ln(price / area), 6) AS t_ppsm, round(ln(price / area / (300000 + rooms * 1000)), 6) AS t_index_residual, price AS p_price, price AS p_ppsm, price AS p_index_residual FROM listing WHERE price > 0 AND area > 0",
     "show_records": f"{_L} SELECT id, CASE WHEN area IS NOT NULL THEN rooms END AS rooms, area, CASE WHEN area IS NOT NULL THEN CAST(concat('12', CAST(id % 1000 AS VARCHAR)) AS BIGINT) END AS price, CASE WHEN area IS NOT NULL AND CAST(nullif(regexp_extract(district, '(\\d+)', 1), '') AS INTEGER) < 20 THEN concat('n', regexp_extract(district, '(\\d+)', 1)) END AS district FROM listing",
-    "page_cards": f"{_L} SELECT id, price FROM listing WHERE price IS NOT NULL",
+    "page_cards": f"{_L} SELECT id, price FROM listing",
     "page_records": f"{_L} SELECT id, title, price, CAST(CAST(area AS INTEGER) AS DOUBLE) AS area, floor, CASE WHEN floor IS NOT NULL THEN total_floors END AS total_floors, lat, lon FROM listing",
     "geometry_points": f"{_L} SELECT id, CASE WHEN id % 2 = 0 THEN lat ELSE 1.5e0 END AS lat, CASE WHEN id % 2 = 0 THEN lon ELSE CAST(id % 90 AS DOUBLE) END AS lon FROM listing WHERE id % 2 = 1 OR lat IS NOT NULL",
     "send_deals": f"{_L}, {_SCORED} SELECT chat, id, CAST(row_number() OVER (PARTITION BY chat ORDER BY suspicious, diff, id) AS INTEGER) AS place FROM x",

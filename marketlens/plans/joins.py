@@ -60,7 +60,7 @@ def _complexes(s, d):
 
 
 def _complex_lookup(s, d):
-    rows = L(s, d).where("complex_name is not null").select("id", F.expr("concat('Complex ', replace(complex_name, '#', '-'), case when id % 2 = 0 then ' phase 2' else '' end)").alias("complex_name"))
+    rows = L(s, d).where("complex_name is not null").select("id", F.expr("concat('Complex ', replace(complex_name, '#', '-'), case id % 4 when 0 then ' 2' when 1 then ' 2.0' when 2 then ' III' else '' end)").alias("complex_name"))
     return joins.complex_lookup(rows, _complexes(s, d), "complex_name", ("score", "kind"))
 
 
@@ -151,8 +151,8 @@ SELECT id, round(coalesce(a.m, b.m, c.m) * area, 4) AS baseline, CASE WHEN a.m I
     "join_unit_price_fallback": f"""{_L}, r AS (SELECT microdistrict, district, price / area AS v FROM listing WHERE price > 0 AND area > 0 AND deal = 'rent'), a AS (SELECT microdistrict, median(v) AS m FROM r GROUP BY 1), b AS (SELECT district, median(v) AS m FROM r GROUP BY 1), c AS (SELECT median(v) AS m FROM r)
 SELECT id, round(coalesce(a.m, b.m, c.m), 4) AS value, CASE WHEN a.m IS NOT NULL THEN 0 WHEN b.m IS NOT NULL THEN 1 ELSE 2 END AS level FROM listing l LEFT JOIN a ON l.microdistrict = a.microdistrict LEFT JOIN b ON l.district = b.district CROSS JOIN c""",
     "join_complex_lookup": f"""{_L}, n AS (SELECT c_custkey AS complex_id, trim(regexp_replace(regexp_replace(lower(c_name), '["''«»()]', '', 'g'), '[\\s#_/.-]+', ' ', 'g')) AS k, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS score, c_mktsegment AS kind FROM customer WHERE c_custkey % 3 > 0),
-r AS (SELECT id, concat('Complex ', replace(complex_name, '#', '-'), CASE WHEN id % 2 = 0 THEN ' phase 2' ELSE '' END) AS complex_name FROM listing WHERE complex_name IS NOT NULL),
-k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(complex_name), '^(жк|complex)\\s+', ''), '[\\s#_/.-]+', ' ', 'g')) AS k1 FROM r), kk AS (SELECT *, trim(regexp_replace(k1, '\\s+(?:phase\\s*)?\\d+$', '')) AS k2 FROM k)
+r AS (SELECT id, concat('Complex ', replace(complex_name, '#', '-'), CASE id % 4 WHEN 0 THEN ' 2' WHEN 1 THEN ' 2.0' WHEN 2 THEN ' III' ELSE '' END) AS complex_name FROM listing WHERE complex_name IS NOT NULL),
+k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(complex_name), '^(жк|complex)\\s+', ''), '[\\s#_/.-]+', ' ', 'g')) AS k1 FROM r), kk AS (SELECT *, regexp_replace(k1, '\\s+([0-9]+(\\s+[0-9]+)?|[ivx]+)$', '') AS k2 FROM k)
 SELECT id, complex_name, CASE WHEN a.k IS NOT NULL THEN a.score ELSE b.score END AS complex_score, CASE WHEN a.k IS NOT NULL THEN a.kind ELSE b.kind END AS complex_kind FROM kk LEFT JOIN n a ON a.k = k1 LEFT JOIN n b ON b.k = k2""",
     "join_neighbours": f"""{_L}, p AS (SELECT id, {_X} AS x, {_Y} AS y FROM listing), r AS (SELECT id, {_X} AS x, {_Y} AS y, price / area AS v FROM listing WHERE price > 0 AND area > 0 AND lat IS NOT NULL),
 n AS (SELECT p.id, r.v, row_number() OVER (PARTITION BY p.id ORDER BY sqrt(pow(r.x - p.x, 2) + pow(r.y - p.y, 2)), r.id) AS k FROM p JOIN r ON p.id <> r.id AND pow(r.x - p.x, 2) + pow(r.y - p.y, 2) <= 1),

@@ -37,9 +37,10 @@ def card_prices(html: Column, card: str = '<div class="card"') -> Column:
     """A map of id to price of a search page's cards.
 
     Each card is read by itself, so a price outside of cards goes to none. An id counts only if the card links to it;
-    cards without a price in figures are left out, and of cards with one id the last counts.
+    cards without a price in figures have null, and of cards with one id the last counts.
     """
-    cards = F.slice(F.split(html, card), 2, 1_000_000)
+    parts = F.split(html, card)
+    cards = F.slice(parts, F.lit(2), F.size(parts))
     read = F.transform(
         cards,
         lambda c: F.struct(
@@ -48,7 +49,7 @@ def card_prices(html: Column, card: str = '<div class="card"') -> Column:
             F.regexp_extract_all(c, F.lit(r'href="[^"]*?/(\d+)"'), 1).alias("links"),
         ),
     )
-    sound = F.filter(read, lambda x: x["price"].isNotNull() & F.array_contains(x["links"], x["id"].cast("string")))
+    sound = F.filter(read, lambda x: F.coalesce(F.array_contains(x["links"], x["id"].cast("string")), F.lit(False)))
     last = F.filter(sound, lambda x, i: ~F.exists(F.slice(sound, i + 2, F.size(sound)), lambda y: y["id"] == x["id"]))
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["id"], x["price"])))
 
@@ -68,6 +69,46 @@ def listing_record(html: Column) -> Column:
     )
 
 
+def tokens(html: Column) -> Column:
+    """An array of tag (small letters, with a slash for an end), attributes (a map, whatever their order and quotes) and the
+    text behind it with single blanks, in the order of the page; what scripts, styles and comments hold is left out."""
+    seen = F.regexp_replace(html, r"(?is)<!--.*?-->|(<(script|style)\b[^>]*>).*?(</\2\s*>|$)", "$1$3")
+    raw = F.regexp_extract_all(seen, F.lit(r"""(?s)(</?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*>[^<]*)"""), 1)
+    pairs = r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+    def token(x: Column) -> Column:
+        head = F.regexp_extract(x, r"""(?s)^(<(?:[^>"']|"[^"]*"|'[^']*')*>)""", 1)
+        names = F.transform(F.regexp_extract_all(head, F.lit(pairs), 1), F.lower)
+        values = F.transform(F.regexp_extract_all(head, F.lit(pairs), 2), lambda v: F.regexp_replace(v, r"""^["']|["']$""", ""))
+        both = F.arrays_zip(names.alias("k"), values.alias("v"))
+        # Of an attribute that comes twice the first counts.
+        first = F.filter(F.transform(both, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: F.array_position(names, p["k"]) == p["i"] + 1)
+        text = F.trim(F.regexp_replace(F.substring(x, F.length(head) + 1, F.length(x)), r"\s+", " "))
+        return F.struct(F.lower(F.regexp_extract(head, r"^<(/?[A-Za-z][^\s/>]*)", 1)).alias("tag"), F.map_from_entries(F.transform(first, lambda p: F.struct(p["k"], p["v"]))).alias("attributes"), text.alias("text"))
+
+    return F.transform(raw, token)
+
+
+def typed(html: Column) -> Column:
+    """A page's record: lang, charset, title, heading, paragraphs, links, and the first text of each class; of null null."""
+    seen = tokens(html)
+    of = lambda tag: F.filter(seen, lambda x: x["tag"] == tag)
+    first = lambda found, part: F.get(F.transform(found, part), F.lit(0))
+    attribute = lambda name: lambda x: F.element_at(x["attributes"], name)
+    named = F.filter(seen, lambda x: F.element_at(x["attributes"], "class").isNotNull() & ~x["tag"].startswith("/"))
+    classes = F.transform(named, attribute("class"))
+    firsts = F.filter(F.transform(named, lambda x, i: F.struct(F.element_at(x["attributes"], "class").alias("k"), x["text"].alias("v"), i.alias("i"))), lambda p: F.array_position(classes, p["k"]) == p["i"] + 1)
+    return F.struct(
+        first(of("html"), attribute("lang")).alias("lang"),
+        first(F.filter(of("meta"), lambda x: F.element_at(x["attributes"], "charset").isNotNull()), attribute("charset")).alias("charset"),
+        first(of("title"), lambda x: x["text"]).alias("title"),
+        first(of("h1"), lambda x: x["text"]).alias("heading"),
+        F.when(html.isNotNull(), F.size(of("p"))).alias("paragraphs"),
+        F.filter(F.transform(of("a"), attribute("href")), lambda h: h.isNotNull()).alias("links"),
+        F.map_from_entries(F.transform(firsts, lambda p: F.struct(p["k"], p["v"]))).alias("by_class"),
+    )
+
+
 def page_id(url: Column) -> tuple[Column, Column]:
     """(canonical address without query and fragment, last number of the path)."""
     base = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^https?://(m\.|www\.)?", "")

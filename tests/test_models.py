@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from itertools import combinations
 from math import factorial
 
@@ -59,6 +60,15 @@ def test_rings():
     assert rings.join_ends([[a, b], [c, b], [c, d, a]]) == [[a, b, c, d, a]]
     assert rings.join_ends([[a, b], [c, d]]) == []
     assert rings.join_ends([[a, b, c, a], [d]]) == [[a, b, c, a]]
+    # Ends that are off by less than the tolerance meet, also across a line of the grid; those off by more don't.
+    e = 6e-8
+    assert rings.join_ends([[a, b], [(1 + e, 1 - e), (0, 1 + e)], [(e, -e), (1, 0), c]]) == [[a, b, (1 + e, 1 - e), (1, 0), a]]
+    assert rings.join_ends([[a, b], [c, (0, 1 + 2e-7)], [c, a]]) == []
+    # Two rings that share a node, and one in very many segments.
+    assert len(rings.join_ends([[a, b, c, a], [a, d, (2, 2)], [(2, 2), a]])) == 2
+    many = [[(i, i * i), (i + 1, (i + 1) ** 2)] for i in range(100_000)] + [[(100_000, 10**10), (-1, 0)], [(-1, 0), (0, 0)]]
+    began = time.process_time()
+    assert len(rings.join_ends(many[::2] + many[1::2])[0]) == len(many) + 1 and time.process_time() - began < 10
 
 
 def test_rings_of_zones(spark):

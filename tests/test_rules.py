@@ -101,3 +101,28 @@ def test_rings_and_snapshots(spark, tmp_path):
     assert snapshots.read_snapshot(spark, str(tmp_path / "none"), "a int", "empty").count() == 0
     (tmp_path / "s.json").write_text('[{"a": 1},\n {"a": 2}]')
     assert sorted(r.a for r in snapshots.read_snapshot(spark, str(tmp_path / "s.json"), "a int").collect()) == [1, 2]
+
+
+def test_masks_events_and_phases(spark):
+    """Rows written out from the rules: two digits at most are shown, a delisting is silent only if it was noticed late."""
+    assert column(spark, [("-100123456789",), ("7",), ("chat",), (None,)], "c string", display.masked(F.col("c"))) == ["***89", "***7", "***", "***"]
+    rows = [(100, 90, True, None), (100, 100, True, None), (100, 90, False, 3), (100, 90, False, 8), (100, 100, False, None), (None, 90, True, None)]
+    event = display.event_text(F.col("old"), F.col("new"), F.col("active"), F.col("lag"))
+    assert column(spark, rows, "old long, new long, active boolean, lag int", event) == ["price 100 -> 90 (-10 %)", None, "off the market", None, "off the market", None]
+    names = [("alma city 5",), ("alatau city 2 0",), ("alatau city iv",), ("city 2 3 4",), ("mix",), ("7",), ("alma civic",)]
+    assert column(spark, names, "n string", text.without_phase(F.col("n"))) == ["alma city", "alatau city", "alatau city", "city 2", "mix", "7", "alma civic"]
+
+
+def test_records_of_pages(spark):
+    """Attributes in any order and quotes; what scripts, styles and comments hold is no tag; a card without a price stays."""
+    page = """<!doctype html><HTML data-x='a > b' lang='kk'><head><meta name=v content="1"><meta content=x charset=utf-8>
+    <title> One
+    two </title><script>var a = "<p><h1>no</h1>";</script></head><body><!-- <p> --><div id=a class='ad'>Buy</div><h1 class="t">Head <b>line</b></h1>
+    <p>x<p lang="a" lang="b">y <a title='q' href='/1'>l</a><a name=n>m</a><A HREF=/2>k</A><div class="ad">Other</div>"""
+    out = spark.createDataFrame([(page,), ("",), (None,)], "h string").select(html.typed(F.col("h")).alias("r")).collect()
+    r = out[0].r
+    assert (r.lang, r.charset, r.title, r.heading, r.paragraphs, list(r.links), r.by_class) == ("kk", "utf-8", "One two", "Head", 2, ["/1", "/2"], {"ad": "Buy", "t": "Head"})
+    assert (out[1].r.paragraphs, list(out[1].r.links), out[2].r.paragraphs) == (0, [], None)
+    card = '<div class="card" data-id="{0}"><a href="/a/show/{0}">x</a>{1}</div>'
+    cards = card.format(111, '<b class="price">45 000 000</b>') + card.format(222, '<b class="price">ask</b>') + card.format(333, "") + '<div class="card" data-id="9"></div>'
+    assert column(spark, [(cards,)], "h string", html.card_prices(F.col("h"))) == [{111: 45_000_000, 222: None, 333: None}]
