@@ -39,10 +39,16 @@ def representativeness(sample: DataFrame, population: DataFrame, columns: tuple[
     return d.agg(F.max_by("column", F.struct("tvd", "column")).alias("worst"), F.max("tvd").alias("tvd")).withColumn("ok", F.col("tvd") <= limit)
 
 
-def time_confounding(rows: DataFrame, column: str, day: str = "day", least: int = 30) -> DataFrame:
-    """Mean distance of days (with enough rows) from the whole, weighted by rows."""
+def time_confounding(rows: DataFrame, column: str, day: str = "day", least: int = 30, window: int | None = None) -> DataFrame:
+    """Mean distance of days (with enough rows) from the whole, weighted by rows.
+
+    With ``window`` days and whole alike are those of the last so many days before the newest.
+    """
     value = canonical(column)
-    counts = rows.groupBy(day, value.alias("value")).agg(F.count("*").alias("n"))
+    counts = rows.where(F.col(day).isNotNull()).groupBy(day, value.alias("value")).agg(F.count("*").alias("n"))
+    if window is not None:
+        last = counts.agg(F.max(day).alias("_last"))
+        counts = counts.crossJoin(F.broadcast(last)).where(F.date_diff("_last", F.col(day)) < window).drop("_last")  # one row
     per_day = counts.withColumn("day_n", F.sum("n").over(Window.partitionBy(day)))
     whole = counts.groupBy("value").agg(F.sum("n").alias("all_n"))
     whole = whole.crossJoin(F.broadcast(whole.agg(F.sum("all_n").alias("total")))).select("value", (F.col("all_n") / F.col("total")).alias("q"))
@@ -52,6 +58,28 @@ def time_confounding(rows: DataFrame, column: str, day: str = "day", least: int
     return daily.agg(F.count("*").alias("days"), F.round(F.sum(F.col("w") * F.col("tvd")) / F.sum("w"), 6).alias("confounding"))
 
 
+def segments(rows: DataFrame, y: str, p: str, low: str, high: str, *keys: str, least: int = 5) -> DataFrame:
+    """Errors and the interval's quality by the keys and fifths of ``y``, for segments with enough rows.
+
+    worst_error and worst_coverage tell the segments with the greatest mean error and the least coverage (of equals the first
+    by keys).
+    """
+    from marketlens.operators.windows import quintiles
+
+    by = [*keys, "quintile"]
+    placed = quintiles(rows, y).where(F.col("quintile").isNotNull())
+    valid = placed.where(F.col(p).isNotNull() & (F.col(y) != 0))
+    error = F.abs(F.col(y) - F.col(p)) / F.greatest(F.col(y), F.lit(1))
+    middle = F.greatest((F.col(low) + F.col(high)) / 2.0, F.lit(1.0))
+    hit = F.col(y).between(F.col(low), F.col(high)).cast("int")
+    aggs = [F.count("*").alias("n"), F.round(F.avg(error) * 100, 4).alias("mape"), F.round(F.avg((F.col(p) - F.col(y)) / F.greatest(F.col(y), F.lit(1))) * 100, 4).alias("bias"), F.round(F.avg(hit) * 100, 4).alias("coverage")]
+    found = summarise(valid, tuple(by), aggs, {"mdape": error * 100, "width": (F.col(high) - F.col(low)) / middle * 100}).where(F.col("n") >= least)
+    found = found.withColumns({c: F.round(c, 4) for c in ("mdape", "width")})
+    one = Window.partitionBy(F.lit(1))  # a row for each of a few segments
+    first = lambda *order: F.row_number().over(one.orderBy(*order, *by)) == 1
+    return found.withColumns({"worst_error": first(F.desc("mape")), "worst_coverage": first(F.asc("coverage"))})
+
+
 def regression_metrics(rows: DataFrame, y: str, p: str, *keys: str) -> DataFrame:
     """Mean and median errors, and R squared against the mean of what is judged."""
     e = F.abs(F.col(y) - F.col(p))

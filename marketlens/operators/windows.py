@@ -129,9 +129,9 @@ def rotation_step(n: int) -> int:
     return next(s for d in range(n + 1) for s in (start + d, start - d) if 0 < s <= max(n, 1) and gcd(s, n) == 1)
 
 
-def rotated(rows: DataFrame, n: int, turn: int, index: str = "idx") -> DataFrame:
+def rotated(rows: DataFrame, n: int, turn: int | Column, index: str = "idx") -> DataFrame:
     """The place of each index in the turn's order."""
-    offset = turn * rotation_step(n) % n
+    offset = F.pmod((F.lit(turn) if isinstance(turn, int) else turn) * rotation_step(n), F.lit(n))
     return rows.withColumn("place", F.pmod(F.col(index) - offset, F.lit(n)))
 
 

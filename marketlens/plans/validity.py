@@ -54,7 +54,20 @@ def _gate(s, d):
     return v.gate(metrics(rows.where("id % 2 = 0")), metrics(rows.where("id % 2 = 1")))
 
 
+def _kinds(s, d):
+    """The judged listings with their kind of building."""
+    kind = L(s, d).select("id", F.when(F.col("category") == "novostroiki", "new").otherwise("old").alias("kind"))
+    return _judged(s, d).where("district is not null").join(kind, "id")
+
+
+def _recent(s, d):
+    days = L(s, d).select("district", F.to_date("first_seen").alias("day"))
+    return v.time_confounding(days, "district", least=3, window=400)
+
+
 QUERIES = {
+    "validity_segments": lambda s, d: v.segments(_kinds(s, d), "price", "fair_price", "fair_low", "fair_high", "district", "kind"),
+    "validity_confounding_recent": _recent,
     "validity_distance": lambda s, d: v.variation_distance(_documents(s, d).where("doc_id % 3 = 0"), _documents(s, d), ("lang", "source", "size")),
     "validity_representative": lambda s, d: v.representativeness(_documents(s, d).where("doc_id % 3 = 0"), _documents(s, d), ("lang", "source", "size")),
     "validity_confounding": lambda s, d: v.time_confounding(L(s, d).select("district", F.date_trunc("month", "first_seen").alias("day")), "district"),
@@ -85,6 +98,13 @@ h2 AS (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs + q + r) AS ds FRO
 _A = _L + ", a AS (SELECT *, price / area AS ppsm FROM listing WHERE is_active = 1 AND price > 0 AND area > 0)"
 _BOOT = "md5(concat_ws('|', coalesce(district, ''), CAST(rep AS VARCHAR), '11'))"
 ORACLES = {
+    "validity_segments": f"""{_JUDGED}, c AS (SELECT quantile_cont(CAST(price AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS q FROM j WHERE district IS NOT NULL),
+x AS (SELECT j.district, CASE WHEN l.category = 'novostroiki' THEN 'new' ELSE 'old' END AS kind, CAST(1 + (j.price > q[1])::INT + (j.price > q[2])::INT + (j.price > q[3])::INT + (j.price > q[4])::INT AS INTEGER) AS quintile, j.price, fair_price, fair_low, fair_high FROM j JOIN listing l ON l.id = j.id, c WHERE j.district IS NOT NULL),
+g AS (SELECT district, kind, quintile, count(*) AS n, round(avg(abs(price - fair_price) / price) * 100, 4) AS mape, round(avg((fair_price - price) / price) * 100, 4) AS bias, round(avg(CASE WHEN price BETWEEN fair_low AND fair_high THEN 1 ELSE 0 END) * 100, 4) AS coverage,
+round(median(abs(price - fair_price) / price * 100), 4) AS mdape, round(median((fair_high - fair_low) / greatest((fair_low + fair_high) / 2.0e0, 1.0e0) * 100), 4) AS width FROM x GROUP BY 1, 2, 3 HAVING count(*) >= 5)
+SELECT *, row_number() OVER (ORDER BY mape DESC, district, kind, quintile) = 1 AS worst_error, row_number() OVER (ORDER BY coverage, district, kind, quintile) = 1 AS worst_coverage FROM g""",
+    "validity_confounding_recent": f"""{_L}, a AS (SELECT CAST(first_seen AS DATE) AS day, coalesce(district, '?') AS v FROM listing), x AS (SELECT * FROM a WHERE (SELECT max(day) FROM a) - day < 400), c AS (SELECT day, v, count(*) AS n FROM x GROUP BY 1, 2), w AS (SELECT day, sum(n) AS w FROM c GROUP BY 1 HAVING sum(n) >= 3),
+q AS (SELECT v, sum(n) / (SELECT sum(n) FROM c) AS q FROM c GROUP BY 1), k AS (SELECT w.day, w, sum(abs(coalesce(n, 0) / w - q)) / 2 AS tvd FROM w CROSS JOIN q LEFT JOIN c ON c.day = w.day AND c.v = q.v GROUP BY 1, 2) SELECT count(*) AS days, round(sum(w * tvd) / sum(w), 6) AS confounding FROM k""",
     "validity_distance": f"WITH {_LONG} SELECT * FROM t",
     "validity_representative": f'WITH {_LONG} SELECT arg_max("column", (tvd, "column")) AS worst, max(tvd) AS tvd, max(tvd) <= 0.2e0 AS ok FROM t',
     "validity_confounding": f"""{_L}, x AS (SELECT date_trunc('month', first_seen) AS day, coalesce(district, '?') AS v FROM listing), c AS (SELECT day, v, count(*) AS n FROM x GROUP BY 1, 2), w AS (SELECT day, sum(n) AS w FROM c GROUP BY 1 HAVING sum(n) >= 30),

@@ -79,6 +79,28 @@ def _reached(s, d):
     return w.cursors(visits)
 
 
+def _rotation(s, d):
+    """Where each shard comes in each day's pass: shards in order of their names, days as turns."""
+    runs = R(s, d).select("shard", F.to_date("started_at").alias("day"))
+    shards, days = runs.select("shard").distinct(), runs.select("day").distinct()  # both are short lists
+    idx = shards.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("shard")) - 1)
+    turn = days.withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("day")) - 1)
+    out = w.rotated(runs.distinct().join(F.broadcast(idx), "shard").join(F.broadcast(turn), "day"), shards.count(), F.col("turn"))
+    return out.select("shard", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("place").cast("long").alias("place"))
+
+
+def _folds(s, d):
+    """Test windows before the newest listing, with the listings that each has to learn from and to be judged on."""
+    last = L(s, d).agg(F.max(F.to_date("first_seen")).alias("m")).first().m
+    folds = w.folds(s, str(last), 4, 30, 2)
+    day = F.to_date("first_seen")
+    seen = L(s, d).select(day.alias("day")).groupBy("day").agg(F.count("*").alias("n")).join(F.broadcast(folds))  # four rows
+    inside = (F.col("day") >= F.col("test_start")) & (F.col("day") < F.col("test_end"))
+    total = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0))
+    out = seen.groupBy("fold", "test_start", "test_end", "train_end").agg(total(F.col("day") < F.col("train_end")).alias("n_train"), total(inside).alias("n_test"))
+    return out.select("fold", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("test_start", "test_end", "train_end")), "n_train", "n_test")
+
+
 #: A cap that lies within a day of the supplied listings, so that a day is taken in part.
 _SPLIT = {"window": 14, "need": 0.003, "cap": 0.003, "least": 2, "bulk_least": 10_000}
 
@@ -94,12 +116,12 @@ QUERIES = {
     "window_fresh_first": lambda s, d: w.fresh_first(_queue(s, d), _cursors(s, d), 10, F.lit("2001-01-01").cast("timestamp_ntz")),
     "window_largest_remainder": lambda s, d: w.largest_remainder(_stocks(s, d), 1000),
     "window_redistribute": _plan,
-    "window_rotation": lambda s, d: w.rotated(s.range(32).select(F.col("id").alias("idx")), 32, 3),
+    "window_rotation": _rotation,
     "window_running_best": _best,
     "window_cursors": _reached,
     "window_days_on_market": lambda s, d: w.days_on_market(L(s, d), t.NOW),
     "window_quintiles": lambda s, d: w.quintiles(L(s, d).select("id", "price"), "price").select("id", "quintile"),
-    "window_folds": lambda s, d: w.folds(s, "2001-07-30", 4, 7, 2).select("fold", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("test_start", "test_end", "train_end"))),
+    "window_folds": _folds,
     "window_time_split": _split,
     "window_rate": _rate_windows,
     "window_percentiles": _percentiles,
@@ -136,14 +158,17 @@ SELECT shard, stock, q + CASE WHEN row_number() OVER (ORDER BY f DESC, stock DES
 a AS (SELECT shard, capacity, least(quota, capacity) AS q, capacity - least(quota, capacity) AS room, CAST(sum(greatest(quota - capacity, 0)) OVER () AS BIGINT) AS left_ FROM s), b AS (SELECT *, CAST(sum(room) OVER () AS BIGINT) AS rooms FROM a),
 c AS (SELECT *, least(left_, rooms) AS give, coalesce(least(left_, rooms) * room // nullif(rooms, 0), 0) AS g FROM b)
 SELECT shard, capacity, CAST(q + g + CASE WHEN row_number() OVER (ORDER BY room DESC, shard) <= give - sum(g) OVER () AND room > g THEN 1 ELSE 0 END AS BIGINT) AS quota FROM c""",
-    "window_rotation": f"SELECT i AS idx, (i - {3 * w.rotation_step(32) % 32} + 32) % 32 AS place FROM range(32) r(i)",
+    "window_rotation": f"""{_R}, r AS (SELECT DISTINCT shard, CAST(started_at AS DATE) AS day FROM run), i AS (SELECT shard, row_number() OVER (ORDER BY shard) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT shard FROM r)), t AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS turn FROM (SELECT DISTINCT day FROM r)),
+c AS (SELECT s, row_number() OVER (ORDER BY abs(s - greatest(1, round_even(0.4e0 * n, 0))), s DESC) AS k FROM (SELECT max(n) AS n FROM i), unnest(range(1, n + 1)) u(s) WHERE gcd(s, n) = 1)
+SELECT r.shard, strftime(r.day, '%Y-%m-%d') AS day, CAST(((idx - turn * (SELECT s FROM c WHERE k = 1)) % n + n) % n AS BIGINT) AS place FROM r JOIN i USING (shard) JOIN t USING (day)""",
     "window_cursors": f"""{_R}, p AS (SELECT shard, run_id, banned = 0 OR requests % 5 >= 3 AS passed FROM run WHERE quota <> 0),
 b AS (SELECT shard, run_id, sum(CASE WHEN passed THEN 0 ELSE 1 END) OVER (PARTITION BY shard ORDER BY run_id) AS failed FROM p) SELECT shard, max(run_id) AS cursor FROM b WHERE failed = 0 GROUP BY shard""",
     "window_running_best": f"""{_R}, r AS (SELECT shard AS model, run_id, round(search_seconds, 2) AS mape FROM run), b AS (SELECT *, min(mape) OVER (PARTITION BY model ORDER BY run_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS best FROM r)
 SELECT model, run_id, mape, best, coalesce(mape > best + greatest(0.5e0, best * 0.06e0), FALSE) AS worse FROM b""",
     "window_days_on_market": f"{_L} SELECT id, CAST(greatest(floor((epoch_us(CASE WHEN is_active = 1 THEN TIMESTAMP '{t.NOW}' ELSE coalesce(delisted_at, last_seen) END) - epoch_us(first_seen)) / 86400000000), 0) AS BIGINT) AS days FROM listing",
     "window_quintiles": f"{_L}, q AS (SELECT quantile_cont(price, [0.2, 0.4, 0.6, 0.8]) AS q FROM listing) SELECT id, CASE WHEN price IS NOT NULL THEN 1 + CAST(price > q[1] AS INTEGER) + CAST(price > q[2] AS INTEGER) + CAST(price > q[3] AS INTEGER) + CAST(price > q[4] AS INTEGER) END AS quintile FROM listing, q",
-    "window_folds": "SELECT CAST(i AS INTEGER) AS fold, strftime(DATE '2001-07-30' - CAST((3 - i) * 7 + 7 AS INTEGER), '%Y-%m-%d') AS test_start, strftime(DATE '2001-07-30' - CAST((3 - i) * 7 AS INTEGER), '%Y-%m-%d') AS test_end, strftime(DATE '2001-07-30' - CAST((3 - i) * 7 + 9 AS INTEGER), '%Y-%m-%d') AS train_end FROM range(4) r(i)",
+    "window_folds": f"""{_L}, x AS (SELECT CAST(first_seen AS DATE) AS day FROM listing), m AS (SELECT max(day) AS last FROM x), f AS (SELECT CAST(i AS INTEGER) AS fold, last - CAST((3 - i) * 30 + 30 AS INTEGER) AS test_start, last - CAST((3 - i) * 30 AS INTEGER) AS test_end, last - CAST((3 - i) * 30 + 32 AS INTEGER) AS train_end FROM range(4) r(i), m)
+SELECT fold, strftime(test_start, '%Y-%m-%d') AS test_start, strftime(test_end, '%Y-%m-%d') AS test_end, strftime(train_end, '%Y-%m-%d') AS train_end, count(*) FILTER (day < train_end) AS n_train, count(*) FILTER (day >= test_start AND day < test_end) AS n_test FROM f, x GROUP BY ALL""",
     "window_time_split": f"""{_L}, d AS (SELECT CAST(first_seen AS DATE) AS day, count(*) AS n FROM listing GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY day DESC) AS s, sum(n) OVER () AS total FROM d)
 SELECT CASE WHEN s <= 0.2e0 * total THEN 'test' ELSE 'train' END AS part, CAST(sum(n) AS BIGINT) AS n, strftime(min(day), '%Y-%m-%d') AS first FROM c GROUP BY 1""",
     "window_rate": f"{_R}, r AS (SELECT shard, run_id, CAST(floor(epoch_us(started_at) / 1000000) AS BIGINT) AS s FROM run) SELECT shard, run_id, count(*) OVER (PARTITION BY shard ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM r",
