@@ -83,6 +83,23 @@ def quarantine(rows: DataFrame, bounds: dict = BOUNDS) -> tuple[DataFrame, DataF
     return clean, bad
 
 
+#: What a user's entry never changes in a listing that is there.
+NOT_BY_USERS = ("price", "title", "raw_params", "source", "first_seen", "is_active", "delisted_at")
+
+
+def upsert_user(stored: DataFrame, entries: DataFrame, now: str, key: str = "id") -> DataFrame:
+    """Merge what users entered about listings: other columns than NOT_BY_USERS are filled in, and the listing was seen now.
+
+    A listing that is gone stays gone and no price changes, so there are no points for the price log; a new one comes in
+    as it was entered, with the source 'user'.
+    """
+    moment = F.lit(now).cast("timestamp_ntz")
+    batch = entries.withColumn("last_seen", moment)
+    if "source" in stored.columns:
+        batch = batch.withColumn("source", F.lit("user"))
+    return upsert(stored, batch, key, keep=tuple(c for c in NOT_BY_USERS if c in batch.columns))
+
+
 def replace_by_key(rows: DataFrame, *key: str, order: tuple[str, ...]) -> DataFrame:
     """The last row of each key."""
     last = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order))

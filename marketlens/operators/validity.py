@@ -181,6 +181,18 @@ def gate(new: DataFrame, old: DataFrame, mape: float = 0.5, coverage: tuple[floa
     return n.crossJoin(o).select(F.explode(rows).alias("x")).select("x.*")  # one row each
 
 
+def gate_history(new: DataFrame, history: DataFrame, order: str, metric: str = "mape", n: int = 4, points: float = 0.5, share: float = 0.06) -> DataFrame:
+    """The gate's check against small steps for the worse: check, ok, value and best of the last ``n`` published models.
+
+    A model may be worse than the best of these by ``points`` or a ``share`` of it, whichever is more. Without a history
+    there is nothing to be worse than; a missing metric of the new model fails.
+    """
+    best = history.where(F.col(metric).isNotNull()).orderBy(F.desc(order)).limit(n).agg(F.min(metric).alias("best"))
+    limit = F.col("best") + F.greatest(F.lit(points), F.col("best") * share)
+    ok = F.when(F.col("value").isNull(), False).otherwise(F.col("best").isNull() | (F.col("value") <= limit))
+    return new.select(F.col(metric).alias("value")).crossJoin(F.broadcast(best)).select(F.lit("history").alias("check"), ok.alias("ok"), "value", "best")  # one row
+
+
 def paired_bootstrap(a: DataFrame, b: DataFrame, keys: tuple[str, ...], cluster: str, value: str, **params) -> DataFrame:
     """Interval of the mean difference b - a over rows that both runs have, drawn by cluster.
 

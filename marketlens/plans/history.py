@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marketlens import tables as t
 from marketlens.operators import asof, merge
@@ -69,7 +70,22 @@ def _snapshots(s, d):
     return merge.keep_snapshots(days, "2001-08-02", 60).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
+def _by_users(s, d):
+    """What users say about every third listing, some of which are gone or not there."""
+    stored = L(s, d).where("id % 7 > 0").select("id", "price", "district", "rooms", "title", "source", "is_active", "last_seen")
+    entries = L(s, d).where("id % 3 = 0").select("id", (F.col("price") + 9).alias("price"), F.when(F.col("id") % 5 > 0, F.lit("told")).alias("district"), F.lit(1).alias("is_active"))
+    return merge.upsert_user(stored, entries, t.NOW).select("id", "price", "district", "rooms", "title", "source", "is_active", F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"))
+
+
+def _in_order(s, d):
+    """Each listing's price points, oldest first."""
+    place = F.row_number().over(Window.partitionBy("listing_id").orderBy("observed_at", "seq"))
+    return H(s, d).select("listing_id", place.alias("place"), "price", F.date_format("observed_at", "yyyy-MM-dd").alias("day")).orderBy("listing_id", "place")
+
+
 QUERIES = {
+    "merge_user": _by_users,
+    "log_in_order": _in_order,
     "merge_upsert": lambda s, d: merge.upsert(_stored(s, d), _batch(s, d), "id", ("price",), ("rooms",)),
     "merge_fold": _fold,
     "merge_sightings": _sightings,
@@ -93,6 +109,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "merge_user": f"""{_L}, o AS (SELECT id, price, district, rooms, title, source, is_active, last_seen FROM listing WHERE id % 7 > 0), n AS (SELECT id, price + 9 AS price, CASE WHEN id % 5 > 0 THEN 'told' END AS district FROM listing WHERE id % 3 = 0)
+SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN n.price ELSE o.price END AS price, coalesce(n.district, o.district) AS district, o.rooms, o.title, CASE WHEN o.id IS NULL THEN 'user' ELSE o.source END AS source, CASE WHEN o.id IS NULL THEN 1 ELSE o.is_active END AS is_active,
+strftime(CASE WHEN n.id IS NOT NULL THEN TIMESTAMP '{t.NOW}' ELSE o.last_seen END, '%Y-%m-%d') AS last_seen FROM o FULL JOIN n ON o.id = n.id""",
+    "log_in_order": f"{_H} SELECT listing_id, CAST(row_number() OVER (PARTITION BY listing_id ORDER BY observed_at, seq) AS INTEGER) AS place, price, strftime(observed_at, '%Y-%m-%d') AS day FROM history",
     "merge_upsert": f"""{_L}, {_BATCH}, stored AS (SELECT id, price, district, rooms, floor FROM listing WHERE id % 7 > 0)
 SELECT coalesce(b.id, s.id) AS id, CASE WHEN b.id IS NOT NULL THEN b.price ELSE s.price END AS price, coalesce(b.district, s.district) AS district, CASE WHEN s.id IS NOT NULL THEN s.rooms ELSE b.rooms END AS rooms, s.floor FROM stored s FULL JOIN batch b ON s.id = b.id""",
     "merge_fold": f"""{_R}, r AS (SELECT shard, run_id, CASE WHEN run_id % 3 = 0 THEN NULL ELSE stock END AS stock, CASE WHEN run_id % 2 = 0 THEN NULL ELSE quota END AS quota FROM run),

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from marketlens import tables as t
 from marketlens.functions import text
+from marketlens.scratch import folder
+from marketlens.sources import snapshots
 from marketlens.operators import planning as p, stats
 
 L, H, R = t.listings, t.history, t.runs
@@ -61,7 +63,22 @@ def _numbers(s, d):
     return e.select("event_id", text.comma_decimal(F.col("value")).alias("text"), text.plural(F.col("event_id"), "lot", "lots", "lots.").alias("word"))
 
 
+def _recent_runs(s, d):
+    """The newest runs of sales; a run without a deal is one of sales."""
+    rows = R(s, d).where("coalesce(deal, 'sale') = 'sale'")
+    return rows.orderBy(F.desc("started_at"), F.desc("run_id")).limit(30).select("run_id", "shard", "found")
+
+
+def _complexes(s, d):
+    """The snapshot of complexes, written and read again."""
+    path = folder(s, "complexes")
+    snapshots.write_snapshot(QUERIES["complex_best_filled"](s, d), path)
+    return snapshots.read_snapshot(s, path, "complex_name string, id long, filled int")
+
+
 QUERIES = {
+    "plan_recent_runs": _recent_runs,
+    "complex_snapshot": _complexes,
     "plan_shard_grid": _grid,
     "plan_timings": lambda s, d: p.timings(R(s, d), "shard"),
     "plan_freshness": lambda s, d: p.freshness(R(s, d), L(s, d), "sale"),
@@ -87,7 +104,10 @@ QUERIES = {
     "zone_upper_medians": lambda s, d: p.upper_median(L(s, d).where("microdistrict is not null"), "microdistrict", "lat", "lon"),
 }
 
+_BEST = f"{_L}, f AS (SELECT complex_name, id, (area IS NOT NULL)::INT + (year_built IS NOT NULL)::INT + (ceiling IS NOT NULL)::INT AS filled FROM listing WHERE complex_name IS NOT NULL) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY complex_name ORDER BY filled DESC, id) = 1"
 ORACLES = {
+    "plan_recent_runs": f"{_R} SELECT run_id, shard, found FROM run WHERE coalesce(deal, 'sale') = 'sale' ORDER BY started_at DESC, run_id DESC LIMIT 30",
+    "complex_snapshot": _BEST,
     "plan_shard_grid": "SELECT concat(n_name, ' ', g) AS shard, n_name AS district FROM nation, unnest(['1', '2', '3', '4+']) u(g)",
     "plan_timings": f"""{_R}, k AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY started_at DESC, run_id DESC) AS r FROM run WHERE requests > 0)
 SELECT shard, round(greatest(median(search_seconds / requests - 4), 0.1e0), 4) AS overhead, CAST(trunc(median(found)) AS BIGINT) AS inflow FROM k WHERE r <= 7 GROUP BY shard""",
@@ -115,6 +135,6 @@ SELECT id, "group", value, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(
 SELECT id, CASE WHEN f IN ('view', 'click', 'error') THEN f ELSE '' END AS flags FROM o WHERE id IN (SELECT id FROM listing)""",
     "feature_filled": f"""{_L}, b AS (SELECT building_type AS v FROM listing WHERE building_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), c AS (SELECT category AS v FROM listing WHERE category IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), m AS (SELECT round(median(ceiling), 4) AS ce, round(median(year_built), 4) AS y FROM listing)
 SELECT id, coalesce(building_type, b.v) AS building_type, coalesce(category, c.v) AS category, coalesce(ceiling, ce) AS ceiling, coalesce(CAST(year_built AS DOUBLE), y) AS year_built FROM listing, b, c, m""",
-    "complex_best_filled": f"{_L}, f AS (SELECT complex_name, id, (area IS NOT NULL)::INT + (year_built IS NOT NULL)::INT + (ceiling IS NOT NULL)::INT AS filled FROM listing WHERE complex_name IS NOT NULL) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY complex_name ORDER BY filled DESC, id) = 1",
+    "complex_best_filled": _BEST,
     "zone_upper_medians": f"""{_L}, a AS (SELECT microdistrict, list_sort(list(lat)) AS a, list_sort(list(lon)) AS o FROM listing WHERE microdistrict IS NOT NULL AND lat IS NOT NULL GROUP BY 1) SELECT microdistrict, a[len(a) // 2 + 1] AS lat, len(a) AS n_lat, o[len(o) // 2 + 1] AS lon, len(o) AS n_lon FROM a""",
 }

@@ -22,7 +22,7 @@ def _deal(rows, deal):
 
 
 QUERIES = {
-    "market_by_district": lambda s, d: stats.by_group(L(s, d), "district"),
+    "market_by_district": lambda s, d: stats.by_group(L(s, d), "district").orderBy(F.desc("median_ppsm"), "district"),
     "market_totals": lambda s, d: stats.totals(L(s, d)),
     "market_by_rooms": lambda s, d: stats.by_rooms(L(s, d)),
     "market_category_split": lambda s, d: stats.category_split(L(s, d)),

@@ -65,7 +65,14 @@ def _recent(s, d):
     return v.time_confounding(days, "district", least=3, window=400)
 
 
+def _gate_history(s, d):
+    """All judged listings as the new model; those of each number of rooms as the models before it."""
+    rows = _judged(s, d)
+    return v.gate_history(v.regression_metrics(rows, "price", "fair_price"), v.regression_metrics(rows, "price", "fair_price", "rooms"), "rooms")
+
+
 QUERIES = {
+    "validity_gate_history": _gate_history,
     "validity_segments": lambda s, d: v.segments(_kinds(s, d), "price", "fair_price", "fair_low", "fair_high", "district", "kind"),
     "validity_confounding_recent": _recent,
     "validity_distance": lambda s, d: v.variation_distance(_documents(s, d).where("doc_id % 3 = 0"), _documents(s, d), ("lang", "source", "size")),
@@ -98,6 +105,8 @@ h2 AS (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs + q + r) AS ds FRO
 _A = _L + ", a AS (SELECT *, price / area AS ppsm FROM listing WHERE is_active = 1 AND price > 0 AND area > 0)"
 _BOOT = "md5(concat_ws('|', coalesce(district, ''), CAST(rep AS VARCHAR), '11'))"
 ORACLES = {
+    "validity_gate_history": f"""{_JUDGED}, h AS (SELECT rooms, round(avg(abs(price - fair_price) / price) * 100, 4) AS mape FROM j GROUP BY 1 ORDER BY rooms DESC LIMIT 4), b AS (SELECT min(mape) AS best FROM h), n AS (SELECT round(avg(abs(price - fair_price) / price) * 100, 4) AS value FROM j)
+SELECT 'history' AS "check", value <= best + greatest(0.5e0, best * 0.06e0) AS ok, value, best FROM n, b""",
     "validity_segments": f"""{_JUDGED}, c AS (SELECT quantile_cont(CAST(price AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS q FROM j WHERE district IS NOT NULL),
 x AS (SELECT j.district, CASE WHEN l.category = 'novostroiki' THEN 'new' ELSE 'old' END AS kind, CAST(1 + (j.price > q[1])::INT + (j.price > q[2])::INT + (j.price > q[3])::INT + (j.price > q[4])::INT AS INTEGER) AS quintile, j.price, fair_price, fair_low, fair_high FROM j JOIN listing l ON l.id = j.id, c WHERE j.district IS NOT NULL),
 g AS (SELECT district, kind, quintile, count(*) AS n, round(avg(abs(price - fair_price) / price) * 100, 4) AS mape, round(avg((fair_price - price) / price) * 100, 4) AS bias, round(avg(CASE WHEN price BETWEEN fair_low AND fair_high THEN 1 ELSE 0 END) * 100, 4) AS coverage,

@@ -39,8 +39,8 @@ def test_unknown_district_and_gaps(rows, fitted):
 
 
 def test_models_on_a_frozen_test(rows, fitted):
-    out = {r.model: r.n for r in model.compare({"a": fitted, "b": fitted}, rows, {"b": "2100-01-01"}).collect()}
-    assert out["a"] > 100 and out["b"] == 0
+    out = {r.model: (r.n, r.excluded) for r in model.compare({"a": fitted, "b": fitted}, rows, {"b": "2100-01-01"}).collect()}
+    assert out["a"][0] > 100 and out["a"][1] is None and out["b"] == (0, "it had data up to 2100-01-01, after which the test has no rows")
 
 
 def test_rental_estimates(rows, fitted):

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from marketlens.functions import display, geo, geometry, scoring, text
-from marketlens.operators import joins, merge, planning, windows
+from marketlens.operators import joins, merge, planning, validity, windows
 from marketlens.sources import html, snapshots
 from marketlens.streaming import events
 
@@ -126,3 +126,13 @@ def test_records_of_pages(spark):
     card = '<div class="card" data-id="{0}"><a href="/a/show/{0}">x</a>{1}</div>'
     cards = card.format(111, '<b class="price">45 000 000</b>') + card.format(222, '<b class="price">ask</b>') + card.format(333, "") + '<div class="card" data-id="9"></div>'
     assert column(spark, [(cards,)], "h string", html.card_prices(F.col("h"))) == [{111: 45_000_000, 222: None, 333: None}]
+
+
+def test_gate_against_history(spark):
+    """10.5 is within 0.5 of the best of the last four (10.0), 10.61 isn't; a best of 20 lets pass 21.2; older ones don't count."""
+    def ok(value, before):
+        new = spark.createDataFrame([(value,)], "mape double")
+        return validity.gate_history(new, spark.createDataFrame(list(enumerate(before)), "k int, mape double"), "k").first().ok
+
+    assert ok(10.5, [12.0, 10.0, 11.0, 10.4]) and not ok(10.61, [12.0, 10.0, 11.0, 10.4]) and ok(21.2, [20.0]) and not ok(21.3, [20.0])
+    assert ok(10.61, [10.0, 12.0, 11.0, 10.4, 13.0]) and ok(99.0, []) and not ok(None, [10.0])
