@@ -103,7 +103,10 @@ def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, total: int, lists: int | None = None, part: int = 4, seed: int = 7) -> Quantizer:
-    """Coarse centroids and code words from at most about SAMPLE vectors, taken by a hash of their id."""
+    """Coarse centroids and code words from at most about SAMPLE vectors, taken by a hash of their id.
+
+    There are about as many lists as the square root of the number of vectors, from 4 to 4,096, if ``lists`` doesn't say.
+    """
     share = min(1.0, SAMPLE / max(total, 1))
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else rows
     gathered = [r.vector for r in sample.select("vector").collect()] or [rows.select("vector").first().vector]

@@ -217,7 +217,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     ``und`` with score 0, rejected, if the text is null or has no letter, or if there is no model. A tie goes to the
     first language in alphabetical order. The score is the posterior of the language from even odds, of a text of at
-    most 50 characters of the same cross-entropy. Repeated rows get a row each.
+    most 50 characters of the same cross-entropy. Repeated rows get a row each. Only languages that the model has learned
+    are named: the ``most_languages`` commonest labels of ``learn``.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
