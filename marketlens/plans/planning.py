@@ -73,7 +73,7 @@ def _complexes(s, d):
     """The snapshot of complexes, written and read again."""
     path = folder(s, "complexes")
     snapshots.write_snapshot(QUERIES["complex_best_filled"](s, d), path)
-    return snapshots.read_snapshot(s, path, "complex_name string, id long, filled int")
+    return snapshots.read_snapshot(s, path, "complex_name string, id long, filled int", lines=True)
 
 
 QUERIES = {

@@ -17,13 +17,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = METRIC_SCHEMA)
         return None
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: str, missing: str = "none") -> DataFrame | None:
-    """A JSON snapshot, one document over all lines; without a file None, or no rows if ``missing`` is 'empty'.
+def read_snapshot(spark: SparkSession, path: str, schema: str, missing: str = "none", lines: bool = False) -> DataFrame | None:
+    """A JSON snapshot, one document over all lines, or a row a line as ``write_snapshot`` has it (``lines``); without a
+    file None, or no rows if ``missing`` is 'empty'.
 
     The two mean different things: None that nothing is known, no rows that there is nothing.
     """
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        return spark.read.schema(schema).option("multiLine", not lines).json(path)
     except AnalysisException:
         return spark.createDataFrame([], schema) if missing == "empty" else None
 
