@@ -49,8 +49,9 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest id stays (null last, then the first row)."""
     rows, row = _numbered(docs)
-    linked = jaccard_join.jaccard_join(rows.select(row, "text"), id_col=row).where("component_id <> doc_id")
-    members = _scratch.stage(linked.select("component_id", F.explode(F.array("doc_id", "component_id")).alias("member")).distinct(), "members")
+    with _scratch.scope(spark) as made:  # of the operator's tables only what it found stays
+        linked = jaccard_join.jaccard_join(rows.select(row, "text"), id_col=row).where("component_id <> doc_id")
+        members = _scratch.keep(linked.select("component_id", F.explode(F.array("doc_id", "component_id")).alias("member")).distinct(), "members", made)
     ids = rows.select(F.col(row).alias("member"), F.col("doc_id").alias("id"))
     first = F.min(F.struct(F.col("id").isNull(), "id", "member"))["member"]
     stay = members.join(ids, "member").groupBy("component_id").agg(first.alias("member")).select("member")
@@ -62,7 +63,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drop the documents that hold a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows, row = _numbered(docs)
-    gone = decontaminate.decontaminate(rows.select(row, "text"), benchmark, id_col=row).where("contaminated").select(F.col("doc_id").alias(row))
+    with _scratch.scope(spark) as made:
+        found = decontaminate.decontaminate(rows.select(row, "text"), benchmark, id_col=row).where("contaminated").select(F.col("doc_id").alias(row))
+        gone = _scratch.keep(found, "gone", made)
     return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
@@ -83,7 +86,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     key, spans = _own(docs, "_sha"), _own(docs, "_spans")
     keyed = _text.bounded(docs).withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
     # Rows of one key have one text, and so the same spans.
-    found = secrets.secrets(keyed.select(key, "text"), id_col=key).where("spans <> ''").select(F.col("doc_id").alias(key), F.col("spans").alias(spans)).dropDuplicates([key])
+    with _scratch.scope(spark) as made:
+        found = secrets.secrets(keyed.select(key, "text"), id_col=key).where("spans <> ''").select(F.col("doc_id").alias(key), F.col("spans").alias(spans)).dropDuplicates([key])
+        found = _scratch.keep(found, "found", made)
     marked = keyed.join(found, key, "left")
     names = docs.columns
 

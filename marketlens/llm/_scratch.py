@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables that were staged within each open scope.
+_open: list[list[str]] = []
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, or below the warehouse, which is shared too, where that is unset."""
@@ -17,6 +22,8 @@ def folder(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again."""
     path = folder(df.sparkSession, name)
+    for paths in _open:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -28,3 +35,28 @@ def drop(df: DataFrame) -> None:
     for folder_ in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder_)
         path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are staged inside are removed at the end, but for those whose path is taken out of the list.
+
+    What is still to be read must be taken out, by ``keep``.
+    """
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield paths
+    finally:
+        _open.remove(paths)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def keep(df: DataFrame, name: str, paths: list[str]) -> DataFrame:
+    """Stage a table that outlives the scope."""
+    out = stage(df, name)
+    paths.pop()
+    return out
