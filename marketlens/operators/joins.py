@@ -192,12 +192,15 @@ def _alike(targets: DataFrame, pool: DataFrame, keys: list[str], k: int, width:
     features = [*keys, "area", "floor", "year_built"]
     rank = F.row_number().over(Window.partitionBy(*features).orderBy("id"))
     spots = pool.withColumn("_r", rank).where(F.col("_r") <= most).groupBy(*features).agg(F.collect_list(F.struct("id", F.col("district").alias("d"))).alias("top"))
-    spots = stage(spots.withColumn("n", F.size("top")), "alike")
-    levels = F.explode(F.sequence(F.lit(0), F.lit(ALIKE_LEVELS))).alias("level")
-    spread = spots.select("*", levels)
+    spots = stage(spots.withColumn("n", F.size("top")).withColumn("spot", F.monotonically_increasing_id()), "alike")
+    # Finer cells than those of which none holds enough listings aren't needed.
+    middle = ALIKE_LEVELS // 2
+    dense = spots.groupBy(*keys, *(c.alias(n) for c, n in zip(_alike_cells(F.lit(middle)), ("band", "fb", "yb"), strict=True))).agg(F.sum("n").alias("n")).where(F.col("n") >= most).head(1)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(ALIKE_LEVELS if dense else middle))).alias("level")
+    spread = spots.select("spot", "n", *features, levels)
     band, floor, year = _alike_cells(F.col("level"))
     either = lambda c: F.explode(F.array(c, F.lit(_ANY)))
-    spread = spread.withColumn("band", band).withColumn("fb", either(floor)).withColumn("yb", either(year))
+    spread = stage(spread.withColumn("band", band).withColumn("fb", either(floor)).withColumn("yb", either(year)), "spread")
     cell = [*keys, "level", "band", "fb", "yb"]
     counts = spread.groupBy(*cell).agg(F.sum("n").alias("n")).where(F.col("n") >= most)
 
@@ -214,7 +217,7 @@ def _alike(targets: DataFrame, pool: DataFrame, keys: list[str], k: int, width:
         on = [F.col(f"t.{c}") == F.col(f"p.{c}") for c in cell]
         pairs = t.join(p, on)
         pairs = pairs.where(F.col("p.area").between(F.col("t.area") * (1 - width), F.col("t.area") * (1 + width)))
-        return pairs.select(F.col("t.id").alias("id"), F.col("t.bound").alias("bound"), similarity("t", "p").alias("distance"), "p.n", "p.top")
+        return pairs.select(F.col("t.id").alias("id"), F.col("t.bound").alias("bound"), similarity("t", "p").alias("distance"), "p.n", "p.spot")
 
     settled = own.where("level is not null")
     band, floor, year = _alike_cells(F.col("level"))
@@ -236,6 +239,7 @@ def _alike(targets: DataFrame, pool: DataFrame, keys: list[str], k: int, width:
 
     visits = ranged.withColumn("band", F.explode(F.sequence(edge(1 - reach - tiny), edge(1 + reach + tiny)))).withColumn("fb", F.explode(bins("floor", ALIKE[1], 5.0))).withColumn("yb", F.explode(bins("year_built", ALIKE[2], 10.0)))
     close = met(visits).where(F.col("bound").isNull() | (F.col("distance") <= F.col("bound")))
+    close = close.select("id", "distance", "spot").join(spots.select("spot", "top"), "spot")
     rows = close.select("id", "distance", F.explode("top").alias("x")).select("id", F.col("x.id").alias("analogue"), F.col("x.d").alias("district"), "distance").where("id <> analogue")
     best = F.row_number().over(Window.partitionBy("id").orderBy("distance", "analogue"))
     return rows.withColumn("_r", best).where(F.col("_r") <= k).drop("_r")  # a literal, so tasks drop the rest before the shuffle

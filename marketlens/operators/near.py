@@ -31,13 +31,22 @@ def _key(level: Column, cx: Column, cy: Column) -> Column:
     return (level.cast("long") * _WIDTH + (cx + _HALF)) * _WIDTH + (cy + _HALF)
 
 
-def _each_level(rows: DataFrame, radius: float, *columns: str) -> DataFrame:
-    """A row for each level, with the key of the cell around x and y."""
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
+def _each_level(rows: DataFrame, radius: float, last: int, *columns: str) -> DataFrame:
+    """A row for each level up to the last, with the key of the cell around x and y."""
+    levels = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("level")
     spread = rows.select(*columns, "x", "y", levels)
     return spread.select(*columns, "x", "y", "level", _key(F.col("level"), _cell(F.col("x"), F.col("level"), radius), _cell(F.col("y"), F.col("level"), radius)).alias("key"))
 
 
+def _last_level(spots: DataFrame, k: int, radius: float) -> int:
+    """A level none of whose cells holds k references, so that finer ones aren't needed, or the last of all."""
+    for level in (3, 7):
+        own = _key(F.lit(level), _cell(F.col("x"), F.lit(level), radius), _cell(F.col("y"), F.lit(level), radius))
+        if not spots.groupBy(own.alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= k).head(1):
+            return level
+    return LEVELS
+
+
 def _span(c: str, cell: str, radius: float) -> tuple[Column, Column]:
     """Least and greatest difference of a coordinate to what lies in a cell (number ``cell`` of ``level``)."""
     side = radius / F.pow(F.lit(2.0), F.col("level"))
@@ -58,11 +67,12 @@ def nearest(places: DataFrame, spots: DataFrame, k: int, radius: float) -> DataF
     """
     split = 4 * k
     spots = stage(spots.select(F.monotonically_increasing_id().alias("spot"), "x", "y", F.size("top").alias("n"), "top"), "spots")
-    keyed = stage(_each_level(spots, radius, "spot", "n"), "keyed")
+    last = _last_level(spots, k, radius)
+    keyed = stage(_each_level(spots, radius, last, "spot", "n"), "keyed")
     counts = stage(keyed.groupBy("key").agg(F.sum("n").alias("n")), "counts")
 
     # The own cell: the smallest with k references; without any the bound is the radius.
-    around = _each_level(places, radius, "place").join(counts.where(F.col("n") >= k), "key", "left")
+    around = _each_level(places, radius, last, "place").join(counts.where(F.col("n") >= k), "key", "left")
     own = stage(around.groupBy("place").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.max(F.when(F.col("n").isNotNull(), F.struct("level", "key"))).alias("own")), "own")
     inside = own.where("own is not null").select("place", "x", "y", "own.key")
     wanted = inside.select("key").distinct()
@@ -81,7 +91,7 @@ def nearest(places: DataFrame, spots: DataFrame, k: int, radius: float) -> DataF
     while True:
         near = _bounds(cells, radius).where("near <= bound").withColumn("key", _key(F.col("level"), F.col("cx"), F.col("cy")))
         front = stage(near.join(counts, "key"), "front")
-        many = (F.col("n") > split) & (F.col("level") < LEVELS)
+        many = (F.col("n") > split) & (F.col("level") < last)
         leaves.append(front.where(~many).select("place", "x", "y", "key", "bound"))
         large = front.where(many)
         if not large.head(1):
