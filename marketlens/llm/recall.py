@@ -1,7 +1,7 @@
 """How much of the true neighbours the index finds, by the share of lists that a query visits.
 
-``python -m marketlens.llm.recall SF_DIR`` prints the curve for the supplied vectors: the least share with a recall of 0.9
-or more is what ``ann.search`` may be given.
+``python -m marketlens.llm.recall SF_DIR`` prints the curve for the supplied vectors: first without bounds, by the share,
+and then what ``ann.search`` returns with them.
 """
 
 from __future__ import annotations
@@ -49,13 +49,13 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return found.withColumn("_r", rank).where(F.col("_r") <= k).select("query_id", "vec_id")
 
 
-def curve(vectors: DataFrame, queries: DataFrame, probes: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6), k: int = 5) -> list[tuple[float, float]]:
+def curve(vectors: DataFrame, queries: DataFrame, probes: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6), k: int = 5, bounds: bool = False) -> list[tuple[float, float]]:
     """(share of lists visited, share of the true neighbours found) for each of ``probes``."""
     dimension = ann.commonest_dimension(vectors, "vec_id", "embedding")
     truth = exact(ann.usable(vectors, dimension, "vec_id", "embedding"), ann.usable(queries, dimension, "vec_id", "embedding").distinct(), k).cache()
     total, asked = truth.count(), truth.select("query_id").distinct()
     few = queries.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
-    return [(p, ann.search(vectors, few, k=k, probes=p).join(truth, ["query_id", "vec_id"]).count() / total) for p in probes] if total else []
+    return [(p, ann.search(vectors, few, k=k, probes=p, bounds=bounds).join(truth, ["query_id", "vec_id"]).count() / total) for p in probes] if total else []
 
 
 def main(sf_dir: str) -> None:
@@ -63,6 +63,7 @@ def main(sf_dir: str) -> None:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     for share, found in curve(vectors, vectors.where("vec_id % 50 = 0")):
         print(f"{share:.2f} of the lists: recall {found:.4f}")
+    print(f"with bounds: recall {curve(vectors, vectors.where('vec_id % 50 = 0'), (0.6,), bounds=True)[0][1]:.4f}")
 
 
 if __name__ == "__main__":

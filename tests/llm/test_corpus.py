@@ -261,6 +261,23 @@ def test_shards_of_lists(spark, monkeypatch):
     assert len(out & best) >= 0.97 * len(best)
 
 
+def test_neighbours_of_rows_that_codes_cannot_tell_apart(spark):
+    """Tight groups, scaled copies, a length that no part divides, and few lists visited: the nearest are still the true ones."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(3, 13))
+    tight = centre[rng.integers(0, 3, 1500)] + 1e-4 * rng.normal(size=(1500, 13))
+    x = np.concatenate([tight, rng.normal(size=(500, 13)) * rng.uniform(1e-6, 1e6, (500, 1)), tight[:20] * 4.0])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.search(vectors, vectors.where("vec_id % 50 = 0"), probes=0.1).toPandas().sort_values(["query_id", "rank"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q, own in out.groupby("query_id"):
+        score = unit @ unit[q]
+        score[q] = -9
+        assert np.abs(own.score.to_numpy() - np.sort(score)[: -6 : -1]).max() < 1e-12
+        assert np.abs(own.score.to_numpy() - score[own.vec_id]).max() < 1e-12 and own["rank"].tolist() == [1, 2, 3, 4, 5]
+    assert out.query_id.nunique() == 41
+
+
 def test_language_identification(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.op4_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
