@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm import _scratch
+
 #: Rows that one step adds up in a task.
 FAN_IN = 64
 
@@ -28,5 +30,6 @@ def sum_arrays(parts: DataFrame, dtype: str = "float64", steps: int = 2) -> dict
     for step in range(steps):
         # The first step groups by the writing task, the next by the task that added up.
         parts = parts.withColumn("group", F.floor(F.spark_partition_id() / FAN_IN)).groupBy("part", "group").applyInArrow(add, "part int, counts binary")
-    rows = parts.groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    with _scratch.brief(parts.sparkSession):
+        rows = parts.groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     return {r.part: np.frombuffer(r.counts, dtype=dtype) for r in rows}
