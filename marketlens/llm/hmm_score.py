@@ -32,6 +32,8 @@ HELD_WORDS = 1 << 17
 GATHERED = 1_500_000
 #: Texts of more than LONG tokens are worked on in segments; what comes out is that of the whole text.
 LONG, SEGMENT = 4096, 1024
+#: Tokens whose states' shares are added up by class at once, so that they stay in a processor's cache.
+CHUNK = 1 << 14
 #: Dimensions in which the neighbours of a class, on either side, are summed up to find the first states.
 TRAITS = 24
 
@@ -182,14 +184,16 @@ def _forward(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.nda
     """Scaled states behind each row's last token and the log of the scales; ``before`` predicts the first token's state."""
     order, active = _ragged(lengths)
     begin = begin[order]
-    total, last = np.zeros(len(order)), np.empty((len(order), len(model.start)))
-    alpha = before[order]
+    kind = model.start.dtype
+    total, last, ones = np.zeros(len(order)), np.empty((len(order), len(model.start)), kind), np.ones(len(model.start), kind)
+    alpha = before[order].astype(kind)
     for t, n in enumerate(active.tolist()):
         if t:
             last[n : len(alpha)] = alpha[n:]
             alpha = alpha[:n] @ model.move
-        alpha = alpha[:n] * model.emit[codes[begin[:n] + t]]
-        scale = alpha.sum(axis=1)
+        alpha = alpha[:n]
+        alpha *= model.emit.take(codes.take(begin[:n] + t), axis=0)
+        scale = alpha @ ones
         alpha /= scale[:, None]
         total[:n] += np.log(scale)
     last[: len(alpha)] = alpha
@@ -250,6 +254,10 @@ def segments(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.nda
     return out
 
 
+def _as(model: Model, kind: type) -> Model:
+    return Model(model.start.astype(kind), model.move.astype(kind), model.emit.astype(kind))
+
+
 def forward(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log probability of each row's codes: one step a token, over all rows that still have one."""
     long = lengths > LONG
@@ -266,10 +274,10 @@ def expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarr
 
     The recursions, whose numbers are scaled to 1, are in numbers of ``kind``; sums are in double precision.
     """
+    model = _as(model, kind)
     parts = segments(model, codes, begin, lengths)
     states, kinds = len(model.start), len(model.emit)
     starts, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((kinds, states)), 0.0
-    model = Model(model.start.astype(kind), model.move.astype(kind), model.emit.astype(kind))
     cuts = np.searchsorted(np.cumsum(parts.lengths), np.arange(most, parts.lengths.sum(), most))
     for own in np.split(np.arange(len(parts.row)), np.unique(cuts + 1)):
         if len(own):
@@ -283,36 +291,38 @@ def _expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndar
     begin, first, prev, after = begin[order], first[order], prev[order], after[order]
     states, kind = len(model.start), model.start.dtype
     steps = np.concatenate([[0], np.cumsum(active)])
+    # All tokens by step, and by row within one.
+    kinds = codes.take(np.concatenate([begin[:n] + t for t, n in enumerate(active.tolist())])) if len(active) else codes[:0]
+    emitted, ones = model.emit.take(kinds, axis=0), np.ones(states, kind)
     alphas, scales = np.empty((steps[-1], states), kind), np.empty(steps[-1], kind)
     alpha = np.where(first[:, None], model.start, prev @ model.move)
     for t, n in enumerate(active.tolist()):
-        alpha = (alpha[:n] @ model.move if t else alpha) * model.emit[codes[begin[:n] + t]]
-        scale = alpha.sum(axis=1)
+        a, b = steps[t], steps[t + 1]
+        alpha = np.multiply(alpha[:n] @ model.move if t else alpha, emitted[a:b], out=alphas[a:b])
+        scale = np.matmul(alpha, ones, out=scales[a:b])
         alpha /= scale[:, None]
-        alphas[steps[t] : steps[t + 1]], scales[steps[t] : steps[t + 1]] = alpha, scale
+    emitted /= scales[:, None]
     move, starts = np.zeros((states, states)), np.zeros(states)
-    gammas, kinds = np.empty_like(alphas), np.empty(steps[-1], dtype=np.int32)
+    gammas, back = alphas.copy(), np.ascontiguousarray(model.move.T)
     beta = np.ones((0, states), kind)
     for t in range(len(active) - 1, -1, -1):
         n, a, b = int(active[t]), steps[t], steps[t + 1]
         if (m := len(beta)) < n:  # rows whose last token this is
             new = after[m:n] / (alphas[a + m : b] * after[m:n]).sum(axis=1, keepdims=True)
             beta = np.concatenate([beta, new])
-        kinds[a:b] = codes[begin[:n] + t]
-        gammas[a:b] = alphas[a:b] * beta
-        weighted = beta * model.emit[kinds[a:b]] / scales[a:b, None]
+        gammas[a:b] *= beta
+        beta *= emitted[a:b]
         if t:
-            move += alphas[steps[t - 1] : steps[t - 1] + n].T @ weighted
-            beta = weighted @ model.move.T
+            move += alphas[steps[t - 1] : steps[t - 1] + n].T @ beta
+            beta = beta @ back
         else:
             starts += gammas[a:b][first].sum(axis=0)
-            move += prev[~first].T @ weighted[~first]
-    by_kind = np.argsort(kinds, kind="stable")
-    heads = np.flatnonzero(np.diff(kinds[by_kind], prepend=-1))
-    emit = np.zeros((len(model.emit), states))
-    if len(heads):
-        emit[kinds[by_kind[heads]]] = np.add.reduceat(gammas[by_kind], heads, axis=0, dtype=np.float64)
-    return starts, move * model.move, emit, float(np.log(scales.astype(np.float64)).sum())
+            move += prev[~first].T @ beta[~first]
+    emit = np.zeros((states, len(model.emit)))
+    for c in range(0, len(kinds), CHUNK):
+        for of, weights in zip(emit, np.ascontiguousarray(gammas[c : c + CHUNK].T), strict=True):
+            of += np.bincount(kinds[c : c + CHUNK], weights=weights, minlength=len(of))
+    return starts, move * model.move, emit.T, float(np.log(scales.astype(np.float64)).sum())
 
 
 def _rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -418,7 +428,7 @@ def train(coded: DataFrame, classes: Classes, states: int = 16, parts: int = 6,
             shared = spark.sparkContext.broadcast(model)
 
             def likelihood(codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray, shared=shared) -> np.ndarray:
-                return np.array([forward(shared.value, codes, begin, lengths).sum(), lengths.sum()])
+                return np.array([forward(_as(shared.value, np.float32), codes, begin, lengths).sum(), lengths.sum()])
 
             log, tokens = _gather(judged, 2, likelihood)
             now = log / max(tokens, 1)

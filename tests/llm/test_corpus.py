@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import _scratch, _graph, _text, ann, decontaminate, hmm_score, jaccard_join, language_id, queries, suffix_dedup
+from marketlens.llm import _graph, _scratch, _sums, _text, ann, decontaminate, hmm_score, jaccard_join, language_id, queries, suffix_dedup
 from tests.llm.common import SCHEMA, clashing, corpus, frame, letters, sha, words
 from tests.oracle import connect, rows_of, rows_of_sql
 
@@ -295,6 +295,23 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert sorted(r["count"] for r in out.collect()) == [142] + [143] * 6 and spark.conf.get(_scratch.CLEANUP) == "false"
 
 
+def test_sums_of_rounds_leave_no_shuffle_files(spark):
+    """Each part of a round of training sums up arrays; their files go before the next."""
+    from pathlib import Path
+    from time import sleep
+
+    local = Path(spark.sparkContext.getConf().get("spark.local.dir"))
+    files = lambda: {str(f) for f in local.rglob("shuffle_*")}
+    before = files()
+    ones = spark.range(0, 1000, 1, 8).select(F.lit(0).alias("part"), F.lit(np.ones(3).tobytes()).alias("counts"))
+    assert _sums.sum_arrays(ones)[0].tolist() == [1000.0] * 3
+    for _ in range(100):  # they go in the background
+        if not files() - before:
+            break
+        sleep(0.1)
+    assert not files() - before
+
+
 def test_language_identification(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.op4_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
