@@ -7,8 +7,10 @@ a pair is a candidate if its prefixes share min(l, l') shingles and enough for t
 
 Groups of copies are never paired out. Rows with equal sets are one class from the start. Pairs with one hub for each
 shared shingle and size band come first; after the components of those links, only pairs from different components are
-formed, so a large group of near copies costs about as many pairs as it has members. No link between different
-components is lost, so the components are exact.
+formed, and where these are many, first those with a few hubs, then with eight times as many, and so on. A row that
+links with a share of its group has joined it before it meets many of them, so a large group of near copies finds a few
+links a member and round, and not the square of its size. The last round forms all pairs of components that are still
+different. No link between different components is lost, so the components are exact.
 
 A shingle may be in a third of all prefixes. No window holds all rows of one: those that the sketch finds common are
 dealt out by the set's print, hubs are aggregates that are joined back, and of a shingle's largest component the rows
@@ -35,6 +37,10 @@ MOST_MATCHES = 4
 BROADCAST_IDS = 1_000_000
 #: Rows of one shingle that are put in order together; a shingle that more documents share is dealt out.
 SPLIT = 100_000
+#: Hubs of a token and band that the rows of other components meet in the second step, and how many times more a round.
+HUBS, MORE_HUBS = 4, 8
+#: All pairs that are left are formed at once if they are fewer than these, or than the rows that form them.
+FEW_PAIRS = 10_000
 
 
 def _sets(part: pa.RecordBatch, words: int) -> list[np.ndarray]:
@@ -210,6 +216,32 @@ def _candidates(rows: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.size(F.array_intersect("tokens_a", "tokens_b")) + after >= need).select("a", "b")
 
 
+def _few(sizes: DataFrame, hubs: int) -> bool:
+    """Whether the rows that are left (counts of token, band, main) make about as few pairs as rows, or as with ``hubs``."""
+    of = sizes.groupBy("token", "band").agg(*(F.coalesce(F.sum(F.when(F.col("main") == x, F.col("many"))), F.lit(0)).alias(name) for x, name in ((True, "inside"), (False, "outside"))))
+    pairs = F.sum(F.col("outside") * (F.col("inside") + F.col("outside") / 2))
+    now = of.agg(F.sum(F.col("inside") + F.col("outside")).alias("rows"), pairs.alias("pairs"), F.max(F.greatest("inside", "outside")).alias("most")).first()
+    return now.rows is None or now.most <= hubs or now.pairs <= max(now.rows, FEW_PAIRS)
+
+
+def _crossing(placed: DataFrame, sizes: DataFrame, hubs: int | None) -> DataFrame:
+    """Rows of different components that share a token, as ``_candidates`` takes them.
+
+    Each row outside its token's largest component meets the rows inside and the others outside, or of both those that
+    are hubs: by their ids' hashes about ``hubs`` of a token and band, mostly the same ones for all tokens of a group.
+    """
+    hub = F.lit(True)
+    if hubs:
+        placed = placed.join(sizes, ["token", "band", "main"])
+        hub = F.pmod(F.xxhash64(F.lit("hub"), "doc_id"), F.lit(1 << 20)) * F.col("many") < hubs << 20
+    placed = placed.withColumn("hub", hub)
+    a = placed.where("not main").select("token", "band", *_side("a"), F.col("c").alias("c_a"), F.col("hub").alias("hub_a"))
+    near = F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band")
+    b = placed.where("hub").select("token", near, *_side("b"), F.col("c").alias("c_b"), "main")
+    # The conditions of _candidates are part of the join, so it makes no rows that they would drop.
+    return a.join(b, ["token", "band"]).where("c_a <> c_b and (main or not hub_a or a < b)")
+
+
 def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -261,23 +293,25 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     links = _scratch.stage(_verified(star, docs, words, percent).union(copies), "links")
     reached = _scratch.stage(_graph.components(links), "components")
 
-    # Then all pairs of different components.
-    placed = shared.join(reached, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id"))
-    kinds = placed.groupBy("token", "c").agg(F.count("*").alias("many"))
-    largest = kinds.groupBy("token").agg(F.max_by("c", F.struct("many", "c")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    largest = _scratch.stage(largest.select("token", "main"), "largest")
-    placed = placed.join(largest, "token").select("token", *_SIDE, "c", (F.col("c") == F.col("main")).alias("main"), F.floor(size).alias("band"))
-    placed = _scratch.stage(placed, "placed")
-    # Each row outside its token's largest component meets the rows inside, and the later ones of those outside.
-    a = placed.where("not main").select("token", "band", *_side("a"), F.col("c").alias("c_a"))
-    near = F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band")
-    b = placed.select("token", near, *_side("b"), F.col("c").alias("c_b"), "main")
-    # The conditions of _candidates are part of the join, so it makes no rows that they would drop.
-    crossing = a.join(b, ["token", "band"]).where("c_a <> c_b and (main or a < b)")
-    rest = _candidates(crossing, lists, percent).join(star, ["a", "b"], "left_anti")
-    rest = _scratch.stage(rest, "pairs")
-    more = _verified(rest, docs, words, percent)
-    reached = _graph.components(links.union(more))
+    # Then the pairs of different components, in rounds: those with some hubs, with more of them, and in the last all.
+    tested, hubs = star, HUBS
+    placed = shared.select("token", *_SIDE, F.floor(size).alias("band"))
+    while True:
+        placed = placed.join(reached, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id"))
+        kinds = placed.groupBy("token", "c").agg(F.count("*").alias("many"))
+        largest = kinds.groupBy("token").agg(F.max_by("c", F.struct("many", "c")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
+        largest = _scratch.stage(largest.select("token", "largest"), "largest")
+        placed = placed.join(largest, "token").select("token", *_SIDE, "band", "c", (F.col("c") == F.col("largest")).alias("main"))
+        placed = _scratch.stage(placed, "placed")
+        sizes = _scratch.stage(placed.groupBy("token", "band", "main").agg(F.count("*").alias("many")), "sizes")
+        last = _few(sizes, hubs)
+        crossing = _crossing(placed, sizes, None if last else hubs)
+        pairs = _scratch.stage(_candidates(crossing, lists, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        reached = _graph.components(reached.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_verified(pairs, docs, words, percent)))
+        if last:
+            break
+        tested, hubs = tested.union(pairs), hubs * MORE_HUBS
+        placed = placed.select("token", *_SIDE, "band")
     return (
         rows.join(reached, F.col("doc_id") == F.col("node"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
