@@ -36,6 +36,8 @@ LONG, SEGMENT = 4096, 1024
 CHUNK = 1 << 14
 #: Dimensions in which the neighbours of a class, on either side, are summed up to find the first states.
 TRAITS = 24
+#: Parts in which a round of training takes the texts, by hash; and the part of the texts that are held out.
+PARTS, HELD_OUT = 6, -1
 
 
 @dataclass
@@ -278,8 +280,10 @@ def expect(model: Model, codes: np.ndarray, begin: np.ndarray, lengths: np.ndarr
     parts = segments(model, codes, begin, lengths)
     states, kinds = len(model.start), len(model.emit)
     starts, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((kinds, states)), 0.0
-    cuts = np.searchsorted(np.cumsum(parts.lengths), np.arange(most, parts.lengths.sum(), most))
-    for own in np.split(np.arange(len(parts.row)), np.unique(cuts + 1)):
+    # Stretches of like length together: what is worked on at once takes as many steps as its longest one has tokens.
+    order = np.argsort(-parts.lengths, kind="stable")
+    cuts = np.searchsorted(np.cumsum(parts.lengths[order]), np.arange(most, parts.lengths.sum(), most))
+    for own in np.split(order, np.unique(cuts + 1)):
         if len(own):
             a, b, c, d = _expect(model, codes, parts.begin[own], parts.lengths[own], parts.first[own], parts.prev[own].astype(kind), parts.after[own].astype(kind))
             starts, move, emit, log = starts + a, move + b, emit + c, log + d
@@ -352,18 +356,20 @@ def first_states(coded: DataFrame, classes: Classes, states: int, seed: int = 7)
     kinds = len(classes.unigram)
     traits = coded.sparkSession.sparkContext.broadcast(rng.normal(size=(kinds, TRAITS)))
 
-    def neighbours(codes: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        inner = np.ones(len(codes), dtype=bool)
-        inner[begin + lengths - 1] = False  # the end has no next token
-        a = np.flatnonzero(inner)
-        out = []
-        for own, other in ((codes[a], codes[a + 1]), (codes[a + 1], codes[a])):
-            pair, n = np.unique(own * kinds + other, return_counts=True)
-            of = traits.value[pair % kinds] * n[:, None]
-            out += [np.bincount(pair // kinds, weights=of[:, d], minlength=kinds) for d in range(TRAITS)]
-        return np.concatenate(out)
-
-    sums = _gather(coded, 2 * TRAITS * kinds, neighbours)
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = np.zeros(kinds * kinds, dtype=np.int32)  # how often each class follows each
+        for _, codes, begin, lengths in _rows(batches, 1 << 20):
+            inner = np.ones(len(codes), dtype=bool)
+            inner[begin + lengths - 1] = False  # the end has no next token
+            a = np.flatnonzero(inner)
+            np.add.at(many, codes[a] * kinds + codes[a + 1], 1)
+        pair = np.flatnonzero(many)
+        n, left, right = many[pair].astype(np.float64), pair // kinds, pair % kinds
+        of = np.ascontiguousarray(traits.value.T)
+        sums = [np.bincount(own, weights=x[other] * n, minlength=kinds) for own, other in ((left, right), (right, left)) for x in of]
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.concatenate(sums).tobytes()], pa.binary())], ["part", "counts"])
+
+    sums = _sums.sum_arrays(coded.select("codes").mapInArrow(neighbours, "part int, counts binary")).get(0)
     share = np.full((kinds, states), 1 / states)
     if sums is not None:
         at = sums.reshape(2 * TRAITS, kinds).T / (classes.unigram / classes.unigram.min())[:, None]
@@ -381,10 +387,10 @@ def first_states(coded: DataFrame, classes: Classes, states: int, seed: int = 7)
     return emit / emit.sum(axis=0)
 
 
-def train(coded: DataFrame, classes: Classes, states: int = 16, parts: int = 6, rounds: int = 20, least_gain: float = 1e-2, seed: int = 7) -> Model:
+def train(coded: DataFrame, classes: Classes, states: int = 16, parts: int = PARTS, rounds: int = 20, least_gain: float = 1e-2, seed: int = 7) -> Model:
     """Baum-Welch over all rows of ``coded`` that aren't held out, until a round gains less than ``least_gain``.
 
-    A round takes all texts, a part of them (by hash) at a time. The expected counts of each part are kept until the
+    A round takes all texts, a part of them (0 to ``parts`` - 1 in the column ``part``) at a time. The expected counts of each part are kept until the
     part's turn comes again, and after each part the model is that of the counts of all parts, so a round does what as many
     rounds over all texts as there are parts would nearly do, at the cost of one. The gain is that of held-out texts, of
     training texts if none are held out (natural log, a token; 0.01 is 1 % of the perplexity).
@@ -392,14 +398,13 @@ def train(coded: DataFrame, classes: Classes, states: int = 16, parts: int = 6,
     kinds = len(classes.unigram)
     rng = np.random.default_rng(seed)
     move = rng.uniform(0.5, 1.5, (states, states))
-    own = coded.where("not held_out")
+    own = coded.where(F.col("part") != HELD_OUT)
     model = Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), first_states(own, classes, states, seed))
     spark = coded.sparkSession
-    part = F.pmod(F.xxhash64("codes"), F.lit(parts))
     known: list[np.ndarray | None] = [None] * parts
     gains: list[float] = []
     before = -np.inf
-    held = coded.where("held_out")
+    held = coded.where(F.col("part") == HELD_OUT)
     judged = held if held.head(1) else None
     for _ in range(rounds):
         for k in range(parts):
@@ -409,7 +414,7 @@ def train(coded: DataFrame, classes: Classes, states: int = 16, parts: int = 6,
                 starts, moves, emits, log = expect(shared.value, codes, begin, lengths, kind=np.float32)
                 return np.concatenate([starts, moves.ravel(), emits.ravel(), [log]])
 
-            sums = _gather(own.where(part == k), states + states * states + kinds * states + 1, counts)
+            sums = _gather(coded.where(F.col("part") == k), states + states * states + kinds * states + 1, counts)
             if sums is None:
                 continue
             known[k] = sums
@@ -453,7 +458,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     counts = _scratch.stage(count_words(docs.where("not held_out")), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     classes = make_classes(counts)
-    coded = _scratch.stage(encode(docs, classes), "coded")
+    part = F.when(F.col("held_out"), HELD_OUT).otherwise(F.pmod(F.xxhash64("codes"), F.lit(PARTS)).cast("int"))
+    # Each step of the training reads the files of its part alone.
+    coded = _scratch.stage(encode(docs, classes).withColumn("part", part), "coded", "part")
     model = train(coded, classes, states, rounds=rounds)
 
     # Rare words meet their counts; a row's are summed up again.
