@@ -3,7 +3,8 @@
 ``F.percentile`` keeps a count of each distinct value of a group in one task, which is the quickest way while the input
 is small. Beyond ONE_TASK bytes of input a sketch of bounded size first gives two values around each wanted rank; values
 below are only counted, and just the few between them (a share of about 4 / accuracy of the rows) are put in order. Both
-ways give the same values.
+ways give the same values. A sketch comes out a little different each time it is made, as partial ones meet in any order, so
+it is made once and stored; bounds that turn out not to hold a wanted rank are dropped for the whole group's range.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marketlens.scratch import stage
+
 #: Bytes that the plan's sources may have for the values of a group to be gathered in one task.
 ONE_TASK = 256 << 20
 #: Groups whose bounds are sent to all tasks; with more, rows meet theirs by a shuffle.
@@ -40,17 +43,27 @@ def exact_quantiles(rows: DataFrame, keys: tuple[str, ...], values: dict[str, Co
     ks = [f"_k{i}" for i in range(len(keys))]
     pairs = F.array(*(F.struct(F.lit(i).alias("i"), v.cast("double").alias("v")) for i, v in enumerate(values.values())))
     long = rows.select(*(F.col(k).alias(x) for k, x in zip(keys, ks, strict=True)), F.explode(pairs).alias("_p")).select(*ks, F.col("_p.i").alias("_i"), F.col("_p.v").alias("_v")).where("_v is not null")
+    long = stage(long, "long")  # read three times; what it comes from may be joins of large tables
     by, e = [*ks, "_i"], 2 / accuracy
     ends = F.percentile_approx("_v", F.array(*(F.lit(min(max(q + d, 0.0), 1.0)) for q in at for d in (-e, e))), accuracy)
-    bounds = long.groupBy(*by).agg(F.count("*").alias("_n"), ends.alias("_q")).toDF(*(f"{x}b" for x in by), "_n", "_q")
-    if bounds.count() <= BROADCAST_ROWS:
-        bounds = F.broadcast(bounds)
-    placed = long.join(bounds, _same(by, [f"{x}b" for x in by]))
+    ks_b = [f"{x}b" for x in by]
+    bounds = stage(long.groupBy(*by).agg(F.count("*").alias("_n"), ends.alias("_q")).toDF(*ks_b, "_n", "_q"), "bounds")
+    few = bounds.count() <= BROADCAST_ROWS
+    sized = lambda df: F.broadcast(df) if few else df
     low, high = (lambda j: F.col("_q")[2 * j]), (lambda j: F.col("_q")[2 * j + 1])
-    below = placed.groupBy(*by).agg(F.first("_n").alias("_n"), F.array(*(F.count_if(F.col("_v") < low(j)) for j in range(len(at)))).alias("_below"))
+    each_at = lambda f: F.array(*(f(j) for j in range(len(at))))
+    placed = long.join(sized(bounds), _same(by, ks_b))
+    counts = [each_at(lambda j: F.count_if(F.col("_v") < low(j))).alias("_below"), each_at(lambda j: F.count_if(F.col("_v") <= high(j))).alias("_within")]
+    below = stage(placed.groupBy(*by).agg(F.first("_n").alias("_n"), F.first("_q").alias("_q"), *counts), "below")
+    at_of = lambda j: (F.col("_n") - 1) * F.lit(at[j])
+    holds = lambda j: (F.col("_below")[j] <= F.floor(at_of(j))) & (F.col("_within")[j] > F.ceil(at_of(j)))
+    # Without bounds (null) all values of the group are put in order.
+    kept = lambda c: lambda j: F.when(holds(j), c(j))
+    below = below.select(*by, "_n", each_at(kept(low)).alias("_low"), each_at(kept(high)).alias("_high"), each_at(lambda j: F.when(holds(j), F.col("_below")[j]).otherwise(0)).alias("_below"))
     # Equal values are one row with a count, so a value that many rows share is one row too.
-    wanted = F.array_compact(F.array(*(F.when((F.col("_v") >= low(j)) & (F.col("_v") <= high(j)), F.lit(j)) for j in range(len(at)))))
-    inside = placed.withColumn("_j", F.explode(wanted)).groupBy(*by, "_j", "_v").agg(F.count("*").alias("_c"))
+    between = lambda j: F.col("_low")[j].isNull() | ((F.col("_v") >= F.col("_low")[j]) & (F.col("_v") <= F.col("_high")[j]))
+    wanted = F.array_compact(each_at(lambda j: F.when(between(j), F.lit(j))))
+    inside = long.join(sized(below.toDF(*ks_b, "_n", "_low", "_high", "_below")), _same(by, ks_b)).withColumn("_j", F.explode(wanted)).groupBy(*by, "_j", "_v").agg(F.count("*").alias("_c"))
     ranked = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_j").orderBy("_v"))).toDF(*(f"{x}r" for x in by), "_j", "_v", "_c", "_upto")
     joined = ranked.join(below, _same([f"{x}r" for x in by], by)).withColumn("_last", F.element_at("_below", F.col("_j") + 1) + F.col("_upto"))
     place = (F.col("_n") - 1) * F.element_at(F.array(*map(F.lit, at)), F.col("_j") + 1)

@@ -53,6 +53,19 @@ def test_exact_medians_equal_the_built_in(spark, n):
         assert got == {r.k: (r.n, r.m) for r in rows.groupBy("k").agg(F.count("v").alias("n"), F.median("v").alias("m")).collect()}
 
 
+def test_exact_medians_when_sketches_come_out_different(spark, monkeypatch):
+    """A sketch made anew may have other bounds; some made here hold the median and some don't."""
+    import random
+
+    real = F.percentile_approx
+    shifted = F.udf(lambda q, by: [x + random.randint(-by, by) for x in q] if q else q, "array<double>").asNondeterministic()
+    rows = spark.range(2001).selectExpr("id % 2 as k", "cast((id * 7919) % 2001 as double) as v")
+    want = {r.k: r.m for r in rows.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    for by in (100, 100, 900, 900):
+        monkeypatch.setattr(F, "percentile_approx", lambda c, p, a, by=by: shifted(real(c, p, a), F.lit(by)))
+        assert {r.k: r.median for r in quantiles.exact_medians(rows, ("k",), "v", 20).collect()} == want
+
+
 def test_flat_unit_prices(spark):
     rows = spark.createDataFrame([(i, 100_000, 50.0, 1, "a", None, 1) for i in range(3)], MARKET)
     assert sum(r.n for r in stats.unit_price_histogram(rows).collect()) == 3
