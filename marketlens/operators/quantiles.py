@@ -69,7 +69,9 @@ def exact_quantiles(rows: DataFrame, keys: tuple[str, ...], values: dict[str, Co
     place = (F.col("_n") - 1) * F.element_at(F.array(*map(F.lit, at)), F.col("_j") + 1)
     rank = lambda f: F.min(F.when(F.col("_last") > f(place), F.col("_v")))
     part = F.first(place - F.floor(place))
-    value = rank(F.ceil) if higher else rank(F.floor) * (1 - part) + rank(F.ceil) * part
+    lower, upper = rank(F.floor), rank(F.ceil)
+    # Weights of one value don't always add up to it.
+    value = upper if higher else F.when(lower == upper, lower).otherwise(lower * (1 - part) + upper * part)
     each = joined.groupBy(*by, "_j").agg(value.alias("_x")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "_x"))), lambda x: x["_x"]).alias("_x"))
     wide = each.groupBy(*ks).agg(*(F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(name) for i, name in enumerate(values)))
     return wide.select(*(F.col(x).alias(k) for x, k in zip(ks, keys, strict=True)), *values)

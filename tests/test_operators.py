@@ -66,6 +66,16 @@ def test_exact_medians_when_sketches_come_out_different(spark, monkeypatch):
         assert {r.k: r.median for r in quantiles.exact_medians(rows, ("k",), "v", 20).collect()} == want
 
 
+def test_quantiles_between_equal_values_are_the_value(spark, monkeypatch):
+    from marketlens.operators import windows
+
+    monkeypatch.setattr(quantiles, "ONE_TASK", -1)
+    n, v = 3, 27 / 7
+    part = (n - 1) * 0.2 % 1
+    assert v * (1 - part) + v * part < v
+    assert {r.quintile for r in windows.quintiles(spark.createDataFrame([(v,)] * n, "v double"), "v").collect()} == {1}
+
+
 def test_flat_unit_prices(spark):
     rows = spark.createDataFrame([(i, 100_000, 50.0, 1, "a", None, 1) for i in range(3)], MARKET)
     assert sum(r.n for r in stats.unit_price_histogram(rows).collect()) == 3
