@@ -45,11 +45,15 @@ class Leaf:
     value: float
     conditions: list[Condition] = field(default_factory=list)
     _known: dict = field(default_factory=dict)
+    _table: np.ndarray | None = None
 
     def shapley(self, patterns: np.ndarray) -> np.ndarray:
-        """Contributions of the path's features for rows that meet the conditions in ``patterns`` (bits)."""
-        new = [int(p) for p in np.unique(patterns) if int(p) not in self._known]
+        """A table of the path's features (rows) by pattern (columns): contributions to rows that meet the conditions in
+        ``patterns`` (bits). Only columns of patterns that were asked for are filled."""
         d = len(self.conditions)
+        if self._table is None:
+            self._table = np.zeros((d, 1 << d))
+        new = [int(p) for p in np.flatnonzero(np.bincount(patterns, minlength=1 << d)) if int(p) not in self._known]
         shares = [c.share for c in self.conditions]
         for p in new:
             met = [float(p >> j & 1) for j in range(d)]
@@ -62,9 +66,9 @@ class Leaf:
                         by_known = np.convolve(by_known, [shares[k], met[k]])
                 weights = [factorial(s) * factorial(d - 1 - s) / factorial(d) for s in range(d)]
                 out.append(self.value * (met[j] - shares[j]) * float(by_known @ weights))
-            self._known[p] = out
-        distinct, at = np.unique(patterns, return_inverse=True)
-        return np.array([self._known[int(p)] for p in distinct]).reshape(len(distinct), d)[at]
+            self._known[p] = True
+            self._table[:, p] = out
+        return self._table
 
 
 @dataclass
@@ -123,17 +127,19 @@ def read_trees(model) -> Trees:
 
 def shapley(trees: Trees, x: np.ndarray) -> np.ndarray:
     """Each feature's contribution to each row's prediction: base + sum of a row is its prediction."""
-    out = np.zeros(x.shape)
+    columns = np.ascontiguousarray(x.T)
+    out = np.zeros(columns.shape)
     for leaves in trees.trees:
         for leaf in leaves:
             if not leaf.conditions:
                 continue
             pattern = np.zeros(len(x), dtype=np.int64)
             for j, c in enumerate(leaf.conditions):
-                pattern |= c.holds(x[:, c.feature]).astype(np.int64) << j
-            columns = [c.feature for c in leaf.conditions]
-            out[:, columns] += leaf.shapley(pattern)
-    return out
+                pattern |= c.holds(columns[c.feature]).astype(np.int64) << j
+            table = leaf.shapley(pattern)
+            for j, c in enumerate(leaf.conditions):
+                out[c.feature] += table[j].take(pattern)
+    return out.T
 
 
 def contributions(scored: DataFrame, trees: Trees, names: list[str], groups: dict[str, str] | None = None, features: str = "features", id_col: str = "id") -> DataFrame:

@@ -239,3 +239,16 @@ def test_backtest_without_enough_valid_folds(spark):
     out = training.backtest(rows, _history(spark, SF), folds=2, days=200, least_train=20, least_test=5, trees=4, depth=2, quantile_trees=2).collect()
     assert [r.fold for r in out] == [0, 1, None] and out[2].mape is None and "3 needed" in out[2].reason
     assert training.backtest(rows.where("false"), _history(spark, SF)).collect()[0].reason == "0 of 0 folds are valid, 3 needed"
+
+
+def test_contributions_fit_no_bounds(spark, monkeypatch):
+    """Parts of an estimate need the trees on the log price alone; bounds would take most of the time."""
+    from marketlens.operators import boosting
+    from marketlens.plans import model as plans
+
+    def never(*args, **params):
+        raise AssertionError("bounds were fitted")
+
+    monkeypatch.setattr(boosting, "fit", never)
+    out = plans.QUERIES["model_contributions"](spark, "/root/testdata/sf0.001").limit(20).collect()
+    assert out and all(abs(r.fair_price - r.factors_base - sum(f.amount for f in r.factors) - r.factors_other) < 1e-6 for r in out)
