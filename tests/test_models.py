@@ -252,3 +252,21 @@ def test_contributions_fit_no_bounds(spark, monkeypatch):
     monkeypatch.setattr(boosting, "fit", never)
     out = plans.QUERIES["model_contributions"](spark, "/root/testdata/sf0.001").limit(20).collect()
     assert out and all(abs(r.fair_price - r.factors_base - sum(f.amount for f in r.factors) - r.factors_other) < 1e-6 for r in out)
+
+
+def test_counts_equal_plain_ones(spark):
+    """Few numbers of many, many of few, rows that are parts of larger batches, and the codes of bins without copies."""
+    import numpy as np
+    import pyarrow as pa
+
+    from marketlens.operators import boosting
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 32, (3000, 5), dtype=np.uint8)
+    column = boosting._binary(x)
+    assert column.to_pylist() == [r.tobytes() for r in x]
+    assert (boosting._bytes(column.slice(700, 90), 90) == x[700:790]).all()
+    rows = spark.createDataFrame([(r.tobytes(), float(i), [0.0, 0.0]) for i, r in enumerate(x)], "x binary, y double, f array<double>").repartition(3)
+    for bins, key in ((64, lambda x, y, f: x.ravel().astype(np.int64)), (200_000, lambda x, y, f: x[:, 0].astype(np.int64) * 6000 + x[:, 1])):
+        assert (boosting._counted(rows, [], key, bins) == np.bincount(key(x, None, None), minlength=bins)).all()
+    assert pa.types.is_binary(column.type)
